@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paceforge.llm.minhash import op2_minhash
 from paceforge.llm.packing import op8_packing
 from paceforge.llm.tokens import op7_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_minhash": op2_minhash,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
 }
