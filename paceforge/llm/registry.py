@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paceforge.llm.minhash import op2_minhash
 from paceforge.llm.packing import op8_packing
+from paceforge.llm.quality_classifier import op6_quality_classifier
+from paceforge.llm.quality_rules import op3_quality_rules
 from paceforge.llm.tokens import op7_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_minhash": op2_minhash,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
 }

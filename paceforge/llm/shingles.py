@@ -44,14 +44,14 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z taken as a-z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z taken as a-z if ``lower``."""
     if not len(starts):
         return np.empty(0, _U)
     size = 1 << max(16, int(len(data)).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTES[_LOWER[data]] * up[: len(data)], out=sums[1:])
+    np.cumsum(_BYTES[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
