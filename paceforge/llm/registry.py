@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paceforge.llm.language_id import op9_language_id
 from paceforge.llm.minhash import op2_minhash
 from paceforge.llm.packing import op8_packing
 from paceforge.llm.quality_classifier import op6_quality_classifier
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
