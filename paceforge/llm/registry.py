@@ -12,6 +12,7 @@ from paceforge.llm.packing import op8_packing
 from paceforge.llm.quality_classifier import op6_quality_classifier
 from paceforge.llm.quality_rules import op3_quality_rules
 from paceforge.llm.tokens import op7_token_counts
+from paceforge.llm.url_filter import op10_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op7_token_counts": op7_token_counts,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
