@@ -9,6 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def first_by_hash(rows: DataFrame, label: str, key: str, per_label: int, max_labels: int = 1000) -> DataFrame:
+    """At most ``per_label`` rows of each of the ``max_labels`` commonest labels, in the order of a hash of ``key``.
+
+    A cut at twice the expected hash, from counts of all rows, is made where the
+    rows are read, so what is ordered doesn't grow with the table.  Adds column h.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("label_rows"))
+    counts = counts.orderBy(F.desc("label_rows"), label).limit(max_labels)
+    place = F.shiftrightunsigned("h", 1) / F.lit(2.0**63)
+    near = (
+        rows.withColumn("h", F.xxhash64(key))
+        .join(F.broadcast(counts), label)
+        .filter(place * F.col("label_rows") < 2.0 * per_label + 20)
+        .drop("label_rows")
+    )
+    first = Window.partitionBy(label).orderBy("h", key)
+    return near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_label).drop("rank")
+
+
 def labelled_pieces(
     docs: DataFrame,
     labels: DataFrame | None,
@@ -30,10 +49,7 @@ def labelled_pieces(
     """
     rows = (labels if labels is not None else docs).filter(usable & F.col(label).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"))
-    rows = rows.withColumn("h", F.xxhash64("id"))
-    first = Window.partitionBy("label").orderBy("h", "id")
-    chosen = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label)
-    chosen = chosen.select("id", "label", "h").limit(max_labels * per_label)
+    chosen = first_by_hash(rows, "label", "id", per_label, max_labels)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.llm.common import table
+from paceforge.llm.sampling import first_by_hash
 
 #: (rule, verdict); a rule is a host suffix and, from its first slash on, a path prefix.
 RULES = (
@@ -182,15 +183,11 @@ def with_rules(df: DataFrame, id_col: str, url_col: str, rules: Sequence[tuple[s
 
 def train(ruled: DataFrame, sample: int = 20_000, longest: int = 2048) -> Trees:
     """Fit on at most ``sample`` URLs that a rule decides, in the order of a hash; URLs over ``longest`` bytes don't train."""
-    rows = (
-        ruled.filter("rule IS NOT NULL")
-        .filter(F.octet_length("url") <= longest)
-        .select("url", "host", "path", (F.col("ruled") == "block").alias("blocked"))
-        .orderBy(F.xxhash64("url"), "url", "blocked")
-        .limit(sample)
-        .collect()
-    )
-    return fit([tuple(r) for r in rows])
+    blocked = (F.col("ruled") == "block").alias("blocked")
+    rows = ruled.filter("rule IS NOT NULL").filter(F.octet_length("url") <= longest)
+    rows = rows.select("url", "host", "path", blocked, F.lit(0).alias("any"))
+    found = first_by_hash(rows, "any", "url", sample).collect()
+    return fit(sorted((r.url, r.host, r.path, r.blocked) for r in found))
 
 
 def filter_urls(
