@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paceforge.llm.language_id import op9_language_id
 from paceforge.llm.minhash import op2_minhash
+from paceforge.llm.mixing import OP1_SQL, op1_source_mixing
 from paceforge.llm.packing import op8_packing
 from paceforge.llm.quality_classifier import op6_quality_classifier
 from paceforge.llm.quality_rules import op3_quality_rules
@@ -17,6 +18,7 @@ from paceforge.llm.url_filter import op10_url_filter
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_minhash": op2_minhash,
     "op3_quality_rules": op3_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL}
