@@ -14,12 +14,14 @@ from paceforge.llm.quality_classifier import op6_quality_classifier
 from paceforge.llm.quality_rules import op3_quality_rules
 from paceforge.llm.tokens import op7_token_counts
 from paceforge.llm.url_filter import op10_url_filter
+from paceforge.llm.vectors import op5_vector_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minhash": op2_minhash,
+    "op5_vector_duplicates": op5_vector_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
