@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paceforge.llm.language_id import op9_language_id
+from paceforge.llm.lm_score import op4_lm_score
 from paceforge.llm.minhash import op2_minhash
 from paceforge.llm.mixing import OP1_SQL, op1_source_mixing
 from paceforge.llm.packing import op8_packing
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minhash": op2_minhash,
+    "op4_lm_score": op4_lm_score,
     "op5_vector_duplicates": op5_vector_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
