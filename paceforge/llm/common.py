@@ -41,16 +41,18 @@ def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a folder under the warehouse is used.
+    Only where that is unset (tests on one machine) it lies in the warehouse.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            where = df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(where)
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    return where or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
