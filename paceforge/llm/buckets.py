@@ -33,9 +33,10 @@ class Group:
         self.across = lo != hi
         self.side = (rows.column("block").to_numpy() != lo).astype(np.int8)
         keys = rows.column("keys").combine_chunks()
-        width = len(keys.values) // len(keys)
-        self._valid = np.asarray(keys.values.is_valid()).reshape(-1, width)
-        self._keys = keys.values.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, width)
+        values = keys.flatten()
+        width = len(values) // len(keys)
+        self._valid = np.asarray(values.is_valid()).reshape(-1, width)
+        self._keys = values.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, width)
 
     def partners(self, i: int) -> np.ndarray:
         """Items that ``i`` is to be compared with: each pair once."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import id_bucket, table
+from paceforge.llm.common import id_bucket, slices, table
 from paceforge.llm.sampling import labelled_pieces
 
 #: The input after a window's last byte.
@@ -243,7 +243,7 @@ def _judged(net: Network | None, texts: pa.Array) -> tuple[list[str], list[float
     if net is None:
         return [UNKNOWN] * len(known), [0.0] * len(known)
     data = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
-    p = np.concatenate([predict(net, data[a : a + 256]) for a in range(0, len(data), 256)])
+    p = predict(net, data)
     best = p.argmax(axis=1)
     langs = [net.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
     return langs, [min(1.0, float(x)) if k else 0.0 for x, k in zip(p.max(axis=1), known)]
@@ -253,13 +253,12 @@ def identify(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_co
     """Rows (id, held_out, lang_pred, score) for every text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                langs, scores = _judged(net, batch.column(1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    names=["id", "lang_pred", "score"],
-                )
+        for batch in slices(batches):
+            langs, scores = _judged(net, batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=["id", "lang_pred", "score"],
+            )
 
     id_type = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {id_type}, lang_pred string, score double")
@@ -276,10 +275,9 @@ def keep_identified(df: DataFrame, net: Network | None, text_col: str = "text",
     at = df.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                langs, scores = _judged(net, batch.column(at))
-                yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores)], pa.bool_()))
+        for batch in slices(batches):
+            langs, scores = _judged(net, batch.column(at))
+            yield batch.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(langs, scores)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.llm.bpe import resolve
-from paceforge.llm.common import cut_lineage, id_bucket, table, utf8
+from paceforge.llm.common import cut_lineage, id_bucket, slices, table, utf8
 
 _MARK = "▁"
 #: The key of the end among piece counts; no piece is empty.
@@ -99,7 +99,7 @@ def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
             held.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, trains in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
                 (trained if trains else held).update(_words(text))
                 if len(trained) + len(held) > most:
@@ -165,7 +165,7 @@ def score_texts(
     # the least power of two that no more than table_size words reach
     power = F.floor(F.log2("used")).cast("int").alias("power")
     short = words.filter(F.octet_length("word") <= 64)
-    reach, least = 0, 63
+    reach, least = 0, 62
     for p, c in sorted(short.groupBy(power).agg(F.count(F.lit(1))).collect(), reverse=True):
         reach += c
         if reach > table_size:
@@ -189,40 +189,38 @@ def score_texts(
         index, base, score, seen = shared.value
         uid = TaskContext.get().partitionId() << 33
         none = len(base) - 1
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                uids, words, times, sums = [], [], [], []
-                first = uid
-                for text in utf8(part.column(1)):
-                    own = _words(text)
-                    k = np.fromiter(map(index.get, own, repeat(none)), np.int64, len(own))
-                    known = int(np.count_nonzero(seen[k])) + (ends > 0)
-                    sums.append((len(own) + 1, known, base[k].sum() + end_base, score[k].sum() + end_score))
-                    rare = Counter([own[i] for i in np.flatnonzero(k == none)])
-                    words.extend(rare.keys())
-                    times.extend(rare.values())
-                    uids.extend([uid] * len(rare))
-                    uid += 1
-                n_docs, n_rare = part.num_rows, len(words)
-                # a document's own row meets no word: words hold no space
-                words.extend(b" %d" % u for u in range(first, uid))
-                nulls = lambda kind: pa.nulls(n_rare, kind)
-                columns = list(zip(*sums))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(uids + list(range(first, uid)), pa.int64()),
-                        pa.array(words, pa.binary()),
-                        pa.array(times + [0] * n_docs, pa.int64()),
-                        pa.concat_arrays([nulls(part.column(0).type), part.column(0)]),
-                        pa.concat_arrays([nulls(pa.bool_()), part.column(2)]),
-                        *(
-                            pa.concat_arrays([nulls(t), pa.array(c, t)])
-                            for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))
-                        ),
-                    ],
-                    names=["uid", "word", "times", "id", "held_out", "n_tokens", "n_known", "base", "score"],
-                )
+        for part in slices(batches):
+            uids, words, times, sums = [], [], [], []
+            first = uid
+            for text in utf8(part.column(1)):
+                own = _words(text)
+                k = np.fromiter(map(index.get, own, repeat(none)), np.int64, len(own))
+                known = int(np.count_nonzero(seen[k])) + (ends > 0)
+                sums.append((len(own) + 1, known, base[k].sum() + end_base, score[k].sum() + end_score))
+                rare = Counter([own[i] for i in np.flatnonzero(k == none)])
+                words.extend(rare.keys())
+                times.extend(rare.values())
+                uids.extend([uid] * len(rare))
+                uid += 1
+            n_docs, n_rare = part.num_rows, len(words)
+            # a document's own row meets no word: words hold no space
+            words.extend(b" %d" % u for u in range(first, uid))
+            nulls = lambda kind: pa.nulls(n_rare, kind)
+            columns = list(zip(*sums))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(uids + list(range(first, uid)), pa.int64()),
+                    pa.array(words, pa.binary()),
+                    pa.array(times + [0] * n_docs, pa.int64()),
+                    pa.concat_arrays([nulls(part.column(0).type), part.column(0)]),
+                    pa.concat_arrays([nulls(pa.bool_()), part.column(2)]),
+                    *(
+                        pa.concat_arrays([nulls(t), pa.array(c, t)])
+                        for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))
+                    ),
+                ],
+                names=["uid", "word", "times", "id", "held_out", "n_tokens", "n_known", "base", "score"],
+            )
 
     def rare_scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lattice(*tables.value)

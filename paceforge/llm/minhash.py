@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceforge.llm.buckets import BROADCAST_IDS, Forest, Group, compare_in_buckets, components
-from paceforge.llm.common import cut_lineage, table, utf8
+from paceforge.llm.common import cut_lineage, slices, table, utf8
 from paceforge.llm.shingles import linked, minima, mix, shingle_sets
 
 _LANES = np.uint64(0x1111111111111111)
@@ -83,36 +83,34 @@ def near_duplicates(
         raise ValueError("band_rows * bands must be a multiple of 16")
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = utf8(part.column(1))
-                sets = shingle_sets(texts, shingle_words)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                full = np.flatnonzero(sizes)
-                keys: list = [None] * len(sets)
-                packed: list = [None] * len(sets)
-                d1: list = [None] * len(sets)
-                d2: list = [None] * len(sets)
-                if len(full):
-                    values = minima([sets[i] for i in full], permutations)
-                    for i, k, p in zip(full.tolist(), band_keys(values, band_rows), pack_low_bits(values)):
-                        keys[i], packed[i] = k, p.tobytes()
-                        digest = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                        d1[i] = int.from_bytes(digest[:8], "little", signed=True)
-                        d2[i] = int.from_bytes(digest[8:], "little", signed=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).cast(pa.int64()),
-                        pa.array(sizes),
-                        pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array(d1, pa.int64()),
-                        pa.array(d2, pa.int64()),
-                        pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(packed, pa.binary()),
-                    ],
-                    names=["id", "n_shingles", "bytes", "d1", "d2", "keys", "packed"],
-                )
+        for part in slices(batches):
+            texts = utf8(part.column(1))
+            sets = shingle_sets(texts, shingle_words)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            full = np.flatnonzero(sizes)
+            keys: list = [None] * len(sets)
+            packed: list = [None] * len(sets)
+            d1: list = [None] * len(sets)
+            d2: list = [None] * len(sets)
+            if len(full):
+                values = minima([sets[i] for i in full], permutations)
+                for i, k, p in zip(full.tolist(), band_keys(values, band_rows), pack_low_bits(values)):
+                    keys[i], packed[i] = k, p.tobytes()
+                    digest = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                    d1[i] = int.from_bytes(digest[:8], "little", signed=True)
+                    d2[i] = int.from_bytes(digest[8:], "little", signed=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).cast(pa.int64()),
+                    pa.array(sizes),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array(d1, pa.int64()),
+                    pa.array(d2, pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(packed, pa.binary()),
+                ],
+                names=["id", "n_shingles", "bytes", "d1", "d2", "keys", "packed"],
+            )
 
     def compare(group: Group) -> pa.RecordBatch | None:
         texts = utf8(group.rows.column("text").combine_chunks())

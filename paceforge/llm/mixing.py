@@ -47,7 +47,7 @@ def _id_text(id_col: str) -> Column:
 def source_weights(sizes: DataFrame, entropy_share: float, max_repetition: float, budget_share: float) -> DataFrame:
     """(source, tokens) to (source, tokens, exponent, weight, budget)."""
     one = sizes.agg(F.array_sort(F.collect_list(F.struct("source", "tokens"))).alias("s"), F.sum("tokens").alias("t"))
-    shares = F.transform("s", lambda x: x["tokens"] / F.col("t"))
+    shares = F.transform("s", lambda x: F.try_divide(x["tokens"], F.col("t")))
     one = one.select("s", "t", F.filter(shares, lambda p: p > 0).alias("p"))
 
     def fits(alpha: Column) -> Column:
@@ -61,8 +61,9 @@ def source_weights(sizes: DataFrame, entropy_share: float, max_repetition: float
                 F.greatest(acc["r"], F.pow(p, alpha) / p).alias("r"),
             ),
         )
-        entropy = F.ln(sums["z"]) - sums["a"] / sums["z"]
-        return (entropy <= entropy_share * F.ln(F.size("p"))) & (sums["r"] / sums["z"] * budget_share <= max_repetition)
+        entropy = F.ln(sums["z"]) - F.try_divide(sums["a"], sums["z"])
+        repetition = F.try_divide(sums["r"], sums["z"]) * budget_share
+        return (entropy <= entropy_share * F.ln(F.size("p"))) & (repetition <= max_repetition)
 
     bounds = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
     middle = lambda b: (b["lo"] + b["hi"]) / 2
@@ -77,7 +78,7 @@ def source_weights(sizes: DataFrame, entropy_share: float, max_repetition: float
     solved = one.select("s", "t", "p", F.when(fits(F.lit(0.0)), 0.0).otherwise(found["hi"]).alias("exponent"))
     raised = F.aggregate("p", F.lit(0.0), lambda acc, p: acc + F.pow(p, F.col("exponent")))
     rows = solved.select(F.explode("s").alias("x"), "t", "exponent", raised.alias("z"))
-    share = F.col("x.tokens") / F.col("t")
+    share = F.try_divide("x.tokens", "t")
     weight = F.when(F.col("x.tokens") > 0, F.pow(share, F.col("exponent")) / F.col("z")).otherwise(F.lit(0.0))
     return rows.select("x.source", "x.tokens", "exponent", weight.alias("weight"), "t").select(
         "source",

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.llm.bpe import LATIN, OTHER, PieceEncoder
-from paceforge.llm.common import table
+from paceforge.llm.common import slices, table
 
 #: Words with control characters go to the library.
 _CONTROL = re.compile(rb"[\x00-\x1f]")
@@ -116,9 +116,7 @@ def pack_documents(
         cache = _CACHES.get(tokenizer_file)
         if cache is None:
             cache = _CACHES[tokenizer_file] = IdCache(tokenizer_file, worker_cache, worker_cache // 4)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             row, start, length, crc, total, blobs = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 ids = memoryview(cache.ids(text or b"") + end)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import id_bucket, table, utf8
+from paceforge.llm.common import id_bucket, slices, table, utf8
 from paceforge.llm.sampling import labelled_pieces
 
 
@@ -145,7 +145,7 @@ def score_quality(df: DataFrame, model: CompressionModel, id_col: str = "doc_id"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             s = [scorer.score(t) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["id", "score"])
 
@@ -164,7 +164,7 @@ def keep_good(df: DataFrame, model: CompressionModel, text_col: str = "text", le
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = utf8(batch.column(at))
             yield batch.filter(pa.array([scorer.score(t) >= least for t in texts], pa.bool_()))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import table, utf8
+from paceforge.llm.common import slices, table, utf8
 from paceforge.llm.shingles import _PLACES, mix, word_hashes, words
 
 #: (least bytes, lowest ratio, highest ratio) for whole texts; the last row that fits holds.
@@ -108,26 +108,24 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import zstandard
 
         compressor = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = utf8(part.column(1))
-                counts = base_counts(texts)
-                both = [ratios(t, compressor) for t in texts]
-                n = counts["n_words"]
-                failed = (n < 20) | (100 * counts["n_repeat_words"] > 30 * n)
-                fits = [within_bands(len(t), *r) for t, r in zip(texts, both)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0)]
-                    + [pa.array(counts[c], pa.int64()) for c in _COUNTS]
-                    + [
-                        pa.array(failed),
-                        pa.array([r[0] for r in both], pa.float64()),
-                        pa.array([r[1] for r in both], pa.float64()),
-                        pa.array(~failed & np.array(fits, bool)),
-                    ],
-                    names=["id", *_COUNTS, "base_failed", "ratio", "odd_chunks", "kept"],
-                )
+        for part in slices(batches):
+            texts = utf8(part.column(1))
+            counts = base_counts(texts)
+            both = [ratios(t, compressor) for t in texts]
+            n = counts["n_words"]
+            failed = (n < 20) | (100 * counts["n_repeat_words"] > 30 * n)
+            fits = [within_bands(len(t), *r) for t, r in zip(texts, both)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0)]
+                + [pa.array(counts[c], pa.int64()) for c in _COUNTS]
+                + [
+                    pa.array(failed),
+                    pa.array([r[0] for r in both], pa.float64()),
+                    pa.array([r[1] for r in both], pa.float64()),
+                    pa.array(~failed & np.array(fits, bool)),
+                ],
+                names=["id", *_COUNTS, "base_failed", "ratio", "odd_chunks", "kept"],
+            )
 
     id_type = df.schema[id_col].dataType.simpleString()
     kinds = ", ".join(f"{c} long" for c in _COUNTS)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.llm.bpe import LATIN, OTHER, PieceEncoder
-from paceforge.llm.common import table
+from paceforge.llm.common import slices, table
 
 #: The vocabulary's published pre-token pattern, with its classes narrowed to what OTHER lets through.
 _PRE_TOKEN = re.compile(
@@ -89,7 +89,7 @@ def frequent_units(
 
     def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(split_units(text, special))
@@ -137,7 +137,7 @@ def count_tokens(
             _CACHES.clear()
             _CACHES[run] = LengthCache(tokenizer_file, head.value, worker_cache, worker_cache // 2)
         cache = _CACHES[run]
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1)
             n_tokens = [cache.count(t) if t else 0 for t in texts.to_pylist()]
             n_bytes = [len(b) if b else 0 for b in texts.cast(pa.binary()).to_pylist()]

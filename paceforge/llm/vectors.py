@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.llm.buckets import Forest, Group, compare_in_buckets, components
-from paceforge.llm.common import cut_lineage, table
+from paceforge.llm.common import cut_lineage, slices, table
 from paceforge.llm.shingles import mix
 
 
@@ -81,41 +81,39 @@ def vector_duplicates(
     """
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                labels = part.column(2).cast(pa.int64())
-                vectors = sound_vectors(part.column(1))
-                n = len(vectors)
-                d1, d2, keys, unit_bytes = [None] * n, [None] * n, [None] * n, [None] * n
-                by_size: dict[int, list[int]] = {}
-                for i, v in enumerate(vectors):
-                    if v is not None and labels[i].is_valid:
-                        by_size.setdefault(len(v), []).append(i)
-                for rows in by_size.values():
-                    x = np.stack([vectors[i] for i in rows])
-                    scale = np.abs(x).max(axis=1, keepdims=True)
-                    unit = x / scale
-                    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-                    own = np.array([labels[i].as_py() for i in rows], np.int64)
-                    for i, k, raw, u, lab in zip(
-                        rows, table_keys(unit, own, tables, projections, width), x, unit, own.tolist()
-                    ):
-                        raw = raw + 0.0  # -0.0 equals 0.0
-                        digest = hashlib.blake2b(raw.tobytes() + lab.to_bytes(8, "little", signed=True), digest_size=16).digest()
-                        d1[i] = int.from_bytes(digest[:8], "little", signed=True)
-                        d2[i] = int.from_bytes(digest[8:], "little", signed=True)
-                        keys[i], unit_bytes[i] = k, u.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).cast(pa.int64()),
-                        pa.array(d1, pa.int64()),
-                        pa.array(d2, pa.int64()),
-                        pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(unit_bytes, pa.binary()),
-                    ],
-                    names=["id", "d1", "d2", "keys", "unit"],
-                )
+        for part in slices(batches, 1024):
+            labels = part.column(2).cast(pa.int64())
+            vectors = sound_vectors(part.column(1))
+            n = len(vectors)
+            d1, d2, keys, unit_bytes = [None] * n, [None] * n, [None] * n, [None] * n
+            by_size: dict[int, list[int]] = {}
+            for i, v in enumerate(vectors):
+                if v is not None and labels[i].is_valid:
+                    by_size.setdefault(len(v), []).append(i)
+            for rows in by_size.values():
+                x = np.stack([vectors[i] for i in rows])
+                scale = np.abs(x).max(axis=1, keepdims=True)
+                unit = x / scale
+                unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+                own = np.array([labels[i].as_py() for i in rows], np.int64)
+                for i, k, raw, u, lab in zip(
+                    rows, table_keys(unit, own, tables, projections, width), x, unit, own.tolist()
+                ):
+                    raw = raw + 0.0  # -0.0 equals 0.0
+                    digest = hashlib.blake2b(raw.tobytes() + lab.to_bytes(8, "little", signed=True), digest_size=16).digest()
+                    d1[i] = int.from_bytes(digest[:8], "little", signed=True)
+                    d2[i] = int.from_bytes(digest[8:], "little", signed=True)
+                    keys[i], unit_bytes[i] = k, u.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).cast(pa.int64()),
+                    pa.array(d1, pa.int64()),
+                    pa.array(d2, pa.int64()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(unit_bytes, pa.binary()),
+                ],
+                names=["id", "d1", "d2", "keys", "unit"],
+            )
 
     def compare(group: Group) -> pa.RecordBatch | None:
         vectors = [np.frombuffer(b, np.float64) for b in group.rows.column("unit").to_pylist()]
