@@ -70,7 +70,7 @@ def near_duplicates(
     bands: int = 16,
     margin: float = 0.255,
     block_rows: int = 2048,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept), one for each row of ``df``.
 

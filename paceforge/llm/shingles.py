@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -44,14 +45,34 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+#: Bytes hashed at once; the tables of powers are as long.
+_SEGMENT = 1 << 20
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z taken as a-z if ``lower``."""
-    if not len(starts):
-        return np.empty(0, _U)
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+    """A 64-bit hash of each word, A-Z taken as a-z if ``lower``; memory beyond the result is bounded."""
+    out = np.empty(len(starts), _U)
+    a = 0
+    while a < len(starts):
+        b = int(np.searchsorted(ends, starts[a] + _SEGMENT, side="right"))
+        at = int(starts[a])
+        if b > a:
+            part = data[at : ends[b - 1]]
+            out[a:b] = _segment_hashes(_LOWER[part] if lower else part, starts[a:b] - at, ends[a:b] - at)
+            a = b
+        else:  # a word longer than a segment
+            word = data[at : ends[a]].tobytes()
+            digest = hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest()
+            out[a] = int.from_bytes(digest, "little")
+            a += 1
+    return out
+
+
+def _segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial in the word's bytes, made independent of its place."""
+    up, down = _powers(_SEGMENT)
     sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTES[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 

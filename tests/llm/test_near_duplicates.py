@@ -110,3 +110,18 @@ def test_vector_blocks_and_empty_table(spark):
     one = sorted(map(str, vectors.vector_duplicates(df, block_rows=7).collect()))
     assert one == sorted(map(str, vectors.vector_duplicates(df).collect()))
     assert vectors.vector_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_texts_hash_like_short_ones():
+    rng = corpus.random.Random(8)
+    small = [corpus.prose(rng, "de", 40).encode() for _ in range(3)]
+    huge = b" ".join([*small[:1], b"y" * 3_000_000, b"Z" * 3_000_000, *small[1:]]) + b" " + b"w " * 2_000_000
+    data = np.frombuffer(huge, np.uint8)
+    starts, ends = shingles.words(data)
+    hashes = shingles.word_hashes(data, starts, ends)
+    words = huge.lower().split()
+    assert len(words) == len(hashes) and len(set(words)) == len(set(hashes.tolist()))
+    seen: dict = {}
+    assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
+    one = shingles.shingle_sets([small[0]])[0]
+    assert shingles.overlap(one, shingles.shingle_sets([huge])[0]) >= len(one)
