@@ -103,3 +103,31 @@ def missing_channels(activities: DataFrame, channels: DataFrame, requested: Sequ
     rows = activities.select("id").join(known.withColumnRenamed("activity_id", "id"), "id", "left")
     rows = rows.select("id", F.array_except(asked, F.coalesce("known", F.array().cast("array<string>"))).alias("missing"))
     return rows.filter(F.size("missing") > 0)
+
+
+def channel_tally(candidates: DataFrame) -> DataFrame:
+    """(channel, n): how many activities miss each channel."""
+    return candidates.select(F.explode("missing").alias("channel")).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+def coverage_report(activities: DataFrame, channels: DataFrame, sample: int = 20) -> DataFrame:
+    """(id, activity_day, missing): the newest activities that miss channels, ``sample`` of them at most."""
+    if not 1 <= sample <= 20:
+        raise ValueError("sample must lie between 1 and 20")
+    found = missing_channels(activities, channels).join(activities.select("id", "activity_day"), "id")
+    return found.orderBy(F.desc("activity_day"), F.desc("id")).limit(sample)
+
+
+def missing_kudos(activities: DataFrame, kudos: DataFrame, since=None) -> DataFrame:
+    """Activities that have kudos by count and none by name, from a day on if given."""
+    rows = activities.filter("kudos_count > 0")
+    if since is not None:
+        rows = rows.filter(F.col("activity_day") >= F.lit(since))
+    return rows.join(kudos.select(F.col("activity_id").alias("id")), "id", "left_anti")
+
+
+def kudos_names(kudos: DataFrame) -> DataFrame:
+    """(activity_id, names): first and last names, sorted, each once."""
+    name = F.trim(F.concat_ws(" ", F.trim("firstname"), F.trim("lastname")))
+    rows = kudos.select("activity_id", F.nullif(name, F.lit("")).alias("name"))
+    return rows.groupBy("activity_id").agg(F.array_sort(F.collect_set("name")).alias("names"))

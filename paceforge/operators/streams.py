@@ -48,9 +48,12 @@ def running_max_hr(activities: DataFrame, samples: DataFrame) -> DataFrame:
     return daily.select("activity_day", F.max("m").over(so_far).alias("max_hr_to_day"))
 
 
-def activity_zones(activities: DataFrame, samples: DataFrame, hr_rest: int) -> DataFrame:
-    """Zone seconds and load of each activity by the limits of its day; zeros without heart rate."""
-    days = running_max_hr(activities, samples)
+def activity_zones(activities: DataFrame, samples: DataFrame, hr_rest: int, days: DataFrame | None = None) -> DataFrame:
+    """Zone seconds and load of each activity by the limits of its day; zeros without heart rate.
+
+    ``days``: running_max_hr(), if it is over more activities than these.
+    """
+    days = running_max_hr(activities, samples) if days is None else days
     keyed = activities.select("id", "activity_day").join(F.broadcast(days), "activity_day")
     limits = zone_bounds(F.col("max_hr_to_day"), hr_rest)
     keyed = keyed.select("id", "max_hr_to_day", *[b.alias(f"b{k}") for k, b in enumerate(limits)])

@@ -9,13 +9,23 @@ from paceforge.constants import RESTING_HR, ROLLING_WINDOWS, WALK_DISCOUNT
 from paceforge.functions.scalars import acwr, acwr_zone, form_zone
 from paceforge.functions.zones import karvonen, load_of, load_points
 from paceforge.operators.sequence import day_spine, day_window, load_model
-from paceforge.operators.streams import activity_zones, adjusted_cardiac_cost, hrr_pct, stream_scalars
+from paceforge.operators.streams import activity_zones, adjusted_cardiac_cost, hrr_pct, running_max_hr, stream_scalars
 
 
-def activity_facts(activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR, metric_version: int = 1) -> DataFrame:
-    """One row for each activity and version.  Two aggregations of the samples, both on the activity."""
+def activity_facts(
+    activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR, metric_version: int = 1, only: DataFrame | None = None
+) -> DataFrame:
+    """One row for each activity and version.  Two aggregations of the samples, both on the activity.
+
+    ``only``: activity_id of those to compute; the highest heart rate of a day still counts all.
+    """
+    days = running_max_hr(activities, samples)
+    if only is not None:
+        wanted = only.select(F.col("activity_id").alias("id"))
+        activities = activities.join(wanted, "id", "left_semi")
+        samples = samples.join(only.select("activity_id"), "activity_id", "left_semi")
     scalars = stream_scalars(samples).withColumnRenamed("activity_id", "id")
-    zones = activity_zones(activities, samples, hr_rest)
+    zones = activity_zones(activities, samples, hr_rest, days)
     f = activities.join(scalars, "id", "left").join(zones, "id", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     no_streams, no_hr = count("stream_count") == 0, count("hr_count") == 0

@@ -1,14 +1,15 @@
 """Writers for Parquet tables: append, upsert, replace, prune, compact.
 
-Parquet has no MERGE.  Tables that change are written to a new folder and then
-swapped by a pointer file, so a reader never sees half a change and a lost
-executor costs a retry.
+Parquet has no MERGE.  Tables that change are written to new folders and then
+named by a manifest, so a reader never sees half a change and a lost executor
+costs a retry.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,43 +20,101 @@ class MirrorMissing(RuntimeError):
     """A table that must exist does not."""
 
 
-class Table:
-    """A Parquet table at ``path``: folders of snapshots and a pointer to the current one."""
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
+class Store:
+    """Parquet tables under ``path``: data folders, and manifests that name the current folder of each table.
+
+    A commit writes all changed tables to new folders and then creates the next
+    manifest; creating it is the commit, and fails if another writer was first.
+    Any file system that Hadoop knows will do.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        jvm = spark._jvm
-        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        self._fs = self._at("_current").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        """Folder of the current snapshot."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(""))) if self._fs.exists(self._at("")) else []
-        pointers = [n for n in names if n.startswith("_at_")]
-        return f"{self.path}/{pointers[-1].split('.', 1)[1]}" if pointers else None
-
-    def read(self, schema: StructType | str | None = None) -> DataFrame:
-        """The current snapshot; raises MirrorMissing if there is none, ValueError if columns are missing."""
-        where = self.current()
-        if where is None:
-            raise MirrorMissing(f"no table at {self.path}")
-        df = self.spark.read.parquet(where)
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, prefix: str) -> list[str]:
+        if not self._fs.exists(self._at("")):
+            return []
+        return sorted(n for s in self._fs.listStatus(self._at("")) if (n := s.getPath().getName()).startswith(prefix))
+
+    def _create(self, name: str, text: str) -> None:
+        """A new small file; raises Conflict if it exists."""
+        try:
+            out = self._fs.create(self._at(name), False)
+        except Exception as e:
+            raise Conflict(name) from e
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _text(self, name: str) -> str:
+        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+
+    def manifest(self) -> tuple[int, dict[str, str]]:
+        """(number, folder of each table); (0, {}) before the first commit."""
+        names = self._names("manifest-")
+        return (int(names[-1].split("-")[1]), json.loads(self._text(names[-1]))) if names else (0, {})
+
+    def exists(self, name: str) -> bool:
+        return name in self.manifest()[1]
+
+    def read(self, name: str, schema: StructType | str | None = None) -> DataFrame:
+        """The table as last committed; raises MirrorMissing without one, ValueError if columns are missing."""
+        folders = self.manifest()[1]
+        if name not in folders:
+            raise MirrorMissing(f"no table {name} at {self.path}")
+        df = self.spark.read.parquet(f"{self.path}/{folders[name]}")
         if schema is not None:
             wanted = schema if isinstance(schema, StructType) else self.spark.createDataFrame([], schema).schema
             if lacking := [f.name for f in wanted if f.name not in df.columns]:
-                raise ValueError(f"columns missing at {self.path}: {', '.join(lacking)}")
+                raise ValueError(f"columns missing in {name}: {', '.join(lacking)}")
         return df
 
-    def write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        """A new snapshot; the pointer's creation is the commit."""
-        before = self.current()
-        turn = 0 if before is None else int(before.rsplit("-", 2)[-2]) + 1
-        name = f"snapshot-{turn:08d}-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
-        self._fs.create(self._at(f"_at_{turn:08d}.{name}"), False).close()
-
-    def exists(self) -> bool:
-        return self.current() is not None
+    def commit(self, changes: Mapping[str, DataFrame], partition_by: Mapping[str, Sequence[str]] | None = None) -> int:
+        """Write the changed tables, then make them current all at once; returns the commit's number."""
+        turn, folders = self.manifest()
+        written = {}
+        for name, df in changes.items():
+            written[name] = f"data/{name}-{turn + 1:08d}-{uuid.uuid4().hex}"
+            df.write.partitionBy(*(partition_by or {}).get(name, ())).parquet(f"{self.path}/{written[name]}")
+        self._create(f"manifest-{turn + 1:08d}", json.dumps(folders | written))
+        return turn + 1
+
+    def vacuum(self) -> int:
+        """Delete data folders that the current manifest doesn't name; returns how many."""
+        current = {f.split("/")[1] for f in self.manifest()[1].values()}
+        gone = 0
+        for status in self._fs.listStatus(self._at("data")):
+            if status.getPath().getName() not in current:
+                gone += bool(self._fs.delete(status.getPath(), True))
+        return gone
+
+    def acquire(self, owner: str, now: float, seconds: float) -> bool:
+        """Take or renew the writer's lease; False while another owner's holds."""
+        names = self._names("lease-")
+        if names:
+            held = json.loads(self._text(names[-1]))
+            if held["owner"] != owner and held["until"] > now:
+                return False
+        turn = int(names[-1].split("-")[1]) + 1 if names else 1
+        try:
+            self._create(f"lease-{turn:08d}", json.dumps({"owner": owner, "until": now + seconds}))
+        except Conflict:
+            return False
+        return True
+
+    def release(self, owner: str) -> None:
+        names = self._names("lease-")
+        if names and json.loads(self._text(names[-1]))["owner"] == owner:
+            turn = int(names[-1].split("-")[1]) + 1
+            self._create(f"lease-{turn:08d}", json.dumps({"owner": owner, "until": 0}))
 
 
 def append_changed(log: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -72,7 +131,8 @@ def insert_missing(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
 
 def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Table with new rows in place of those with their key."""
-    return table.join(new.select(*keys), list(keys), "left_anti").unionByName(new.select(*table.columns))
+    kept = table.join(new.select(*keys), list(keys), "left_anti").select(*table.columns)
+    return kept.unionByName(new.select(*table.columns))
 
 
 def replace_group(table: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paceforge.sources.sinks import Table, append_changed
+from paceforge.sources.sinks import Store, append_changed
 
 
 def daily_values(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -25,17 +25,19 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> Da
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def promote(payloads: DataFrame, log: Table, checkpoint: str, then: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Append a stream of payloads to the log where they differ from the latest; ``then`` gets what was new."""
+def promote(
+    payloads: DataFrame, store: Store, name: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None
+) -> StreamingQuery:
+    """Append a stream of payloads to a log where they differ from the latest; ``then`` gets what was new."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        if log.exists():
-            known = log.read()
+        if store.exists(name):
+            known = store.read(name)
             new = append_changed(known, rows, ["activity_id", "payload_kind"])
-            log.write(known.unionByName(new.select(*known.columns)))
+            store.commit({name: known.unionByName(new.select(*known.columns))})
         else:
             new = rows
-            log.write(rows)
+            store.commit({name: rows})
         if then is not None:
             then(new)
 
