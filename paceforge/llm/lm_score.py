@@ -2,8 +2,9 @@
 
 The vocabulary is that of a public sentencepiece model; its pieces are never
 changed.  The file's own scores are merge ranks, not probabilities, so each
-piece's score is its share among the pieces of all training words, cut as the
-model cuts them.  A word's probability is the sum over all ways to cut it into
+piece's score is its share among the pieces of all training words: cut as the
+model cuts them, and for the ``refined`` commonest words, over all their
+segmentations by a few rounds of expectation maximisation.  A word's probability is the sum over all ways to cut it into
 pieces (single bytes included), by forward recursion in log space; a text's is
 the product over its words and one end.
 
@@ -45,23 +46,44 @@ class Lattice:
         self.log_p, self.byte_log_p = log_p, byte_log_p
         self.longest = max(map(len, log_p), default=1)
 
-    def word(self, word: bytes) -> float:
-        text = _MARK + word.decode()
+    def _forward(self, text: str) -> tuple[list[float], list[list[tuple[int, str | None, float]]]]:
+        """Log sums up to each place, and the edges that end there; an edge without a piece is a character's bytes."""
         get, longest = self.log_p.get, self.longest
-        alpha = [0.0]
+        alpha, edges = [0.0], [[]]
         for j in range(1, len(text) + 1):
-            char = text[j - 1]
-            terms = [alpha[j - 1] + sum(self.byte_log_p[b] for b in char.encode())]
+            own = [(j - 1, None, sum([self.byte_log_p[b] for b in text[j - 1].encode()]))]
             for i in range(max(0, j - longest), j):
                 p = get(text[i:j])
                 if p is not None:
-                    terms.append(alpha[i] + p)
-            top = max(terms)
-            alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
-        return alpha[-1] / math.log(10)
+                    own.append((i, text[i:j], p))
+            alpha.append(_log_sum([alpha[i] + p for i, _, p in own]))
+            edges.append(own)
+        return alpha, edges
+
+    def word(self, word: bytes) -> float:
+        return self._forward(_MARK + word.decode())[0][-1] / math.log(10)
+
+    def expect(self, word: bytes, times: float, into: dict[str, float]) -> None:
+        """Add the expected number of each piece in ``times`` occurrences of a word."""
+        alpha, edges = self._forward(_MARK + word.decode())
+        ahead: list[list[float]] = [[] for _ in alpha]
+        ahead[-1].append(0.0)
+        for j in range(len(alpha) - 1, 0, -1):
+            if not ahead[j]:
+                continue
+            rest = _log_sum(ahead[j])
+            for i, piece, p in edges[j]:
+                ahead[i].append(rest + p)
+                if piece is not None:
+                    into[piece] = into.get(piece, 0.0) + times * math.exp(alpha[i] + p + rest - alpha[-1])
+
+
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum([math.exp(t - top) for t in terms]))
 
 
-def piece_scores(counts: dict[str, int], model: str, smoothing: float = 0.1) -> tuple[Lattice, float]:
+def piece_scores(counts: dict[str, float], model: str, smoothing: float = 0.1) -> tuple[Lattice, float]:
     """Lattice and log10 probability of the end, from counts of pieces and of the end."""
     import sentencepiece
 
@@ -74,6 +96,27 @@ def piece_scores(counts: dict[str, int], model: str, smoothing: float = 0.1) ->
     return Lattice(log_p, by_byte), math.log10((counts.get(_END, 0) + smoothing) / total)
 
 
+def refine(
+    counts: dict[str, float], common: list[tuple[bytes, int]], model: str, rounds: int = 3
+) -> tuple[Lattice, float]:
+    """piece_scores() of ``counts`` in which the common words' (word, times) own cuts give way to expected ones."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=resolve(model))
+    rest = dict(counts)
+    for (_, times), pieces in zip(common, sp.encode([w.decode() for w, _ in common], out_type=str, num_threads=1)):
+        for piece in pieces:
+            rest[piece] = rest.get(piece, 0) - times
+    lattice, end = piece_scores(counts, model)
+    for _ in range(rounds if common else 0):
+        expected: dict[str, float] = {}
+        for word, times in common:
+            lattice.expect(word, times, expected)
+        total = {k: max(rest.get(k, 0), 0) + expected.get(k, 0.0) for k in rest.keys() | expected.keys()}
+        lattice, end = piece_scores(total, model)
+    return lattice, end
+
+
 def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -141,10 +184,12 @@ def score_texts(
     text_col: str = "text",
     model: str = "piece_bpe_32k.model",
     table_size: int = 150_000,
+    refined: int = 20_000,
 ) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every text.
 
-    Learned from the rows whose crc32(id) mod 10 is not 0.
+    Learned from the rows whose crc32(id) mod 10 is not 0.  ``refined`` bounds the
+    words over whose segmentations the scores are fitted; all words are counted.
     """
     spark = df.sparkSession
     part = id_bucket(id_col, 10)
@@ -159,9 +204,6 @@ def score_texts(
     known = words.agg(F.sum("trained"), F.count_if(F.col("trained") > 0)).first()
     n, v = (known[0] or 0) + ends, known[1] + (ends > 0)
     floor = math.log10(n + 0.1 * (v + 1))
-    pieces = piece_counts(words, model) | {_END: ends}
-    lattice, end_score = piece_scores(pieces, model)
-
     # the least power of two that no more than table_size words reach
     power = F.floor(F.log2("used")).cast("int").alias("power")
     short = words.filter(F.octet_length("word") <= 64)
@@ -173,6 +215,8 @@ def score_texts(
         least = p
     frequent = (F.col("used") >= 2**least) & (F.octet_length("word") <= 64)
     head = words.filter(frequent).select("word", "trained").collect()
+    common = sorted(((bytes(r.word), r.trained) for r in head if r.trained), key=lambda x: (-x[1], x[0]))[:refined]
+    lattice, end_score = refine(piece_counts(words, model) | {_END: ends}, common, model)
     index = {bytes(r.word): k for k, r in enumerate(head)}
     shared = spark.sparkContext.broadcast(
         (

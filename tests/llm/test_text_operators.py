@@ -201,7 +201,10 @@ def test_lm_scores(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9)
         assert r.held_out == (r.doc_id is not None and corpus.bucket(r.doc_id, 10) == 0)
         assert math.isfinite(r.score) and r.score < 0
-    other = {r.doc_id: r.score for r in lm_score.score_texts(docs, table_size=100_000).collect()}
+    plain = lm_score.score_texts(docs, table_size=50, refined=0).collect()
+    assert sum(r.score for r in found) > sum(r.score for r in plain)
+    found = plain
+    other = {r.doc_id: r.score for r in lm_score.score_texts(docs, table_size=100_000, refined=0).collect()}
     assert all(r.score == pytest.approx(other[r.doc_id], rel=1e-9) for r in found)
     assert lm_score.score_texts(corpus.frame(spark, [])).count() == 0
 
@@ -216,5 +219,24 @@ def test_lattice_sums_all_segmentations():
         out = p.get(text[0], 0) * total(text[1:]) + 1e-4 ** len(text[0].encode()) * total(text[1:])
         return out + sum(p.get(text[:k], 0) * total(text[k:]) for k in range(2, len(text) + 1))
 
+    def pieces(text):
+        """(probability, pieces) of every segmentation."""
+        if not text:
+            yield 1.0, []
+            return
+        for q, rest in pieces(text[1:]):
+            yield 1e-4 ** len(text[0].encode()) * q, rest
+        for k in range(1, len(text) + 1):
+            if text[:k] in p:
+                for q, rest in pieces(text[k:]):
+                    yield p[text[:k]] * q, [text[:k], *rest]
+
     for word in ("a", "ab", "aab", "abba", "é", "bb"):
         assert lattice.word(word.encode()) == pytest.approx(math.log10(total("▁" + word)), rel=1e-9)
+        expected: Counter = Counter()
+        for q, own in pieces("▁" + word):
+            for piece in own:
+                expected[piece] += 3 * q / total("▁" + word)
+        found: dict = {}
+        lattice.expect(word.encode(), 3, found)
+        assert {k: v for k, v in found.items() if v > 1e-12} == pytest.approx({k: v for k, v in expected.items() if v > 1e-12})
