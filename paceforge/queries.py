@@ -110,11 +110,11 @@ def append_changed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "upsert_activity_summary",
-    f"""WITH {o.ACTS} SELECT id, CASE WHEN id % 3 = 0 THEN distance_m + 1 ELSE distance_m END AS distance_m, kudos_count FROM acts""",
+    f"""WITH {o.ACTS} SELECT id, sport_type, CASE WHEN sport_type = 'Hike' THEN distance_m + 1 ELSE distance_m END AS distance_m FROM acts""",
 )
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
-    table = ln.activities_o(spark, sf).select("id", "distance_m", "kudos_count")
-    new = table.filter("id % 3 = 0").withColumn("distance_m", F.col("distance_m") + 1)
+    table = ln.activities_o(spark, sf).select("id", "sport_type", "distance_m")
+    new = table.filter("sport_type = 'Hike'").withColumn("distance_m", F.col("distance_m") + 1)
     return sinks.upsert(table, new, ["id"])
 
 
@@ -124,7 +124,7 @@ def upsert(spark: SparkSession, sf: str) -> DataFrame:
 )
 def insert_missing(spark: SparkSession, sf: str) -> DataFrame:
     table = ln.activities_o(spark, sf).select("id", "sport_type")
-    return sinks.insert_missing(table.filter("id % 2 = 0"), table, ["id"])
+    return sinks.insert_missing(table.filter("sport_type <> 'Ride'"), table, ["id"])
 
 
 @query(
@@ -152,11 +152,12 @@ def has_streams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "join_double_anti_bootstrap",
-    f"WITH {o.ACTS} SELECT id FROM acts WHERE id % 3 <> 0 AND id % 5 <> 0",
+    f"WITH {o.ACTS} SELECT id FROM acts WHERE sport_type NOT IN ('Hike', 'Walk')",
 )
 def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    ids = ln.activities_o(spark, sf).select("id")
-    return rel.bootstrap(ln.payload_log_o(spark, sf).select(F.col("activity_id").alias("id")), ids.filter("id % 3 = 0"), ids.filter("id % 5 = 0"))
+    acts = ln.activities_o(spark, sf)
+    ids = lambda sport: acts.filter(F.col("sport_type") == sport).select("id")
+    return rel.bootstrap(ln.payload_log_o(spark, sf).select(F.col("activity_id").alias("id")), ids("Hike"), ids("Walk"))
 
 
 @query("asof_max_hr_to_day", f"WITH {o.ACTS}, {o.SAMPLES}, {o.ASOF} SELECT * FROM asof_max")
@@ -168,14 +169,14 @@ def asof_max(spark: SparkSession, sf: str) -> DataFrame:
     "missing_channel_candidates",
     f"""WITH {o.ACTS}, ch AS (SELECT unnest(['time', 'heartrate', 'altitude']) AS c)
     SELECT id, string_agg(c, ',' ORDER BY c) AS missing FROM acts, ch
-    WHERE NOT (c = 'time' AND id % 2 = 0) AND NOT (c = 'heartrate' AND id % 3 = 0) GROUP BY id""",
+    WHERE NOT (c = 'time' AND sport_type = 'Run') AND NOT (c = 'heartrate' AND sport_type = 'Hike') GROUP BY id""",
 )
 def missing_channels(spark: SparkSession, sf: str) -> DataFrame:
     acts = ln.activities_o(spark, sf)
-    row = lambda key, status, test: acts.filter(test).select(
+    row = lambda key, status, sport: acts.filter(F.col("sport_type") == sport).select(
         F.col("id").alias("activity_id"), F.lit(key).alias("channel_key"), F.lit(status).alias("status")
     )
-    channels = row("time", "available", "id % 2 = 0").unionByName(row("heartrate", "unavailable", "id % 3 = 0")).unionByName(row("altitude", "failed", "id % 5 = 0"))
+    channels = row("time", "available", "Run").unionByName(row("heartrate", "unavailable", "Hike")).unionByName(row("altitude", "failed", "Walk"))
     return _flat(rel.missing_channels(acts, channels, ("time", "heartrate", "altitude")))
 
 
@@ -766,14 +767,14 @@ def status_zone(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "status_stale_facts",
-    f"""WITH {o.ACTS}, r AS (SELECT max(activity_day) AS last_at FROM acts WHERE activity_day <= DATE '{AS_OF}'), d AS (SELECT count(*) AS n FROM acts WHERE id % 1000 = 0)
+    f"""WITH {o.ACTS}, r AS (SELECT max(activity_day) AS last_at FROM acts WHERE activity_day <= DATE '{AS_OF}'), d AS (SELECT count(*) AS n FROM acts WHERE distance_m > 450000)
     SELECT 'stale_read_model_facts' AS code, CASE WHEN last_at IS NULL THEN 'unavailable' WHEN DATE '{AS_OF}' - last_at > 1 OR n > 0 THEN 'active' ELSE 'inactive' END AS status,
       CAST(last_at AS VARCHAR) AS evidence, CAST(greatest(DATE '{AS_OF}' - last_at, 0) AS DOUBLE) AS amount FROM r, d""",
 )
 def status_stale(spark: SparkSession, sf: str) -> DataFrame:
     acts = ln.activities_o(spark, sf)
     times = acts.filter(F.col("activity_day") <= F.lit(AS_OF)).select(F.col("activity_day").alias("at"))
-    return stat.stale("stale_read_model_facts", times, AS_OF, acts.filter("id % 1000 = 0"))
+    return stat.stale("stale_read_model_facts", times, AS_OF, acts.filter("distance_m > 450000"))
 
 
 @query(
@@ -801,25 +802,25 @@ def freshness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "dirty_whole_day_batch",
-    f"""WITH {o.ACTS}, d AS (SELECT activity_day, count(*) AS n FROM acts WHERE id % 2 = 0 GROUP BY 1), c AS (SELECT activity_day, sum(n) OVER (ORDER BY activity_day) - n AS before FROM d)
-    SELECT id AS activity_id, activity_day FROM acts JOIN c USING (activity_day) WHERE id % 2 = 0 AND before < 500""",
+    f"""WITH {o.ACTS}, d AS (SELECT activity_day, count(*) AS n FROM acts WHERE sport_type <> 'Ride' GROUP BY 1), c AS (SELECT activity_day, sum(n) OVER (ORDER BY activity_day) - n AS before FROM d)
+    SELECT id AS activity_id, activity_day FROM acts JOIN c USING (activity_day) WHERE sport_type <> 'Ride' AND before < 500""",
 )
 def dirty_batch(spark: SparkSession, sf: str) -> DataFrame:
     acts = ln.activities_o(spark, sf)
-    queue = acts.filter("id % 2 = 0").select(F.col("id").alias("activity_id"))
+    queue = acts.filter("sport_type <> 'Ride'").select(F.col("id").alias("activity_id"))
     return inc.claim(queue, acts, 500).select("activity_id", "activity_day")
 
 
 @query(
     "incremental_changes",
-    f"WITH {o.ACTS} SELECT id AS activity_id, CASE WHEN id % 4 = 0 THEN 1 ELSE 8 END AS source_revision FROM acts WHERE id % 4 = 0 OR id % 4 = 1",
+    f"WITH {o.ACTS} SELECT id AS activity_id, CASE WHEN sport_type = 'Run' THEN 1 ELSE 8 END AS source_revision FROM acts WHERE sport_type IN ('Run', 'Hike')",
 )
 def incremental_changes(spark: SparkSession, sf: str) -> DataFrame:
     acts = ln.activities_o(spark, sf)
-    hashes = acts.select(F.col("id").alias("activity_id"), F.sha2(F.col("id").cast("string"), 256).alias("source_hash"))
-    state = hashes.filter("activity_id % 4 <> 0").select(
-        "activity_id", F.when(F.col("activity_id") % 4 == 1, "old").otherwise(F.col("source_hash")).alias("source_hash"), F.lit(7).alias("source_revision")
-    )
+    rows = acts.select(F.col("id").alias("activity_id"), "sport_type", F.sha2(F.col("id").cast("string"), 256).alias("source_hash"))
+    known = F.when(F.col("sport_type") == "Hike", "old").otherwise(F.col("source_hash"))
+    state = rows.filter("sport_type <> 'Run'").select("activity_id", known.alias("source_hash"), F.lit(7).alias("source_revision"))
+    hashes = rows.select("activity_id", "source_hash")
     return inc.changed(hashes, state).select("activity_id", "source_revision")
 
 
