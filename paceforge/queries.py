@@ -5,24 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceforge import oracle as o
 from paceforge.constants import RESTING_HR, ROLLING_WINDOWS
 from paceforge.functions import scalars as sc
+from paceforge.functions.schema_drift import drift_report
 from paceforge.operators import relational as rel
 from paceforge.operators import sequence as seq
 from paceforge.operators import streams as st
 from paceforge.operators.drift import cardiac_drift
 from paceforge.plans import aggregate as ag
+from paceforge.plans import bundles as bd
 from paceforge.plans import facts as fx
 from paceforge.plans import incremental as inc
 from paceforge.plans import services as sv
+from paceforge.plans import runtime as rt
 from paceforge.plans import status as stat
 from paceforge.plans.registry import REGISTRY
 from paceforge.sources import lenses as ln
-from paceforge.sources import sinks
+from paceforge.sources import sinks, streams_json
 from paceforge.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -888,3 +891,193 @@ def metric_catalog(spark: SparkSession, sf: str) -> DataFrame:
     from paceforge.plans.registry import catalog
 
     return catalog(spark).select("metric_id", "mode", "source")
+
+
+# payloads of streams
+
+
+def _stream_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense streams as columnar JSON payloads, one for each activity."""
+    rows = ln.samples_e(spark, sf)
+    ordered = F.array_sort(F.collect_list(F.struct("time_offset", "heartrate", "velocity", "altitude")))
+    channel = lambda c: F.struct(F.transform("s", lambda x: x[c].cast("string")).alias("data"), F.size("s").cast("long").alias("original_size"), F.lit("high").alias("resolution"), F.lit("time").alias("series_type"))
+    wide = rows.groupBy("activity_id").agg(ordered.alias("s"))
+    named = {"time": "time_offset", "heartrate": "heartrate", "velocity_smooth": "velocity", "altitude": "altitude"}
+    return wide.select("activity_id", F.to_json(F.struct(*[channel(c).alias(k) for k, c in named.items()])).alias("payload_json"))
+
+
+@query("stream_payload_unnest", f"WITH {o.SAMPLES_E} SELECT activity_id, time_offset, heartrate, velocity, altitude FROM samp_e")
+def payload_unnest(spark: SparkSession, sf: str) -> DataFrame:
+    return streams_json.samples(_stream_payloads(spark, sf)).select("activity_id", "time_offset", "heartrate", "velocity", "altitude")
+
+
+@query(
+    "channel_metadata",
+    f"""WITH {o.SAMPLES_E} SELECT activity_id, c AS channel_key, CASE WHEN c <> 'watts' THEN count(*) END AS original_size, CASE WHEN c = 'watts' THEN 'unavailable' ELSE 'available' END AS status
+    FROM samp_e, (SELECT unnest(['time', 'heartrate', 'velocity_smooth', 'altitude', 'watts']) AS c) GROUP BY activity_id, c""",
+)
+def channel_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    out = streams_json.channel_metadata(_stream_payloads(spark, sf), ("time", "heartrate", "watts"))
+    return out.select("activity_id", "channel_key", "original_size", "status")
+
+
+@query(
+    "schema_drift_report",
+    f"""WITH {o.PAYLOADS} SELECT 'unknown' AS kind, 'average_heartrate' AS key, count(*) AS rows FROM log WHERE payload_kind = 'summary'
+    UNION ALL SELECT 'activated', 'kudos_count', count(*) FROM log WHERE json_extract_string(payload_json, '$.kudos_count') IS NOT NULL""",
+)
+def schema_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return drift_report(ln.payload_log_o(spark, sf), ["id", "kudos_count", "start_date_local", "calories", "gear"], ["kudos_count"])
+
+
+# more services and rules
+
+
+@query(
+    "historical_context",
+    f"""WITH {o.FOR_DAILY}, n AS (SELECT day, activity_count, row_number() OVER (ORDER BY day) AS rn FROM daily_load),
+    s AS (SELECT day, activity_count, rn, coalesce(max(CASE WHEN activity_count = 0 THEN rn END) OVER w, 0) AS rest, coalesce(max(CASE WHEN activity_count > 0 THEN rn END) OVER w, 0) AS act FROM n WINDOW w AS (ORDER BY day)),
+    h AS (SELECT day, max(activity_day) AS hike FROM spine LEFT JOIN (SELECT DISTINCT activity_day FROM acts WHERE sport_type = 'Hike') ON activity_day <= day GROUP BY day)
+    SELECT day, activity_count, CASE WHEN activity_count > 0 THEN rn - rest ELSE 0 END AS activity_streak_days, CASE WHEN activity_count > 0 THEN 0 ELSE rn - act END AS rest_streak_days,
+      date_diff('day', hike, day) AS last_hike_days_ago FROM s JOIN h USING (day)""",
+)
+def historical_context(spark: SparkSession, sf: str) -> DataFrame:
+    out = sv.historical_context(_daily(spark, sf), _facts(spark, sf))
+    return out.select("day", "activity_count", "activity_streak_days", "rest_streak_days", "last_hike_days_ago")
+
+
+def _all_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    facts = _agg_facts(spark, sf)
+    daily = _daily(spark, sf)
+    return {
+        "activity": facts,
+        "social": facts,
+        "daily": daily,
+        "model": _with_quality(fx.model_facts(daily)),
+        "rolling": _with_quality(fx.rolling_facts(daily)),
+        "historical": sv.historical_context(daily, facts),
+    }
+
+
+_WEEK = """SELECT 'distance_km' AS metric_id, sum(distance_m / 1000.0) AS v FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
+  UNION ALL SELECT 'moving_time_min', sum(moving_time_s / 60.0) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
+  UNION ALL SELECT 'elevation_m', sum(elevation_gain_m) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
+  UNION ALL SELECT 'trimp', sum(trimp) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
+  UNION ALL SELECT 'calories', sum(calories_kcal) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
+  UNION ALL SELECT 'kudos_count', sum(kudos_count) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
+  UNION ALL SELECT 'weekly_trimp', sum(effective_trimp) FROM daily WHERE day >= {0} AND day < {0} + 7
+  UNION ALL SELECT 'avg_trimp_per_day', sum(effective_trimp) / 7 FROM daily WHERE day >= {0} AND day < {0} + 7
+  UNION ALL SELECT 'active_days', sum(CASE WHEN activity_count > 0 THEN 1 ELSE 0 END) FROM daily WHERE day >= {0} AND day < {0} + 7
+  UNION ALL SELECT 'rest_days', sum(CASE WHEN activity_count = 0 THEN 1 ELSE 0 END) FROM daily WHERE day >= {0} AND day < {0} + 7
+  UNION ALL SELECT 'fitness', arg_max(fitness, day) FROM model_facts WHERE day >= {0} AND day < {0} + 7
+  UNION ALL SELECT 'form', arg_max(form, day) FROM model_facts WHERE day >= {0} AND day < {0} + 7
+  UNION ALL SELECT 'acwr', arg_max(acwr, day) FROM model_facts WHERE day >= {0} AND day < {0} + 7"""
+
+
+@query(
+    "bundle_weekly_digest",
+    f"""WITH RECURSIVE {o.FOR_BOTH}, {o.MODEL}, a AS ({_WEEK.format("DATE '2000-03-13'")}), b AS ({_WEEK.format("DATE '2000-03-06'")})
+    SELECT metric_id, round(a.v, 6) AS value, round(b.v, 6) AS previous FROM a FULL JOIN b USING (metric_id)""",
+)
+def weekly_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(bd.weekly_digest(_all_sources(spark, sf), AS_OF).drop("delta"))
+
+
+@query(
+    "bundle_daily_brief",
+    f"""WITH RECURSIVE {o.FOR_BOTH}, {o.MODEL}, f AS (SELECT * FROM facts WHERE activity_day = DATE '{AS_OF}'), m AS (SELECT * FROM model_facts WHERE day = DATE '{AS_OF}')
+    SELECT 'distance_km' AS metric_id, round(sum(distance_m / 1000.0), 6) AS value, count(*) AS row_count FROM f
+    UNION ALL SELECT 'moving_time_min', round(sum(moving_time_s / 60.0), 6), count(*) FROM f UNION ALL SELECT 'elevation_m', sum(elevation_gain_m), count(*) FROM f
+    UNION ALL SELECT 'trimp', round(sum(trimp), 6), count(*) FROM f UNION ALL SELECT 'kudos_count', sum(kudos_count), count(*) FROM f
+    UNION ALL SELECT 'fitness', fitness, 1 FROM m UNION ALL SELECT 'fatigue', fatigue, 1 FROM m UNION ALL SELECT 'form', round(form, 6), 1 FROM m UNION ALL SELECT 'acwr', acwr, 1 FROM m""",
+)
+def daily_brief(spark: SparkSession, sf: str) -> DataFrame:
+    out = bd.daily_brief(_all_sources(spark, sf), AS_OF).filter(~F.col("metric_id").contains("streak") & (F.col("metric_id") != "last_hike_days_ago"))
+    return _rounded(out.select("metric_id", "value", "row_count"))
+
+
+@query(
+    "bundle_sections",
+    f"""WITH {o.ACTS} SELECT * FROM (VALUES ('history', 'unavailable'), ('load', 'unavailable'), ('workouts', 'partial')) t(section, status)""",
+)
+def bundle_sections(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ag.aggregate({"activity": _facts(spark, sf)}, _request("distance_km", "moving_time_min", "elevation_m", "trimp"))
+    return bd.sections(rows, "historical_facts").select("section", "status")
+
+
+@query(
+    "status_missing_streams",
+    f"""WITH {o.FOR_FACTS}, r AS (SELECT * FROM facts WHERE activity_day BETWEEN DATE '{AS_OF}' - 13 AND DATE '{AS_OF}')
+    SELECT 'missing_streams' AS code, CASE WHEN count(*) = 0 THEN 'unavailable' WHEN count(*) FILTER (stream_sample_count <= 0) > 0 THEN 'active' ELSE 'inactive' END AS status,
+    CAST(min(activity_id) FILTER (stream_sample_count <= 0) AS VARCHAR) AS evidence, CAST(count(*) FILTER (stream_sample_count <= 0) AS DOUBLE) AS amount FROM r""",
+)
+def status_missing_streams(spark: SparkSession, sf: str) -> DataFrame:
+    return stat.missing_samples(_facts(spark, sf), AS_OF, "missing_streams")
+
+
+@query(
+    "status_hr_anomaly",
+    f"""WITH {o.FOR_FACTS} SELECT 'hr_anomaly_burst' AS code, CASE WHEN count(*) = 0 THEN 'unavailable' ELSE 'inactive' END AS status, CAST(NULL AS VARCHAR) AS evidence, CAST(NULL AS DOUBLE) AS amount
+    FROM facts WHERE activity_day BETWEEN DATE '{AS_OF}' - 6 AND DATE '{AS_OF}'""",
+)
+def status_anomaly(spark: SparkSession, sf: str) -> DataFrame:
+    return stat.anomaly_burst(_facts(spark, sf), AS_OF)
+
+
+@query("status_significant_drift")
+def status_drift(spark: SparkSession, sf: str) -> DataFrame:
+    samples = ln.samples_e(spark, sf)
+    days = samples.select("activity_id", "activity_day").distinct()
+    facts = cardiac_drift(samples).join(days, "activity_id").withColumn("metric_version", F.lit(1).cast("long"))
+    return stat.significant_drift(facts, date(2024, 1, 30))
+
+
+@query(
+    "missing_kudos",
+    f"WITH {o.ACTS} SELECT id, kudos_count FROM acts WHERE kudos_count > 0 AND activity_day >= DATE '{START}' AND sport_type <> 'Run'",
+)
+def missing_kudos(spark: SparkSession, sf: str) -> DataFrame:
+    acts = ln.activities_o(spark, sf)
+    kudos = acts.filter("sport_type = 'Run'").select(F.col("id").alias("activity_id"))
+    return rel.missing_kudos(acts, kudos, START).select("id", "kudos_count")
+
+
+@query(
+    "newest_version_per_activity",
+    f"WITH {o.ACTS} SELECT id AS activity_id, CAST(CASE WHEN sport_type = 'Run' THEN 2 ELSE 1 END AS BIGINT) AS metric_version FROM acts",
+)
+def newest_version(spark: SparkSession, sf: str) -> DataFrame:
+    acts = ln.activities_o(spark, sf).select(F.col("id").alias("activity_id"), "sport_type")
+    rows = acts.withColumn("metric_version", F.lit(1).cast("long")).unionByName(acts.filter("sport_type = 'Run'").withColumn("metric_version", F.lit(2).cast("long")))
+    return rel.latest(rows, ["activity_id"], F.desc("metric_version")).drop("sport_type")
+
+
+@query(
+    "refresh_requests",
+    "SELECT event_type AS reason, CAST(ts AS DATE) AS day, min(ts) AS requested_at FROM events GROUP BY 1, 2",
+)
+def refresh_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return rt.requests(ln.read_table(spark, sf, "events").select(F.col("event_type").alias("reason"), F.col("ts").alias("requested_at")))
+
+
+@query(
+    "unknown_sports",
+    """SELECT o_orderpriority AS sport_type, count(*) AS count FROM orders GROUP BY 1""",
+)
+def unknown_sports(spark: SparkSession, sf: str) -> DataFrame:
+    return rel.unknown_sports(ln.read_table(spark, sf, "orders").select(F.col("o_orderpriority").alias("sport_type")))
+
+
+@query(
+    "values_merge_right_wins",
+    """SELECT l_orderkey AS activity_id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS updated FROM lineitem GROUP BY 1""",
+)
+def values_merge(spark: SparkSession, sf: str) -> DataFrame:
+    samples = ln.samples_o(spark, sf).select("activity_id", "time_offset", F.lit('{"flag":"old","kept":"1"}').alias("values_json"))
+    flags = ln.read_table(spark, sf, "lineitem")
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
+    update = flags.select(F.col("l_orderkey").alias("activity_id"), place.cast("long").alias("time_offset"), "l_returnflag").filter("l_returnflag = 'R'")
+    merged = streams_json.merged_values(samples, update.withColumn("values_json", F.lit('{"flag":"new"}')).drop("l_returnflag"))
+    kept = F.get_json_object("values_json", "$.kept") == "1"
+    return merged.groupBy("activity_id").agg(F.count_if(kept).alias("n"), F.count_if(F.get_json_object("values_json", "$.flag") == "new").alias("updated"))
