@@ -16,10 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import cut_lineage
-
-#: Ids of this many items at most are broadcast (8 bytes each, and the hash table's share).
-BROADCAST_IDS = 500_000
+from paceforge.llm.common import broadcast_if_small, cut_lineage
 
 
 class Group:
@@ -119,8 +116,7 @@ def compare_in_buckets(
             "in_buckets",
         )
     )
-    if members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        payload = payload.join(F.broadcast(members.select("id")), "id", "left_semi")
+    payload = payload.join(broadcast_if_small(members.select("id")), "id", "left_semi")
     placed = (
         members.join(payload, "id")
         .select("*", F.explode("in_buckets").alias("b"))

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceforge.llm.buckets import BROADCAST_IDS, Forest, Group, compare_in_buckets, components
-from paceforge.llm.common import cut_lineage, slices, table, utf8
+from paceforge.llm.buckets import Forest, Group, compare_in_buckets, components
+from paceforge.llm.common import broadcast_if_small, cut_lineage, slices, table, utf8
 from paceforge.llm.shingles import linked, minima, mix, shingle_sets
 
 _LANES = np.uint64(0x1111111111111111)
@@ -188,19 +188,18 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The row with a group's smallest id stays; of several rows with that id, one.
     Rows with a null id stay.  Texts are shuffled only if the ids to drop are
-    more than ``BROADCAST_IDS``.
+    too many to broadcast.
     """
     found = cut_lineage(near_duplicates(df, id_col, text_col, **options).select(F.col(id_col).alias("id"), "kept"))
-    few = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     dropped = found.filter("NOT kept AND id IS NOT NULL").select("id").distinct()
     again = found.filter("kept AND id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id")
     names = [f"c{k}" for k in range(len(df.columns))]  # names of the table can't clash with ours
     own = names[df.columns.index(id_col)]
     out = df.toDF(*names)
     dropped = dropped.withColumnRenamed("id", "dropped_id")
-    out = out.join(few(dropped), F.col(own) == F.col("dropped_id"), "left_anti")
+    out = out.join(broadcast_if_small(dropped), F.col(own) == F.col("dropped_id"), "left_anti")
     if not again.isEmpty():
-        again = few(again.withColumnRenamed("id", "again_id"))
+        again = broadcast_if_small(again.withColumnRenamed("id", "again_id"))
         place = Window.partitionBy(own).orderBy(*[c for c in names if c != own])
         several = out.join(again, F.col(own) == F.col("again_id"), "left_semi")
         several = several.withColumn("nth", F.row_number().over(place)).filter("nth = 1").drop("nth")
