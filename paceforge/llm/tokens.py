@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.llm.bpe import LATIN, OTHER, PieceEncoder
-from paceforge.llm.common import slices, table
+from paceforge.llm.common import cut_lineage, slices, table
 
 #: The vocabulary's published pre-token pattern, with its classes narrowed to what OTHER lets through.
 _PRE_TOKEN = re.compile(
@@ -100,15 +100,17 @@ def frequent_units(
             {"unit": pa.array([u for u, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())}
         )
 
-    rows = (
-        df.select(text_col)
-        .mapInArrow(heads, "unit string, n long")
-        .groupBy("unit")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "unit")
-        .limit(table_size)
-    )
-    return [r.unit for r in rows.collect()]
+    found = df.select(text_col).mapInArrow(heads, "unit string, n long")
+    rows = cut_lineage(found.groupBy("unit").agg(F.sum("n").alias("n")))
+    # the least power of two that no more than table_size units reach: nothing is ordered
+    power = F.floor(F.log2("n")).cast("int").alias("power")
+    reach, least = 0, 62
+    for p, c in sorted(rows.groupBy(power).agg(F.count(F.lit(1))).collect(), reverse=True):
+        reach += c
+        if reach > table_size:
+            break
+        least = p
+    return [r.unit for r in rows.filter(F.col("n") >= 2**least).select("unit").collect()]
 
 
 def count_tokens(
