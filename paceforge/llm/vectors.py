@@ -111,8 +111,9 @@ def vector_duplicates(
                     pa.array(d2, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(unit_bytes, pa.binary()),
+                    labels,
                 ],
-                names=["id", "d1", "d2", "keys", "unit"],
+                names=["id", "d1", "d2", "keys", "unit", "label"],
             )
 
     def compare(group: Group) -> pa.RecordBatch | None:
@@ -152,18 +153,17 @@ def vector_duplicates(
 
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("long").alias("label"))
     base = cut_lineage(
-        rows.mapInArrow(sketch, "id long, d1 long, d2 long, keys array<long>, unit binary")
+        rows.mapInArrow(sketch, "id long, d1 long, d2 long, keys array<long>, unit binary, label long")
     )
     sound = base.filter("id IS NOT NULL AND d1 IS NOT NULL")
     classes = cut_lineage(sound.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     first = sound.join(classes, ["d1", "d2"]).filter("id = rep")
     heads = cut_lineage(
-        first.groupBy("id").agg(F.max(F.struct("d1", "keys", "copies", "unit")).alias("x"))
-        .select("id", F.octet_length("x.unit").cast("long").alias("bytes"), "x.keys", "x.copies", "x.unit")
+        first.groupBy("id").agg(F.max(F.struct("d1", "keys", "copies", "unit", "label")).alias("x"))
+        .select("id", F.octet_length("x.unit").cast("long").alias("bytes"), "x.keys", "x.copies", "x.unit", "x.label")
     )
-    payload = rows.filter("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.min("label").alias("label"))
     found = cut_lineage(
-        compare_in_buckets(heads, payload, compare, "a long, b long, links long", block_rows, 64 << 20)
+        compare_in_buckets(heads, heads.select("id"), compare, "a long, b long, links long", block_rows, 64 << 20)
     )
     per_class = found.filter("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     own = sound.join(classes, ["d1", "d2"]).select("id", "rep")
