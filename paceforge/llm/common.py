@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +24,23 @@ def id_bucket(col: str, buckets: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % buckets
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of ``rows`` rows, so that Python holds few texts at a time; none is empty."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows and about ``most`` bytes of text, or one row; none is empty.
+
+    Python then holds few texts at a time, however long they are.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            end = max(at + 1, min(at + rows, fits))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -46,17 +46,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def windows_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of many texts in one byte array, padded, and the text that each belongs to."""
+def layout(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of texts that lie one after the other: the text, the first byte, the bytes left from there."""
     counts = -(-sizes // width)
     owner = np.repeat(np.arange(len(sizes)), counts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts[owner] + nth * width
-    left = sizes[owner] - nth * width
-    padded = np.concatenate([data.astype(np.int16), np.full(width, PAD, np.int16)])
-    out = padded[at[:, None] + np.arange(width)]
-    out[np.arange(width) >= left[:, None]] = PAD
-    return out, owner
+    first = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * width
+    return owner, (np.cumsum(sizes) - sizes)[owner] + first, sizes[owner] - first
+
+
+def windows_at(data: np.ndarray, at: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
+    """(len(at), width) codes of windows, padded."""
+    place = np.arange(width)
+    out = data[np.minimum(at[:, None] + place, max(len(data) - 1, 0))].astype(np.int16)
+    out[place >= left[:, None]] = PAD
+    return out
 
 
 def states(net_inputs: np.ndarray, recurrent: np.ndarray, bias: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -105,11 +108,11 @@ def position_probabilities(net: Network, codes: np.ndarray) -> np.ndarray:
 def predict(net: Network, texts: list[bytes], batch: int = 1024) -> np.ndarray:
     """(len(texts), C): the mean distribution over each text's positions; zeros for an empty text."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(sizes) - sizes
-    codes, owner = windows_of(np.frombuffer(b"".join(texts), np.uint8), starts, sizes, net.window)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    owner, at, left = layout(sizes, net.window)
     sums = np.zeros((len(texts), len(net.languages)))
-    for a in range(0, len(codes), batch):
-        part = codes[a : a + batch]
+    for a in range(0, len(owner), batch):
+        part = windows_at(data, at[a : a + batch], left[a : a + batch], net.window)
         p = position_probabilities(net, part)
         p *= (part.T != PAD)[:, :, None]
         per_window = p.sum(axis=0)
@@ -213,7 +216,8 @@ def fit(
         return None
     data = [p for _, p in pieces]
     sizes = np.array([len(p) for p in data], np.int64)
-    codes, owner = windows_of(np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes, sizes, window)
+    owner, at, left = layout(sizes, window)
+    codes = windows_at(np.frombuffer(b"".join(data), np.uint8), at, left, window)
     label = np.array([languages.index(k) for k, _ in pieces])[owner]
     rng = np.random.default_rng(seed)
     trainer = _Trainer(len(languages), hidden, seed)

@@ -240,3 +240,14 @@ def test_lattice_sums_all_segmentations():
         found: dict = {}
         lattice.expect(word.encode(), 3, found)
         assert {k: v for k, v in found.items() if v > 1e-12} == pytest.approx({k: v for k, v in expected.items() if v > 1e-12})
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from paceforge.llm.common import slices
+
+    texts = ["a" * n for n in (5, 5, 50, 1, 1, 1, 1, 1)] + [None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "text": texts})
+    parts = [p.column(0).to_pylist() for p in slices([batch.slice(0, 0), batch, batch.slice(3)], rows=4, most=10)]
+    assert parts == [[0, 1], [2], [3, 4, 5, 6], [7, 8], [3, 4, 5, 6], [7, 8]]
