@@ -101,7 +101,8 @@ def vertical_speed(samples: DataFrame) -> DataFrame:
 def pauses(samples: DataFrame) -> DataFrame:
     """Standing pauses of activities with enough heart-rate samples, one row each.
 
-    Of rows with one offset the last wins.  A pause is a run of slow samples
+    A table has no last row, so of rows with one offset that of the largest
+    velocity and heart rate counts.  A pause is a run of slow samples
     without a gap of more than three seconds, at least thirty seconds long.
     """
     rows = samples.filter("heartrate IS NOT NULL")
