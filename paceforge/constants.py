@@ -80,6 +80,15 @@ SPORTS = (
     ("Pilates", "Pilates", "gym", False, False, False, ()),
     ("Soccer", "Football (Soccer)", "other", True, False, True, (7, 28)),
     ("Tennis", "Tennis", "other", True, False, True, (7, 28)),
+    ("Badminton", "Badminton", "other", False, False, False, ()),
+    ("Golf", "Golf", "other", False, False, False, ()),
+    ("InlineSkate", "Inline Skate", "other", False, False, False, ()),
+    ("Pickleball", "Pickleball", "other", False, False, False, ()),
+    ("Racquetball", "Racquetball", "other", False, False, False, ()),
+    ("RockClimbing", "Rock Climb", "other", False, False, False, ()),
+    ("Skateboard", "Skateboarding", "other", False, False, False, ()),
+    ("Squash", "Squash", "other", False, False, False, ()),
+    ("TableTennis", "Table Tennis", "other", False, False, False, ()),
 )
 RUNNING_SPORTS = tuple(s[0] for s in SPORTS if s[4])
 

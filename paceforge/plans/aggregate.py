@@ -144,6 +144,9 @@ def aggregate(sources: dict[str, DataFrame], request: AggregateRequest) -> DataF
 
 
 def _aggregated(facts: DataFrame, own: list[Metric], r: AggregateRequest, scope: str) -> DataFrame:
+    # a metric whose column the facts lack is unavailable
+    lacking = {c for m in own for c in (m.value, m.weight, m.sample) if c and c not in facts.columns}
+    facts = facts.withColumns({c: F.lit(None).cast("double") for c in lacking}) if lacking else facts
     rows = _in_range(facts, own[0], r)
     start, end = _bounds(rows, r)
     rows = rows.withColumn("bucket_start", bucket_start(F.col("source_day"), r.bucket, start))

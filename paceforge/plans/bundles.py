@@ -62,13 +62,13 @@ def daily_brief(sources: dict[str, DataFrame], day: date, metric_version: int =
 
 
 def weekly_digest(sources: dict[str, DataFrame], day: date, metric_version: int = 1) -> DataFrame:
-    """The Monday week of ``day`` beside the week before: metric_id, value, previous, delta."""
+    """The Monday week of ``day`` beside the week before: metric_id, sport_type, value, previous, delta."""
     monday = day - timedelta(days=day.weekday())
     week = lambda start: aggregate(
         sources, AggregateRequest(bundle="weekly_digest", bucket="all_time", start=start, end=start + timedelta(days=7), metric_version=metric_version)
-    ).select("metric_id", "value")
+    ).select("metric_id", F.coalesce("sport_type", F.lit("all")).alias("sport_type"), "value")
     before = week(monday - timedelta(days=7)).withColumnRenamed("value", "previous")
-    joined = week(monday).join(before, "metric_id", "full_outer")
+    joined = week(monday).join(before, ["metric_id", "sport_type"], "full_outer")
     return joined.withColumn("delta", F.bround(F.col("value") - F.col("previous"), 3))
 
 

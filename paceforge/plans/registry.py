@@ -91,31 +91,38 @@ _ALL = [
 ]
 REGISTRY: dict[str, Metric] = {m.metric_id: m for m in _ALL}
 
-_DAILY_BRIEF = (
-    "distance_km", "moving_time_min", "elevation_m", "trimp", "kudos_count", "sport_type", "fitness", "fatigue", "form",
-    "form_zone", "acwr", "acwr_zone", "activity_streak_days", "rest_streak_days", "last_hike_days_ago",
-)
+#: The metrics of each bundle.
 BUNDLES: dict[str, tuple[str, ...]] = {
-    "daily_brief": _DAILY_BRIEF,
+    "daily_brief": (
+        "fitness", "fatigue", "form", "form_zone", "acwr", "acwr_zone", "weekly_trimp", "total_trimp_14d",
+        "avg_trimp_per_day", "active_days", "rest_days", "daily_avg_trimp_7d", "rolling_median_cc",
+        "rolling_median_hr_recovery", "kudos_count",
+    ),
     "weekly_digest": (
-        "distance_km", "moving_time_min", "elevation_m", "trimp", "calories", "kudos_count", "sport_type", "weekly_trimp",
-        "avg_trimp_per_day", "active_days", "rest_days", "time_in_hr_zones_min", "fitness", "form", "acwr",
+        "trimp", "distance_km", "calories", "moving_time_min", "elapsed_time_min", "elevation_m", "active_days",
+        "weekly_trimp", "volume_7d", "avg_hr", "max_hr", "cardiac_cost", "cardiac_cost_adjusted", "cardiac_drift_pct",
+        "hrr_pct",
     ),
     "monthly_digest": (
-        "distance_km", "moving_time_min", "elevation_m", "trimp", "calories", "kudos_count", "sport_type",
-        "avg_trimp_per_day", "active_days", "rest_days", "fitness", "form",
+        "trimp", "distance_km", "calories", "moving_time_min", "elevation_m", "active_days", "volume_28d",
+        "daily_avg_trimp_28d", "daily_avg_trimp_90d", "fitness", "fatigue", "form",
+    ),
+    "period_comparison": (
+        "trimp", "distance_km", "calories", "moving_time_min", "elapsed_time_min", "elevation_m", "active_days",
+        "rest_days", "fitness", "fatigue", "form", "acwr", "avg_hr", "max_hr", "hr_recovery_median_bpm_per_min",
+        "vertical_speed_m_per_h", "cardiac_cost", "cardiac_cost_adjusted", "cardiac_drift_pct", "hrr_pct",
+        "cardiac_drift_significant", "time_in_hr_zones_min",
     ),
     "sport_efficiency": (
-        "avg_hr", "max_hr", "hr_recovery_median_bpm_per_min", "vertical_speed_m_per_h", "cardiac_cost",
-        "cardiac_cost_adjusted", "cardiac_drift_pct", "cardiac_drift_severity", "cardiac_drift_significant",
-        "cardiac_drift_quality", "hrr_pct",
+        "avg_hr", "hr_recovery_median_bpm_per_min", "vertical_speed_m_per_h", "cardiac_cost", "cardiac_cost_adjusted",
+        "cardiac_drift_pct", "hrr_pct", "rolling_median_cc", "rolling_median_cc_adj", "rolling_median_hr_recovery",
+        "rolling_median_cardiac_drift_pct",
     ),
     "historical_facts": (
-        "distance_km", "moving_time_min", "elevation_m", "trimp", "sport_type", "active_days", "rest_days",
-        "activity_streak_days", "rest_streak_days", "last_hike_days_ago",
+        "sport_type", "form_zone", "acwr_zone", "cardiac_drift_severity", "cardiac_drift_quality", "kudos_count",
+        "active_days", "activity_streak_days", "rest_streak_days", "last_hike_days_ago",
     ),
 }
-BUNDLES["period_comparison"] = tuple(dict.fromkeys((*BUNDLES["weekly_digest"], "elapsed_time_min", "avg_hr", "max_hr", "cardiac_cost", "cardiac_cost_adjusted", "hrr_pct", "form_zone")))
 
 
 def metrics(ids: list[str] | tuple[str, ...] | None = None, bundle: str | None = None) -> list[Metric]:

@@ -959,50 +959,21 @@ def _all_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
 
-_WEEK = """SELECT 'distance_km' AS metric_id, sum(distance_m / 1000.0) AS v FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
-  UNION ALL SELECT 'moving_time_min', sum(moving_time_s / 60.0) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
-  UNION ALL SELECT 'elevation_m', sum(elevation_gain_m) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
-  UNION ALL SELECT 'trimp', sum(trimp) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
-  UNION ALL SELECT 'calories', sum(calories_kcal) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
-  UNION ALL SELECT 'kudos_count', sum(kudos_count) FROM facts WHERE activity_day >= {0} AND activity_day < {0} + 7
-  UNION ALL SELECT 'weekly_trimp', sum(effective_trimp) FROM daily WHERE day >= {0} AND day < {0} + 7
-  UNION ALL SELECT 'avg_trimp_per_day', sum(effective_trimp) / 7 FROM daily WHERE day >= {0} AND day < {0} + 7
-  UNION ALL SELECT 'active_days', sum(CASE WHEN activity_count > 0 THEN 1 ELSE 0 END) FROM daily WHERE day >= {0} AND day < {0} + 7
-  UNION ALL SELECT 'rest_days', sum(CASE WHEN activity_count = 0 THEN 1 ELSE 0 END) FROM daily WHERE day >= {0} AND day < {0} + 7
-  UNION ALL SELECT 'fitness', arg_max(fitness, day) FROM model_facts WHERE day >= {0} AND day < {0} + 7
-  UNION ALL SELECT 'form', arg_max(form, day) FROM model_facts WHERE day >= {0} AND day < {0} + 7
-  UNION ALL SELECT 'acwr', arg_max(acwr, day) FROM model_facts WHERE day >= {0} AND day < {0} + 7"""
-
-
-@query(
-    "bundle_weekly_digest",
-    f"""WITH RECURSIVE {o.FOR_BOTH}, {o.MODEL}, a AS ({_WEEK.format("DATE '2000-03-13'")}), b AS ({_WEEK.format("DATE '2000-03-06'")})
-    SELECT metric_id, round(a.v, 6) AS value, round(b.v, 6) AS previous FROM a FULL JOIN b USING (metric_id)""",
-)
+@query("bundle_weekly_digest")
 def weekly_digest(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(bd.weekly_digest(_all_sources(spark, sf), AS_OF).drop("delta"))
 
 
-@query(
-    "bundle_daily_brief",
-    f"""WITH RECURSIVE {o.FOR_BOTH}, {o.MODEL}, f AS (SELECT * FROM facts WHERE activity_day = DATE '{AS_OF}'), m AS (SELECT * FROM model_facts WHERE day = DATE '{AS_OF}')
-    SELECT 'distance_km' AS metric_id, round(sum(distance_m / 1000.0), 6) AS value, count(*) AS row_count FROM f
-    UNION ALL SELECT 'moving_time_min', round(sum(moving_time_s / 60.0), 6), count(*) FROM f UNION ALL SELECT 'elevation_m', sum(elevation_gain_m), count(*) FROM f
-    UNION ALL SELECT 'trimp', round(sum(trimp), 6), count(*) FROM f UNION ALL SELECT 'kudos_count', sum(kudos_count), count(*) FROM f
-    UNION ALL SELECT 'fitness', fitness, 1 FROM m UNION ALL SELECT 'fatigue', fatigue, 1 FROM m UNION ALL SELECT 'form', round(form, 6), 1 FROM m UNION ALL SELECT 'acwr', acwr, 1 FROM m""",
-)
+@query("bundle_daily_brief")
 def daily_brief(spark: SparkSession, sf: str) -> DataFrame:
-    out = bd.daily_brief(_all_sources(spark, sf), AS_OF).filter(~F.col("metric_id").contains("streak") & (F.col("metric_id") != "last_hike_days_ago"))
+    out = bd.daily_brief(_all_sources(spark, sf), AS_OF)
     return _rounded(out.select("metric_id", "value", "row_count"))
 
 
-@query(
-    "bundle_sections",
-    f"""WITH {o.ACTS} SELECT * FROM (VALUES ('history', 'unavailable'), ('load', 'unavailable'), ('workouts', 'partial')) t(section, status)""",
-)
+@query("bundle_sections")
 def bundle_sections(spark: SparkSession, sf: str) -> DataFrame:
     rows = ag.aggregate({"activity": _facts(spark, sf)}, _request("distance_km", "moving_time_min", "elevation_m", "trimp"))
-    return bd.sections(rows, "historical_facts").select("section", "status")
+    return bd.sections(rows, "monthly_digest").select("section", "status")
 
 
 @query(

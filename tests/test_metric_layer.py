@@ -172,9 +172,9 @@ def test_bundles_and_glossary(activity, spark):
     assert "cardiac drift" in glossary.render()
     assert registry.catalog(spark).count() == len(registry.REGISTRY) == 43
     rows = aggregate({"activity": activity}, AggregateRequest(("distance_km", "trimp", "calories"), start=START, end=END)) if "calories_kcal" in activity.columns else aggregate({"activity": activity}, AggregateRequest(("distance_km", "trimp"), start=START, end=END))
-    parts = {r.section: r for r in bundles.sections(rows, "historical_facts").collect()}
+    parts = {r.section: r for r in bundles.sections(rows, "monthly_digest").collect()}
     assert parts["workouts"].status == "partial" and "distance_km" in parts["workouts"].included
-    assert parts["history"].status == "unavailable"
-    assert bundles.overall(bundles.sections(rows, "historical_facts")).first().status == "partial"
+    assert parts["fitness"].status == "unavailable"
+    assert bundles.overall(bundles.sections(rows, "monthly_digest")).first().status == "partial"
     assert {r.metric_id: r.value for r in bundles.first_values(rows).collect()} == {"distance_km": 29.0, "trimp": 310.0}
     assert {r.code for r in bundles.warnings(rows).collect()} == {"partial_data"}
