@@ -26,8 +26,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    return minhash.keep_one_of_each(docs)
+    """One document of each group of near duplicates, that of the smallest id.
+
+    Near is a similarity of 0.8 or more; at exactly 0.8 a pair lacks a common band
+    among twenty with probability 3e-5.
+    """
+    return minhash.keep_one_of_each(docs, percent=80, bands=20)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,18 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tables):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "near_duplicates", "source_mixing", "packing"]
 
 
+def test_pipeline_drops_pairs_of_080_to_085(spark):
+    one = [f"word{k}" for k in range(200)]
+    rows = [(0, " ".join(one), "en", "s0", 0)]
+    for k, edits in enumerate((4, 5)):  # 176 of 216 shingles: 0.815; 171 of 221: 0.774
+        other = [f"edit{k}" if j % 30 == 15 and j < 30 * edits else w for j, w in enumerate(one)]
+        rows.append((k + 1, " ".join(other), "en", "s0", 0))
+    assert corpus.near_components(rows[:2], 80) == {0: 0, 1: 0} and corpus.near_components(rows[:2], 85) == {0: 0, 1: 1}
+    pairs = [rows[:2], [rows[0], rows[2]]]
+    kept = [sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, corpus.frame(spark, p), "").collect()) for p in pairs]
+    assert kept == [[0], [0, 2]]
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
     assert numbers == list(range(1, 11))
