@@ -3,7 +3,8 @@
 A text's compressed size over its size tells repetition (low) from noise
 (high).  Short texts compress badly whatever they hold, so both limits depend on
 the length.  The ratio of the whole text finds repetition anywhere in it; ratios
-of fixed chunks find a text of which a part only is repetitive or noise.
+of fixed chunks find a text of which a part only is repetitive or noise.  What
+the last full chunk leaves is covered by a chunk that ends with the text.
 
 Edge cases: a null or empty text has no words and fails the base rule.  Rows
 with equal ids are judged one by one; other columns are ignored; an empty table
@@ -84,16 +85,18 @@ def base_counts(texts: list[bytes], width: int = 8) -> dict[str, np.ndarray]:
 
 
 def ratios(text: bytes, compressor) -> tuple[float, float]:
-    """Ratio of the whole text and share of its full chunks outside the chunk limits."""
+    """Ratio of the whole text and share of its chunks outside the chunk limits; a text below a chunk has none."""
     if not text:
         return 0.0, 0.0
     whole = len(compressor.compress(text)) / len(text)
-    n = len(text) // CHUNK
+    starts = list(range(0, len(text) - CHUNK + 1, CHUNK))
+    if starts and len(text) % CHUNK:
+        starts.append(len(text) - CHUNK)
     odd = 0
-    for k in range(n):
-        r = len(compressor.compress(text[k * CHUNK : (k + 1) * CHUNK])) / CHUNK
+    for a in starts:
+        r = len(compressor.compress(text[a : a + CHUNK])) / CHUNK
         odd += not CHUNK_LOW <= r <= CHUNK_HIGH
-    return whole, odd / n if n else 0.0
+    return whole, odd / len(starts) if starts else 0.0
 
 
 def within_bands(size: int, whole: float, odd_share: float) -> bool:

@@ -99,6 +99,18 @@ def test_quality_rules_counts_and_verdicts(spark):
     assert quality_rules.quality_rules(corpus.frame(spark, [])).count() == 0
 
 
+def test_quality_rules_judge_the_tail(spark):
+    rng = corpus.random.Random(4)
+    clean = corpus.prose(rng, "en", 2000).encode()[: quality_rules.CHUNK].decode()
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+-/!?;", k=7)) for _ in range(125))
+    rows = [(1, clean + noise, "", "", 0), (2, clean + clean[:500][::-1], "", "", 0), (3, clean, "", "", 0), (4, clean[:-1], "", "", 0)]
+    found = {r.doc_id: r for r in quality_rules.quality_rules(corpus.frame(spark, rows)).collect()}
+    low, high = quality_rules.BANDS[3][1:]
+    assert low <= found[1].ratio <= high and not found[1].base_failed
+    assert found[1].odd_chunks == 0.5 and not found[1].kept
+    assert [found[i].odd_chunks for i in (2, 3, 4)] == [0.0] * 3 and found[3].kept
+
+
 def test_quality_classifier_on_held_out(spark):
     rows = corpus.documents(n=400)
     rows = [r for r in rows if r[0] is None or r[0] < 400 or r[0] >= 1000]
