@@ -3,10 +3,11 @@
 The vocabulary is that of a public sentencepiece model; its pieces are never
 changed.  The file's own scores are merge ranks, not probabilities, so each
 piece's score is its share among the pieces of all training words: cut as the
-model cuts them, and for the ``refined`` commonest words, over all their
-segmentations by a few rounds of expectation maximisation.  A word's probability is the sum over all ways to cut it into
-pieces (single bytes included), by forward recursion in log space; a text's is
-the product over its words and one end.
+model cuts them at first, then over all their segmentations by a few rounds of
+expectation maximisation, each over every row of the words table.  A word's
+probability is the sum over all ways to cut it into pieces (single bytes
+included), by forward recursion in log space; a text's is the product over its
+words and one end.
 
 Word counts of the whole corpus are gathered by a shuffle on the word.  Words
 above a count, ``table_size`` of them at most, are broadcast with both scores;
@@ -33,10 +34,13 @@ from pyspark.sql import functions as F
 
 from paceforge.llm.bpe import resolve
 from paceforge.llm.common import cut_lineage, id_bucket, slices, table, utf8
+from paceforge.llm.shingles import mix
 
 _MARK = "▁"
 #: The key of the end among piece counts; no piece is empty.
 _END = ""
+#: A product of probabilities below this has too few digits left.
+_LEAST = 1e-200
 
 
 class Lattice:
@@ -63,9 +67,10 @@ class Lattice:
     def word(self, word: bytes) -> float:
         return self._forward(_MARK + word.decode())[0][-1] / math.log(10)
 
-    def expect(self, word: bytes, times: float, into: dict[str, float]) -> None:
-        """Add the expected number of each piece in ``times`` occurrences of a word."""
-        alpha, edges = self._forward(_MARK + word.decode())
+    def expect(self, word: bytes, times: float, into: dict[str, float], by_byte: np.ndarray | None = None) -> None:
+        """Add the expected number of each piece in ``times`` occurrences of a word; that of single bytes to ``by_byte``."""
+        text = _MARK + word.decode()
+        alpha, edges = self._forward(text)
         ahead: list[list[float]] = [[] for _ in alpha]
         ahead[-1].append(0.0)
         for j in range(len(alpha) - 1, 0, -1):
@@ -74,8 +79,130 @@ class Lattice:
             rest = _log_sum(ahead[j])
             for i, piece, p in edges[j]:
                 ahead[i].append(rest + p)
+                share = times * math.exp(alpha[i] + p + rest - alpha[-1])
                 if piece is not None:
-                    into[piece] = into.get(piece, 0.0) + times * math.exp(alpha[i] + p + rest - alpha[-1])
+                    into[piece] = into.get(piece, 0.0) + share
+                elif by_byte is not None:
+                    for b in text[i].encode():
+                        by_byte[b] += share
+
+
+class Expectations:
+    """What Lattice.expect() and Lattice.word() find, for many words at once.
+
+    Sums are of plain products; a word that is too long, or too unlikely for a
+    double, goes to the lattice.
+    """
+
+    def __init__(self, lattice: Lattice, most_chars: int = 64, most_cells: int = 1 << 20) -> None:
+        self.lattice, self.most_chars, self.most_cells = lattice, most_chars, most_cells
+        self.pieces = list(lattice.log_p)
+        hashes = np.zeros(len(self.pieces), np.uint64)
+        sizes = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            codes = np.frombuffer("".join([self.pieces[k] for k in own]).encode("utf-32-le"), np.uint32)
+            for c in codes.reshape(-1, n).T:
+                hashes[own] = _extended(hashes[own], c.astype(np.uint64))
+        # tables by 20 bits of the hash, each for the pieces that find no place of their own in those before
+        self.hashes, self.slots = hashes, []
+        left, shift = np.arange(len(hashes)), 44
+        while len(left):
+            slot = np.zeros(1 << 20, np.int64)
+            top = self._slot(hashes[left], shift)
+            slot[top] = left
+            self.slots.append((shift, slot))
+            left, shift = left[slot[top] != left], max(shift - 11, 0)
+        # the last is for what is no piece
+        self.p = np.exp(np.array([lattice.log_p[p] for p in self.pieces] + [-np.inf]))
+        self.counts = np.zeros(len(self.pieces))
+        self.by_byte = np.zeros(256)
+        self.char_p: dict[int, float] = {}
+
+    @staticmethod
+    def _slot(hashes: np.ndarray, shift: int) -> np.ndarray:
+        return ((hashes >> np.uint64(shift)) & np.uint64(0xFFFFF)).astype(np.int64)
+
+    def add(self, words: list[bytes], times: list[int]) -> None:
+        """Add the expected numbers in ``times`` occurrences of each word to ``counts`` and ``by_byte``."""
+        self._walk(words, np.array(times, float))
+
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each word."""
+        return self._walk(words, None)
+
+    def _walk(self, words: list[bytes], times: np.ndarray | None) -> np.ndarray:
+        texts = [_MARK + w.decode() for w in words]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = np.full(len(texts), np.nan)
+        for n in np.unique(sizes[sizes <= self.most_chars]).tolist():
+            own = np.flatnonzero(sizes == n)
+            step = max(1, self.most_cells // (n * min(n, self.lattice.longest)))
+            for a in range(0, len(own), step):
+                at = own[a : a + step]
+                out[at] = self._many(n, [texts[k] for k in at], None if times is None else times[at])
+        extra: dict[str, float] = {}
+        for k in np.flatnonzero(np.isnan(out)).tolist():
+            if times is None:
+                out[k] = self.lattice.word(words[k])
+            else:
+                self.lattice.expect(words[k], times[k], extra, self.by_byte)
+        if extra:
+            self.counts += [extra.get(p, 0.0) for p in self.pieces]
+        return out
+
+    def _many(self, n: int, texts: list[str], times: np.ndarray | None) -> np.ndarray:
+        """log10 probability of words of ``n`` characters, NaN if too small; arrays are by place first, then by word."""
+        codes = np.ascontiguousarray(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(-1, n).T)
+        single, place = np.unique(codes, return_inverse=True)
+        place = place.reshape(codes.shape)
+        for c in single.tolist():
+            if c not in self.char_p:
+                self.char_p[c] = math.exp(sum([self.lattice.byte_log_p[b] for b in chr(c).encode()]))
+        by_char = np.array([self.char_p[c] for c in single.tolist()])[place]
+        wide = codes.astype(np.uint64)
+        # numbers[k][i]: the piece of k + 1 characters that starts at i, or -1
+        numbers, chances = [], []
+        h = np.zeros(codes.shape, np.uint64)
+        for k in range(min(n, self.lattice.longest)):
+            h = _extended(h[: n - k], wide[k:])
+            found = np.full(h.shape, -1)
+            for shift, slot in self.slots:
+                at = slot[self._slot(h, shift)]
+                np.copyto(found, at, where=self.hashes[at] == h)
+            numbers.append(found)
+            chances.append(self.p[found])
+        alpha = np.zeros((n + 1, len(texts)))
+        alpha[0] = 1.0
+        for j in range(1, n + 1):
+            alpha[j] = alpha[j - 1] * by_char[j - 1]
+            for k in range(min(j, len(chances))):
+                alpha[j] += alpha[j - k - 1] * chances[k][j - k - 1]
+        fits = alpha[n] > _LEAST
+        with np.errstate(divide="ignore"):
+            out = np.where(fits, np.log10(alpha[n]), np.nan)
+        if times is None:
+            return out
+        beta = np.zeros((n + 1, len(texts)))
+        beta[n] = np.where(fits, times / np.where(fits, alpha[n], 1.0), 0.0)
+        for i in range(n - 1, -1, -1):
+            beta[i] = beta[i + 1] * by_char[i]
+            for k in range(min(n - i, len(chances))):
+                beta[i] += beta[i + k + 1] * chances[k][i]
+        for k, found in enumerate(numbers):
+            i, w = np.nonzero(found >= 0)
+            share = alpha[i, w] * chances[k][i, w] * beta[i + k + 1, w]
+            self.counts += np.bincount(found[i, w], share, len(self.counts))
+        share = alpha[:-1] * by_char * beta[1:]
+        for c, total in zip(single.tolist(), np.bincount(place.ravel(), share.ravel(), len(single))):
+            for b in chr(c).encode():
+                self.by_byte[b] += total
+        return out
+
+
+def _extended(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings from those of all but the last character."""
+    return mix(h + codes + np.uint64(1))
 
 
 def _log_sum(terms: list[float]) -> float:
@@ -96,27 +223,6 @@ def piece_scores(counts: dict[str, float], model: str, smoothing: float = 0.1) -
     return Lattice(log_p, by_byte), math.log10((counts.get(_END, 0) + smoothing) / total)
 
 
-def refine(
-    counts: dict[str, float], common: list[tuple[bytes, int]], model: str, rounds: int = 3
-) -> tuple[Lattice, float]:
-    """piece_scores() of ``counts`` in which the common words' (word, times) own cuts give way to expected ones."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=resolve(model))
-    rest = dict(counts)
-    for (_, times), pieces in zip(common, sp.encode([w.decode() for w, _ in common], out_type=str, num_threads=1)):
-        for piece in pieces:
-            rest[piece] = rest.get(piece, 0) - times
-    lattice, end = piece_scores(counts, model)
-    for _ in range(rounds if common else 0):
-        expected: dict[str, float] = {}
-        for word, times in common:
-            lattice.expect(word, times, expected)
-        total = {k: max(rest.get(k, 0), 0) + expected.get(k, 0.0) for k in rest.keys() | expected.keys()}
-        lattice, end = piece_scores(total, model)
-    return lattice, end
-
-
 def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -178,18 +284,37 @@ def piece_counts(words: DataFrame, model: str) -> dict[str, int]:
     return dict(rows.groupBy("piece").agg(F.sum("n").alias("n")).collect())
 
 
+def expected_counts(words: DataFrame, lattice: Lattice) -> dict[str, float]:
+    """Expected pieces of all training words under a lattice; the driver gets one row for each piece at most."""
+    tables = words.sparkSession.sparkContext.broadcast((lattice.log_p, lattice.byte_log_p))
+
+    def expect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Expectations(Lattice(*tables.value))
+        for batch in batches:
+            found.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        names = found.pieces + [f"<0x{b:02X}>" for b in range(256)]
+        total = np.concatenate([found.counts, found.by_byte])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([names[k] for k in seen], pa.string()), pa.array(total[seen])], names=["piece", "n"]
+        )
+
+    rows = words.filter("trained > 0").select("word", "trained").mapInArrow(expect, "piece string, n double")
+    return dict(rows.groupBy("piece").agg(F.sum("n").alias("n")).collect())
+
+
 def score_texts(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     model: str = "piece_bpe_32k.model",
     table_size: int = 150_000,
-    refined: int = 20_000,
+    refined: int = 3,
 ) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every text.
 
-    Learned from the rows whose crc32(id) mod 10 is not 0.  ``refined`` bounds the
-    words over whose segmentations the scores are fitted; all words are counted.
+    Learned from the rows whose crc32(id) mod 10 is not 0.  ``refined`` is the
+    number of rounds that fit the scores over all words' segmentations.
     """
     spark = df.sparkSession
     part = id_bucket(id_col, 10)
@@ -215,14 +340,15 @@ def score_texts(
         least = p
     frequent = (F.col("used") >= 2**least) & (F.octet_length("word") <= 64)
     head = words.filter(frequent).select("word", "trained").collect()
-    common = sorted(((bytes(r.word), r.trained) for r in head if r.trained), key=lambda x: (-x[1], x[0]))[:refined]
-    lattice, end_score = refine(piece_counts(words, model) | {_END: ends}, common, model)
+    lattice, end_score = piece_scores(piece_counts(words, model) | {_END: ends}, model)
+    for _ in range(refined):
+        lattice, end_score = piece_scores(expected_counts(words, lattice) | {_END: ends}, model)
     index = {bytes(r.word): k for k, r in enumerate(head)}
     shared = spark.sparkContext.broadcast(
         (
             index,
             np.array([math.log10(r.trained + 0.1) - floor for r in head] + [0.0]),
-            np.array([lattice.word(bytes(r.word)) for r in head] + [0.0]),
+            np.append(Expectations(lattice).scores([bytes(r.word) for r in head]), 0.0),
             np.array([r.trained > 0 for r in head] + [False]),
         )
     )
@@ -267,9 +393,9 @@ def score_texts(
             )
 
     def rare_scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice(*tables.value)
+        own = Expectations(Lattice(*tables.value))
         for batch in batches:
-            s = [own.word(w) for w in batch.column(0).to_pylist()]
+            s = own.scores(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["word", "trained", "w_score"]
             )

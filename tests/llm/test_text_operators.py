@@ -254,6 +254,25 @@ def test_lattice_sums_all_segmentations():
         assert {k: v for k, v in found.items() if v > 1e-12} == pytest.approx({k: v for k, v in expected.items() if v > 1e-12})
 
 
+def test_lm_scores_are_fitted_over_all_words(spark):
+    model = "piece_bpe_32k.model"
+    rng = corpus.random.Random(6)
+    counted = {"".join(rng.choices("abcdefgh'é日", k=rng.randint(1, 12))): rng.randint(1, 9) for _ in range(20_300)}
+    counted |= {"x" * 70: 1, "zürich" * 15: 2, "rareword": 1, "😀": 4}
+    rows = [(w.encode(), n, n) for w, n in counted.items()] + [(b"heldout", 0, 3)]
+    words = spark.createDataFrame(rows, "word binary, trained long, used long")
+    lattice, _ = lm_score.piece_scores(lm_score.piece_counts(words, model), model)
+    found = lm_score.expected_counts(words, lattice)
+    pieces: dict = {}
+    by_byte = np.zeros(256)
+    for w, n in counted.items():
+        lattice.expect(w.encode(), n, pieces, by_byte)
+    expected = pieces | {f"<0x{b:02X}>": x for b, x in enumerate(by_byte)}
+    assert {k: v for k, v in found.items() if v > 1e-9} == pytest.approx({k: v for k, v in expected.items() if v > 1e-9}, rel=1e-6)
+    size = sum(v * (1 if k.startswith("<0x") else len(k.encode())) for k, v in found.items())
+    assert size == pytest.approx(sum(n * len(("▁" + w).encode()) for w, n in counted.items()))
+
+
 def test_slices_are_bounded_by_rows_and_bytes():
     import pyarrow as pa
 
