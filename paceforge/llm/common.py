@@ -51,12 +51,22 @@ def utf8(column: pa.Array) -> list[bytes]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that is unset (tests on one machine) it lies in the warehouse.
+    Only where that is unset and everything runs on one machine (tests) it lies
+    in the warehouse; on a cluster it must be set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return where or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
 
 
+def row_ids(df: DataFrame, id_col: str) -> None:
+    """Raises ValueError unless the ids are whole numbers, which the near-duplicate operators need."""
+    kind = df.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must hold whole numbers, not {kind}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder."""
     spark = df.sparkSession

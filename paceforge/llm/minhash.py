@@ -7,14 +7,15 @@ the share of equal lanes, corrected for chance collisions, estimates the
 similarity of candidates, and those far below the threshold go.  The rest is
 confirmed on full sets.
 
-Equal sets form a class first; only its smallest id is compared.  At a
-similarity of exactly 0.85 a pair lacks a common band with probability 7e-6,
-and the estimate loses it with 2e-7.
+Equal sets form a class first, and classes are compared, by the text of their
+smallest id.  At a similarity of exactly 0.85 a pair lacks a common band with
+probability 7e-6, and the estimate loses it with 2e-7.
 
 Edge cases: a null or empty text, or one without words, has an empty set and
 links with nothing.  A null id is never compared; its component is null and it
-is kept.  Rows with equal ids count as one document: they share its component.
-Other columns are ignored.  An empty table gives an empty result.
+is kept.  Rows with equal ids count as one document: each of their texts is
+compared, and they share a component.  Other columns are ignored.  An empty
+table gives an empty result.  Ids that are no whole numbers raise ValueError.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceforge.llm.buckets import Forest, Group, compare_in_buckets, components
-from paceforge.llm.common import broadcast_if_small, cut_lineage, slices, table, utf8
+from paceforge.llm.buckets import Forest, Groups, components, connect_in_buckets
+from paceforge.llm.common import broadcast_if_small, cut_lineage, row_ids, slices, table, utf8
 from paceforge.llm.shingles import linked, minima, mix, shingle_sets
 
 _LANES = np.uint64(0x1111111111111111)
@@ -60,6 +61,12 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
     return mix(keys + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
 
 
+def digests(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed 64-bit numbers."""
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -81,6 +88,7 @@ def near_duplicates(
     permutations = band_rows * bands
     if permutations % 16:
         raise ValueError("band_rows * bands must be a multiple of 16")
+    row_ids(df, id_col)
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -96,9 +104,7 @@ def near_duplicates(
                 values = minima([sets[i] for i in full], permutations)
                 for i, k, p in zip(full.tolist(), band_keys(values, band_rows), pack_low_bits(values)):
                     keys[i], packed[i] = k, p.tobytes()
-                    digest = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                    d1[i] = int.from_bytes(digest[:8], "little", signed=True)
-                    d2[i] = int.from_bytes(digest[8:], "little", signed=True)
+                    d1[i], d2[i] = digests(sets[i])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).cast(pa.int64()),
@@ -112,22 +118,40 @@ def near_duplicates(
                 names=["id", "n_shingles", "bytes", "d1", "d2", "keys", "packed"],
             )
 
-    def compare(group: Group) -> pa.RecordBatch | None:
-        texts = utf8(group.rows.column("text").combine_chunks())
-        sets = shingle_sets(texts, shingle_words)
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
+        sets = shingle_sets(utf8(rows.column("text").combine_chunks()), shingle_words)
+        # an id may have other texts too, and a class comes once
+        d1, d2 = rows.column("d1").to_pylist(), rows.column("d2").to_pylist()
+        own = np.array([digests(s) == (x, y) for s, x, y in zip(sets, d1, d2)])
+        place = np.stack([rows.column(c).to_numpy() for c in ("bucket", "lo", "hi", "id")], axis=1)[own]
+        fresh = np.ones(len(place), bool)
+        fresh[1:] = (place[1:] != place[:-1]).any(axis=1)
+        keep = np.flatnonzero(own)[fresh]
+        if len(keep) < 2:
+            return None
+        rows, sets = rows.take(pa.array(keep)), [sets[k] for k in keep]
+        groups = Groups(rows)
+        packed = np.frombuffer(b"".join(rows.column("packed").to_pylist()), np.uint64).reshape(len(sets), -1)
+        known = rows.column("component").to_numpy()
+        out = [_edges_within(groups, a, b, sets[a:b], packed[a:b], known[a:b]) for a, b in zip(groups.starts.tolist(), groups.ends.tolist()) if b - a > 1]
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[k] for e in out]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def _edges_within(groups: Groups, start: int, end: int, sets: list, packed: np.ndarray, known: np.ndarray) -> tuple:
         sizes = np.array([len(s) for s in sets], np.int64)
-        packed = np.frombuffer(b"".join(group.rows.column("packed").to_pylist()), np.uint64).reshape(len(sets), -1)
-        forest = Forest(len(sets))
+        _, first, inverse = np.unique(known, return_index=True, return_inverse=True)
+        forest = Forest(first[inverse])
         confirm = Overlaps(sets) if len(sets) > 8 else None
         for i in range(len(sets)):
-            rest = group.partners(i)
+            rest = np.arange(groups.first[start + i] - start, groups.last[start + i] - start)
             rest = rest[forest.root[rest] != forest.root[i]]
             small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
             rest = rest[100 * small >= percent * large]
             if len(rest):
                 rest = rest[estimate(packed[i], packed[rest]) >= percent / 100 - margin]
             if len(rest):
-                rest = rest[group.mine(i, rest)]
+                rest = rest[groups.mine(np.array([start + i]), start + rest)]
             if not len(rest):
                 continue
             if confirm is None:
@@ -135,46 +159,53 @@ def near_duplicates(
             else:
                 both = confirm.of(i, rest)
                 forest.union(i, rest[100 * both >= percent * (sizes[i] + sizes[rest] - both)])
-        a, b = forest.edges(group.ids)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return forest.edges(groups.ids[start:end])
 
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = cut_lineage(
         docs.mapInArrow(
             sketch, "id long, n_shingles long, bytes long, d1 long, d2 long, keys array<long>, packed binary"
         )
     )
     sound = base.filter("id IS NOT NULL AND d1 IS NOT NULL")
-    classes = cut_lineage(sound.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
-    heads = (
-        sound.join(classes, ["d1", "d2"])
-        .filter("id = rep")
-        .groupBy("id")
-        .agg(F.max(F.struct("bytes", "keys", "packed")).alias("x"))
-        .select("id", "x.bytes", "x.keys", "x.packed")
-    )
-    heads = cut_lineage(heads)
-    edges = compare_in_buckets(
-        heads,
-        docs.filter("id IS NOT NULL"),
-        compare,
-        "a long, b long",
-        block_rows,
-        block_bytes,
+    classes = sound.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max(F.struct("bytes", "keys", "packed")).alias("x"))
+    # a checkpoint keeps the numbers as they are
+    classes = cut_lineage(classes.select(F.monotonically_increasing_id().alias("class"), "d1", "d2", "rep", "x.*"))
+    # rows in no class get numbers of their own below 0, so that no join key is null for many rows
+    alone = F.col("id").isNull() | F.col("d1").isNull()
+    unique = -1 - F.monotonically_increasing_id()
+    of_row = base.select(
+        "id", "n_shingles", F.when(alone, unique).otherwise(F.col("d1")).alias("d1"), F.when(~alone, F.col("d2")).alias("d2")
     )
-    # rows of one id with different texts hang together by that id
-    own = sound.join(classes, ["d1", "d2"]).select("id", "rep")
-    several = own.groupBy("id").agg(F.min("rep").alias("m"), F.max("rep").alias("n")).filter("m <> n").select("id")
-    hung = own.join(several, "id", "left_semi")
-    edges = edges.unionByName(hung.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    linked_to = components(edges)
-    out = (
-        base.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.col("d1")).alias("d1"), "d2")
-        .join(classes, ["d1", "d2"], "left")
-        .withColumn("rep", F.coalesce("rep", "id"))
-        .join(linked_to.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    of_row = of_row.join(classes.select("class", "d1", "d2", "rep"), ["d1", "d2"], "left")
+    of_row = cut_lineage(of_row.select("id", "n_shingles", F.coalesce("class", "d1").alias("class"), "rep"))
+    per_id = of_row.filter("class >= 0").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("class").alias("least"), F.max("class").alias("most")
     )
+    again = cut_lineage(per_id.filter("n > 1"))
+
+    texts = docs.filter("id IS NOT NULL")
+    if not again.isEmpty():  # rows that repeat are joined into one before anything is dealt by their id
+        ids = broadcast_if_small(again.select("id"))
+        once = texts.join(ids, "id", "left_semi").groupBy("id", "text").agg(F.count(F.lit(1)).alias("n")).drop("n")
+        texts = texts.join(ids, "id", "left_anti").unionByName(once)
+
+    def attach(rows: DataFrame) -> DataFrame:
+        wanted = broadcast_if_small(rows.select(F.col("rep").alias("doc")).distinct())
+        found = texts.withColumnRenamed("id", "doc").join(wanted, "doc", "left_semi")
+        return rows.join(found, F.col("rep") == F.col("doc")).drop("doc")
+
+    items = classes.select(F.col("class").alias("id"), "rep", "d1", "d2", "bytes", "keys", "packed")
+    edges = connect_in_buckets(items, attach, compare, block_rows, block_bytes)
+    # texts of one id hang together by that id
+    several = again.filter("least <> most").select("id", "least")
+    hung = of_row.join(broadcast_if_small(several), "id").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    linked_to = components(edges.unionByName(hung))
+    named = linked_to.withColumnRenamed("id", "class").join(classes.select("class", "rep"), "class")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    joined = named.join(least, "component").select("class", "component_id")
+    out = of_row.join(broadcast_if_small(cut_lineage(joined)), "class", "left")
+    out = out.select("id", "n_shingles", F.coalesce("component_id", "rep", "id").alias("component_id"))
     return out.select(
         F.col("id").alias(id_col),
         "n_shingles",

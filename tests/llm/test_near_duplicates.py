@@ -48,6 +48,42 @@ def test_one_id_with_two_texts_hangs_together(spark):
     assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 1), (5, 1)}
 
 
+def test_texts_of_one_id_are_each_compared(spark):
+    rng = corpus.random.Random(3)
+    a, b = corpus.prose(rng, "en", 300), corpus.prose(rng, "en", 300)
+    rows = [(1, a, "", "", 0), (1, b, "", "", 0), (7, b + " more", "", "", 0), (8, a + " more", "", "", 0), (1, b, "", "", 0)]
+    rows += [(20 + k, corpus.prose(rng, "en", 40), "", "", 0) for k in range(3)] + [(20, None, "", "", 0)] * 4
+    found = minhash.near_duplicates(corpus.frame(spark, rows)).collect()
+    assert len(found) == len(rows)
+    expected = corpus.near_components(rows)
+    assert expected[7] == expected[8] == 1
+    assert all(r.component_id == expected[r.doc_id] for r in found)
+
+
+def test_hot_groups_over_many_blocks(spark):
+    """Near copies, two looser families and strangers that share bands: blocks of a few rows give what all pairs give."""
+    rng = corpus.random.Random(12)
+    base = corpus.prose(rng, "en", 80).split()
+    rows = []
+    for k in range(90):
+        edits = {rng.randrange(80) for _ in range(k % 4)} if k < 60 else set(range(0, 10)) | {rng.randrange(80) for _ in range(k % 2)}
+        rows.append((k, " ".join(f"e{k if k % 3 else 0}x" if j in edits else w for j, w in enumerate(base)), "", "", 0))
+    rows += [(200 + k, corpus.prose(rng, "en", 80), "", "", 0) for k in range(20)]
+    expected = corpus.near_components(rows)
+    df = corpus.frame(spark, rows)
+    for block in (2, 7, 2048):
+        found = minhash.near_duplicates(df, block_rows=block, block_bytes=1 << 20).collect()
+        assert {r.doc_id: r.component_id for r in found} == expected, block
+
+
+def test_ids_must_be_whole_numbers(spark):
+    df = spark.createDataFrame([("a", "text", [1.0], 1)], "doc_id string, text string, embedding array<double>, label int")
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(df)
+    with pytest.raises(ValueError):
+        vectors.vector_duplicates(df, id_col="doc_id")
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
@@ -105,6 +141,37 @@ def test_vectors_match_all_pairs(spark):
         assert r.component_id == component[i] and r.kept == (component[i] == i)
 
 
+def test_vectors_of_one_id_are_each_compared(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(6):
+        a, b = rng.standard_normal(32), rng.standard_normal(32)
+        rows += [(k, a.tolist(), 1), (k, b.tolist(), 1), (100 + k, (a + 0.01 * rng.standard_normal(32)).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label short").selectExpr("*", "1 AS id", "2 AS unit", "3 AS copies")
+    found = vectors.vector_duplicates(df).collect()
+    assert all((r.n_links, r.component_id) == (1, r.vec_id - 100) for r in found if r.vec_id >= 100)
+    assert sorted(r.n_links for r in found if r.vec_id < 100) == [0] * 6 + [1] * 6
+
+
+def test_table_plan_keeps_the_recall():
+    near = vectors.same_cell(np.sqrt(2 - 2 * 0.93), 2.0)
+    plans = [vectors.table_plan(n, 0.93, 2.0, 64.0, 1e-3) for n in (1, 1000, 10**5, 10**7)]
+    assert [p[1] for p in plans] == sorted({p[1] for p in plans})
+    for tables, projections in plans:
+        assert (1 - near**projections) ** tables <= 1e-3
+    rng = np.random.default_rng(2)
+    d = rng.standard_normal((200_000,)) * np.sqrt(2 - 2 * 0.93)
+    shift = rng.random(len(d)) * 2
+    assert np.mean(np.floor(shift / 2) == np.floor((shift + d) / 2)) == pytest.approx(near, abs=5e-3)
+
+
+def test_joined_finds_components():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    expected = corpus.component_of(list(zip(a.tolist(), b.tolist())), range(300))
+    assert buckets.joined(300, a, b).tolist() == [expected[k] for k in range(300)]
+
+
 def test_vector_blocks_and_empty_table(spark):
     df = spark.createDataFrame(_vectors(), "vec_id long, embedding array<double>, label int")
     one = sorted(map(str, vectors.vector_duplicates(df, block_rows=7).collect()))
