@@ -4,9 +4,11 @@ A byte-level BPE never merges across pre-token borders, so a text's token count
 is the sum of its pre-tokens' lengths.  Tier one is a compact table of lengths
 of frequent pre-tokens, the same for every task and broadcast once; its size is
 bounded by ``table_size``.  Tier two is a cache in each Python worker, filled by
-the tokenizer library itself.  No pre-token is ever shuffled by key: the
-frequent ones are found by bounded counters on the map side, of which only the
-heads are merged.
+the tokenizer library itself.  No pre-token is ever shuffled by key.
+
+The table only saves time: every count is exact whatever it holds.  It is
+therefore gathered from a sample of about ``sample_rows`` texts, dealt to a few
+tasks that hand the heads of their counters to the driver.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; rows with equal ids
 are counted one by one; other columns of the input are ignored; an empty table
@@ -22,10 +24,9 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paceforge.llm.bpe import LATIN, OTHER, PieceEncoder
-from paceforge.llm.common import cut_lineage, slices, table
+from paceforge.llm.common import slices, table
 
 #: The vocabulary's published pre-token pattern, with its classes narrowed to what OTHER lets through.
 _PRE_TOKEN = re.compile(
@@ -78,13 +79,11 @@ class LengthCache(dict):
 
 
 def frequent_units(
-    df: DataFrame, text_col: str, special: tuple[str, ...], table_size: int, counter_size: int
+    df: DataFrame, text_col: str, special: tuple[str, ...], table_size: int, counter_size: int, sample_rows: int, tasks: int = 8
 ) -> list[str]:
-    """The corpus's most frequent pre-tokens, from bounded map-side counters over all rows.
+    """Frequent pre-tokens of about ``sample_rows`` texts; the driver gets ``tasks`` * ``table_size`` of them at most.
 
-    A counter beyond ``counter_size`` entries is cut to its larger half, so a
-    unit that is frequent anywhere survives with nearly its true count.  Each
-    task hands on ``table_size`` entries at most.
+    A counter beyond ``counter_size`` entries is cut to its larger half.
     """
 
     def heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,17 +99,14 @@ def frequent_units(
             {"unit": pa.array([u for u, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())}
         )
 
-    found = df.select(text_col).mapInArrow(heads, "unit string, n long")
-    rows = cut_lineage(found.groupBy("unit").agg(F.sum("n").alias("n")))
-    # the least power of two that no more than table_size units reach: nothing is ordered
-    power = F.floor(F.log2("n")).cast("int").alias("power")
-    reach, least = 0, 62
-    for p, c in sorted(rows.groupBy(power).agg(F.count(F.lit(1))).collect(), reverse=True):
-        reach += c
-        if reach > table_size:
-            break
-        least = p
-    return [r.unit for r in rows.filter(F.col("n") >= 2**least).select("unit").collect()]
+    rows = df.select(text_col)
+    share = sample_rows / max(rows.count(), 1)
+    if share < 1:
+        rows = rows.sample(share, seed=17)
+    merged: Counter = Counter()
+    for r in rows.repartition(tasks).mapInArrow(heads, "unit string, n long").toLocalIterator():
+        merged[r.unit] += r.n
+    return [u for u, _ in merged.most_common(table_size)]
 
 
 def count_tokens(
@@ -122,6 +118,7 @@ def count_tokens(
     table_size: int = 20_000,
     counter_size: int = 100_000,
     worker_cache: int = 200_000,
+    sample_rows: int = 20_000,
 ) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit) for every text of ``df``.
 
@@ -130,7 +127,7 @@ def count_tokens(
     """
     spark = df.sparkSession
     probe = LengthCache(tokenizer_file, {}, 0, 1000)
-    units = frequent_units(df, text_col, probe.special, table_size, counter_size)
+    units = frequent_units(df, text_col, probe.special, table_size, counter_size, sample_rows)
     head = spark.sparkContext.broadcast({u: probe[u] for u in units})
     run = uuid.uuid4().hex
 
