@@ -232,7 +232,10 @@ def fit(
 
 
 def train(docs: DataFrame, per_language: int = 400, pieces: int = 4) -> Network | None:
-    """Fit on documents with a language whose crc32(id) mod 5 is not 0; at most ``per_language`` of each."""
+    """Fit on documents with a language whose crc32(id) mod 5 is not 0; at most ``per_language`` of each.
+
+    The 1,000 commonest languages are learned, as labelled_pieces() bounds them.
+    """
     usable = (id_bucket("doc_id", 5) != 0) & F.col("text").isNotNull()
     found = labelled_pieces(docs, None, "lang", usable, per_language, pieces, 128)
     return fit([(label, piece) for label, _, piece in found])

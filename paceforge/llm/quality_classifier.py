@@ -3,10 +3,11 @@
 Two zstandard dictionaries are built from pieces of texts labelled good and bad.
 Every chunk of a text is compressed with each; the difference of the two sizes,
 over the text's size, says which class the text resembles.  A logistic curve,
-fitted to training texts that the dictionaries have not seen and weighted to the
-classes' shares among all labels, turns it into a probability.  Evidence counts
-by size / (size + 128), so a very short text stays near the share of good
-labels.
+fitted to training texts that the dictionaries have not seen (a class of one
+document has no other) and weighted to the classes' shares among all labels,
+turns it into a probability.  A small ridge keeps the curve flat while there are
+few documents; it is the same at every number.  Evidence counts by
+size / (size + 128), so a very short text stays near the share of good labels.
 
 Edge cases: a null or empty text, with nothing to compress, scores the share of
 good labels in training.  Without labels of both classes every score is that
@@ -89,19 +90,21 @@ def fit(
     dictionary_bytes: int = 262144,
     chunk: int = 1024,
     level: int = 3,
+    ridge: float = 0.1,
 ) -> CompressionModel:
     """Fit on documents given as lists of pieces; ``share``: of good ones among all labels.
 
-    Two thirds of the documents make the dictionaries, the rest fits the curve.
+    Two thirds of the documents make the dictionaries, the rest fits the curve;
+    a class of one document serves for both.
     """
     import zstandard
 
     empty = CompressionModel(b"", b"", 0.0, 0.0, share, chunk, level)
-    if len(good) < 8 or len(bad) < 8:
+    if not good or not bad:
         return empty
     content = []
     for own in (good, bad):
-        pieces = [p for k, doc in enumerate(own) if k % 3 for p in doc]
+        pieces = [p for k, doc in enumerate(own) if k % 3 or len(own) == 1 for p in doc]
         try:
             size = max(512, min(dictionary_bytes, sum(map(len, pieces)) // 4))
             content.append(zstandard.train_dictionary(size, pieces).as_bytes())
@@ -117,8 +120,8 @@ def fit(
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-z @ w - _logit(share)))
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - 1e-2 * w)
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2)
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break

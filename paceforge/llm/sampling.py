@@ -8,21 +8,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceforge.llm.common import slices, utf8
+
+
+def below(h: Column, share: Column) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``share`` of all."""
+    return F.shiftrightunsigned(h, 1) / F.lit(2.0**63) < share
+
 
 def first_by_hash(rows: DataFrame, label: str, key: str, per_label: int, max_labels: int = 1000) -> DataFrame:
-    """At most ``per_label`` rows of each of the ``max_labels`` commonest labels, in the order of a hash of ``key``.
+    """(label, key, h): at most ``per_label`` keys of each of the ``max_labels`` commonest labels, by a hash of ``key``.
 
-    A cut at twice the expected hash, from counts of all rows, is made where the
-    rows are read, so what is ordered doesn't grow with the table.  Adds column h.
+    A cut at twice the expected hash, from the estimated number of keys, is made
+    where the rows are read, and equal rows count once, so what is ordered
+    doesn't grow with the table or with a key that repeats.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("label_rows"))
-    counts = counts.orderBy(F.desc("label_rows"), label).limit(max_labels)
-    place = F.shiftrightunsigned("h", 1) / F.lit(2.0**63)
+    counts = rows.groupBy(label).agg(F.approx_count_distinct(key).alias("label_keys"))
+    counts = counts.orderBy(F.desc("label_keys"), label).limit(max_labels)
     near = (
-        rows.withColumn("h", F.xxhash64(key))
+        rows.select(label, key)
+        .withColumn("h", F.xxhash64(key))
         .join(F.broadcast(counts), label)
-        .filter(place * F.col("label_rows") < 2.0 * per_label + 20)
-        .drop("label_rows")
+        .filter(below(F.col("h"), (2.0 * per_label + 20) / F.greatest("label_keys", F.lit(1))))
+        .select(label, key, "h")
+        .distinct()
     )
     first = Window.partitionBy(label).orderBy("h", key)
     return near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_label).drop("rank")
@@ -44,8 +53,10 @@ def labelled_pieces(
 
     Documents are taken in the order of a hash of their id, so the sample is the
     same on every run and needs no order of the table.  Of each text come at most
-    ``pieces`` pieces of ``piece_bytes`` bytes, spread evenly over all of it.
-    The driver gets max_labels * per_label * pieces * piece_bytes bytes at most.
+    ``pieces`` pieces of ``piece_bytes`` bytes, spread evenly over all of it;
+    equal pieces of one id come once.  The driver gets
+    max_labels * per_label * pieces * piece_bytes bytes at most, unless ids repeat
+    with different texts.
     """
     rows = (labels if labels is not None else docs).filter(usable & F.col(label).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"))
@@ -53,11 +64,9 @@ def labelled_pieces(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, list, list] = ([], [], [])
-            columns = [batch.column(c) for c in ("label", "h", "text")]
-            for lab, h, text in zip(*(c.cast(pa.binary()).to_pylist() if i == 2 else c.to_pylist() for i, c in enumerate(columns))):
-                text = text or b""
+            for lab, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
                 n = min(pieces, max(1, len(text) // piece_bytes))
                 for k in range(n):
                     at = k * (len(text) - piece_bytes) // max(n - 1, 1) if len(text) > piece_bytes and n > 1 else 0
@@ -68,5 +77,5 @@ def labelled_pieces(
                 names=["label", "h", "piece"],
             )
 
-    found = texts.select("label", "h", "text").mapInArrow(cut, "label string, h long, piece binary").collect()
-    return sorted({(r.label, r.h, bytes(r.piece)) for r in found if r.piece})
+    found = texts.select("label", "h", "text").mapInArrow(cut, "label string, h long, piece binary").distinct().collect()
+    return sorted((r.label, r.h, bytes(r.piece)) for r in found if r.piece)
