@@ -2,9 +2,12 @@
 
 A rule names a host suffix and a path prefix; the longest that fits decides.
 URLs decided by rules are the labelled ones: the trees learn from lexical
-features of a bounded sample of them and judge every URL that no rule fits.
-Features are length, depth, digit ratio, entropy, parameter counts and
-statistics of host suffixes among the labelled URLs.
+features of a bounded sample of distinct ones and judge every URL that no rule
+fits.  Features are length, depth, digit ratio, entropy, parameter counts and
+statistics of host suffixes: how many labelled rows have a host's last label, or
+its last two, and which share of them is blocked.  They are counted over all
+labelled rows and joined to every row.  Rows that train see counts without the
+fifth of the URLs (by a hash) that they are in.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, no
 rule fits it, and the trees judge it by its (possibly zero) features.  Without
@@ -23,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import table
-from paceforge.llm.sampling import first_by_hash
+from paceforge.llm.common import broadcast_if_small, cut_lineage, slices, table
+from paceforge.llm.sampling import below
 
 #: (rule, verdict); a rule is a host suffix and, from its first slash on, a path prefix.
 RULES = (
@@ -69,13 +72,13 @@ def _entropy(text: str) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def suffixes(host: str) -> tuple[str, str]:
+def suffixes(host: Column) -> tuple[Column, Column]:
     """The last label of a host, and its last two."""
-    labels = host.split(".")
-    return labels[-1], ".".join(labels[-2:])
+    return F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
 
 
-def lexical(url: str | None, host: str, path: str, stats: dict[str, tuple[float, float]], prior: float) -> list[float]:
+def lexical(url: str | None, host: str, path: str, suffix_stats: Sequence[float]) -> list[float]:
+    """The features of a URL; ``suffix_stats``: the last four."""
     url = url or ""
     _, _, query = url.partition("?")
     query, _, fragment = query.partition("#")
@@ -86,21 +89,17 @@ def lexical(url: str | None, host: str, path: str, stats: dict[str, tuple[float,
         _entropy(url), _entropy(host), query.count("=") + query.count("&") if query else 0,
         float("#" in url), float(url.startswith("https")),
     ]
-    for suffix in suffixes(host):
-        out += stats.get(suffix, (prior, 0.0))
-    return [float(x) for x in out]
+    return [float(x) for x in (*out, *suffix_stats)]
 
 
 @dataclass(frozen=True)
 class Trees:
-    """Complete binary trees: feature, threshold by node; value by leaf.  Also the suffix statistics."""
+    """Complete binary trees: feature, threshold by node; value by leaf."""
 
     feature: np.ndarray
     threshold: np.ndarray
     value: np.ndarray
     start: float
-    stats: dict[str, tuple[float, float]]
-    prior: float
 
     def blocked(self, x: np.ndarray) -> np.ndarray:
         """Probability that each row is blocked."""
@@ -154,24 +153,12 @@ def boost(
     return features, thresholds, values, start
 
 
-def fit(rows: list[tuple[str, str, str, bool]], max_suffixes: int = 1000) -> Trees:
-    """Train on (url, host, path, blocked)."""
-    y = np.array([float(r[3]) for r in rows])
-    prior = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
-    seen: dict[str, list[float]] = {}
-    for (_, host, _, _), label in zip(rows, y):
-        for s in suffixes(host):
-            one = seen.setdefault(s, [0.0, 0.0])
-            one[0] += label
-            one[1] += 1
-    largest = sorted(seen.items(), key=lambda kv: (-kv[1][1], kv[0]))[:max_suffixes]
-    stats = {s: ((b + prior) / (n + 1), float(np.log1p(n))) for s, (b, n) in largest}
+def fit(x: np.ndarray, y: np.ndarray) -> Trees:
+    """Train on features and whether each row is blocked."""
     if not len(y) or y.min() == y.max():
         none = np.zeros((0, 1), np.int64)
-        start = 20.0 if len(y) and y[0] else -20.0
-        return Trees(none, none.astype(float), np.zeros((0, 2)), start, stats, prior)
-    x = np.array([lexical(u, h, p, stats, prior) for u, h, p, _ in rows])
-    return Trees(*boost(x, y), stats, prior)
+        return Trees(none, none.astype(float), np.zeros((0, 2)), 20.0 if len(y) and y[0] else -20.0)
+    return Trees(*boost(x, y))
 
 
 def with_rules(df: DataFrame, id_col: str, url_col: str, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -181,13 +168,59 @@ def with_rules(df: DataFrame, id_col: str, url_col: str, rules: Sequence[tuple[s
     return out.select("*", rule.alias("rule"), verdict.alias("ruled"))
 
 
-def train(ruled: DataFrame, sample: int = 20_000, longest: int = 2048) -> Trees:
-    """Fit on at most ``sample`` URLs that a rule decides, in the order of a hash; URLs over ``longest`` bytes don't train."""
-    blocked = (F.col("ruled") == "block").alias("blocked")
+_FOLDS = 5
+_STATS = ("suffix_block", "suffix_weight", "second_block", "second_weight")
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(9)), F.lit(_FOLDS))
+
+
+def suffix_counts(ruled: DataFrame) -> DataFrame:
+    """(suffix, n, blocked): labelled rows with the suffix in all, then those in each fold, as arrays."""
+    rows = ruled.filter("rule IS NOT NULL")
+    last, two = suffixes(F.col("host"))
+    rows = rows.select(F.explode(F.array_distinct(F.array(last, two))).alias("suffix"), (F.col("ruled") == "block").alias("b"), _fold().alias("fold"))
+    in_fold = [F.col("fold") == k for k in range(_FOLDS)]
+    return rows.groupBy("suffix").agg(
+        F.array(F.count(F.lit(1)), *[F.count_if(f) for f in in_fold]).alias("n"),
+        F.array(F.count_if("b"), *[F.count_if(F.col("b") & f) for f in in_fold]).alias("blocked"),
+    )
+
+
+def with_stats(rows: DataFrame, counts: DataFrame, prior: float, out_of_fold: bool = False) -> DataFrame:
+    """Adds the four statistics of each row's suffixes; ``out_of_fold``: without the row's own fold."""
+    fold = (_fold() + 1).cast("int")
+    out = rows
+    for suffix, (share, weight) in zip(suffixes(F.col("host")), (_STATS[:2], _STATS[2:])):
+        own = counts.select(F.col("suffix").alias(share), F.col("n").alias("n_"), F.col("blocked").alias("b_"))
+        out = out.withColumn("s_", suffix).join(own, F.col("s_") == F.col(share), "left").drop(share, "s_")
+        sums = [F.get(c, F.lit(0)) - (F.get(c, fold) if out_of_fold else F.lit(0)) for c in ("b_", "n_")]
+        b, n = (F.coalesce(c, F.lit(0)).cast("double") for c in sums)
+        out = out.withColumns({share: (b + prior) / (n + 1), weight: F.log1p(n)}).drop("n_", "b_")
+    return out
+
+
+def features(batch: pa.RecordBatch) -> np.ndarray:
+    columns = [batch.column(c).to_pylist() for c in ("url", "host", "path", *_STATS)]
+    return np.array([lexical(u, h, p, stats) for u, h, p, *stats in zip(*columns)]).reshape(batch.num_rows, -1)
+
+
+def train(ruled: DataFrame, counts: DataFrame, prior: float, sample: int = 20_000, longest: int = 2048) -> Trees:
+    """Fit on at most ``sample`` distinct URLs that a rule decides, in the order of a hash; URLs over ``longest`` bytes don't train."""
+    x, y = training_rows(ruled, counts, prior, sample, longest)
+    return fit(x, y)
+
+
+def training_rows(ruled: DataFrame, counts: DataFrame, prior: float, sample: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
     rows = ruled.filter("rule IS NOT NULL").filter(F.octet_length("url") <= longest)
-    rows = rows.select("url", "host", "path", blocked, F.lit(0).alias("any"))
-    found = first_by_hash(rows, "any", "url", sample).collect()
-    return fit(sorted((r.url, r.host, r.path, r.blocked) for r in found))
+    n = rows.agg(F.approx_count_distinct("url")).first()[0]
+    rows = rows.withColumn("h", F.xxhash64("url")).filter(below(F.col("h"), F.lit((1.5 * sample + 20) / max(n, 1))))
+    rows = rows.select("url", "host", "path", "h", (F.col("ruled") == "block").alias("blocked")).distinct()
+    rows = with_stats(rows.orderBy("h", "url").limit(sample), counts, prior, out_of_fold=True)
+    found = sorted(map(tuple, rows.select("h", "url", "host", "path", *_STATS, "blocked").collect()))
+    x = np.array([lexical(u, h, p, stats) for _, u, h, p, *stats, _ in found]).reshape(len(found), len(FEATURES))
+    return x, np.array([float(r[-1]) for r in found])
 
 
 def filter_urls(
@@ -202,23 +235,22 @@ def filter_urls(
     Where no rule fits, a block takes a score of ``least`` or more.
     """
     ruled = with_rules(df, id_col, url_col, rules)
-    trees = train(ruled)
+    counts = broadcast_if_small(cut_lineage(suffix_counts(ruled)))
+    n, blocked = ruled.filter("rule IS NOT NULL").agg(F.count(F.lit(1)), F.count_if(F.col("ruled") == "block")).first()
+    prior = (blocked + 0.5) / (n + 1)
+    trees = train(ruled, counts, prior)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            url, host, path, says = (batch.column(c).to_pylist() for c in ("url", "host", "path", "ruled"))
-            if not url:
-                continue
-            x = np.array([lexical(*r, trees.stats, trees.prior) for r in zip(url, host, path)])
-            p = trees.blocked(x)
-            verdict = [r or ("block" if b >= least else "allow") for r, b in zip(says, p)]
+        for batch in slices(batches, 4096):
+            p = trees.blocked(features(batch))
+            verdict = [r or ("block" if b >= least else "allow") for r, b in zip(batch.column("ruled").to_pylist(), p)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("id", "host", "path", "rule")] + [pa.array(verdict), pa.array(p)],
+                [batch.column(c) for c in ("id", "host", "path", "rule")] + [pa.array(verdict, pa.string()), pa.array(p)],
                 names=["id", "host", "path", "rule", "verdict", "block_score"],
             )
 
     id_type = df.schema[id_col].dataType.simpleString()
-    out = ruled.mapInArrow(
+    out = with_stats(ruled, counts, prior).mapInArrow(
         judge, f"id {id_type}, host string, path string, rule string, verdict string, block_score double"
     )
     return out.withColumnRenamed("id", id_col)
