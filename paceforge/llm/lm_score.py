@@ -9,10 +9,13 @@ probability is the sum over all ways to cut it into pieces (single bytes
 included), by forward recursion in log space; a text's is the product over its
 words and one end.
 
-Word counts of the whole corpus are gathered by a shuffle on the word.  Words
-above a count, ``table_size`` of them at most, are broadcast with both scores;
-the rest of each document's words meet their scores in a join on the word, so
-neither the driver nor a task ever holds the whole vocabulary.
+Word counts of the whole corpus are gathered by a shuffle on the word, and each
+distinct word is scored once.  Words above a count, ``table_size`` of them at
+most, are broadcast with both scores; the rest of each document's words meet
+their scores in a join on the word, so neither the driver nor a task ever holds
+the whole vocabulary.  A word of more than 64 bytes is looked up by its digest, so
+one that every document holds is broadcast like any other.  The sums are of
+decimals, and the same on every run.
 
 Edge cases: a null or empty text is the end alone.  A row with a null id is
 scored and not learned from.  Rows with equal ids are scored, and learned from,
@@ -21,7 +24,9 @@ one by one; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -29,7 +34,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.llm.bpe import resolve
@@ -50,35 +55,38 @@ class Lattice:
         self.log_p, self.byte_log_p = log_p, byte_log_p
         self.longest = max(map(len, log_p), default=1)
 
-    def _forward(self, text: str) -> tuple[list[float], list[list[tuple[int, str | None, float]]]]:
-        """Log sums up to each place, and the edges that end there; an edge without a piece is a character's bytes."""
-        get, longest = self.log_p.get, self.longest
-        alpha, edges = [0.0], [[]]
-        for j in range(1, len(text) + 1):
-            own = [(j - 1, None, sum([self.byte_log_p[b] for b in text[j - 1].encode()]))]
-            for i in range(max(0, j - longest), j):
-                p = get(text[i:j])
-                if p is not None:
-                    own.append((i, text[i:j], p))
-            alpha.append(_log_sum([alpha[i] + p for i, _, p in own]))
-            edges.append(own)
-        return alpha, edges
+    def _edges(self, text: str, j: int) -> list[tuple[int, str | None, float]]:
+        """(start, piece, log probability) of what may end at ``j``; an edge without a piece is a character's bytes."""
+        get = self.log_p.get
+        own = [(j - 1, None, sum([self.byte_log_p[b] for b in text[j - 1].encode()]))]
+        for i in range(max(0, j - self.longest), j):
+            p = get(text[i:j])
+            if p is not None:
+                own.append((i, text[i:j], p))
+        return own
 
     def word(self, word: bytes) -> float:
-        return self._forward(_MARK + word.decode())[0][-1] / math.log(10)
+        """log10 probability of a word; holds the sums of the last few places only."""
+        text = _MARK + word.decode()
+        ring = [0.0] * (self.longest + 1)
+        size = len(ring)
+        for j in range(1, len(text) + 1):
+            ring[j % size] = _log_sum([ring[i % size] + p for i, _, p in self._edges(text, j)])
+        return ring[len(text) % size] / math.log(10)
 
     def expect(self, word: bytes, times: float, into: dict[str, float], by_byte: np.ndarray | None = None) -> None:
         """Add the expected number of each piece in ``times`` occurrences of a word; that of single bytes to ``by_byte``."""
         text = _MARK + word.decode()
-        alpha, edges = self._forward(text)
-        ahead: list[list[float]] = [[] for _ in alpha]
-        ahead[-1].append(0.0)
-        for j in range(len(alpha) - 1, 0, -1):
-            if not ahead[j]:
+        alpha = array("d", [0.0])
+        for j in range(1, len(text) + 1):
+            alpha.append(_log_sum([alpha[i] + p for i, _, p in self._edges(text, j)]))
+        ahead: dict[int, list[float]] = {len(text): [0.0]}  # of the places still to come, as far as a piece reaches
+        for j in range(len(text), 0, -1):
+            if j not in ahead:
                 continue
-            rest = _log_sum(ahead[j])
-            for i, piece, p in edges[j]:
-                ahead[i].append(rest + p)
+            rest = _log_sum(ahead.pop(j))
+            for i, piece, p in self._edges(text, j):
+                ahead.setdefault(i, []).append(rest + p)
                 share = times * math.exp(alpha[i] + p + rest - alpha[-1])
                 if piece is not None:
                     into[piece] = into.get(piece, 0.0) + share
@@ -224,7 +232,15 @@ def piece_scores(counts: dict[str, float], model: str, smoothing: float = 0.1) -
 
 
 def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+    """Words as they are looked up, see looked_up()."""
+    found = text.lower().split()
+    return [w if len(w) <= 64 else b"\0" + hashlib.md5(w).digest() for w in found]
+
+
+def looked_up(word: Column) -> Column:
+    """The key of a word: itself, or a digest of more than 64 bytes."""
+    digest = F.concat(F.lit(bytearray(b"\0")), F.unhex(F.md5(word)))
+    return F.when(F.octet_length(word) <= 64, word).otherwise(digest)
 
 
 def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
@@ -250,7 +266,7 @@ def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
 
         for batch in slices(batches):
             for text, trains in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-                (trained if trains else held).update(_words(text))
+                (trained if trains else held).update(text.lower().split())
                 if len(trained) + len(held) > most:
                     yield rows()
         if trained or held:
@@ -300,7 +316,37 @@ def expected_counts(words: DataFrame, lattice: Lattice) -> dict[str, float]:
         )
 
     rows = words.filter("trained > 0").select("word", "trained").mapInArrow(expect, "piece string, n double")
-    return dict(rows.groupBy("piece").agg(F.sum("n").alias("n")).collect())
+    return dict(rows.groupBy("piece").agg(_exact_sum(F.col("n"), 12).cast("double").alias("n")).collect())
+
+
+def _exact_sum(x: Column, decimals: int = 10) -> Column:
+    """A sum that is the same in any order."""
+    return F.sum(x.cast(f"decimal(28,{decimals})"))
+
+
+def fitted(words: DataFrame, ends: int, model: str, refined: int) -> tuple[Lattice, float]:
+    """Lattice and log10 probability of the end, learned from word_counts() and the number of texts."""
+    lattice, end_score = piece_scores(piece_counts(words, model) | {_END: ends}, model)
+    for _ in range(refined):
+        lattice, end_score = piece_scores(expected_counts(words, lattice) | {_END: ends}, model)
+    return lattice, end_score
+
+
+def scored_words(words: DataFrame, lattice: Lattice) -> DataFrame:
+    """(key, trained, used, score): each word's key, counts and log10 probability."""
+    tables = words.sparkSession.sparkContext.broadcast((lattice.log_p, lattice.byte_log_p))
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Expectations(Lattice(*tables.value))
+        for batch in slices(batches, 10_000):
+            s = own.scores(batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(s, pa.float64())],
+                names=["key", "trained", "used", "score"],
+            )
+
+    keyed = words.select(looked_up(F.col("word")).alias("key"), "trained", "used", "word")
+    return keyed.mapInArrow(score, "key binary, trained long, used long, score double")
 
 
 def score_texts(
@@ -329,30 +375,27 @@ def score_texts(
     known = words.agg(F.sum("trained"), F.count_if(F.col("trained") > 0)).first()
     n, v = (known[0] or 0) + ends, known[1] + (ends > 0)
     floor = math.log10(n + 0.1 * (v + 1))
+    lattice, end_score = fitted(words, ends, model, refined)
+    scored = cut_lineage(scored_words(words, lattice))
     # the least power of two that no more than table_size words reach
     power = F.floor(F.log2("used")).cast("int").alias("power")
-    short = words.filter(F.octet_length("word") <= 64)
     reach, least = 0, 62
-    for p, c in sorted(short.groupBy(power).agg(F.count(F.lit(1))).collect(), reverse=True):
+    for p, c in sorted(scored.groupBy(power).agg(F.count(F.lit(1))).collect(), reverse=True):
         reach += c
         if reach > table_size:
             break
         least = p
-    frequent = (F.col("used") >= 2**least) & (F.octet_length("word") <= 64)
-    head = words.filter(frequent).select("word", "trained").collect()
-    lattice, end_score = piece_scores(piece_counts(words, model) | {_END: ends}, model)
-    for _ in range(refined):
-        lattice, end_score = piece_scores(expected_counts(words, lattice) | {_END: ends}, model)
-    index = {bytes(r.word): k for k, r in enumerate(head)}
+    frequent = F.col("used") >= 2**least
+    head = scored.filter(frequent).select("key", "trained", "score").collect()
+    index = {bytes(r.key): k for k, r in enumerate(head)}
     shared = spark.sparkContext.broadcast(
         (
             index,
             np.array([math.log10(r.trained + 0.1) - floor for r in head] + [0.0]),
-            np.append(Expectations(lattice).scores([bytes(r.word) for r in head]), 0.0),
+            np.array([r.score for r in head] + [0.0]),
             np.array([r.trained > 0 for r in head] + [False]),
         )
     )
-    tables = spark.sparkContext.broadcast((lattice.log_p, lattice.byte_log_p))
     end_base = math.log10(ends + 0.1) - floor
 
     def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,23 +435,13 @@ def score_texts(
                 names=["uid", "word", "times", "id", "held_out", "n_tokens", "n_known", "base", "score"],
             )
 
-    def rare_scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Expectations(Lattice(*tables.value))
-        for batch in batches:
-            s = own.scores(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["word", "trained", "w_score"]
-            )
-
     id_type = df.schema[id_col].dataType.simpleString()
     found = docs.select("id", "text", "held_out").mapInArrow(
         look_up,
         f"uid long, word binary, times long, id {id_type}, held_out boolean, n_tokens long, n_known long, "
         "base double, score double",
     )
-    rare = words.filter(~frequent).select("word", "trained").mapInArrow(
-        rare_scores, "word binary, trained long, w_score double"
-    )
+    rare = scored.filter(~frequent).select(F.col("key").alias("word"), "trained", F.col("score").alias("w_score"))
     joined = found.join(rare.hint("shuffle_merge"), "word", "left")
     w_base = F.log10(F.col("trained") + 0.1) - floor
     out = joined.groupBy("uid").agg(
@@ -416,8 +449,8 @@ def score_texts(
         F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
         (F.max("n_known") + F.coalesce(F.sum(F.when(F.col("trained") > 0, F.col("times"))), F.lit(0))).alias("n_known"),
-        (F.max("base") + F.coalesce(F.sum(w_base * F.col("times")), F.lit(0.0))).alias("base_score"),
-        (F.max("score") + F.coalesce(F.sum(F.col("w_score") * F.col("times")), F.lit(0.0))).alias("score"),
+        (F.max("base") + F.coalesce(_exact_sum(w_base * F.col("times")).cast("double"), F.lit(0.0))).alias("base_score"),
+        (F.max("score") + F.coalesce(_exact_sum(F.col("w_score") * F.col("times")).cast("double"), F.lit(0.0))).alias("score"),
     )
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),

@@ -112,11 +112,61 @@ def test_url_rules_and_verdicts(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def _plain_entropy(text):
+    n = Counter(text.encode())
+    return -sum(c / sum(n.values()) * math.log2(c / sum(n.values())) for c in n.values())
+
+
+def test_verdicts_of_the_trees_by_a_plain_version(spark):
+    """Features, suffix counts over all rows and tree walks, each in plain Python; one URL makes up a third of the rows."""
+    rng = corpus.random.Random(7)
+    hosts = [f"{rng.choice('abcdef')}{k % 9}.{rng.choice(('com', 'net', 'org', 'example.org', 'example.com'))}" for k in range(60)]
+    urls = [f"http{'s' * (k % 2)}://{rng.choice(hosts)}/{rng.choice(('de', 'fr', 'es', 'en'))}/{k}{'?a=1&b=2' * (k % 5 == 0)}" for k in range(400)]
+    urls += ["https://hot.com/de/1"] * 200 + [None, "none", "http://a-b.net/x" + "9" * 3000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    ruled = url_filter.with_rules(df, "page_id", "url", url_filter.RULES).cache()
+    counts = url_filter.suffix_counts(ruled)
+    rows = url_filter.with_stats(ruled, counts, 0.25).collect()
+    marked = [(r.host.split("."), r.ruled == "block") for r in rows if r.rule]
+    n, blocked = Counter(), Counter()
+    for labels, b in marked:
+        for s in {labels[-1], ".".join(labels[-2:])}:
+            n[s] += 1
+            blocked[s] += b
+    assert {r.suffix: (r.n[0], r.blocked[0]) for r in counts.collect()} == {s: (n[s], blocked[s]) for s in n}
+    prior = (sum(b for _, b in marked) + 0.5) / (len(marked) + 1)
+    x, y = url_filter.training_rows(ruled, counts, prior, 20_000, 2048)
+    assert len(y) == len({r.url for r in rows if r.rule and len(r.url) <= 2048})
+    assert [len(url_filter.training_rows(ruled, counts, prior, k, 2048)[1]) for k in (10, 50)] == [10, 50]
+    trees = url_filter.fit(x, y)
+    found = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
+    rows = url_filter.with_stats(ruled, counts, prior).collect()
+    for r in rows:
+        labels, url = r.host.split("."), r.url or ""
+        query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+        plain = [len(url), len(r.host), len(r.path), len(query), len([s for s in r.path.split("/") if s]), len(labels) if r.host else 0]
+        plain += [sum(c.isdigit() for c in url), sum(c.isdigit() for c in url) / max(len(url), 1), r.host.count("-"), _plain_entropy(url)]
+        plain += [_plain_entropy(r.host), query.count("=") + query.count("&"), "#" in url, url.startswith("https")]
+        for s in (labels[-1], ".".join(labels[-2:])):
+            plain += [(blocked[s] + prior) / (n[s] + 1), math.log1p(n[s])]
+        own = url_filter.lexical(r.url, r.host, r.path, [r[c] for c in url_filter._STATS])
+        assert own == pytest.approx([float(x) for x in plain], abs=1e-9)
+        plain, total = own, trees.start  # a threshold may lie on the last digit
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value):
+            k = 0
+            while k < len(f):
+                k = 2 * k + (2 if plain[f[k]] > t[k] else 1)
+            total += v[k - len(f)]
+        p = 1 / (1 + math.exp(-total))
+        assert found[r.id].block_score == pytest.approx(p, rel=1e-9)
+        assert found[r.id].verdict == (r.ruled or ("block" if p >= 0.6 else "allow"))
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 5))
     y = ((x[:, 0] > 0.6) | (x[:, 3] > 0.7)).astype(float)
-    trees = url_filter.Trees(*url_filter.boost(x[:1500], y[:1500]), {}, 0.0)
+    trees = url_filter.fit(x[:1500], y[:1500])
     assert np.mean((trees.blocked(x[1500:]) > 0.5) == y[1500:]) > 0.95
 
 
@@ -138,7 +188,7 @@ def test_pipeline_equals_its_parts(spark, tables):
     rows = [r for r, x in zip(rows, p) if language_id.has_letter(r[1]) and x.max() >= 0.4]
     scorer = quality_classifier.Scorer(quality_classifier.train(corpus.frame(spark, rows), spark.read.parquet(f"{sf_dir}/labels.parquet")))
     rows = [r for r in rows if scorer.score(r[1].encode()) >= 0.5]
-    component = corpus.near_components(rows)
+    component = corpus.near_components(rows, 80)
     once, seen = [], set()
     for r in rows:
         if r[0] is None or (component[r[0]] == r[0] and r[0] not in seen):

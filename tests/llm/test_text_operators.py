@@ -32,7 +32,9 @@ def _odd_texts(n=1500):
 def test_token_counts_equal_the_library(spark):
     rows = corpus.documents() + [(5000 + k, t, "", "", 0) for k, t in enumerate(_odd_texts())]
     library = _tokenizer("byte_bpe_50k.json")
-    found = tokens.count_tokens(corpus.frame(spark, rows), table_size=500, counter_size=800, worker_cache=300).collect()
+    docs = corpus.frame(spark, rows).selectExpr("*", "1 AS id", "2 AS n_tokens")
+    found = tokens.count_tokens(docs, table_size=500, counter_size=800, worker_cache=300, sample_rows=400).collect()
+    assert tokens.count_tokens(docs.limit(0)).count() == 0
     expected = Counter()
     for i, t in _texts(rows):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
@@ -49,6 +51,9 @@ def test_packing_round_trip(spark):
     for r in found:
         pieces.setdefault(r.doc_id, []).append(r)
     assert len({r.sequence_id for r in found}) == len(found)
+    extra = corpus.frame(spark, rows).selectExpr("*", "1 AS id", "2 AS start", "3 AS ids")
+    assert packing.pack_documents(extra, longest=256).count() == len(found)
+    assert packing.pack_documents(extra.limit(0)).count() == 0
     for i, t in _texts(rows):
         ids = library.encode(t or "", add_special_tokens=False).ids + [2]
         own = sorted(pieces[i], key=lambda r: r.start)
@@ -99,6 +104,32 @@ def test_quality_rules_counts_and_verdicts(spark):
     assert quality_rules.quality_rules(corpus.frame(spark, [])).count() == 0
 
 
+def test_quality_verdicts_by_a_plain_version(spark):
+    import zstandard
+
+    def ratio(part):
+        return len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(part)) / len(part)
+
+    rows = corpus.documents() + [(7000, "a b c d e f g " * 200_000, "", "", 0)]
+    extra = corpus.frame(spark, rows).selectExpr("*", "1 AS id", "2 AS kept", "3 AS ratio")
+    found = {r.doc_id: r for r in quality_rules.quality_rules(extra).collect()}
+    for i, t in _texts(rows):
+        data = (t or "").encode()
+        fits = True
+        if data:
+            for least, low, high in quality_rules.BANDS:
+                if len(data) >= least:
+                    limits = low, high
+            fits = limits[0] <= ratio(data) <= limits[1]
+            n = quality_rules.CHUNK
+            chunks = [data[k : k + n] for k in range(0, len(data) - n + 1, n)]
+            chunks += [data[-n:]] if chunks and len(data) % n else []
+            odd = [not quality_rules.CHUNK_LOW <= ratio(c) <= quality_rules.CHUNK_HIGH for c in chunks]
+            fits = fits and sum(odd) <= quality_rules.CHUNK_SHARE * len(odd)
+        assert found[i].kept == (fits and not found[i].base_failed), i
+    assert {r.kept for r in found.values()} == {True, False}
+
+
 def test_quality_rules_judge_the_tail(spark):
     rng = corpus.random.Random(4)
     clean = corpus.prose(rng, "en", 2000).encode()[: quality_rules.CHUNK].decode()
@@ -127,6 +158,38 @@ def test_quality_classifier_on_held_out(spark):
     assert kept.columns[-1] == "score" and kept.count() == sum(r.predicted for r in found)
 
 
+def test_quality_scores_by_a_plain_version(spark):
+    import zstandard
+
+    rows = corpus.documents()
+    docs = corpus.frame(spark, rows).selectExpr("*", "1 AS id", "2 AS predicted")
+    model = quality_classifier.train(docs, corpus.labels(spark, rows))
+
+    def size(part, content):
+        d = zstandard.ZstdCompressionDict(content)
+        return len(zstandard.ZstdCompressor(level=model.level, dict_data=d, write_content_size=False, write_dict_id=False).compress(part))
+
+    found = {r.doc_id: r.score for r in quality_classifier.score_quality(docs, model).collect()}
+    prior = math.log(model.prior / (1 - model.prior))
+    for i, t in _texts(rows):
+        data = (t or "").encode()
+        x = prior
+        if data:
+            chunks = [data[k : k + model.chunk] for k in range(0, len(data), model.chunk)]
+            gain = sum(size(c, model.bad) - size(c, model.good) for c in chunks) / len(data)
+            x += (model.slope * gain + model.offset) * len(data) / (len(data) + quality_classifier.HALF_WEIGHT)
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-x)), rel=1e-9), i
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_quality_classifier_with_few_labels(spark, n):
+    rng = corpus.random.Random(n)
+    good, bad = ([[f(rng, "en", 150).encode()] for _ in range(n)] for f in (corpus.prose, corpus.junk))
+    scorer = quality_classifier.Scorer(quality_classifier.fit(good, bad))
+    one, other = (scorer.score(f(rng, "en", 150).encode()) for f in (corpus.prose, corpus.junk))
+    assert one > other and (n < 5 or one > 0.5 > other)
+
+
 def test_quality_classifier_without_labels(spark):
     docs = corpus.frame(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -175,6 +238,17 @@ def test_language_id_on_held_out(spark):
     assert kept.columns[-1] == "lang_pred" and 0 < kept.count() < len(rows)
 
 
+def test_samples_take_each_key_once(spark):
+    from paceforge.llm.sampling import first_by_hash, labelled_pieces
+
+    rows = [(k % 40 if k % 3 else 0, f"text {k % 40 if k % 3 else 0}", "en" if k % 2 else "de", "", 0) for k in range(3000)]
+    docs = corpus.frame(spark, rows)
+    found = first_by_hash(docs, "lang", "doc_id", 5).collect()
+    assert len(found) == len({(r.lang, r.doc_id) for r in found}) == 10
+    pieces = labelled_pieces(docs, None, "lang", docs.doc_id >= 0, 50, 4, 128)
+    assert len(pieces) == len(set(pieces)) == 41  # the id 0 has both labels
+
+
 def test_language_id_without_training_rows(spark):
     docs = corpus.frame(spark, [(1, "some text", None, "s", 0), (2, None, None, None, None)])
     assert {r.lang_pred for r in language_id.identify(docs, language_id.train(docs)).collect()} == {"und"}
@@ -182,6 +256,29 @@ def test_language_id_without_training_rows(spark):
     assert language_id.identify(empty, language_id.train(empty)).count() == 0
 
 
+def test_network_by_a_plain_recurrence():
+    net = language_id.fit([("a", b"aaa bab aab " * 9), ("b", b"xyz zzy yxx " * 9)], steps=20, window=16)
+    size = net.recurrent[0].shape[0]
+
+    def run(d, codes):
+        h, out = np.zeros(size), []
+        for c in codes:
+            x, a = net.inputs[d][c].astype(float), h @ net.recurrent[d]
+            z, r = (1 / (1 + np.exp(-(x[k * size : (k + 1) * size] + a[k * size : (k + 1) * size]))) for k in (0, 1))
+            new = np.tanh(x[2 * size :] + r * (a[2 * size :] + net.bias[d]))
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    text = b"aab zyx!"  # one window, filled up
+    codes = list(text) + [language_id.PAD] * (net.window - len(text))
+    ahead, back = run(0, codes), run(1, codes[::-1])[::-1]
+    logits = np.array([np.concatenate(p) @ net.output + net.output_bias for p in zip(ahead, back)])
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    assert language_id.predict(net, [text])[0] == pytest.approx(p[: len(text)].mean(axis=0), abs=1e-4)
+
+
 def test_whole_texts_are_read():
     """A text's distribution is the mean over all its windows."""
     net = language_id.fit([("a", b"aaa bab aab " * 9), ("b", b"xyz zzy yxx " * 9)], steps=60)
@@ -213,14 +310,40 @@ def test_lm_scores(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9)
         assert r.held_out == (r.doc_id is not None and corpus.bucket(r.doc_id, 10) == 0)
         assert math.isfinite(r.score) and r.score < 0
+    # whole texts, word by word
+    words = lm_score.word_counts(docs.selectExpr("text", "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0, false) AS trains"))
+    lattice, end_score = lm_score.fitted(words, ends, "piece_bpe_32k.model", 3)
+    by_id = {r.doc_id: r.score for r in found}
+    for i, t in _texts(rows):
+        own = [lattice.word(w.encode()) for w in corpus.words(corpus.lower(t or ""))]
+        assert by_id[i] == pytest.approx(math.fsum(own) + end_score, rel=1e-6)
+    assert sorted(map(str, lm_score.score_texts(docs, table_size=50).collect())) == sorted(map(str, found))
     plain = lm_score.score_texts(docs, table_size=50, refined=0).collect()
     assert sum(r.score for r in found) > sum(r.score for r in plain)
-    found = plain
-    other = {r.doc_id: r.score for r in lm_score.score_texts(docs, table_size=100_000, refined=0).collect()}
-    assert all(r.score == pytest.approx(other[r.doc_id], rel=1e-9) for r in found)
+    extra = docs.selectExpr("*", "1 AS id", "2 AS word", "3 AS trains", "4 AS score")
+    other = {r.doc_id: r.score for r in lm_score.score_texts(extra, table_size=100_000, refined=0).collect()}
+    assert all(r.score == pytest.approx(other[r.doc_id], rel=1e-9) for r in plain)
     assert lm_score.score_texts(corpus.frame(spark, [])).count() == 0
 
 
+def test_long_words_take_little_memory_and_may_be_frequent(spark):
+    import tracemalloc
+
+    lattice = lm_score.Lattice({"▁": -2.0, "a": -3.0, "ab": -4.0}, [-6.0] * 256)
+    tracemalloc.start()
+    score = lattice.word(b"ab" * 200_000)
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000 and score < -300_000
+    tracemalloc.stop()
+    line = "=" * 300
+    rows = [(k, f"{line} word{k % 7} {line}x", "", "", 0) for k in range(60)] + [(90, "y" * 20_000, "", "", 0)]
+    few, many = (sorted(map(str, lm_score.score_texts(corpus.frame(spark, rows), table_size=n).collect())) for n in (1, 1000))
+    pattern = r"score=(-[0-9.]+)"
+    import re
+
+    for a, b in zip(few, many):
+        assert [float(x) for x in re.findall(pattern, a)] == pytest.approx([float(x) for x in re.findall(pattern, b)], rel=1e-9)
+
+
 def test_lattice_sums_all_segmentations():
     p = {"▁": 0.1, "▁a": 0.2, "a": 0.1, "b": 0.15, "ab": 0.05, "▁ab": 0.1}
     lattice = lm_score.Lattice({k: math.log(v) for k, v in p.items()}, [math.log(1e-4)] * 256)
