@@ -104,7 +104,7 @@ def frequent_units(
     if share < 1:
         rows = rows.sample(share, seed=17)
     merged: Counter = Counter()
-    for r in rows.repartition(tasks).mapInArrow(heads, "unit string, n long").toLocalIterator():
+    for r in rows.repartition(tasks).mapInArrow(heads, "unit string, n long").collect():
         merged[r.unit] += r.n
     return [u for u, _ in merged.most_common(table_size)]
 
