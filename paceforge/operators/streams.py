@@ -159,3 +159,8 @@ def heart_rate_jumps(samples: DataFrame, jump_bpm: int = 30) -> DataFrame:
     step = F.abs(F.col("heartrate") - F.lag("heartrate").over(order))
     rows = samples.filter("heartrate IS NOT NULL").select("activity_id", step.alias("step"))
     return rows.groupBy("activity_id").agg(F.count_if(F.col("step") > jump_bpm).alias("jumps"))
+
+
+def located(samples: DataFrame) -> DataFrame:
+    """Samples that have a position."""
+    return samples.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceforge import oracle as o
-from paceforge.constants import RESTING_HR, ROLLING_WINDOWS
+from paceforge.constants import RESTING_HR, ROLLING_WINDOWS, SPORTS
 from paceforge.functions import scalars as sc
 from paceforge.functions.schema_drift import drift_report
 from paceforge.operators import relational as rel
@@ -20,6 +20,7 @@ from paceforge.plans import aggregate as ag
 from paceforge.plans import bundles as bd
 from paceforge.plans import facts as fx
 from paceforge.plans import incremental as inc
+from paceforge.plans import readers as rd
 from paceforge.plans import services as sv
 from paceforge.plans import runtime as rt
 from paceforge.plans import status as stat
@@ -1052,3 +1053,111 @@ def values_merge(spark: SparkSession, sf: str) -> DataFrame:
     merged = streams_json.merged_values(samples, update.withColumn("values_json", F.lit('{"flag":"new"}')).drop("l_returnflag"))
     kept = F.get_json_object("values_json", "$.kept") == "1"
     return merged.groupBy("activity_id").agg(F.count_if(kept).alias("n"), F.count_if(F.get_json_object("values_json", "$.flag") == "new").alias("updated"))
+
+
+# readers
+
+
+@query("model_exact_day", f"WITH RECURSIVE {o.FOR_DAILY}, {o.MODEL} SELECT day, fitness, fatigue, acwr FROM model_facts WHERE day = DATE '{AS_OF}'")
+def model_exact_day(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.model_day(fx.model_facts(_load(spark, sf)), AS_OF).select("day", "fitness", "fatigue", "acwr")
+
+
+def _queue(spark: SparkSession, sf: str) -> DataFrame:
+    acts = ln.activities_o(spark, sf)
+    return acts.select(F.col("id").alias("activity_id"), (F.col("id") % 3).alias("metric_version"), F.col("activity_day").cast("string").alias("enqueued_at"), F.lit("h").alias("source_hash"))
+
+
+@query("dirty_rows_lookup", f"WITH {o.ACTS} SELECT id AS activity_id, id % 3 AS metric_version, CAST(activity_day AS VARCHAR) AS enqueued_at FROM acts WHERE id % 3 = 2 AND id IN (2, 3, 5, 8)")
+def dirty_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.dirty_rows(_queue(spark, sf), 2, [2, 3, 5, 8]).drop("source_hash")
+
+
+@query("source_state_lookup", f"WITH {o.ACTS} SELECT id AS activity_id FROM acts WHERE id IN (1, 7, 900)")
+def state_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.source_state(_queue(spark, sf), [1, 7, 900]).select("activity_id")
+
+
+@query("sync_log_newest", "SELECT event_id AS id, CAST(ts AS VARCHAR) AS timestamp FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
+def sync_log(spark: SparkSession, sf: str) -> DataFrame:
+    log = ln.read_table(spark, sf, "events").select(F.col("event_id").alias("id"), "ts").withColumn("timestamp", F.col("ts"))
+    return rd.sync_log_newest(log, 25).select("id", F.col("timestamp").cast("string").alias("timestamp"))
+
+
+@query("kudos_list", f"WITH {o.ACTS} SELECT id AS activity_id, sport_type AS firstname, CAST(kudos_count AS VARCHAR) AS lastname FROM acts ORDER BY 1, 2, 3 LIMIT 40")
+def kudos_rows(spark: SparkSession, sf: str) -> DataFrame:
+    kudos = ln.activities_o(spark, sf).select(F.col("id").alias("activity_id"), F.col("sport_type").alias("firstname"), F.col("kudos_count").cast("string").alias("lastname"))
+    return rd.kudos_list(kudos, limit=40)
+
+
+@query("activity_by_id", f"WITH {o.ACTS} SELECT id, activity_day, sport_type FROM acts WHERE id = 42")
+def by_id(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.activity_by_id(rel.hydrated(ln.activities_o(spark, sf), ln.payload_log_o(spark, sf)), 42).select("id", "activity_day", "sport_type")
+
+
+@query("sports_in_list", f"WITH {o.ACTS} SELECT id FROM acts WHERE sport_type IN ('Run', 'Hike')")
+def sports_in_list(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.of_sports(ln.activities_o(spark, sf), ["Run", "Hike"]).select("id")
+
+
+@query("efficiency_windows", "SELECT * FROM (VALUES " + ", ".join(f"('{x[0]}', {w})" for x in SPORTS for w in x[6]) + ") t(sport_type, window_days)")
+def efficiency(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.efficiency_windows(ln.read_table(spark, sf, "region"))
+
+
+@query("newest_fact_version", "SELECT 3 AS metric_version")
+def newest_fact_version(spark: SparkSession, sf: str) -> DataFrame:
+    version = lambda v: ln.activities_o(spark, sf).select(F.lit(v).alias("metric_version"))
+    return rd.newest_version(version(1), version(3), version(2))
+
+
+@query("known_ids_union", f"WITH {o.ACTS}, {o.SAMPLES} SELECT id AS activity_id FROM acts WHERE sport_type = 'Run' UNION SELECT activity_id FROM samp")
+def known_ids(spark: SparkSession, sf: str) -> DataFrame:
+    acts = ln.activities_o(spark, sf).filter("sport_type = 'Run'").select(F.col("id").alias("activity_id"))
+    return rd.known_ids(acts, ln.samples_o(spark, sf))
+
+
+@query("streams_without_channels", f"WITH {o.ACTS}, {o.SAMPLES} SELECT DISTINCT activity_id FROM samp WHERE activity_id NOT IN (SELECT id FROM acts WHERE sport_type = 'Run')")
+def no_channels(spark: SparkSession, sf: str) -> DataFrame:
+    runs = ln.activities_o(spark, sf).filter("sport_type = 'Run'").select(F.col("id").alias("activity_id"))
+    return rd.without_channel_rows(ln.samples_o(spark, sf), runs)
+
+
+@query("missing_details", f"WITH {o.ACTS} SELECT id FROM acts WHERE id % 5 <> 0")
+def missing_details(spark: SparkSession, sf: str) -> DataFrame:
+    log = ln.payload_log_o(spark, sf).filter("activity_id % 5 = 0")
+    return rd.missing_details(ln.activities_o(spark, sf), log).select("id")
+
+
+@query("legacy_payload_backfill", f"WITH {o.ACTS} SELECT id AS activity_id, 'summary' AS payload_kind, '{{}}' AS payload_json FROM acts WHERE id % 4 <> 0 UNION ALL SELECT id, 'detail', 'd' || id FROM acts WHERE id % 2 = 0")
+def legacy_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    detail = F.when(F.col("id") % 2 == 0, F.concat(F.lit("d"), F.col("id").cast("string")))
+    old = ln.activities_o(spark, sf).select("id", F.lit("{}").alias("summary_json"), detail.alias("detail_json"))
+    log = ln.payload_log_o(spark, sf).filter("payload_kind = 'summary' AND activity_id % 4 = 0")
+    return rd.legacy_payloads(old, log, "2026-01-01").select("activity_id", "payload_kind", "payload_json")
+
+
+@query("gps_samples", f"WITH {o.SAMPLES} SELECT activity_id, count(*) AS n FROM samp WHERE velocity > 2 GROUP BY 1")
+def gps_samples(spark: SparkSession, sf: str) -> DataFrame:
+    place = F.when(F.col("velocity") > 2, F.col("altitude"))
+    samples = ln.samples_o(spark, sf).withColumns({"lat": place, "lng": place})
+    return st.located(samples).groupBy("activity_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("channel_counts", f"WITH {o.ACTS} SELECT sport_type AS channel_key, count(*) AS rows, count(*) AS activities, count(*) FILTER (id % 2 = 0) AS available, count(*) FILTER (id % 2 = 1) AS unavailable, 0 AS failed FROM acts GROUP BY 1")
+def channel_counts(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.when(F.col("id") % 2 == 0, "available").otherwise("unavailable").alias("status")
+    return rd.channel_counts(ln.activities_o(spark, sf).select(F.col("id").alias("activity_id"), F.col("sport_type").alias("channel_key"), status))
+
+
+@query(
+    "mirror_counts",
+    f"""WITH {o.ACTS}, {o.SAMPLES} SELECT (SELECT count(*) FROM acts) AS activities, (SELECT count(DISTINCT activity_id) FROM samp) AS with_streams, (SELECT count(*) FROM samp) AS points,
+    (SELECT count(heartrate) FROM samp) AS hr_points, (SELECT count(DISTINCT activity_id) FROM samp WHERE heartrate IS NOT NULL) AS with_hr,
+    (SELECT count(DISTINCT activity_id) FROM samp WHERE velocity > 2) AS with_gps, (SELECT count(*) FROM acts) AS with_details, (SELECT count(*) FROM acts WHERE sport_type = 'Run') AS kudos_rows""",
+)
+def mirror_counts(spark: SparkSession, sf: str) -> DataFrame:
+    acts = ln.activities_o(spark, sf)
+    place = F.when(F.col("velocity") > 2, F.col("altitude"))
+    samples = ln.samples_o(spark, sf).withColumns({"lat": place, "lng": place})
+    return rd.mirror_counts(acts, samples, ln.payload_log_o(spark, sf), acts.filter("sport_type = 'Run'"))
