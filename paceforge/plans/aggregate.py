@@ -208,7 +208,7 @@ def _shaped(flat: DataFrame, r: AggregateRequest, scope: str, end: Column) -> Da
     partial = F.col("incomplete") | (F.col("null_count") > 0) | (F.col("excluded_count") > 0)
     status = F.when((n == 0) | F.col("value").isNull(), "unavailable").when(partial, "partial").otherwise("complete")
     versions = F.coalesce("metric_version_count", F.lit(0))
-    last = end if r.bucket == "all_time" else F.least(bucket_next(F.col("bucket_start"), r.bucket), end)
+    last = end if r.bucket == "all_time" else bucket_next(F.col("bucket_start"), r.bucket)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return flat.select(
         "metric_id",

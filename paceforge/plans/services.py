@@ -85,7 +85,7 @@ def compare_periods(sources: dict[str, DataFrame], request: AggregateRequest, ot
         "value_a",
         "value_b",
         F.bround(delta, 3).alias("delta"),
-        F.bround(delta / F.nullif(F.abs("value_b"), F.lit(0.0)) * 100.0, 2).alias("delta_pct"),
+        F.bround(delta / F.nullif(F.col("value_b"), F.lit(0.0)) * 100.0, 2).alias("delta_pct"),
         F.when(delta > _EPSILON, "up").when(delta < -_EPSILON, "down").when(delta.isNotNull(), "flat").alias("trend"),
         F.coalesce("coverage_a", F.lit(0.0)).alias("coverage_a"),
         F.coalesce("coverage_b", F.lit(0.0)).alias("coverage_b"),

@@ -101,10 +101,9 @@ def hydrate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "payload_append_if_changed",
-    f"""WITH {o.PAYLOADS}, old AS (SELECT activity_id, payload_kind, md5(payload_json) AS h FROM log WHERE fetched_at <= '1998-01-01'
-      QUALIFY row_number() OVER (PARTITION BY activity_id, payload_kind ORDER BY fetched_at DESC, md5(payload_json) DESC) = 1)
-    SELECT activity_id, payload_kind, payload_json FROM log n WHERE fetched_at > '1998-01-01' AND NOT EXISTS
-      (SELECT 1 FROM old WHERE old.activity_id = n.activity_id AND old.payload_kind = n.payload_kind AND h = md5(n.payload_json))""",
+    f"""WITH {o.PAYLOADS}, h AS (SELECT *, md5(payload_json) AS h FROM log), heads AS (SELECT activity_id, payload_kind, max((fetched_at, h)) AS top FROM h WHERE fetched_at <= '1998-01-01' GROUP BY 1, 2),
+    n AS (SELECT h.*, lag(h) OVER (PARTITION BY h.activity_id, h.payload_kind ORDER BY fetched_at, h) AS before FROM h WHERE fetched_at > '1998-01-01')
+    SELECT n.activity_id, n.payload_kind, payload_json FROM n LEFT JOIN heads USING (activity_id, payload_kind) WHERE h IS DISTINCT FROM coalesce(before, struct_extract(top, 2))""",
 )
 def append_changed(spark: SparkSession, sf: str) -> DataFrame:
     log = ln.payload_log_o(spark, sf)

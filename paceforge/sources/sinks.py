@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: New keys of this many rows at most are broadcast.
+_FEW = 500_000
+
+
 class MirrorMissing(RuntimeError):
     """A table that must exist does not."""
 
@@ -118,10 +122,17 @@ class Store:
 
 
 def append_changed(log: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose raw hash differs from the latest in the log; both have fetched_at and raw_hash."""
-    place = Window.partitionBy(*keys).orderBy(F.desc("fetched_at"), F.desc("raw_hash"))
-    known = log.withColumn("n", F.row_number().over(place)).filter("n = 1").select(*keys, "raw_hash")
-    return new.join(known, [*keys, "raw_hash"], "left_anti")
+    """Rows of ``new`` whose raw hash differs from that of the row before, in the log or in ``new`` itself.
+
+    Both have fetched_at and raw_hash.  Of the log only the keys, times and hashes of the new rows' keys are read.
+    """
+    wanted = new.select(*keys).distinct()
+    known = log.select(*keys, "fetched_at", "raw_hash").join(F.broadcast(wanted) if wanted.limit(_FEW + 1).count() <= _FEW else wanted, list(keys), "left_semi")
+    heads = known.groupBy(*keys).agg(F.max(F.struct("fetched_at", "raw_hash"))["raw_hash"].alias("known_hash"))
+    order = Window.partitionBy(*keys).orderBy("fetched_at", "raw_hash")
+    rows = new.withColumn("before_hash", F.lag("raw_hash").over(order)).join(heads, list(keys), "left")
+    before = F.coalesce("before_hash", "known_hash")
+    return rows.filter(~F.col("raw_hash").eqNullSafe(before)).select(*new.columns)
 
 
 def insert_missing(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

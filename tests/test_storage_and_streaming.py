@@ -63,6 +63,8 @@ def test_append_only_when_changed(spark):
     new = spark.createDataFrame([(1, "summary", "2026-01-03", "y"), (1, "detail", "2026-01-03", "y"), (2, "summary", "2026-01-03", "z")], kind)
     found = sinks.append_changed(log, new, ["activity_id", "payload_kind"]).collect()
     assert {(r.activity_id, r.payload_kind) for r in found} == {(1, "detail"), (2, "summary")}
+    twice = spark.createDataFrame([(1, "summary", "2026-01-03", "z"), (1, "summary", "2026-01-04", "z"), (1, "summary", "2026-01-05", "y")], kind)
+    assert sorted(r.fetched_at for r in sinks.append_changed(log, twice, ["activity_id", "payload_kind"]).collect()) == ["2026-01-03", "2026-01-05"]
     back = spark.createDataFrame([(1, "summary", "2026-01-03", "x")], kind)
     assert sinks.append_changed(log, back, ["activity_id", "payload_kind"]).count() == 1
 
