@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceforge.constants import DRIFT_DEFAULT_THRESHOLD, DRIFT_THRESHOLDS, MIN_STREAM_POINTS, MOVING_VELOCITY
@@ -92,9 +92,13 @@ def drift_of(heartrate: np.ndarray, velocity: np.ndarray, threshold: float, s: D
     n = len(heartrate)
     if n < MIN_STREAM_POINTS:
         return None
-    step = max(n // s.most_points, 1) if n > s.most_points else 1
-    hr = np.asarray(heartrate, float)[::step][: s.most_points]
-    pace = np.asarray(velocity, float)[::step][: s.most_points]
+    step = max(n // s.most_points, 1)
+    kept = slice(None, step * s.most_points, step)
+    return thinned_drift(np.asarray(heartrate, float)[kept], np.asarray(velocity, float)[kept], step, threshold, s)
+
+
+def thinned_drift(hr: np.ndarray, pace: np.ndarray, step: int, threshold: float, s: DriftSettings = DriftSettings()) -> dict:
+    """Drift of every ``step``-th moving sample in time order."""
     segment, least = max(2, s.segment_s // step), max(10, s.class_points // step)
     order = np.argsort(pace, kind="stable")
     borders, fit = choose_classes(pace[order], least, s)
@@ -148,18 +152,27 @@ SCHEMA = (
 def cardiac_drift(samples: DataFrame, sports: DataFrame | None = None) -> DataFrame:
     """One row for each activity with enough moving samples; a grouped function, as no built-in finds natural breaks.
 
+    Windows thin each activity to at most 600 samples, so a group's size has a bound.
     ``sports``: (activity_id, sport_type), for the sport's threshold.
     """
     rows = samples.filter((F.col("velocity") > MOVING_VELOCITY) & F.col("heartrate").isNotNull())
-    rows = rows.select("activity_id", "time_offset", "heartrate", "velocity")
+    every, most = Window.partitionBy("activity_id"), DriftSettings().most_points
+    rows = rows.select(
+        "activity_id",
+        "time_offset",
+        "heartrate",
+        "velocity",
+        F.count(F.lit(1)).over(every).alias("n"),
+        (F.row_number().over(every.orderBy("time_offset", "velocity", "heartrate")) - 1).alias("k"),
+    ).filter(F.col("n") >= MIN_STREAM_POINTS)
+    rows = rows.withColumn("step", F.greatest(F.floor(F.col("n") / most), F.lit(1)))
+    rows = rows.filter((F.col("k") % F.col("step") == 0) & (F.col("k") < F.col("step") * most)).drop("n", "time_offset")
     rows = rows.join(sports, "activity_id", "left") if sports is not None else rows.withColumn("sport_type", F.lit("Run"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time_offset", kind="stable")
+        pdf = pdf.sort_values("k")
         limit = DRIFT_THRESHOLDS.get(pdf["sport_type"].iloc[0], DRIFT_DEFAULT_THRESHOLD)
-        found = drift_of(pdf["heartrate"].to_numpy(float), pdf["velocity"].to_numpy(float), limit)
-        if found is None:
-            found = {"pct": None, "severity": None, "significant": False, "quality": None, "classes": 0, "fit": None}
+        found = thinned_drift(pdf["heartrate"].to_numpy(float), pdf["velocity"].to_numpy(float), int(pdf["step"].iloc[0]), limit)
         return pd.DataFrame([(pdf["activity_id"].iloc[0], *found.values())], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.groupBy("activity_id").applyInPandas(one, SCHEMA)

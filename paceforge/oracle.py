@@ -143,8 +143,43 @@ latest AS (
   QUALIFY row_number() OVER (PARTITION BY activity_id, payload_kind ORDER BY fetched_at DESC, md5(payload_json) DESC) = 1)"""
 
 SAMPLES_E = """samp_e AS (
-  SELECT activity_id, time_offset, CAST(95 + CAST(floor(value) AS BIGINT) % 90 AS BIGINT) AS heartrate,
-    CASE WHEN time_offset % 100 BETWEEN 50 AND 89 THEN 0.0 ELSE 2.0 + (event_id % 20) / 10.0 END AS velocity,
+  SELECT CAST(event_id // 500 AS BIGINT) AS activity_id, CAST(event_id % 500 AS BIGINT) AS time_offset,
+    CAST(95 + CAST(floor(value) AS BIGINT) % 90 AS BIGINT) AS heartrate,
+    CASE WHEN event_id % 500 % 100 BETWEEN 50 AND 89 THEN 0.0 ELSE 2.0 + event_id % 500 // 125 % 2 + (event_id % 20) / 100.0 END AS velocity,
     CAST(500 + event_id % 50 AS DOUBLE) AS altitude
-  FROM (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 2 + user_id % 2 AS BIGINT) AS activity_id, event_id, value,
-      row_number() OVER (PARTITION BY CAST(ts AS DATE), user_id % 2 ORDER BY ts, event_id) - 1 AS time_offset FROM events))"""
+  FROM events)"""
+
+ACTS_E = """acts AS (
+  SELECT id, activity_day, ['Run', 'TrailRun', 'Hike', 'Walk', 'Ride'][id % 5 + 1] AS sport_type, CAST(1000.0 + 100 * (id % 50) AS DOUBLE) AS distance_m,
+    480 + id % 20 AS moving_time_s, 500 + id % 20 AS elapsed_time_s, CAST(id % 7 * 10 AS DOUBLE) AS elevation_gain_m, id % 9 AS kudos_count,
+    CAST(200 + id % 100 AS DOUBLE) AS calories_kcal, id % 10 <> 0 AS has_detail,
+    CASE WHEN id % 7 <> 0 THEN CAST(100 + id % 80 AS DOUBLE) END AS summary_avg, CASE WHEN id % 7 <> 0 THEN CAST(140 + id % 80 AS DOUBLE) END AS summary_max
+  FROM (SELECT CAST(event_id // 500 AS BIGINT) AS id, CAST(min(ts) AS DATE) AS activity_day FROM events GROUP BY 1))"""
+
+CLIMB = """climb AS (
+  SELECT activity_id, CASE WHEN n >= 60 AND h >= 0.05 THEN CAST(round_even(up / h, 0) AS BIGINT) END AS vmh,
+    CASE WHEN n >= 60 AND h >= 0.05 THEN round_even(up, 0) END AS total_ascent_m, CASE WHEN n >= 60 AND h >= 0.05 THEN round_even(h, 2) END AS duration_hours
+  FROM (SELECT activity_id, count(*) AS n, coalesce(sum(rise) FILTER (rise > 0), 0) AS up, (max(time_offset) - min(time_offset)) / 3600.0::DOUBLE AS h
+    FROM (SELECT *, altitude - lag(altitude) OVER (PARTITION BY activity_id ORDER BY time_offset) AS rise FROM samp_e) GROUP BY 1))"""
+
+PAUSES = """e AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n, velocity < 0.15 AS slow FROM samp_e),
+m AS (SELECT *, CASE WHEN coalesce(NOT lag(slow) OVER w OR time_offset - lag(time_offset) OVER w > 3, TRUE) THEN 1 ELSE 0 END AS starts
+  FROM e WHERE n >= 120 WINDOW w AS (PARTITION BY activity_id ORDER BY time_offset)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY activity_id ORDER BY time_offset) AS run FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY activity_id, run ORDER BY time_offset) AS a,
+  row_number() OVER (PARTITION BY activity_id, run ORDER BY time_offset DESC) AS b FROM g WHERE slow),
+p AS (SELECT activity_id, min(time_offset) AS start_offset, max(time_offset) - min(time_offset) AS duration_s, count(*) AS sampled_s,
+  round_even(avg(heartrate) FILTER (a <= 5) - avg(heartrate) FILTER (b <= 5), 1) AS drop_bpm FROM k GROUP BY activity_id, run),
+pauses AS (SELECT *, round_even(drop_bpm / (sampled_s / 60.0::DOUBLE), 1) AS rate FROM p WHERE duration_s >= 30)"""
+
+RECOVERY = """recovery AS (
+  SELECT activity_id, count(*) AS pause_count, CAST(sum(duration_s) AS BIGINT) AS total_rest_sec, round_even(median(rate), 1) AS median_rate,
+    max(rate) AS best_rate, min(rate) AS worst_rate, round_even(avg(rate), 1) AS avg_rate FROM pauses GROUP BY activity_id)"""
+
+#: Whole facts of the dense lens, but for drift: ``whole``.
+FOR_DENSE = f"""{ACTS_E}, {SAMPLES_E}, samp AS (SELECT * FROM samp_e), {SCALARS}, {ASOF}, {ZONES}, {FACTS}, {CLIMB}, {PAUSES}, {RECOVERY},
+whole AS (
+  SELECT f.*, summary_avg AS avg_hr, summary_max AS max_hr, coalesce(pause_count, 0) AS hr_recovery_pause_count, coalesce(total_rest_sec, 0) AS hr_recovery_total_rest_sec,
+    median_rate AS hr_recovery_median_rate, best_rate AS hr_recovery_best_rate, worst_rate AS hr_recovery_worst_rate, avg_rate AS hr_recovery_avg_rate,
+    vmh AS vertical_speed_vmh, total_ascent_m AS vertical_speed_total_ascent_m, duration_hours AS vertical_speed_duration_hours
+  FROM facts f JOIN acts a ON a.id = f.activity_id LEFT JOIN climb c ON c.activity_id = f.activity_id LEFT JOIN recovery r ON r.activity_id = f.activity_id)"""

@@ -7,11 +7,12 @@ is a pair of grouping sets.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paceforge.constants import ROLLING_WINDOWS, SPORTS
 from paceforge.functions.scalars import BUCKETS, bucket_next, bucket_start
 from paceforge.plans.registry import Metric, metrics
 
@@ -20,7 +21,10 @@ SCOPES = ("global", "per_sport", "both")
 
 @dataclass(frozen=True)
 class AggregateRequest:
-    """Days are a half-open range; None takes the source's first day, or the day after its last."""
+    """Days are a half-open range; None takes the source's first day, or the day after its last.
+
+    ``window_days`` and ``as_of_day``, both or none: the stored window that ends on that day.
+    """
 
     metric_ids: tuple[str, ...] = ()
     bundle: str | None = None
@@ -32,15 +36,39 @@ class AggregateRequest:
     metric_version: int = 1
     window_days: int | None = None
     include_empty: bool = False
+    as_of_day: date | None = None
 
     def validated(self) -> list[Metric]:
+        """The metrics asked for; raises ValueError for a request that the facts cannot answer."""
         if self.bucket not in BUCKETS:
             raise ValueError(f"unknown bucket: {self.bucket}")
         if self.scope not in SCOPES:
             raise ValueError(f"unknown scope: {self.scope}")
         if self.start and self.end and self.start >= self.end:
             raise ValueError("start must lie before end")
-        return metrics(self.metric_ids, self.bundle)
+        if self.sport is not None and self.sport not in _SPORTS:
+            raise ValueError(f"unknown sport: {self.sport}")
+        if (self.window_days is None) != (self.as_of_day is None):
+            raise ValueError("window_days and as_of_day go together")
+        if self.window_days is not None and self.window_days not in ROLLING_WINDOWS:
+            raise ValueError(f"unknown window: {self.window_days} days")
+        wanted = metrics(self.metric_ids, self.bundle)
+        for m in wanted:
+            if self.scope != "both" and self.scope not in m.scopes:
+                raise ValueError(f"metric {m.metric_id} has no scope {self.scope}")
+            if self.window_days is None:
+                continue
+            if m.source != "rolling":
+                raise ValueError(f"metric {m.metric_id} has no windows")
+            if m.fixed_window and m.window_days != self.window_days:
+                raise ValueError(f"metric {m.metric_id} has a window of {m.window_days} days only")
+        return wanted
+
+    def scope_of(self, m: Metric) -> str:
+        return self.scope if self.scope != "both" or len(m.scopes) > 1 else m.scopes[0]
+
+
+_SPORTS = {s[0] for s in SPORTS}
 
 
 def prepared(facts: DataFrame, source: str) -> DataFrame:
@@ -96,12 +124,17 @@ def measure(m: Metric, days: Column) -> Column:
     raise ValueError(f"no single value for mode {m.mode}")
 
 
-def _in_range(facts: DataFrame, m: Metric, r: AggregateRequest) -> DataFrame:
+def _in_range(facts: DataFrame, m: Metric, r: AggregateRequest, scope: str) -> DataFrame:
     rows = facts.filter(F.col("metric_version") == r.metric_version)
+    of_sport = m.source == "rolling" and scope == "per_sport"
+    if m.source in ("daily", "model", "rolling") and "scope" in facts.columns:
+        rows = rows.filter(F.col("scope") == ("sport" if of_sport else "all"))
     if m.source == "rolling":
-        rows = rows.filter(F.col("window_days") == (m.window_days or r.window_days or 90))
-    if r.sport and m.source in ("activity", "social"):
+        rows = rows.filter(F.col("window_days") == (r.window_days or m.window_days))
+    if r.sport and (of_sport or m.source in ("activity", "social")):
         rows = rows.filter(F.col("sport_type") == r.sport)
+    if r.as_of_day:
+        return rows.filter(F.col("source_day") == F.lit(r.as_of_day))
     if r.start:
         rows = rows.filter(F.col("source_day") >= F.lit(r.start))
     if r.end:
@@ -119,6 +152,8 @@ def _grouped(rows: DataFrame, scope: str):
 
 def _bounds(rows: DataFrame, r: AggregateRequest) -> tuple[Column, Column]:
     """Effective range; open ends need the source's own days, which is one small aggregation."""
+    if r.as_of_day:
+        return F.lit(r.as_of_day - timedelta(days=r.window_days - 1)), F.lit(r.as_of_day + timedelta(days=1))
     if r.start and r.end:
         return F.lit(r.start), F.lit(r.end)
     found = rows.agg(F.min("source_day"), F.date_add(F.max("source_day"), 1)).first()
@@ -126,7 +161,10 @@ def _bounds(rows: DataFrame, r: AggregateRequest) -> tuple[Column, Column]:
 
 
 def aggregate(sources: dict[str, DataFrame], request: AggregateRequest) -> DataFrame:
-    """One row for each metric, bucket and group, with the columns that tell its quality."""
+    """One row for each metric, bucket and group, with the columns that tell its quality.
+
+    Ordered by bucket, metric and sport.  Raises ValueError if the facts lack a metric's column.
+    """
     wanted = [m for m in request.validated() if m.mode != "distribution"]
     if not wanted:
         raise ValueError("only distributions asked for; use distribution()")
@@ -134,22 +172,27 @@ def aggregate(sources: dict[str, DataFrame], request: AggregateRequest) -> DataF
     groups: dict[tuple, list[Metric]] = {}
     for m in wanted:
         groups.setdefault((m.source, m.window_days, m.scopes), []).append(m)
-    for (source, _, scopes), own in groups.items():
-        scope = request.scope if request.scope in scopes or request.scope == "both" and len(scopes) > 1 else scopes[0]
-        parts.append(_aggregated(prepared(sources[source], source), own, request, scope))
+    for (source, _, _), own in groups.items():
+        parts.append(_aggregated(_with_columns_of(prepared(sources[source], source), own), own, request, request.scope_of(own[0])))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.orderBy("bucket_start", "metric_id", F.coalesce("sport_type", F.lit("")))
+
+
+def _with_columns_of(facts: DataFrame, own: list[Metric]) -> DataFrame:
+    """The facts, if they have every column of these metrics."""
+    for m in own:
+        value = ("zone1_seconds",) if m.value == "hr_zones" else (m.value,)
+        if lacking := [c for c in (*value, m.weight, m.sample) if c and c not in facts.columns]:
+            raise ValueError(f"the facts lack {', '.join(lacking)} of metric {m.metric_id}")
+    return facts
 
 
 def _aggregated(facts: DataFrame, own: list[Metric], r: AggregateRequest, scope: str) -> DataFrame:
-    # a metric whose column the facts lack is unavailable
-    lacking = {c for m in own for c in (m.value, m.weight, m.sample) if c and c not in facts.columns}
-    facts = facts.withColumns({c: F.lit(None).cast("double") for c in lacking}) if lacking else facts
-    rows = _in_range(facts, own[0], r)
+    rows = _in_range(facts, own[0], r, scope)
     start, end = _bounds(rows, r)
-    rows = rows.withColumn("bucket_start", bucket_start(F.col("source_day"), r.bucket, start))
+    rows = rows.withColumn("bucket_start", start if r.as_of_day else bucket_start(F.col("source_day"), r.bucket, start))
     days = F.datediff(end, start)
     entries = []
     for m in own:
@@ -161,6 +204,7 @@ def _aggregated(facts: DataFrame, own: list[Metric], r: AggregateRequest, scope:
             F.struct(
                 F.lit(m.metric_id).alias("metric_id"),
                 F.lit(m.mode).alias("mode"),
+                F.lit(m.unit).alias("unit"),
                 measure(m, days).alias("value"),
                 (quantiles[0] if quantiles is not None else none).alias("p25"),
                 (quantiles[1] if quantiles is not None else none).alias("p75"),
@@ -183,20 +227,23 @@ def _aggregated(facts: DataFrame, own: list[Metric], r: AggregateRequest, scope:
     flat = grouped.withColumn("sport", sport).select(
         "bucket_start", "sport", "row_count", "activity_count", "metric_version_count", "incomplete", "reasons", F.inline("entries")
     )
-    if r.include_empty and r.bucket not in ("all_time",) and scope == "global":
+    if scope == "global" and (r.include_empty or r.bucket == "all_time" or r.as_of_day):
         flat = _with_empty(flat, own, r, start, end)
     return _shaped(flat, r, scope, end)
 
 
 def _with_empty(flat: DataFrame, own: list[Metric], r: AggregateRequest, start: Column, end: Column) -> DataFrame:
-    """Rows for buckets of the range without facts."""
-    spark = flat.sparkSession
-    step = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month", "year": "interval 1 year"}[r.bucket]
-    first, last = bucket_start(start, r.bucket), F.date_sub(end, 1)
-    spine = spark.range(1).select(F.explode(F.sequence(first, last, F.expr(step))).alias("bucket_start"))
-    names = F.array(*[F.struct(F.lit(m.metric_id).alias("metric_id"), F.lit(m.mode).alias("mode")) for m in own])
+    """Rows for buckets of the range without facts; a whole range or window always has its one row."""
+    spine = flat.sparkSession.range(1)
+    if r.bucket == "all_time" or r.as_of_day:
+        spine = spine.select(start.cast("date").alias("bucket_start")).filter("bucket_start IS NOT NULL")
+    else:
+        step = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month", "year": "interval 1 year"}[r.bucket]
+        first, last = bucket_start(start, r.bucket), F.date_sub(end, 1)
+        spine = spine.select(F.explode(F.sequence(first, last, F.expr(step))).alias("bucket_start"))
+    names = F.array(*[F.struct(F.lit(m.metric_id).alias("metric_id"), F.lit(m.mode).alias("mode"), F.lit(m.unit).alias("unit")) for m in own])
     wanted = spine.select("bucket_start", F.inline(names))
-    return wanted.join(flat, ["bucket_start", "metric_id", "mode"], "left")
+    return wanted.join(flat, ["bucket_start", "metric_id", "mode", "unit"], "left")
 
 
 def _shaped(flat: DataFrame, r: AggregateRequest, scope: str, end: Column) -> DataFrame:
@@ -208,11 +255,12 @@ def _shaped(flat: DataFrame, r: AggregateRequest, scope: str, end: Column) -> Da
     partial = F.col("incomplete") | (F.col("null_count") > 0) | (F.col("excluded_count") > 0)
     status = F.when((n == 0) | F.col("value").isNull(), "unavailable").when(partial, "partial").otherwise("complete")
     versions = F.coalesce("metric_version_count", F.lit(0))
-    last = end if r.bucket == "all_time" else bucket_next(F.col("bucket_start"), r.bucket)
+    last = end if r.bucket == "all_time" or r.as_of_day else bucket_next(F.col("bucket_start"), r.bucket)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return flat.select(
         "metric_id",
         F.col("mode").alias("aggregation_mode"),
+        "unit",
         "bucket_start",
         last.alias("bucket_end"),
         F.lit(f"rolling_{r.window_days}d" if r.window_days else r.bucket).alias("bucket_width"),
@@ -237,8 +285,8 @@ def distribution(sources: dict[str, DataFrame], request: AggregateRequest) -> Da
     """Long rows (metric_id, bucket_start, sport_type, category, amount) of the distributions asked for."""
     parts = []
     for m in [m for m in request.validated() if m.mode == "distribution"]:
-        scope = request.scope if request.scope in m.scopes or request.scope == "both" and len(m.scopes) > 1 else m.scopes[0]
-        rows = _in_range(prepared(sources[m.source], m.source), m, request)
+        scope = request.scope_of(m)
+        rows = _in_range(_with_columns_of(prepared(sources[m.source], m.source), [m]), m, request, scope)
         start, _ = _bounds(rows, request)
         rows = rows.withColumn("bucket_start", bucket_start(F.col("source_day"), request.bucket, start))
         if m.value == "hr_zones":

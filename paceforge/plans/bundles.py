@@ -58,14 +58,14 @@ def warnings(rows: DataFrame) -> DataFrame:
 
 
 def daily_brief(sources: dict[str, DataFrame], day: date, metric_version: int = 1) -> DataFrame:
-    return aggregate(sources, AggregateRequest(bundle="daily_brief", bucket="day", start=day, end=day + timedelta(days=1), metric_version=metric_version))
+    return aggregate(sources, AggregateRequest(bundle="daily_brief", scope="both", bucket="day", start=day, end=day + timedelta(days=1), metric_version=metric_version))
 
 
 def weekly_digest(sources: dict[str, DataFrame], day: date, metric_version: int = 1) -> DataFrame:
     """The Monday week of ``day`` beside the week before: metric_id, sport_type, value, previous, delta."""
     monday = day - timedelta(days=day.weekday())
     week = lambda start: aggregate(
-        sources, AggregateRequest(bundle="weekly_digest", bucket="all_time", start=start, end=start + timedelta(days=7), metric_version=metric_version)
+        sources, AggregateRequest(bundle="weekly_digest", scope="both", bucket="all_time", start=start, end=start + timedelta(days=7), metric_version=metric_version)
     ).select("metric_id", F.coalesce("sport_type", F.lit("all")).alias("sport_type"), "value")
     before = week(monday - timedelta(days=7)).withColumnRenamed("value", "previous")
     joined = week(monday).join(before, ["metric_id", "sport_type"], "full_outer")
@@ -73,4 +73,4 @@ def weekly_digest(sources: dict[str, DataFrame], day: date, metric_version: int
 
 
 def historical(sources: dict[str, DataFrame], bucket: str = "year", metric_version: int = 1) -> DataFrame:
-    return aggregate(sources, AggregateRequest(bundle="historical_facts", bucket=bucket, metric_version=metric_version))
+    return aggregate(sources, AggregateRequest(bundle="historical_facts", scope="both", bucket=bucket, metric_version=metric_version))

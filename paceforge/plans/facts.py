@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,33 @@ from paceforge.constants import RESTING_HR, ROLLING_WINDOWS, WALK_DISCOUNT
 from paceforge.functions.scalars import acwr, acwr_zone, form_zone
 from paceforge.functions.zones import karvonen, load_of, load_points
 from paceforge.operators.sequence import day_spine, day_window, load_model
-from paceforge.operators.streams import activity_zones, adjusted_cardiac_cost, hrr_pct, running_max_hr, stream_scalars
+from paceforge.operators.drift import cardiac_drift
+from paceforge.operators.streams import (
+    activity_zones,
+    adjusted_cardiac_cost,
+    hrr_pct,
+    pauses,
+    recovery,
+    running_max_hr,
+    stream_scalars,
+    vertical_speed,
+)
 
 
 def activity_facts(
-    activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR, metric_version: int = 1, only: DataFrame | None = None
+    activities: DataFrame,
+    samples: DataFrame,
+    hr_rest: int = RESTING_HR,
+    metric_version: int = 1,
+    only: DataFrame | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
-    """One row for each activity and version.  Two aggregations of the samples, both on the activity.
+    """One row for each activity and version.
 
     ``only``: activity_id of those to compute; the highest heart rate of a day still counts all.
+    ``ordered``: with recovery, vertical speed and drift, which need each activity's samples in order;
+    without them the samples are only aggregated.  Summary columns that the activities lack
+    (avg_hr, max_hr, start_time_local, source_hash, source_revision) are null.
     """
     days = running_max_hr(activities, samples)
     if only is not None:
@@ -26,7 +46,11 @@ def activity_facts(
         samples = samples.join(only.select("activity_id"), "activity_id", "left_semi")
     scalars = stream_scalars(samples).withColumnRenamed("activity_id", "id")
     zones = activity_zones(activities, samples, hr_rest, days)
-    f = activities.join(scalars, "id", "left").join(zones, "id", "left")
+    summary = {c: activities[c] if c in activities.columns else F.lit(None).cast(t) for c, t in _SUMMARY.items()}
+    base = activities.withColumns({f"summary_{c}": v for c, v in summary.items()}).drop(*_SUMMARY)
+    f = base.join(scalars, "id", "left").join(zones, "id", "left")
+    if ordered:
+        f = f.join(ordered_measures(activities, samples).withColumnRenamed("activity_id", "id"), "id", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     no_streams, no_hr = count("stream_count") == 0, count("hr_count") == 0
     reasons = F.array_compact(
@@ -62,7 +86,45 @@ def activity_facts(
         F.col("max_hr").alias("observed_max_hr"),
         "hr_max_used",
         F.lit(hr_rest).alias("hr_rest_used"),
+        *[F.col(f"summary_{c}").alias(c) for c in _SUMMARY],
+        *([F.coalesce(c, F.lit(v)).alias(c) if v is not None else F.col(c) for c, v in _ORDERED.items()] if ordered else []),
+    )
+
+
+_SUMMARY = {"avg_hr": "double", "max_hr": "double", "start_time_local": "string", "source_hash": "string", "source_revision": "long"}
+
+#: Columns of ordered_measures(), with what stands for none found.
+_ORDERED = {
+    "hr_recovery_pause_count": 0,
+    "hr_recovery_total_rest_sec": 0,
+    "hr_recovery_median_rate": None,
+    "hr_recovery_best_rate": None,
+    "hr_recovery_worst_rate": None,
+    "hr_recovery_avg_rate": None,
+    "vertical_speed_vmh": None,
+    "vertical_speed_total_ascent_m": None,
+    "vertical_speed_duration_hours": None,
+    "cardiac_drift_pct": None,
+    "cardiac_drift_severity": None,
+    "cardiac_drift_significant": False,
+    "cardiac_drift_quality": None,
+}
+
+
+def ordered_measures(activities: DataFrame, samples: DataFrame) -> DataFrame:
+    """Recovery, vertical speed and drift of the activities that have enough samples for one of them."""
+    rested = recovery(pauses(samples))
+    rested = rested.select(
+        "activity_id", *[F.col(c).alias(f"hr_recovery_{c}") for c in rested.columns if c != "activity_id"]
+    )
+    climbs = vertical_speed(samples).filter("vmh IS NOT NULL").select(
+        "activity_id",
+        F.col("vmh").alias("vertical_speed_vmh"),
+        F.col("total_ascent_m").alias("vertical_speed_total_ascent_m"),
+        F.col("duration_hours").alias("vertical_speed_duration_hours"),
     )
+    drifts = cardiac_drift(samples, activities.select(F.col("id").alias("activity_id"), "sport_type")).drop("n_classes", "fit")
+    return rested.join(climbs, "activity_id", "full_outer").join(drifts, "activity_id", "full_outer")
 
 
 def session_bounds(samples: DataFrame, hr_rest: int = RESTING_HR) -> list[int]:
@@ -180,6 +242,8 @@ def model_facts(daily: DataFrame, metric_version: int = 1) -> DataFrame:
         F.lit("all").alias("scope"),
         F.lit("all").alias("sport_type"),
         F.lit(metric_version).cast("long").alias("metric_version"),
+        F.lit("complete").alias("completeness_status"),
+        F.array().cast("array<string>").alias("missing_reasons"),
         F.col("load").alias("effective_trimp"),
         F.col("load").alias("observed_trimp"),
         "fitness",
@@ -197,6 +261,107 @@ def model_facts(daily: DataFrame, metric_version: int = 1) -> DataFrame:
 _ROLLED = ("observed_trimp", "effective_trimp", "distance_m", "moving_time_s", "elevation_gain_m", "high_zone_seconds", "anomaly_count")
 
 
+#: Medians of the windows, and the activity fact that each is of.
+_MEDIANS = {
+    "median_cardiac_cost": "cardiac_cost",
+    "median_adjusted_cardiac_cost": "adjusted_cardiac_cost",
+    "median_hr_recovery": "hr_recovery_median_rate",
+    "median_cardiac_drift_pct": "cardiac_drift_pct",
+}
+
+
+def sport_days(daily: DataFrame, facts: DataFrame, metric_version: int = 1) -> DataFrame:
+    """Each sport's sums for every day from its first activity to the last day of ``daily``, zeros included."""
+    own = facts.filter(F.col("metric_version") == metric_version)
+    last = daily.agg(F.max("day").alias("last"))  # one row
+    firsts = own.groupBy("sport_type").agg(F.min("activity_day").alias("first")).join(F.broadcast(last))
+    days = firsts.filter("first <= last").select("sport_type", F.explode(F.sequence("first", "last")).alias("day"))
+    tenths = F.sum(F.rint(F.col("trimp") * 10))
+    factor = F.when(F.col("sport_type") == "Walk", WALK_DISCOUNT).otherwise(1.0)
+    sums = own.groupBy("sport_type", F.col("activity_day").alias("day")).agg(
+        F.count(F.lit(1)).alias("activity_count"),
+        (tenths / 10.0).alias("observed_trimp"),
+        F.sum("distance_m").alias("distance_m"),
+        F.sum("moving_time_s").alias("moving_time_s"),
+        F.sum("elevation_gain_m").alias("elevation_gain_m"),
+        F.sum(F.col("zone4_seconds") + F.col("zone5_seconds")).alias("high_zone_seconds"),
+        F.sum("anomaly_count").alias("anomaly_count"),
+    )
+    names = [c for c in sums.columns if c not in ("sport_type", "day")]
+    return days.join(sums, ["sport_type", "day"], "left").fillna(0, names).select(
+        "day",
+        F.lit("sport").alias("scope"),
+        "sport_type",
+        F.lit(metric_version).cast("long").alias("metric_version"),
+        (F.col("observed_trimp") * factor).alias("effective_trimp"),
+        *names,
+    )
+
+
+def window_medians(
+    facts: DataFrame, windows: tuple[int, ...] = ROLLING_WINDOWS, between: tuple[date, date] | None = None
+) -> DataFrame:
+    """Exact medians, three decimals, of the windows that end on each day: of all activities and of each sport.
+
+    ``between``: first and last of the days wanted; None computes all.  Equal values of a day are counted first, so what is spread over the following
+    days is at most a day's distinct values, however many activities it has.
+    """
+    if between:
+        facts = facts.filter(F.col("activity_day").between(F.lit(between[0] - timedelta(days=max(windows) - 1)), F.lit(between[1])))
+    kinds = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(c).cast("double").alias("value")) for m, c in _MEDIANS.items()])
+    values = facts.select("activity_day", "sport_type", "metric_version", F.inline(kinds)).filter("value IS NOT NULL")
+    counted = values.groupBy("activity_day", "sport_type", "metric_version", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    ages = F.explode(F.sequence(F.lit(0), F.lit(max(windows) - 1))).alias("age")
+    spread = counted.select("*", ages).withColumn("as_of_day", F.date_add("activity_day", F.col("age")))
+    if between:
+        spread = spread.filter(F.col("as_of_day").between(F.lit(between[0]), F.lit(between[1])))
+    keys = ["as_of_day", "metric_version", "measure"]
+    per_window = [
+        F.struct(
+            F.lit(w).alias("window_days"),
+            F.bround(F.percentile(F.when(F.col("age") < w, F.col("value")), F.lit(0.5), F.col("n")), 3).alias("median"),
+        )
+        for w in windows
+    ]
+    found = spread.groupingSets([keys, [*keys, "sport_type"]], *keys, "sport_type").agg(
+        F.grouping("sport_type").alias("over_all"), F.array(*per_window).alias("w")
+    )
+    flat = found.select(
+        "as_of_day",
+        F.when(F.col("over_all") == 1, "all").otherwise("sport").alias("scope"),
+        F.when(F.col("over_all") == 1, "all").otherwise(F.col("sport_type")).alias("sport_type"),
+        "metric_version",
+        "measure",
+        F.inline("w"),
+    )
+    flat = flat.filter("median IS NOT NULL")
+    return flat.groupBy("as_of_day", "scope", "sport_type", "metric_version", "window_days").agg(
+        *[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(m) for m in _MEDIANS]
+    )
+
+
+def whole_rolling_facts(
+    daily: DataFrame,
+    facts: DataFrame,
+    model: DataFrame,
+    windows: tuple[int, ...] = ROLLING_WINDOWS,
+    metric_version: int = 1,
+    between: tuple[date, date] | None = None,
+) -> DataFrame:
+    """rolling_facts() of all activities and of each sport, with medians, and the load model's state on rows of all.
+
+    ``between``: first and last of the days wanted; None gives all.
+    """
+    own = facts.filter(F.col("metric_version") == metric_version)
+    by_sport = sport_days(daily, own, metric_version)
+    rows = rolling_facts(daily, windows).unionByName(rolling_facts(by_sport, windows))
+    if between:
+        rows = rows.filter(F.col("as_of_day").between(F.lit(between[0]), F.lit(between[1])))
+    keys = ["as_of_day", "scope", "sport_type", "metric_version"]
+    state = model.select(F.col("day").alias("as_of_day"), *keys[1:], "fitness", "fatigue", "form", "form_zone", "acwr", "acwr_zone")
+    return rows.join(state, keys, "left").join(window_medians(own, windows, between), [*keys, "window_days"], "left")
+
+
 def rolling_facts(daily: DataFrame, windows: tuple[int, ...] = ROLLING_WINDOWS) -> DataFrame:
     """Totals of the closed windows that end on each day, one row for each day and window."""
     day, _ = day_window(F.col("day"), 1)
@@ -215,7 +380,15 @@ def rolling_facts(daily: DataFrame, windows: tuple[int, ...] = ROLLING_WINDOWS)
             )
         )
     out = rows.select(F.col("day").alias("as_of_day"), "scope", "sport_type", "metric_version", F.array(*wide).alias("w"))
-    return out.select("as_of_day", "scope", "sport_type", "metric_version", F.inline("w"))
+    return out.select(
+        "as_of_day",
+        "scope",
+        "sport_type",
+        "metric_version",
+        F.lit("complete").alias("completeness_status"),
+        F.array().cast("array<string>").alias("missing_reasons"),
+        F.inline("w"),
+    )
 
 
 def rolling_medians(facts: DataFrame, as_of, windows: tuple[int, ...] = ROLLING_WINDOWS, by_sport: bool = False) -> DataFrame:

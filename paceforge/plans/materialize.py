@@ -29,6 +29,7 @@ def materialize(store: Store, limit: int, at: str, metric_version: int = 1, hr_r
     all history, so older fitness is never forgotten.  Superseded versions go
     when the queue is empty.  A failed run is entered in the ledger and raises.
     """
+    turn = store.manifest()[0]
     activities, samples, queue = store.read("activities"), store.read("samples"), store.read("queue")
     claimed = inc.claim(queue, activities, limit).select("activity_id").persist()
     try:
@@ -41,18 +42,15 @@ def materialize(store: Store, limit: int, at: str, metric_version: int = 1, hr_r
         rest = inc.cleared(queue, claimed)
         if rest.isEmpty():
             facts = inc.pruned(facts, metric_version)
-        store.commit({"activity_facts": facts})
-        facts = store.read("activity_facts")
-        daily = fx.daily_facts(fx.daily_load(activities, samples, hr_rest), facts, metric_version)
-        store.commit(
-            {
-                "daily_facts": daily,
-                "model_facts": fx.model_facts(daily, metric_version),
-                "rolling_facts": fx.rolling_facts(daily),
-                "queue": rest,
-                "ledger": _ledger(store, "ok", at, metric_version, n),
-            }
-        )
+        written = {"activity_facts": store.stage("activity_facts", facts)}
+        facts = store.staged(written["activity_facts"])
+        written["daily_facts"] = store.stage("daily_facts", fx.daily_facts(fx.daily_load(activities, samples, hr_rest), facts, metric_version))
+        daily = store.staged(written["daily_facts"])
+        written["model_facts"] = store.stage("model_facts", fx.model_facts(daily, metric_version))
+        model = store.staged(written["model_facts"])
+        rolling = fx.whole_rolling_facts(daily, facts, model, metric_version=metric_version)
+        changes = {"rolling_facts": rolling, "queue": rest, "ledger": _ledger(store, "ok", at, metric_version, n)}
+        store.commit(written | changes, base=turn)
         return n
     except Exception as e:
         store.commit({"ledger": _ledger(store, "failed", at, metric_version, 0, str(e)[:500])})

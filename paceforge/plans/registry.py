@@ -26,6 +26,7 @@ class Metric:
     sample: str = "activity_count"
     scopes: tuple[str, ...] = ("global", "per_sport")
     window_days: int | None = None
+    fixed_window: bool = False
 
 
 _BOTH, _GLOBAL, _SPORT = ("global", "per_sport"), ("global",), ("per_sport",)
@@ -68,7 +69,7 @@ _ALL = [
     _m("acwr", "last_state", "model", "acwr", _GLOBAL, sample="model_day_count"),
     _m("acwr_zone", "distribution", "model", "acwr_zone", _GLOBAL, sample="model_day_count"),
     *[
-        _m(f"daily_avg_trimp_{w}d", "calendar_average", "rolling", "daily_avg_trimp", _GLOBAL, window_days=w, sample="rolling_sample_count")
+        _m(f"daily_avg_trimp_{w}d", "calendar_average", "rolling", "daily_avg_trimp", _GLOBAL, window_days=w, fixed_window=True, sample="rolling_sample_count")
         for w in (7, 28, 90)
     ],
     *[
@@ -81,7 +82,7 @@ _ALL = [
         )
     ],
     *[
-        _m(f"volume_{w}d", "last_state", "rolling", "activity_count", _GLOBAL, window_days=w, sample="rolling_sample_count")
+        _m(f"volume_{w}d", "last_state", "rolling", "activity_count", _GLOBAL, window_days=w, fixed_window=True, sample="rolling_sample_count")
         for w in (7, 28)
     ],
     *[

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceforge.constants import EASY_DAY_LOAD, MAX_HORIZON_DAYS
@@ -42,7 +42,10 @@ def workout_detail(facts: DataFrame, activity_id: int | None = None) -> DataFram
 
 
 def fitness_state(model: DataFrame, rolling: DataFrame, as_of: date | None = None) -> DataFrame:
-    """The latest model day up to ``as_of`` with the rolling windows that end on it."""
+    """The latest model day up to ``as_of`` with the rolling windows that end on it.
+
+    Medians are there if ``rolling`` has them, as whole_rolling_facts() does.
+    """
     rows = model if as_of is None else model.filter(F.col("day") <= F.lit(as_of))
     state = rows.orderBy(F.desc("day")).limit(1).select("day", "fitness", "fatigue", "form", "form_zone", "acwr", "acwr_zone")
     averages = [
@@ -54,7 +57,23 @@ def fitness_state(model: DataFrame, rolling: DataFrame, as_of: date | None = Non
         for w in (7, 28)
         for c, name, scale in (("activity_count", "volume", 1), ("distance_m", "distance_km", 1000.0))
     ]
-    rolled = rolling.groupBy(F.col("as_of_day").alias("day")).agg(*averages, *volumes)
+    sums = [
+        F.bround(F.max(F.when(F.col("window_days") == w, F.col(c) / F.lit(scale))), 3).alias(name)
+        for name, w, c, scale in (
+            ("weekly_trimp", 7, "effective_trimp", 1),
+            ("total_trimp_14d", 14, "effective_trimp", 1),
+            ("avg_trimp_per_day", 14, "effective_trimp", 14),
+            ("active_days", 14, "active_days", 1),
+            ("rest_days", 14, "rest_days", 1),
+            ("rolling_median_cc", 90, "median_cardiac_cost", 1),
+            ("rolling_median_cc_adj", 90, "median_adjusted_cardiac_cost", 1),
+            ("rolling_median_hr_recovery", 90, "median_hr_recovery", 1),
+            ("rolling_median_cardiac_drift_pct", 90, "median_cardiac_drift_pct", 1),
+        )
+        if c in rolling.columns
+    ]
+    own = rolling.filter(F.col("scope") == "all")
+    rolled = own.groupBy(F.col("as_of_day").alias("day")).agg(*averages, *volumes, *sums)
     return state.join(rolled, "day", "left")
 
 
@@ -86,18 +105,31 @@ def compare_periods(sources: dict[str, DataFrame], request: AggregateRequest, ot
         "value_b",
         F.bround(delta, 3).alias("delta"),
         F.bround(delta / F.nullif(F.col("value_b"), F.lit(0.0)) * 100.0, 2).alias("delta_pct"),
-        F.when(delta > _EPSILON, "up").when(delta < -_EPSILON, "down").when(delta.isNotNull(), "flat").alias("trend"),
+        F.when(delta > _EPSILON, "up").when(delta < -_EPSILON, "down").when(delta.isNotNull(), "flat").otherwise("unavailable").alias("trend"),
         F.coalesce("coverage_a", F.lit(0.0)).alias("coverage_a"),
         F.coalesce("coverage_b", F.lit(0.0)).alias("coverage_b"),
     )
 
 
 def compare_distributions(sources: dict[str, DataFrame], request: AggregateRequest, other: tuple[date, date]) -> DataFrame:
-    """Change of each category's amount between two ranges."""
+    """Change of each category's amount between two ranges, and how much of the two distributions overlaps.
+
+    delta_pct is against b, null where b has none; overlap_pct is the common amount
+    over the larger total, null if a range is empty.
+    """
     b_request = AggregateRequest(**{**request.__dict__, "start": other[0], "end": other[1]})
     side = lambda r, x: distribution(sources, r).groupBy("metric_id", "category").agg(F.sum("amount").alias(f"amount_{x}"))
     joined = side(request, "a").join(side(b_request, "b"), ["metric_id", "category"], "full_outer").fillna(0.0)
-    return joined.withColumn("delta", F.bround(F.col("amount_a") - F.col("amount_b"), 3))
+    delta = F.bround(F.col("amount_a") - F.col("amount_b"), 3)
+    every = Window.partitionBy("metric_id")  # one row a category
+    total_a, total_b = F.sum("amount_a").over(every), F.sum("amount_b").over(every)
+    common = F.sum(F.least("amount_a", "amount_b")).over(every)
+    return joined.select(
+        "*",
+        delta.alias("delta"),
+        F.bround(delta / F.when(F.col("amount_b") != 0, F.col("amount_b")) * 100.0, 2).alias("delta_pct"),
+        F.when((total_a > 0) & (total_b > 0), F.bround(common / F.greatest(total_a, total_b) * 100.0, 2)).alias("overlap_pct"),
+    )
 
 
 def validated_custom(rows: list[dict], today: date, target: date) -> dict[date, float]:

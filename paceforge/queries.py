@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from paceforge.plans import services as sv
 from paceforge.plans import runtime as rt
 from paceforge.plans import status as stat
 from paceforge.plans.registry import REGISTRY
+from paceforge.session import stored
 from paceforge.sources import lenses as ln
 from paceforge.sources import sinks, streams_json
 from paceforge.streaming import jobs
@@ -50,7 +51,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.activity_facts(ln.activities_o(spark, sf), ln.samples_o(spark, sf))
+    """Facts of lens O, whose activities have too few samples for the measures that need their order."""
+    return fx.activity_facts(ln.activities_o(spark, sf), ln.samples_o(spark, sf), ordered=False)
 
 
 def _load(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,9 +255,12 @@ _FACT_COLUMNS = """activity_id, activity_day, sport_type, metric_version, comple
   elevation_gain_m, kudos_count, heartrate_sample_count, stream_sample_count, observed_min_hr, observed_max_hr, hr_max_used"""
 
 
+_FACT_LIST = _FACT_COLUMNS.replace("array_to_string(list_sort(missing_reasons), ',') AS ", "").split(",")
+
+
 @query("activity_facts", f"WITH {o.FOR_FACTS} SELECT {_FACT_COLUMNS} FROM facts")
 def activity_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(_facts(spark, sf).drop("anomaly_count", "hr_rest_used"))
+    return _flat(_facts(spark, sf).select(*[c.strip() for c in _FACT_LIST]))
 
 
 @query(
@@ -285,10 +290,38 @@ def _rolling_sql() -> str:
 
 @query("rolling_facts", _rolling_sql())
 def rolling_facts(spark: SparkSession, sf: str) -> DataFrame:
-    out = fx.rolling_facts(_daily(spark, sf)).drop("scope", "sport_type", "metric_version", "elevation_gain_m", "anomaly_count")
+    out = fx.rolling_facts(_daily(spark, sf)).drop("scope", "sport_type", "metric_version", "elevation_gain_m", "anomaly_count", "completeness_status", "missing_reasons")
     return _rounded(out, 2)
 
 
+_ROLLED_E = """WITH {0}, ages AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS as_of_day)
+    SELECT as_of_day, w AS window_days, {1} AS sport_type, round_even(median(cardiac_cost), 3) AS median_cardiac_cost,
+      round_even(median(adjusted_cardiac_cost), 3) AS median_adjusted_cardiac_cost, round_even(median(hr_recovery_median_rate), 3) AS median_hr_recovery
+    FROM ages, (SELECT unnest([7, 14, 28, 42, 90]) AS w), whole WHERE activity_day <= as_of_day AND activity_day > as_of_day - w GROUP BY ALL
+    HAVING coalesce(median(cardiac_cost), median(adjusted_cardiac_cost), median(hr_recovery_median_rate)) IS NOT NULL"""
+
+
+@query("rolling_medians_each_day", _ROLLED_E.format(o.FOR_DENSE, "'all'") + " UNION ALL SELECT * FROM (" + _ROLLED_E.format(o.FOR_DENSE, "sport_type") + ")")
+def rolling_medians_each_day(spark: SparkSession, sf: str) -> DataFrame:
+    out = fx.window_medians(_dense_facts(spark, sf)).filter("as_of_day <= DATE '2024-01-30'")
+    return out.select("as_of_day", "window_days", "sport_type", "median_cardiac_cost", "median_adjusted_cardiac_cost", "median_hr_recovery")
+
+
+@query(
+    "rolling_facts_by_sport",
+    f"""WITH {o.FOR_FACTS}, d AS (SELECT sport_type, CAST(unnest(generate_series(min(activity_day), (SELECT max(activity_day) FROM acts), INTERVAL 1 DAY)) AS DATE) AS day FROM facts GROUP BY 1),
+    x AS (SELECT d.*, count(activity_id) AS n, coalesce(sum(distance_m), 0) AS m, coalesce(sum(trimp), 0) AS load FROM d LEFT JOIN facts f ON f.sport_type = d.sport_type AND activity_day = day GROUP BY ALL)
+    SELECT sport_type, day AS as_of_day, CAST(sum(n) OVER v AS BIGINT) AS activity_count, CAST(count(*) FILTER (n = 0) OVER v AS BIGINT) AS rest_days,
+      round(sum(m) OVER v, 2) AS distance_m, round(sum(load) OVER v, 1) AS observed_trimp,
+      round(round(sum(load) OVER v, 1) * CASE WHEN sport_type = 'Walk' THEN 0.5 ELSE 1.0 END, 2) AS effective_trimp
+    FROM x WINDOW v AS (PARTITION BY sport_type ORDER BY day RANGE BETWEEN INTERVAL 27 DAY PRECEDING AND CURRENT ROW)""",
+)
+def rolling_by_sport(spark: SparkSession, sf: str) -> DataFrame:
+    facts = _facts(spark, sf)
+    out = fx.rolling_facts(fx.sport_days(_load(spark, sf), facts), (28,))
+    return out.select("sport_type", "as_of_day", "activity_count", "rest_days", F.round("distance_m", 2).alias("distance_m"), F.round("observed_trimp", 1).alias("observed_trimp"), F.round("effective_trimp", 2).alias("effective_trimp"))
+
+
 @query(
     "rolling_medians_by_sport",
     f"WITH {o.FOR_FACTS} "
@@ -390,16 +423,7 @@ def vertical(spark: SparkSession, sf: str) -> DataFrame:
     return st.vertical_speed(ln.samples_e(spark, sf))
 
 
-_PAUSES = f"""{o.SAMPLES_E},
-e AS (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n, velocity < 0.15 AS slow FROM samp_e),
-m AS (SELECT *, CASE WHEN coalesce(NOT lag(slow) OVER w OR time_offset - lag(time_offset) OVER w > 3, TRUE) THEN 1 ELSE 0 END AS starts
-  FROM e WHERE n >= 120 WINDOW w AS (PARTITION BY activity_id ORDER BY time_offset)),
-g AS (SELECT *, sum(starts) OVER (PARTITION BY activity_id ORDER BY time_offset) AS run FROM m),
-k AS (SELECT *, row_number() OVER (PARTITION BY activity_id, run ORDER BY time_offset) AS a,
-  row_number() OVER (PARTITION BY activity_id, run ORDER BY time_offset DESC) AS b FROM g WHERE slow),
-p AS (SELECT activity_id, min(time_offset) AS start_offset, max(time_offset) - min(time_offset) AS duration_s, count(*) AS sampled_s,
-  round_even(avg(heartrate) FILTER (a <= 5) - avg(heartrate) FILTER (b <= 5), 1) AS drop_bpm FROM k GROUP BY activity_id, run),
-pauses AS (SELECT *, round_even(drop_bpm / (sampled_s / 60.0::DOUBLE), 1) AS rate FROM p WHERE duration_s >= 30)"""
+_PAUSES = f"{o.SAMPLES_E}, {o.PAUSES}"
 
 
 @query("hr_recovery_pauses", f"WITH {_PAUSES} SELECT * FROM pauses")
@@ -433,21 +457,22 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
 # metric layer
 
 
-def _agg_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts with summary heart rates, as the metric layer reads them."""
-    hydrated = rel.hydrated(ln.activities_o(spark, sf), ln.payload_log_o(spark, sf)).select(F.col("id").alias("activity_id"), "avg_hr")
-    facts = _facts(spark, sf).join(hydrated, "activity_id")
-    return facts.withColumns(
-        {
-            "max_hr": F.col("observed_max_hr"),
-            "vertical_speed_total_ascent_m": F.col("elevation_gain_m"),
-            "vertical_speed_duration_hours": F.col("moving_time_s") / 3600.0,
-        }
-    )
+def _summarized(spark: SparkSession, sf: str) -> DataFrame:
+    """Activities with the summary heart rate and start of the payload log."""
+    hydrated = rel.hydrated(ln.activities_o(spark, sf), ln.payload_log_o(spark, sf))
+    return ln.activities_o(spark, sf).join(hydrated.select("id", "avg_hr", F.col("start_date_local").alias("start_time_local")), "id")
+
+
+def _summary_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.activity_facts(_summarized(spark, sf), ln.samples_o(spark, sf), ordered=False)
+
+
+def _dense_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.activity_facts(ln.activities_e(spark, sf), ln.samples_e(spark, sf))
 
 
 _AGG_FACTS = f"""{o.FOR_FACTS}, {o.PAYLOADS},
-aggf AS (SELECT f.*, TRY_CAST(json_extract_string(payload_json, '$.average_heartrate') AS DOUBLE) AS avg_hr, observed_max_hr AS max_hr
+aggf AS (SELECT f.*, TRY_CAST(json_extract_string(payload_json, '$.average_heartrate') AS DOUBLE) AS avg_hr
   FROM facts f JOIN latest l ON l.activity_id = f.activity_id AND payload_kind = 'summary'),
 ranged AS (SELECT * FROM aggf WHERE {_RANGE})"""
 _VALUES = ["metric_id", "bucket_start", "value", "row_count"]
@@ -492,18 +517,56 @@ def agg_calendar(spark: SparkSession, sf: str) -> DataFrame:
     count(*) FILTER (avg_hr IS NULL) AS null_count, count(*) FILTER (heartrate_sample_count <= 0) AS excluded_count FROM ranged GROUP BY 1, 2""",
 )
 def agg_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    out = ag.aggregate({"activity": _agg_facts(spark, sf)}, _request("avg_hr", bucket="month", scope="per_sport"))
+    out = ag.aggregate({"activity": _summary_facts(spark, sf)}, _request("avg_hr", bucket="month", scope="per_sport"))
     return _rounded(out.select("sport_type", "bucket_start", "value", "null_count", "excluded_count"))
 
 
 @query(
     "agg_ratio_of_sums",
-    f"""WITH {o.FOR_FACTS} SELECT sport_type, CAST(date_trunc('year', activity_day) AS DATE) AS bucket_start,
-    round(sum(elevation_gain_m) / sum(moving_time_s / 3600.0), 6) AS value FROM facts WHERE {_RANGE} GROUP BY 1, 2""",
+    f"""WITH {o.FOR_DENSE} SELECT sport_type, CAST(date_trunc('year', activity_day) AS DATE) AS bucket_start,
+    round(sum(vertical_speed_total_ascent_m) / sum(vertical_speed_duration_hours), 6) AS value, 'm/h' AS unit, count(*) AS row_count,
+    count(*) FILTER (vertical_speed_total_ascent_m IS NULL) AS null_count FROM whole GROUP BY 1, 2""",
 )
 def agg_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    out = ag.aggregate({"activity": _agg_facts(spark, sf)}, _request("vertical_speed_m_per_h", bucket="year", scope="per_sport"))
-    return _rounded(out.select("sport_type", "bucket_start", "value"))
+    request = ag.AggregateRequest(("vertical_speed_m_per_h",), bucket="year", scope="per_sport")
+    out = ag.aggregate({"activity": _dense_facts(spark, sf)}, request)
+    return _rounded(out.select("sport_type", "bucket_start", "value", "unit", "row_count", "null_count"))
+
+
+_SENSED = (
+    ("max_hr", "max_hr"), ("hr_recovery_median_bpm_per_min", "hr_recovery_median_rate"), ("cardiac_cost", "cardiac_cost"),
+    ("cardiac_cost_adjusted", "adjusted_cardiac_cost"), ("hrr_pct", "hrr_pct"),
+)
+
+
+@query(
+    "agg_sensor_quantiles",
+    f"WITH {o.FOR_DENSE} "
+    + " UNION ALL ".join(
+        f"""SELECT '{m}' AS metric_id, sport_type, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS value,
+        round(quantile_cont({c}, 0.75), 6) AS p75, count(*) FILTER ({c} IS NULL) AS null_count FROM whole GROUP BY 2"""
+        for m, c in _SENSED
+    ),
+)
+def agg_sensors(spark: SparkSession, sf: str) -> DataFrame:
+    out = ag.aggregate({"activity": _dense_facts(spark, sf)}, ag.AggregateRequest(tuple(m for m, _ in _SENSED), scope="per_sport"))
+    return _rounded(out.select("metric_id", "sport_type", "p25", "value", "p75", "null_count"))
+
+
+@query("agg_drift")
+def agg_drift(spark: SparkSession, sf: str) -> DataFrame:
+    request = ag.AggregateRequest(("cardiac_drift_pct", "cardiac_drift_significant"), scope="per_sport")
+    return _rounded(ag.aggregate({"activity": _dense_facts(spark, sf)}, request).select("metric_id", "sport_type", "value", "null_count"))
+
+
+_WHOLE_COLUMNS = """activity_id, activity_day, sport_type, completeness_status, trimp, cardiac_cost, adjusted_cardiac_cost, hrr_pct, avg_hr, max_hr,
+  observed_min_hr, observed_max_hr, hr_recovery_pause_count, hr_recovery_total_rest_sec, hr_recovery_median_rate, hr_recovery_best_rate,
+  hr_recovery_worst_rate, hr_recovery_avg_rate, vertical_speed_vmh, vertical_speed_total_ascent_m, vertical_speed_duration_hours"""
+
+
+@query("activity_facts_dense", f"WITH {o.FOR_DENSE} SELECT {_WHOLE_COLUMNS} FROM whole")
+def dense_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return _dense_facts(spark, sf).select(*[c.strip() for c in _WHOLE_COLUMNS.split(",")])
 
 
 @query(
@@ -523,12 +586,7 @@ def agg_quantile(spark: SparkSession, sf: str) -> DataFrame:
     FROM model_facts, (SELECT unnest(['fitness', 'fatigue', 'acwr']) AS m) WHERE day >= DATE '{START}' AND day < DATE '{END}' GROUP BY 1, 2""",
 )
 def agg_last_state(spark: SparkSession, sf: str) -> DataFrame:
-    model = _with_quality(fx.model_facts(_load(spark, sf)))
-    return _rounded(ag.aggregate({"model": model}, _request("fitness", "fatigue", "acwr", bucket="month")).select("metric_id", "bucket_start", "value"))
-
-
-def _with_quality(df: DataFrame) -> DataFrame:
-    return df.withColumns({"completeness_status": F.lit("complete"), "missing_reasons": F.array().cast("array<string>")})
+    return _rounded(ag.aggregate({"model": fx.model_facts(_load(spark, sf))}, _request("fitness", "fatigue", "acwr", bucket="month")).select("metric_id", "bucket_start", "value"))
 
 
 @query(
@@ -593,7 +651,7 @@ def agg_empty(spark: SparkSession, sf: str) -> DataFrame:
     FROM b GROUP BY ALL""",
 )
 def agg_quality(spark: SparkSession, sf: str) -> DataFrame:
-    out = ag.aggregate({"activity": _agg_facts(spark, sf)}, _request("avg_hr", bucket="month", scope="per_sport"))
+    out = ag.aggregate({"activity": _summary_facts(spark, sf)}, _request("avg_hr", bucket="month", scope="per_sport"))
     return _flat(out.select("bucket_start", "sport_type", "row_count", "null_count", "excluded_count", "sample_size", "denominator_sum", "missing_reasons"))
 
 
@@ -614,10 +672,22 @@ def agg_version(spark: SparkSession, sf: str) -> DataFrame:
     SELECT CAST(date_trunc('month', day) AS DATE) AS bucket_start, round(sum(v) / 365, 6) AS value FROM r WHERE day >= DATE '{START}' AND day < DATE '{END}' GROUP BY 1""",
 )
 def agg_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    rolled = _with_quality(fx.rolling_facts(_daily(spark, sf)))
+    rolled = fx.rolling_facts(_daily(spark, sf))
     return _rounded(ag.aggregate({"rolling": rolled}, _request("daily_avg_trimp_28d", bucket="month")).select("bucket_start", "value"))
 
 
+@query(
+    "agg_window_as_of",
+    f"""WITH {o.FOR_DENSE}, t AS (SELECT * FROM whole WHERE activity_day BETWEEN DATE '2024-01-20' - 27 AND DATE '2024-01-20')
+    SELECT 'rolling_median_cc' AS metric_id, sport_type, DATE '2024-01-20' - 27 AS bucket_start, DATE '2024-01-21' AS bucket_end, 'rolling_28d' AS bucket_width,
+      round_even(median(cardiac_cost), 3) AS value, count(*) AS activity_count FROM t GROUP BY sport_type
+    UNION ALL SELECT 'rolling_median_hr_recovery', sport_type, DATE '2024-01-20' - 27, DATE '2024-01-21', 'rolling_28d', round_even(median(hr_recovery_median_rate), 3), count(*) FROM t GROUP BY sport_type""",
+)
+def agg_window(spark: SparkSession, sf: str) -> DataFrame:
+    request = ag.AggregateRequest(("rolling_median_cc", "rolling_median_hr_recovery"), scope="per_sport", window_days=28, as_of_day=date(2024, 1, 20))
+    return ag.aggregate(_dense_sources(spark, sf), request).select("metric_id", "sport_type", "bucket_start", "bucket_end", "bucket_width", "value", "activity_count").filter("activity_count > 0")
+
+
 @query(
     "agg_weekly_trimp",
     f"""WITH {o.FOR_DAILY} SELECT sport_type, CAST(date_trunc('week', activity_day) AS DATE) AS week, round(sum(raw) / 60.0::DOUBLE, 4) AS trimp
@@ -637,29 +707,33 @@ def agg_trimp_week(spark: SparkSession, sf: str) -> DataFrame:
 
 # services
 
-_SIDE = """SELECT metric_id, sport_type, value FROM (
-  SELECT 'distance_km' AS metric_id, sport_type, sum(distance_m / 1000.0) AS value FROM facts WHERE activity_day >= DATE '{0}' AND activity_day < DATE '{1}' GROUP BY 2
-  UNION ALL SELECT 'cardiac_cost', sport_type, median(cardiac_cost) FROM facts WHERE activity_day >= DATE '{0}' AND activity_day < DATE '{1}' GROUP BY 2)"""
+_SIDE = """SELECT metric_id, sport_type, value, part FROM (
+  SELECT 'distance_km' AS metric_id, sport_type, sum(distance_m / 1000.0) AS value, bool_or(completeness_status <> 'complete' OR distance_m IS NULL) AS part FROM facts WHERE activity_day >= DATE '{0}' AND activity_day < DATE '{1}' GROUP BY 2
+  UNION ALL SELECT 'cardiac_cost', sport_type, median(cardiac_cost), bool_or(completeness_status <> 'complete' OR cardiac_cost IS NULL) FROM facts WHERE activity_day >= DATE '{0}' AND activity_day < DATE '{1}' GROUP BY 2)"""
 
 
 @query(
     "compare_periods",
     f"""WITH {o.FOR_FACTS}, a AS ({_SIDE.format(START, END)}), b AS ({_SIDE.format(*OTHER)})
     SELECT coalesce(a.metric_id, b.metric_id) AS metric_id, coalesce(a.sport_type, b.sport_type) AS sport_type, round(a.value, 6) AS value_a,
-      round(b.value, 6) AS value_b, round(a.value - b.value, 6) AS delta, CASE WHEN a.value - b.value > 1e-9 THEN 'up' WHEN a.value - b.value < -1e-9 THEN 'down'
-      WHEN a.value - b.value IS NOT NULL THEN 'flat' END AS trend
+      round(b.value, 6) AS value_b, round_even(a.value - b.value, 3) AS delta, round((a.value - b.value) / b.value * 100, 1) AS delta_pct,
+      CASE WHEN a.value - b.value > 1e-9 THEN 'up' WHEN a.value - b.value < -1e-9 THEN 'down' WHEN a.value - b.value IS NOT NULL THEN 'flat' ELSE 'unavailable' END AS trend,
+      CAST(CASE WHEN a.value IS NULL THEN 0 WHEN a.part THEN 0.5 ELSE 1 END AS DOUBLE) AS coverage_a, CAST(CASE WHEN b.value IS NULL THEN 0 WHEN b.part THEN 0.5 ELSE 1 END AS DOUBLE) AS coverage_b
     FROM a FULL JOIN b ON a.metric_id = b.metric_id AND a.sport_type IS NOT DISTINCT FROM b.sport_type""",
 )
 def compare(spark: SparkSession, sf: str) -> DataFrame:
     out = sv.compare_periods({"activity": _facts(spark, sf)}, _request("distance_km", "cardiac_cost", scope="per_sport"), OTHER)
-    return out.select("metric_id", "sport_type", F.round("value_a", 6).alias("value_a"), F.round("value_b", 6).alias("value_b"), F.round(F.col("value_a") - F.col("value_b"), 6).alias("delta"), "trend")
+    rounded = {"value_a": 6, "value_b": 6, "delta_pct": 1}
+    return out.drop("scope").withColumns({c: F.round(c, n) for c, n in rounded.items()})
 
 
 @query(
     "compare_distributions",
     f"""WITH {o.ACTS}, a AS (SELECT sport_type AS category, CAST(count(*) AS DOUBLE) AS n FROM acts WHERE {_RANGE} GROUP BY 1),
-    b AS (SELECT sport_type AS category, CAST(count(*) AS DOUBLE) AS n FROM acts WHERE activity_day >= DATE '{OTHER[0]}' AND activity_day < DATE '{OTHER[1]}' GROUP BY 1)
-    SELECT category, coalesce(a.n, 0) AS amount_a, coalesce(b.n, 0) AS amount_b, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM a FULL JOIN b USING (category)""",
+    b AS (SELECT sport_type AS category, CAST(count(*) AS DOUBLE) AS n FROM acts WHERE activity_day >= DATE '{OTHER[0]}' AND activity_day < DATE '{OTHER[1]}' GROUP BY 1),
+    j AS (SELECT category, coalesce(a.n, 0) AS amount_a, coalesce(b.n, 0) AS amount_b FROM a FULL JOIN b USING (category))
+    SELECT *, amount_a - amount_b AS delta, round_even((amount_a - amount_b) / nullif(amount_b, 0) * 100.0::DOUBLE, 2) AS delta_pct,
+      round_even(sum(least(amount_a, amount_b)) OVER () / greatest(sum(amount_a) OVER (), sum(amount_b) OVER ()) * 100.0::DOUBLE, 2) AS overlap_pct FROM j""",
 )
 def compare_distributions(spark: SparkSession, sf: str) -> DataFrame:
     return sv.compare_distributions({"activity": _facts(spark, sf)}, _request("sport_type"), OTHER).drop("metric_id")
@@ -667,16 +741,25 @@ def compare_distributions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fitness_state",
-    f"""WITH RECURSIVE {o.FOR_FACTS}, {o.SESSION}, {o.DAILY}, {o.DAILY_FACTS}, {o.MODEL}, s AS (SELECT * FROM model_facts WHERE day <= DATE '{AS_OF}' ORDER BY day DESC LIMIT 1)
-    SELECT s.day, s.fitness, s.fatigue, s.acwr_zone,
-      round(sum(d.effective_trimp) FILTER (d.day > s.day - 7) / 7, 3) AS daily_avg_trimp_7d, round(sum(d.effective_trimp) FILTER (d.day > s.day - 28) / 28, 3) AS daily_avg_trimp_28d,
-      CAST(sum(d.activity_count) FILTER (d.day > s.day - 7) AS DOUBLE) AS volume_7d
-    FROM s JOIN daily d ON d.day <= s.day AND d.day > s.day - 90 GROUP BY ALL""",
+    f"""WITH RECURSIVE {o.FOR_FACTS}, {o.SESSION}, {o.DAILY}, {o.DAILY_FACTS}, {o.MODEL}, s AS (SELECT * FROM model_facts WHERE day <= DATE '{AS_OF}' ORDER BY day DESC LIMIT 1),
+    x AS (SELECT median(cardiac_cost) AS cc, median(adjusted_cardiac_cost) AS adj FROM facts, s WHERE activity_day <= s.day AND activity_day > s.day - 90)
+    SELECT s.day, s.fitness, s.fatigue, s.acwr_zone, {", ".join(f"round(sum(d.effective_trimp) FILTER (d.day > s.day - {w}) / {w}, 3) AS daily_avg_trimp_{w}d" for w in (7, 28, 90))},
+      {", ".join(f"CAST(sum(d.activity_count) FILTER (d.day > s.day - {w}) AS DOUBLE) AS volume_{w}d" for w in (7, 28))},
+      round(sum(d.effective_trimp) FILTER (d.day > s.day - 7), 3) AS weekly_trimp, round(sum(d.effective_trimp) FILTER (d.day > s.day - 14), 3) AS total_trimp_14d,
+      round(sum(d.effective_trimp) FILTER (d.day > s.day - 14) / 14, 3) AS avg_trimp_per_day,
+      CAST(count(*) FILTER (d.day > s.day - 14 AND d.activity_count > 0) AS DOUBLE) AS active_days, CAST(count(*) FILTER (d.day > s.day - 14 AND d.activity_count = 0) AS DOUBLE) AS rest_days,
+      round_even(any_value(x.cc), 3) AS rolling_median_cc, round_even(any_value(x.adj), 3) AS rolling_median_cc_adj
+    FROM s JOIN daily d ON d.day <= s.day AND d.day > s.day - 90, x GROUP BY ALL""",
 )
 def fitness_state(spark: SparkSession, sf: str) -> DataFrame:
-    daily = _daily(spark, sf)
-    out = sv.fitness_state(fx.model_facts(daily), fx.rolling_facts(daily), AS_OF)
-    return out.select("day", "fitness", "fatigue", "acwr_zone", "daily_avg_trimp_7d", "daily_avg_trimp_28d", F.col("volume_7d").cast("double").alias("volume_7d"))
+    facts = stored(_facts(spark, sf))
+    daily = stored(fx.daily_facts(_load(spark, sf), facts))
+    model = fx.model_facts(daily)
+    # lens O's activities are too short for recovery and drift
+    facts = facts.withColumns({c: F.lit(None).cast("double") for c in ("hr_recovery_median_rate", "cardiac_drift_pct")})
+    rolling = fx.whole_rolling_facts(daily, facts, model, between=(AS_OF - timedelta(days=1), AS_OF))
+    out = sv.fitness_state(model, rolling, AS_OF).drop("form", "form_zone", "acwr", "rolling_median_hr_recovery", "rolling_median_cardiac_drift_pct", "distance_km_7d", "distance_km_28d")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("volume_7d", "volume_28d", "active_days", "rest_days")})
 
 
 @query("list_workouts", f"WITH {o.FOR_FACTS} SELECT activity_id, activity_day, trimp FROM facts WHERE sport_type = 'Hike' AND activity_day >= DATE '{START}' AND activity_day <= DATE '{END}' ORDER BY activity_day DESC, activity_id DESC LIMIT 50")
@@ -946,17 +1029,29 @@ def historical_context(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("day", "activity_count", "activity_streak_days", "rest_streak_days", "last_hike_days_ago")
 
 
+def _sources(activities: DataFrame, samples: DataFrame, between: tuple[date, date] | None = None) -> dict[str, DataFrame]:
+    """Every fact table of some activities, each written once, as a store would hold it; windows that end in ``between``."""
+    facts = stored(fx.activity_facts(activities, samples))
+    daily = stored(fx.daily_facts(fx.daily_load(activities, samples), facts))
+    model = stored(fx.model_facts(daily))
+    rolling = stored(fx.whole_rolling_facts(daily, facts, model, between=between))
+    history = stored(sv.historical_context(daily, facts))
+    return {"activity": facts, "social": facts, "daily": daily, "model": model, "rolling": rolling, "historical": history}
+
+
 def _all_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    facts = _agg_facts(spark, sf)
-    daily = _daily(spark, sf)
-    return {
-        "activity": facts,
-        "social": facts,
-        "daily": daily,
-        "model": _with_quality(fx.model_facts(daily)),
-        "rolling": _with_quality(fx.rolling_facts(daily)),
-        "historical": sv.historical_context(daily, facts),
-    }
+    return _sources(_summarized(spark, sf), ln.samples_o(spark, sf), (AS_OF - timedelta(days=14), AS_OF))
+
+
+def _dense_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return _sources(ln.activities_e(spark, sf), ln.samples_e(spark, sf))
+
+
+@query("every_metric")
+def every_metric(spark: SparkSession, sf: str) -> DataFrame:
+    """All single-valued metrics over the engine's own facts of dense streams."""
+    ids = tuple(m.metric_id for m in REGISTRY.values() if m.mode != "distribution")
+    return _flat(_rounded(ag.aggregate(_dense_sources(spark, sf), ag.AggregateRequest(ids, scope="both", start=date(2024, 1, 1), end=date(2024, 2, 1)))))
 
 
 @query("bundle_weekly_digest")
@@ -997,10 +1092,7 @@ def status_anomaly(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("status_significant_drift")
 def status_drift(spark: SparkSession, sf: str) -> DataFrame:
-    samples = ln.samples_e(spark, sf)
-    days = samples.select("activity_id", "activity_day").distinct()
-    facts = cardiac_drift(samples).join(days, "activity_id").withColumn("metric_version", F.lit(1).cast("long"))
-    return stat.significant_drift(facts, date(2024, 1, 30))
+    return stat.significant_drift(_dense_facts(spark, sf), date(2024, 1, 30))
 
 
 @query(

@@ -2,12 +2,12 @@
 
 The driver's tables hold no heart-rate streams.  Lens O reads ``orders`` as
 activities and ``lineitem`` as their samples; lens E reads ``events`` as dense
-streams of sixty activities.  ``paceforge.oracle`` has the same projections in SQL.
+streams, 500 samples an activity.  ``paceforge.oracle`` has the same projections in SQL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,21 +54,45 @@ def samples_o(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def samples_e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events").select(
-        F.col("ts").cast("date").alias("activity_day"), (F.col("user_id") % 2).alias("half"), "ts", "event_id", "value"
-    )
-    order = Window.partitionBy("activity_day", "half").orderBy("ts", "event_id")
-    offset = (F.row_number().over(order) - 1).cast("long")
-    activity = F.datediff("activity_day", F.lit("2024-01-01").cast("date")) * 2 + F.col("half")
-    rows = e.select(activity.cast("long").alias("activity_id"), "activity_day", offset.alias("time_offset"), "event_id", "value")
-    paused = F.col("time_offset") % 100
-    return rows.select(
-        "activity_id",
+#: Samples of one dense activity: a fixed number, so that no activity grows with the table.
+DENSE_SAMPLES = 500
+
+
+def _dense_id() -> Column:
+    return F.floor(F.col("event_id") / DENSE_SAMPLES).cast("long")
+
+
+def activities_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The activities of ``samples_e``, with summary heart rates."""
+    days = read_table(spark, sf_dir, "events").groupBy(_dense_id().alias("id")).agg(F.min("ts").cast("date").alias("activity_day"))
+    i = F.col("id")
+    sports = F.array(*[F.lit(s) for s in ("Run", "TrailRun", "Hike", "Walk", "Ride")])
+    mean = F.when(i % 7 != 0, (100 + i % 80).cast("double"))
+    return days.select(
+        "id",
         "activity_day",
-        "time_offset",
+        sports[(i % 5).cast("int")].alias("sport_type"),
+        (1000.0 + 100 * (i % 50)).alias("distance_m"),
+        (480 + i % 20).alias("moving_time_s"),
+        (500 + i % 20).alias("elapsed_time_s"),
+        ((i % 7) * 10).cast("double").alias("elevation_gain_m"),
+        (i % 9).alias("kudos_count"),
+        (200 + i % 100).cast("double").alias("calories_kcal"),
+        (i % 10 != 0).alias("has_detail"),
+        mean.alias("avg_hr"),
+        (mean + 40).alias("max_hr"),
+    )
+
+
+def samples_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offset = F.col("event_id") % DENSE_SAMPLES
+    paused = offset % 100
+    pace = 2.0 + F.floor(offset / 125) % 2 + (F.col("event_id") % 20) / 100.0
+    return read_table(spark, sf_dir, "events").select(
+        _dense_id().alias("activity_id"),
+        offset.cast("long").alias("time_offset"),
         (95 + F.floor("value") % 90).cast("long").alias("heartrate"),
-        F.when((paused >= 50) & (paused <= 89), 0.0).otherwise(2.0 + (F.col("event_id") % 20) / 10.0).alias("velocity"),
+        F.when((paused >= 50) & (paused <= 89), 0.0).otherwise(pace).alias("velocity"),
         (500 + F.col("event_id") % 50).cast("double").alias("altitude"),
     )
 

@@ -8,6 +8,7 @@ costs a retry.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -81,22 +82,45 @@ class Store:
                 raise ValueError(f"columns missing in {name}: {', '.join(lacking)}")
         return df
 
-    def commit(self, changes: Mapping[str, DataFrame], partition_by: Mapping[str, Sequence[str]] | None = None) -> int:
-        """Write the changed tables, then make them current all at once; returns the commit's number."""
+    def stage(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> str:
+        """Write a table to a new folder that no manifest names yet; commit() takes the folder."""
+        folder = f"data/{name}-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
+        return folder
+
+    def staged(self, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{folder}")
+
+    def commit(
+        self,
+        changes: Mapping[str, DataFrame | str],
+        partition_by: Mapping[str, Sequence[str]] | None = None,
+        base: int | None = None,
+    ) -> int:
+        """Write the changed tables, then make them current all at once; returns the commit's number.
+
+        A change is a DataFrame or a staged folder.  ``base``: the commit that the changes
+        were computed from; raises Conflict if another came after it.
+        """
         turn, folders = self.manifest()
-        written = {}
-        for name, df in changes.items():
-            written[name] = f"data/{name}-{turn + 1:08d}-{uuid.uuid4().hex}"
-            df.write.partitionBy(*(partition_by or {}).get(name, ())).parquet(f"{self.path}/{written[name]}")
+        if base is not None and base != turn:
+            raise Conflict(f"commit {turn} came after {base}")
+        written = {
+            name: df if isinstance(df, str) else self.stage(name, df, (partition_by or {}).get(name, ())) for name, df in changes.items()
+        }
         self._create(f"manifest-{turn + 1:08d}", json.dumps(folders | written))
         return turn + 1
 
-    def vacuum(self) -> int:
-        """Delete data folders that the current manifest doesn't name; returns how many."""
+    def vacuum(self, keep_s: float = 86_400) -> int:
+        """Delete data folders that the current manifest doesn't name; returns how many.
+
+        Folders younger than ``keep_s`` stay: another writer may be about to commit them, or a reader may use them.
+        """
         current = {f.split("/")[1] for f in self.manifest()[1].values()}
+        before = (time.time() - keep_s) * 1000
         gone = 0
         for status in self._fs.listStatus(self._at("data")):
-            if status.getPath().getName() not in current:
+            if status.getPath().getName() not in current and status.getModificationTime() <= before:
                 gone += bool(self._fs.delete(status.getPath(), True))
         return gone
 

@@ -85,7 +85,7 @@ def test_daily_average_and_state(spark):
     found = _ask({"daily": daily}, "avg_trimp_per_day", "active_days", "rest_days")
     assert found[("avg_trimp_per_day", START, None)].value == pytest.approx(310 / 27)
     assert (found[("active_days", START, None)].value, found[("rest_days", START, None)].value) == (4, 23)
-    model = facts.model_facts(daily).withColumns({"completeness_status": F.lit("complete"), "missing_reasons": F.array().cast("array<string>")})
+    model = facts.model_facts(daily)
     last = model.orderBy(F.desc("day")).first()
     assert _ask({"model": model}, "fitness", "form")[("fitness", START, None)].value == last.fitness
     rolled = facts.rolling_facts(daily.withColumns({c: F.lit(0.0) for c in ("observed_trimp", "distance_m", "elevation_gain_m")} | {c: F.lit(0).cast("long") for c in ("moving_time_s", "high_zone_seconds", "anomaly_count")}))
@@ -103,13 +103,38 @@ def test_requests_are_validated(activity, bad):
         aggregate({"activity": activity}, AggregateRequest(**({"metric_ids": ("trimp",)} | bad)))
 
 
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"scope": "per_sport"}, {"metric_ids": ("avg_hr",)}, {"sport": "Chess"}, {"window_days": 7}, {"as_of_day": START}, {"window_days": 8, "as_of_day": START},
+        {"window_days": 7, "as_of_day": START}, {"metric_ids": ("volume_7d",), "window_days": 28, "as_of_day": START}, {"metric_ids": ("calories",)},
+    ],
+)
+def test_what_facts_cannot_answer_is_refused(activity, bad):
+    with pytest.raises(ValueError):
+        aggregate({"activity": activity}, AggregateRequest(**({"metric_ids": ("trimp",)} | bad)))
+
+
+def test_a_range_without_facts_has_a_row(activity):
+    rows = aggregate({"activity": activity}, AggregateRequest(("trimp", "distance_km"), start=date(2020, 1, 1), end=date(2020, 2, 1))).collect()
+    assert [(r.metric_id, r.value, r.row_count, r.completeness_status, r.missing_reasons, r.bucket_start, r.bucket_end) for r in rows] == [
+        (m, None, 0, "unavailable", ["no_facts"], date(2020, 1, 1), date(2020, 2, 1)) for m in ("distance_km", "trimp")
+    ]
+
+
+def test_rows_are_ordered(activity):
+    rows = aggregate({"activity": activity}, AggregateRequest(("trimp", "distance_km"), start=START, end=END, bucket="week", scope="both")).collect()
+    keys = [(r.bucket_start, r.metric_id, r.sport_type or "") for r in rows]
+    assert keys == sorted(keys) and len(keys) > 6
+
+
 def test_compare(activity):
     request = AggregateRequest(("distance_km", "trimp"), start=date(2026, 5, 11), end=date(2026, 5, 18))
     rows = {r.metric_id: r for r in services.compare_periods({"activity": activity}, request, (date(2026, 5, 4), date(2026, 5, 11))).collect()}
     r = rows["trimp"]
     assert (r.value_a, r.value_b, r.delta, r.delta_pct, r.trend, r.coverage_a, r.coverage_b) == (150.0, 100.0, 50.0, 50.0, "up", 0.5, 1.0)
     gone = services.compare_periods({"activity": activity}, request, (date(2020, 1, 1), date(2020, 2, 1))).collect()
-    assert all(r.delta is None and r.trend is None and r.coverage_b == 0.0 for r in gone)
+    assert all(r.delta is None and r.trend == "unavailable" and r.coverage_b == 0.0 for r in gone)
 
 
 def test_workouts(activity):
