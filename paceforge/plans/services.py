@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceforge.constants import EASY_DAY_LOAD, MAX_HORIZON_DAYS
+from paceforge.operators.relational import kudos_names
 from paceforge.operators.sequence import project
 from paceforge.plans.aggregate import AggregateRequest, aggregate, distribution
 
@@ -35,10 +36,24 @@ def page_after(facts: DataFrame, day: date, activity_id: int, limit: int) -> Dat
     return facts.filter(below).orderBy(F.desc("activity_day"), F.desc("activity_id")).limit(limit)
 
 
-def workout_detail(facts: DataFrame, activity_id: int | None = None) -> DataFrame:
-    """One activity, or the latest; its newest version."""
+def workout_detail(
+    facts: DataFrame, activity_id: int | None = None, hydrated: DataFrame | None = None, kudos: DataFrame | None = None
+) -> DataFrame:
+    """One activity, or the latest; its newest version.
+
+    ``hydrated``: activities with gear_name and gear_distance_m, which are added; ``kudos``: rows of
+    kudos, whose names are added as kudos_names, empty if there are none.
+    """
     rows = facts if activity_id is None else facts.filter(F.col("activity_id") == activity_id)
-    return rows.orderBy(F.desc("activity_day"), F.desc("activity_id"), F.desc("metric_version")).limit(1)
+    one = rows.orderBy(F.desc("activity_day"), F.desc("activity_id"), F.desc("metric_version")).limit(1)
+    if hydrated is not None:
+        gear = hydrated.select(F.col("id").alias("activity_id"), "gear_name", "gear_distance_m")
+        one = gear.join(F.broadcast(one), "activity_id", "right").select(*one.columns, "gear_name", "gear_distance_m")
+    if kudos is not None:
+        own = kudos.join(F.broadcast(one.select("activity_id")), "activity_id", "left_semi")
+        one = one.join(kudos_names(own).withColumnRenamed("names", "kudos_names"), "activity_id", "left")
+        one = one.withColumn("kudos_names", F.coalesce("kudos_names", F.array().cast("array<string>")))
+    return one
 
 
 def fitness_state(model: DataFrame, rolling: DataFrame, as_of: date | None = None) -> DataFrame:
@@ -189,6 +204,24 @@ def projection(
     return project(rows)
 
 
+def next_monday_form(projected: DataFrame, target: date) -> DataFrame:
+    """(scenario, day, form): the form on the Monday after a target from Friday to Sunday, if the days between are rest.
+
+    ``projected`` comes from projection() to the same target; no rows for another weekday.
+    """
+    last = projected.filter(F.col("day") == F.lit(target)) if target.weekday() >= 4 else projected.limit(0)
+    between = F.sequence(F.lit(target + timedelta(days=1)), F.lit(target + timedelta(days=7 - target.weekday())))
+    plans = last.select(
+        "scenario",
+        F.explode(between).alias("day"),
+        F.lit(0.0).alias("load"),
+        F.col("fitness").alias("start_fitness"),
+        F.col("fatigue").alias("start_fatigue"),
+    )
+    monday = F.col("day") == F.lit(target + timedelta(days=7 - target.weekday()))
+    return project(plans).filter(monday).select("scenario", "day", "form")
+
+
 def historical_context(daily: DataFrame, facts: DataFrame, metric_version: int = 1) -> DataFrame:
     """Streaks and days since the last hike for each day of one version."""
     from paceforge.operators.sequence import days_since, streaks

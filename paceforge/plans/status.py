@@ -105,13 +105,28 @@ def stale(code: str, times: DataFrame, as_of: date, dirty: DataFrame | None = No
     return _row(found, code, status, F.col("at"), age)
 
 
-def all_rules(facts: DataFrame, as_of: date, metric_version: int = 1) -> DataFrame:
-    """The rules that need activity facts only."""
-    out = missing_samples(facts, as_of, "missing_hr", metric_version)
+def all_rules(
+    facts: DataFrame,
+    as_of: date,
+    metric_version: int = 1,
+    mirror_times: DataFrame | None = None,
+    fact_times: DataFrame | None = None,
+    dirty: DataFrame | None = None,
+) -> DataFrame:
+    """One row for each of the nine rules; drift's needs facts with drift.
+
+    ``mirror_times``, ``fact_times``: at (a date), the successes of refresh and computation; without them
+    the rule is unavailable.  ``dirty``: the rows that wait for computation.
+    """
+    never = facts.select(F.col("activity_day").alias("at")).limit(0)
+    out = stale("stale_mirror_data", never if mirror_times is None else mirror_times, as_of)
     for part in (
+        stale("stale_read_model_facts", never if fact_times is None else fact_times, as_of, dirty),
+        missing_samples(facts, as_of, "missing_hr", metric_version),
         missing_samples(facts, as_of, "missing_streams", metric_version),
         excessive_zone5(facts, as_of, metric_version),
         anomaly_burst(facts, as_of, metric_version),
+        significant_drift(facts, as_of, metric_version),
         consecutive_hikes(facts, as_of, metric_version),
         volume_jump(facts, as_of, metric_version),
     ):

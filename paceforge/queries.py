@@ -379,6 +379,17 @@ def projection(spark: SparkSession, sf: str) -> DataFrame:
     return sv.projection(daily, fx.model_facts(daily), TODAY, TARGET)
 
 
+@query(
+    "projection_next_monday",
+    f"""WITH run AS ({ORACLES["projection_scenarios"]}), s AS (SELECT scenario, fitness, fatigue FROM run WHERE day = DATE '{TARGET}'),
+    one AS (SELECT scenario, round_even((1 - {_A!r}::DOUBLE) * fitness * 10, 0) / 10 AS fitness, round_even((1 - {_B!r}::DOUBLE) * fatigue * 10, 0) / 10 AS fatigue FROM s),
+    two AS (SELECT scenario, round_even((1 - {_A!r}::DOUBLE) * fitness * 10, 0) / 10 AS fitness, round_even((1 - {_B!r}::DOUBLE) * fatigue * 10, 0) / 10 AS fatigue FROM one)
+    SELECT scenario, DATE '{TARGET}' + 2 AS day, round(fitness - fatigue, 1) AS form FROM two""",
+)
+def projection_monday(spark: SparkSession, sf: str) -> DataFrame:
+    return sv.next_monday_form(projection(spark, sf), TARGET)
+
+
 # streaks and last occurrences
 
 _STREAK = """SELECT day, {0} FROM (SELECT day, activity_count,
@@ -778,6 +789,21 @@ def workout_detail(spark: SparkSession, sf: str) -> DataFrame:
     return sv.workout_detail(_facts(spark, sf)).select("activity_id", "activity_day", "sport_type", "trimp", "stream_sample_count")
 
 
+@query(
+    "workout_detail_gear_kudos",
+    f"""WITH {o.ACTS}, a AS (SELECT * FROM acts ORDER BY activity_day DESC, id DESC LIMIT 1)
+    SELECT id AS activity_id, activity_day, CASE WHEN id % 3 <> 0 THEN 'Shoe ' || (id % 5) END AS gear_name, CASE WHEN id % 3 <> 0 THEN CAST(id * 10 AS DOUBLE) END AS gear_distance_m,
+      'Ann ' || sport_type || ',Zoe ' || sport_type AS kudos_names FROM a""",
+)
+def workout_gear(spark: SparkSession, sf: str) -> DataFrame:
+    acts = ln.activities_o(spark, sf)
+    first = F.explode(F.array(F.lit("Zoe "), F.lit("Ann"), F.lit("Ann"))).alias("firstname")
+    kudos = acts.select(F.col("id").alias("activity_id"), first, F.col("sport_type").alias("lastname"))
+    hydrated = rel.hydrated(acts, ln.payload_log_o(spark, sf))
+    out = sv.workout_detail(_facts(spark, sf), None, hydrated, kudos)
+    return out.select("activity_id", "activity_day", "gear_name", "gear_distance_m", F.array_join("kudos_names", ",").alias("kudos_names"))
+
+
 @query("topk_recent", f"WITH {o.ACTS} SELECT id, activity_day, sport_type FROM acts ORDER BY activity_day DESC, id DESC LIMIT 100")
 def topk_recent(spark: SparkSession, sf: str) -> DataFrame:
     return ln.activities_o(spark, sf).select("id", "activity_day", "sport_type").orderBy(F.desc("activity_day"), F.desc("id")).limit(100)
@@ -910,7 +936,13 @@ def incremental_changes(spark: SparkSession, sf: str) -> DataFrame:
     return inc.changed(hashes, state).select("activity_id", "source_revision")
 
 
-@query("source_hash_changes")
+@query(
+    "source_hash_changes",
+    """SELECT o_orderkey AS activity_id, sha256('detail=' || sha256('{"calories":' || (o_orderkey % 1200) || ',"gear":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null'
+        ELSE '{"distance":' || (o_orderkey * 10) || ',"id":"g' || (o_orderkey % 5) || '","name":"Shoe ' || (o_orderkey % 5) || '"}' END || '}')
+      || ';summary=' || sha256('{"average_heartrate":' || CASE WHEN o_orderkey % 7 = 0 THEN '"n/a"' ELSE CAST(100 + o_orderkey % 80 AS VARCHAR) END || ',"id":' || o_orderkey
+        || ',"start_date_local":"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || 'T' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':15:00Z"}')) AS source_hash FROM orders""",
+)
 def source_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return inc.source_hashes(rel.latest_payloads(ln.payload_log_o(spark, sf)))
 
@@ -1090,6 +1122,30 @@ def status_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     return stat.anomaly_burst(_facts(spark, sf), AS_OF)
 
 
+@query(
+    "status_all_rules",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({ORACLES[name]})"
+        for name in ("status_stale_facts", "status_missing_hr", "status_missing_streams", "status_hr_anomaly", "status_consecutive_hikes", "status_volume_jump")
+    )
+    + f" UNION ALL SELECT * FROM ({ORACLES['status_high_zone'].replace('zone5_seconds > 1 ', 'zone5_seconds > 300 ')})"
+    + f"""
+    UNION ALL SELECT 'stale_mirror_data', CASE WHEN DATE '{AS_OF}' - max(CAST(o_orderdate AS DATE)) > 1 THEN 'active' ELSE 'inactive' END, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR),
+      CAST(greatest(DATE '{AS_OF}' - max(CAST(o_orderdate AS DATE)), 0) AS DOUBLE) FROM orders
+    UNION ALL (WITH {o.ACTS}, r AS (SELECT id, activity_day, activity_day - DATE '1970-01-01' AS n FROM acts WHERE activity_day BETWEEN DATE '{AS_OF}' - 6 AND DATE '{AS_OF}'),
+      t AS (SELECT * FROM r WHERE id % 2 = 1 ORDER BY activity_day DESC, id DESC LIMIT 1)
+      SELECT 'cardiac_drift_significant_quality', CASE WHEN (SELECT count(*) FROM r) = 0 THEN 'unavailable' WHEN (SELECT count(*) FROM t) > 0 THEN 'active' ELSE 'inactive' END,
+        (SELECT CAST(id AS VARCHAR) FROM t), (SELECT CAST(n AS DOUBLE) FROM t))""",
+)
+def status_all(spark: SparkSession, sf: str) -> DataFrame:
+    acts = ln.activities_o(spark, sf)
+    # lens O's activities are too short for drift
+    drift = {"cardiac_drift_significant": F.col("activity_id") % 2 == 1, "cardiac_drift_quality": F.lit("fair")}
+    days = acts.select(F.col("activity_day").alias("at"))
+    past, dirty = days.filter(F.col("at") <= F.lit(AS_OF)), acts.filter("distance_m > 450000")
+    return stat.all_rules(stored(_facts(spark, sf).withColumns(drift)), AS_OF, 1, days, past, dirty)
+
+
 @query("status_significant_drift")
 def status_drift(spark: SparkSession, sf: str) -> DataFrame:
     return stat.significant_drift(_dense_facts(spark, sf), date(2024, 1, 30))

@@ -11,6 +11,7 @@ import json
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,11 +31,12 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    """Parquet tables under ``path``: data folders, and manifests that name the current folder of each table.
+    """Parquet tables under ``path``: data folders, and manifests that name the current folders of each table.
 
     A commit writes all changed tables to new folders and then creates the next
     manifest; creating it is the commit, and fails if another writer was first.
-    Any file system that Hadoop knows will do.
+    A table that only grows gets one folder more for each commit, and its older
+    rows are neither read nor written.  Any file system that Hadoop knows will do.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -62,10 +64,13 @@ class Store:
     def _text(self, name: str) -> str:
         return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
 
-    def manifest(self) -> tuple[int, dict[str, str]]:
-        """(number, folder of each table); (0, {}) before the first commit."""
+    def manifest(self) -> tuple[int, dict[str, list[str]]]:
+        """(number, folders of each table); (0, {}) before the first commit."""
         names = self._names("manifest-")
-        return (int(names[-1].split("-")[1]), json.loads(self._text(names[-1]))) if names else (0, {})
+        if not names:
+            return 0, {}
+        tables = json.loads(self._text(names[-1]))
+        return int(names[-1].split("-")[1]), {t: [f] if isinstance(f, str) else f for t, f in tables.items()}
 
     def exists(self, name: str) -> bool:
         return name in self.manifest()[1]
@@ -75,7 +80,7 @@ class Store:
         folders = self.manifest()[1]
         if name not in folders:
             raise MirrorMissing(f"no table {name} at {self.path}")
-        df = self.spark.read.parquet(f"{self.path}/{folders[name]}")
+        df = self.staged(*folders[name])
         if schema is not None:
             wanted = schema if isinstance(schema, StructType) else self.spark.createDataFrame([], schema).schema
             if lacking := [f.name for f in wanted if f.name not in df.columns]:
@@ -88,26 +93,34 @@ class Store:
         df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
         return folder
 
-    def staged(self, folder: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{folder}")
+    def staged(self, *folders: str) -> DataFrame:
+        """Rows of some folders, which have the same columns in the same order."""
+        parts = [self.spark.read.parquet(f"{self.path}/{f}") for f in folders[:1]]
+        if folders[1:]:
+            rest = self.spark.read.schema(parts[0].schema).parquet(*[f"{self.path}/{f}" for f in folders[1:]])
+            parts.append(rest.select(*parts[0].columns))
+        return reduce(DataFrame.unionByName, parts)
 
     def commit(
         self,
         changes: Mapping[str, DataFrame | str],
         partition_by: Mapping[str, Sequence[str]] | None = None,
         base: int | None = None,
+        grown: Mapping[str, str] | None = None,
     ) -> int:
         """Write the changed tables, then make them current all at once; returns the commit's number.
 
-        A change is a DataFrame or a staged folder.  ``base``: the commit that the changes
+        A change is a DataFrame or a staged folder, and takes the table's place; the staged
+        folders of ``grown`` join the table's others.  ``base``: the commit that the changes
         were computed from; raises Conflict if another came after it.
         """
         turn, folders = self.manifest()
         if base is not None and base != turn:
             raise Conflict(f"commit {turn} came after {base}")
         written = {
-            name: df if isinstance(df, str) else self.stage(name, df, (partition_by or {}).get(name, ())) for name, df in changes.items()
+            name: [df if isinstance(df, str) else self.stage(name, df, (partition_by or {}).get(name, ()))] for name, df in changes.items()
         }
+        written |= {name: [*folders.get(name, ()), folder] for name, folder in (grown or {}).items()}
         self._create(f"manifest-{turn + 1:08d}", json.dumps(folders | written))
         return turn + 1
 
@@ -116,7 +129,7 @@ class Store:
 
         Folders younger than ``keep_s`` stay: another writer may be about to commit them, or a reader may use them.
         """
-        current = {f.split("/")[1] for f in self.manifest()[1].values()}
+        current = {f.split("/")[1] for folders in self.manifest()[1].values() for f in folders}
         before = (time.time() - keep_s) * 1000
         gone = 0
         for status in self._fs.listStatus(self._at("data")):
@@ -148,10 +161,16 @@ class Store:
 def append_changed(log: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose raw hash differs from that of the row before, in the log or in ``new`` itself.
 
-    Both have fetched_at and raw_hash.  Of the log only the keys, times and hashes of the new rows' keys are read.
+    Both have fetched_at and raw_hash.  Of the log only the keys, times and hashes of the new rows' keys are read;
+    files whose range of the first key lies apart from the new rows' are skipped.
     """
     wanted = new.select(*keys).distinct()
-    known = log.select(*keys, "fetched_at", "raw_hash").join(F.broadcast(wanted) if wanted.limit(_FEW + 1).count() <= _FEW else wanted, list(keys), "left_semi")
+    first = F.col(keys[0])
+    n, low, high = wanted.agg(F.count(F.lit(1)), F.min(first), F.max(first)).first()
+    known = log.select(*keys, "fetched_at", "raw_hash")
+    if low is not None:
+        known = known.filter(first.between(F.lit(low), F.lit(high)))
+    known = known.join(F.broadcast(wanted) if n <= _FEW else wanted, list(keys), "left_semi")
     heads = known.groupBy(*keys).agg(F.max(F.struct("fetched_at", "raw_hash"))["raw_hash"].alias("known_hash"))
     order = Window.partitionBy(*keys).orderBy("fetched_at", "raw_hash")
     rows = new.withColumn("before_hash", F.lag("raw_hash").over(order)).join(heads, list(keys), "left")

@@ -28,17 +28,29 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> Da
 def promote(
     payloads: DataFrame, store: Store, name: str, checkpoint: str, then: Callable[[DataFrame], None] | None = None
 ) -> StreamingQuery:
-    """Append a stream of payloads to a log where they differ from the latest; ``then`` gets what was new."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        if store.exists(name):
-            known = store.read(name)
-            new = append_changed(known, rows, ["activity_id", "payload_kind"])
-            store.commit({name: known.unionByName(new.select(*known.columns))})
+    """Append a stream of payloads to a log where they differ from the latest; ``then`` gets what was new.
+
+    A batch adds a folder to the log and notes itself in ``{name}_progress`` in one
+    commit, so a batch that is run again appends nothing; ``then`` sees its rows again.
+    """
+    progress = f"{name}_progress"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        notes = store.read(progress).collect() if store.exists(progress) else []  # one row for each checkpoint
+        mine = next((r for r in notes if r.checkpoint == checkpoint), None)
+        if mine is None or mine.batch < number:
+            rows = rows.persist()
+            known = store.read(name) if store.exists(name) else rows.limit(0)
+            new = append_changed(known, rows, ["activity_id", "payload_kind"]).select(*known.columns)
+            folder = store.stage(name, new)
+            rows.unpersist()
+            notes = [r for r in notes if r.checkpoint != checkpoint] + [(checkpoint, number, folder)]
+            table = rows.sparkSession.createDataFrame(notes, "checkpoint string, batch long, folder string")
+            grows = not (store.exists(name) and store.staged(folder).isEmpty())
+            store.commit({progress: table}, grown={name: folder} if grows else None)
         else:
-            new = rows
-            store.commit({name: rows})
+            folder = mine.folder
         if then is not None:
-            then(new)
+            then(store.staged(folder))
 
     return payloads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -144,6 +144,13 @@ def test_workouts(activity):
         with pytest.raises(ValueError):
             services.list_workouts(activity, bad)
     assert services.workout_detail(activity).first().activity_id == 104
+    spark = activity.sparkSession
+    gear = spark.createDataFrame([(104, "Shoe", 5.0), (103, "Other", 6.0)], "id long, gear_name string, gear_distance_m double")
+    kudos = spark.createDataFrame([(104, "Zoe", "B"), (104, "Ann", None), (103, "Eve", "C")], "activity_id long, firstname string, lastname string")
+    whole = services.workout_detail(activity, None, gear, kudos).first()
+    assert (whole.gear_name, whole.gear_distance_m, whole.kudos_names) == ("Shoe", 5.0, ["Ann", "Zoe B"])
+    bare = services.workout_detail(activity, 104, gear.limit(0), kudos.limit(0)).first()
+    assert (bare.activity_id, bare.gear_name, bare.kudos_names) == (104, None, [])
     assert [r.activity_id for r in services.page_after(activity.filter("metric_version = 1"), date(2026, 5, 13), 103, 9).collect()] == [102, 101]
 
 
@@ -158,7 +165,8 @@ def _status_facts(spark):
 
 def test_status_rules(spark):
     df, as_of = _status_facts(spark), date(2026, 5, 20)
-    found = {r.code: r for r in status.all_rules(df, as_of).unionByName(status.significant_drift(df, as_of)).collect()}
+    found = {r.code: r for r in status.all_rules(df, as_of).collect()}
+    assert {found.pop(c).status for c in ("stale_mirror_data", "stale_read_model_facts")} == {"unavailable"}
     assert {c: r.status for c, r in found.items()} == {
         "missing_hr": "active", "missing_streams": "active", "excessive_z5_exposure": "active", "hr_anomaly_burst": "active",
         "consecutive_high_load_hikes": "active", "running_volume_jump": "active", "cardiac_drift_significant_quality": "active",
@@ -182,6 +190,12 @@ def test_projection(spark):
     rest = [r for r in rows if r.scenario == "rest"]
     assert rest[0].fitness == round(40 * 0.5 ** (1 / 42), 1) and rest[0].form == round(rest[0].fitness - rest[0].fatigue, 1)
     assert {r.load for r in rows if r.scenario == "easy"} == {80.0}
+    friday, monday = date(2026, 6, 5), date(2026, 6, 8)
+    short = services.projection(daily, model, today, friday)
+    long = {(r.scenario, r.day): r for r in services.projection(daily, model, today, monday, ("rest",)).collect()}
+    forms = {r.scenario: (r.day, r.form) for r in services.next_monday_form(short, friday).collect()}
+    assert set(forms) == {"rest", "easy", "maintain"} and forms["rest"] == (monday, long["rest", monday].form)
+    assert services.next_monday_form(short, date(2026, 6, 4)).count() == 0
     assert [r.load for r in sorted(rows, key=lambda r: r.day) if r.scenario == "maintain"].count(70.0) == 1
     assert {r.day: r.load for r in rows if r.scenario == "custom"}[date(2026, 5, 30)] == 50.0
     for bad in ({"target": today - timedelta(days=1)}, {"target": today + timedelta(days=91)}, {"scenarios": ("x",)}):

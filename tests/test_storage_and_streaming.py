@@ -212,3 +212,35 @@ def test_promotion_stream(spark, tmp_path):
         query.awaitTermination()
         assert query.exception() is None
     assert seen == [2, 1] and store.read("payloads").count() == 3
+    assert len(store.manifest()[1]["payloads"]) == 2  # a batch adds a folder and leaves the others
+
+
+def test_a_batch_that_runs_again_appends_nothing(spark, tmp_path):
+    kind = "activity_id long, payload_kind string, fetched_at string, payload_json string, raw_hash string"
+    store, broken, seen = sinks.Store(spark, str(tmp_path / "store")), [True], []
+    rows = [(1, "summary", "1", "a", "a"), (1, "summary", "2", "b", "b"), (1, "summary", "3", "b", "b")]
+    spark.createDataFrame(rows, kind).repartition(1).write.parquet(str(tmp_path / "in"))
+
+    def then(new):
+        if broken.pop() if broken else False:
+            raise RuntimeError("lost after the commit")
+        seen.append(new.count())
+
+    for _ in range(2):
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        query = jobs.promote(stream, store, "payloads", str(tmp_path / "cp"), then)
+        try:
+            query.awaitTermination()
+        except Exception:
+            assert not seen
+    assert seen == [2] and store.read("payloads").count() == 2
+
+
+def test_tables_grow_by_folders(spark, tmp_path):
+    store = sinks.Store(spark, str(tmp_path / "s"))
+    store.commit({"a": spark.range(3), "b": spark.range(2)})
+    store.commit({"b": spark.range(1)}, grown={"a": store.stage("a", spark.range(3, 5))})
+    assert sorted(r.id for r in store.read("a").collect()) == [0, 1, 2, 3, 4] and store.read("b").count() == 1
+    assert store.vacuum(keep_s=0) == 1 and store.read("a").count() == 5
+    store.commit({"a": store.read("a")})
+    assert len(store.manifest()[1]["a"]) == 1 and store.read("a").count() == 5
