@@ -57,18 +57,30 @@ def warnings(rows: DataFrame) -> DataFrame:
     return partial.unionByName(gone).unionByName(mixed).dropDuplicates(["code", "severity", "message"])
 
 
+#: What a brief shows of its days, in all and by sport.
+LOAD_METRICS = ("trimp", "distance_km", "moving_time_min", "elevation_m", "kudos_count")
+
+
 def daily_brief(sources: dict[str, DataFrame], day: date, metric_version: int = 1) -> DataFrame:
-    return aggregate(sources, AggregateRequest(bundle="daily_brief", scope="both", bucket="day", start=day, end=day + timedelta(days=1), metric_version=metric_version))
+    """The bundle's metrics over the 14 days that end with ``day``."""
+    request = AggregateRequest(bundle="daily_brief", scope="both", bucket="all_time", start=day - timedelta(days=13), end=day + timedelta(days=1), metric_version=metric_version)
+    return aggregate(sources, request)
+
+
+def brief_load(sources: dict[str, DataFrame], day: date, bucket: str = "day", metric_version: int = 1) -> DataFrame:
+    """Load of a brief's 14 days, in all and by sport: each day's, or with bucket all_time their sum."""
+    request = AggregateRequest(LOAD_METRICS, scope="both", bucket=bucket, start=day - timedelta(days=13), end=day + timedelta(days=1), metric_version=metric_version)
+    return aggregate(sources, request)
 
 
 def weekly_digest(sources: dict[str, DataFrame], day: date, metric_version: int = 1) -> DataFrame:
-    """The Monday week of ``day`` beside the week before: metric_id, sport_type, value, previous, delta."""
+    """From Monday to ``day`` beside the whole week before: metric_id, sport_type, value, previous, delta."""
     monday = day - timedelta(days=day.weekday())
-    week = lambda start: aggregate(
-        sources, AggregateRequest(bundle="weekly_digest", scope="both", bucket="all_time", start=start, end=start + timedelta(days=7), metric_version=metric_version)
+    over = lambda start, end: aggregate(
+        sources, AggregateRequest(bundle="weekly_digest", scope="both", bucket="all_time", start=start, end=end, metric_version=metric_version)
     ).select("metric_id", F.coalesce("sport_type", F.lit("all")).alias("sport_type"), "value")
-    before = week(monday - timedelta(days=7)).withColumnRenamed("value", "previous")
-    joined = week(monday).join(before, ["metric_id", "sport_type"], "full_outer")
+    before = over(monday - timedelta(days=7), monday).withColumnRenamed("value", "previous")
+    joined = over(monday, day + timedelta(days=1)).join(before, ["metric_id", "sport_type"], "full_outer")
     return joined.withColumn("delta", F.bround(F.col("value") - F.col("previous"), 3))
 
 

@@ -1097,7 +1097,30 @@ def daily_brief(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out.select("metric_id", "value", "row_count"))
 
 
-@query("bundle_sections")
+_BRIEF = "activity_day BETWEEN DATE '{0}' - 13 AND DATE '{0}'".format(AS_OF)
+
+
+@query(
+    "bundle_brief_load",
+    f"""WITH {o.FOR_FACTS}, r AS (SELECT a.*, f.trimp FROM acts a JOIN facts f ON f.activity_id = a.id WHERE a.{_BRIEF}),
+    g AS (SELECT activity_day AS bucket_start, CASE WHEN grouping(sport_type) = 1 THEN 'all' ELSE sport_type END AS sport_type, sum(trimp) AS trimp, sum(distance_m) / 1000.0 AS distance_km,
+      sum(moving_time_s) / 60.0 AS moving_time_min, sum(elevation_gain_m) AS elevation_m, CAST(sum(kudos_count) AS DOUBLE) AS kudos_count FROM r GROUP BY GROUPING SETS ((activity_day), (activity_day, sport_type)))
+    """
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric_id, bucket_start, sport_type, round({m}, 6) AS value FROM g" + (" WHERE sport_type = 'all'" if m == "trimp" else "") for m in bd.LOAD_METRICS),
+)
+def brief_load(spark: SparkSession, sf: str) -> DataFrame:
+    facts = stored(_facts(spark, sf))
+    out = bd.brief_load({"activity": facts, "social": facts}, AS_OF)
+    return _rounded(out.select("metric_id", "bucket_start", F.coalesce("sport_type", F.lit("all")).alias("sport_type"), "value"))
+
+
+@query(
+    "bundle_sections",
+    f"""WITH {o.FOR_FACTS}, r AS (SELECT * FROM facts WHERE {_RANGE}),
+    w AS (SELECT count(distance_m) + count(moving_time_s) + count(elevation_gain_m) + count(trimp) AS n FROM r)
+    SELECT 'workouts' AS section, CASE WHEN n = 0 THEN 'unavailable' ELSE 'partial' END AS status FROM w
+    UNION ALL SELECT unnest(['load', 'trends', 'fitness']), 'unavailable'""",
+)
 def bundle_sections(spark: SparkSession, sf: str) -> DataFrame:
     rows = ag.aggregate({"activity": _facts(spark, sf)}, _request("distance_km", "moving_time_min", "elevation_m", "trimp"))
     return bd.sections(rows, "monthly_digest").select("section", "status")

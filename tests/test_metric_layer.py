@@ -217,3 +217,31 @@ def test_bundles_and_glossary(activity, spark):
     assert bundles.overall(bundles.sections(rows, "monthly_digest")).first().status == "partial"
     assert {r.metric_id: r.value for r in bundles.first_values(rows).collect()} == {"distance_km": 29.0, "trimp": 310.0}
     assert {r.code for r in bundles.warnings(rows).collect()} == {"partial_data"}
+
+
+def test_brief_load_covers_14_days(activity):
+    sources = {"activity": activity, "social": activity}
+    totals = lambda day: {(r.metric_id, r.sport_type): r.value for r in bundles.brief_load(sources, day, "all_time").collect()}
+    first, later = totals(date(2026, 5, 18)), totals(date(2026, 5, 19))
+    assert (first["distance_km", None], first["kudos_count", None], first["trimp", None]) == (21.0, 3.0, 250.0)
+    assert (later["distance_km", None], later["distance_km", "Run"]) == (11.0, 11.0)
+    days = bundles.brief_load(sources, date(2026, 5, 19)).filter("metric_id = 'trimp'").collect()
+    assert [(r.bucket_start, r.value) for r in days] == [(date(2026, 5, 12), 80.0), (date(2026, 5, 13), 70.0)]
+
+
+def test_bundles_ask_for_their_ranges(spark, monkeypatch):
+    asked = []
+
+    def record(sources, request):
+        asked.append((request.bundle, request.bucket, request.start, request.end))
+        return spark.createDataFrame([("trimp", None, 5.0 if request.end > date(2026, 5, 18) else 3.0)], "metric_id string, sport_type string, value double")
+
+    monkeypatch.setattr(bundles, "aggregate", record)
+    row = bundles.weekly_digest({}, date(2026, 5, 20)).first()  # a Wednesday
+    assert (row.sport_type, row.value, row.previous, row.delta) == ("all", 5.0, 3.0, 2.0)
+    bundles.daily_brief({}, date(2026, 5, 20))
+    assert sorted(asked) == [
+        ("daily_brief", "all_time", date(2026, 5, 7), date(2026, 5, 21)),
+        ("weekly_digest", "all_time", date(2026, 5, 11), date(2026, 5, 18)),
+        ("weekly_digest", "all_time", date(2026, 5, 18), date(2026, 5, 21)),
+    ]
