@@ -9,6 +9,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paceforge.sources.sinks import Store
+
 #: Seconds to wait after a failure, by its class.
 BACKOFF_S = {"rate_limit": 900, "transient": 60, "auth": 3600}
 FULL_EVERY_DAYS = 7
@@ -16,11 +18,24 @@ FULL_EVERY_DAYS = 7
 
 @dataclass
 class StageRun:
-    """Runs named stages in order and remembers those done, so a later run goes on where one failed."""
+    """Runs named stages in order and remembers those done, so a later run goes on where one failed.
+
+    With a store they are kept in its table ``table``, and outlive the driver; a run that ends whole clears it.
+    """
 
     stages: Mapping[str, Callable[[], None]]
     done: list[str] = field(default_factory=list)
     failed: str | None = None
+    store: Store | None = None
+    table: str = "stages"
+
+    def __post_init__(self) -> None:
+        if self.store is not None and self.store.exists(self.table):
+            self.done = [r.name for r in self.store.read(self.table).collect()]
+
+    def _keep(self, names: list[str]) -> None:
+        if self.store is not None:
+            self.store.commit({self.table: self.store.spark.createDataFrame([(n,) for n in names], "name string")})
 
     def run(self) -> bool:
         self.failed = None
@@ -33,6 +48,8 @@ class StageRun:
                 self.failed = name
                 raise
             self.done.append(name)
+            self._keep(self.done)
+        self._keep([])
         return True
 
 

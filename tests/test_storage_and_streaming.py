@@ -173,6 +173,19 @@ def test_stages_resume():
     assert list(runtime.pages(lambda p, s: data[(p - 1) * s : p * s], 2)) == data
 
 
+def test_stages_resume_with_a_new_driver(spark, tmp_path):
+    store, calls = sinks.Store(spark, str(tmp_path / "s")), []
+
+    def broken():
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        runtime.StageRun({"fetch": lambda: calls.append("fetch"), "compute": broken}, store=store).run()
+    anew = {name: lambda name=name: calls.append(name) for name in ("fetch", "compute")}
+    assert runtime.StageRun(anew, store=store).run() and calls == ["fetch", "compute"]
+    assert runtime.StageRun(anew, store=store).run() and calls == ["fetch", "compute"] * 2
+
+
 def test_requests(spark):
     df = spark.createDataFrame([("manual", "2026-05-01T01:00:00"), ("manual", "2026-05-01T02:00:00"), ("auto", "2026-05-01T01:00:00")], "reason string, requested_at string")
     assert sorted((r.reason, r.requested_at) for r in runtime.requests(df).collect()) == [("auto", "2026-05-01T01:00:00"), ("manual", "2026-05-01T01:00:00")]
