@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paceforge.llm.filter_audit import OP12_SQL, op12_filter_audit
 from paceforge.llm.language_id import op9_language_id
+from paceforge.llm.license_scan import op11_license_scan
 from paceforge.llm.lm_score import op4_lm_score
 from paceforge.llm.minhash import op2_minhash
 from paceforge.llm.mixing import OP1_SQL, op1_source_mixing
@@ -15,6 +17,7 @@ from paceforge.llm.quality_classifier import op6_quality_classifier
 from paceforge.llm.quality_rules import op3_quality_rules
 from paceforge.llm.tokens import op7_token_counts
 from paceforge.llm.url_filter import op10_url_filter
+from paceforge.llm.vector_codes import OP13_SQL, op13_vector_codes
 from paceforge.llm.vectors import op5_vector_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +33,9 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_license_scan": op11_license_scan,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_source_mixing": OP1_SQL, "op12_filter_audit": OP12_SQL, "op13_vector_codes": OP13_SQL}
