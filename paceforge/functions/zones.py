@@ -32,6 +32,29 @@ def band_counts(hr: Column, bounds: Sequence[Column | int]) -> list[Column]:
     return [F.count_if(t) for t in tests]
 
 
+def banded_rates(rates: Column, bounds: Sequence[Column | int]) -> list[Column]:
+    """band_counts() of an activity's map rate -> seconds: the samples themselves are not needed."""
+    limits = [b if isinstance(b, Column) else F.lit(b) for b in bounds[:5]]
+    edges = [None, *limits, None]
+
+    def inside(low: Column | None, high: Column | None):
+        if low is None:
+            return lambda rate, n: rate < high
+        return lambda rate, n: (rate >= low) & (rate < high) if high is not None else rate >= low
+
+    none = F.lit(0).cast("long")
+    add = lambda total, n: total + n
+    return [F.aggregate(F.map_values(F.map_filter(rates, inside(a, b))), none, add) for a, b in zip(edges, edges[1:])]
+
+
+def banded_load(bands: Sequence[Column]) -> Column:
+    """Load points of the six bands' seconds."""
+    total = F.lit(0.0)
+    for count, coefficient in zip(bands, ZONE_COEFFICIENTS):
+        total = total + count * F.lit(coefficient)
+    return total
+
+
 def zone_seconds(hr: Column, bounds: Sequence[Column | int]) -> dict[str, Column]:
     """The five reported zones.  The band below the last limit earns load and lies in no zone."""
     bands = band_counts(hr, bounds)
@@ -40,10 +63,7 @@ def zone_seconds(hr: Column, bounds: Sequence[Column | int]) -> dict[str, Column
 
 def load_points(hr: Column, bounds: Sequence[Column | int]) -> Column:
     """Seconds in each band times its coefficient: multiples of a half, so sums are exact in any order."""
-    total = F.lit(0.0)
-    for count, coefficient in zip(band_counts(hr, bounds), ZONE_COEFFICIENTS):
-        total = total + count * F.lit(coefficient)
-    return total
+    return banded_load(band_counts(hr, bounds))
 
 
 def load_of(points: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from paceforge.constants import ALPHA_FATIGUE, ALPHA_FITNESS, WARM_UP_DAYS
 
 
-def day_spine(df: DataFrame, day: str = "day") -> DataFrame:
-    """Every day from the first to the last."""
-    ends = df.agg(F.min(day).alias("a"), F.max(day).alias("b")).filter("a IS NOT NULL")
+def day_spine(df: DataFrame, day: str = "day", until: date | None = None) -> DataFrame:
+    """Every day from the first to the last, or to ``until`` if that is later; none without rows."""
+    last = F.max(day) if until is None else F.greatest(F.max(day), F.lit(until))
+    ends = df.agg(F.min(day).alias("a"), last.alias("b")).filter("a IS NOT NULL")
     return ends.select(F.explode(F.sequence("a", "b")).alias(day))
 
 
@@ -59,10 +61,16 @@ def _round1(x: float) -> float:
     return float(np.rint(x * 10) / 10)
 
 
-def load_model(daily: DataFrame, series: list[str] | None = None, warm_up: int = WARM_UP_DAYS) -> DataFrame:
+def load_model(
+    daily: DataFrame,
+    series: list[str] | None = None,
+    warm_up: int = WARM_UP_DAYS,
+    seed: tuple[date, float, float] | None = None,
+) -> DataFrame:
     """Fitness and fatigue of each series of daily loads, from zero ``warm_up`` days before its first day.
 
-    Each step is rounded to one decimal, so it is a fold and no window: a grouped
+    ``seed``: a day with its fitness and fatigue, from which the fold goes on with the day after;
+    as states are rounded, it gives what a fold from the first day would.  Each step is rounded to one decimal, so it is a fold and no window: a grouped
     function runs once over each series.  ``daily``: day, load and the columns of
     ``series``; missing days count as no load.
     """
@@ -75,8 +83,10 @@ def load_model(daily: DataFrame, series: list[str] | None = None, warm_up: int =
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         days = pd.to_datetime(pdf["day"])
         loads = pd.Series(pdf["load"].fillna(0.0).to_numpy(float), index=days).groupby(level=0).sum()
-        span = pd.date_range(loads.index.min() - pd.Timedelta(days=warm_up), loads.index.max())
-        fitness = fatigue = 0.0
+        first, fitness, fatigue = loads.index.min() - pd.Timedelta(days=warm_up), 0.0, 0.0
+        if seed is not None:
+            first, fitness, fatigue = pd.Timestamp(seed[0] + timedelta(days=1)), *seed[1:]
+        span = pd.date_range(first, loads.index.max())
         out = []
         for load in loads.reindex(span, fill_value=0.0).to_numpy():
             fitness = _round1(fitness + ALPHA_FITNESS * (load - fitness))

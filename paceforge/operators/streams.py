@@ -15,34 +15,54 @@ from paceforge.constants import (
     MOVING_VELOCITY,
     STOP_VELOCITY,
 )
-from paceforge.functions.zones import load_of, load_points, zone_bounds, zone_seconds
+from paceforge.functions.zones import banded_load, banded_rates, load_of, zone_bounds
 
 
-def stream_scalars(samples: DataFrame, min_velocity: float = MOVING_VELOCITY) -> DataFrame:
-    """Counts, heart-rate range, cardiac cost and median of each activity, in one aggregation."""
+def heart_rate_tier(samples: DataFrame, min_velocity: float = MOVING_VELOCITY) -> DataFrame:
+    """One row for each activity with all that its heart rates are asked for: the only scan of samples that needs no order.
+
+    stream_count, hr_count, min_hr, max_hr, cardiac_cost, median_hr, and ``rates``, the seconds at each rate.
+    Samples are counted by (activity, rate) before anything else, so what is shuffled does not
+    grow with an activity's length, and bounds, zones, loads and day maxima come from this table.
+    """
     moving = F.col("heartrate").isNotNull() & (F.col("velocity") > min_velocity)
-    mean_hr, mean_v = F.avg(F.when(moving, F.col("heartrate"))), F.avg(F.when(moving, F.col("velocity")))
-    return samples.groupBy("activity_id").agg(
-        F.count(F.lit(1)).alias("stream_count"),
-        F.count("heartrate").alias("hr_count"),
-        F.min("heartrate").alias("min_hr"),
-        F.max("heartrate").alias("max_hr"),
+    counted = samples.groupBy("activity_id", "heartrate").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(moving).alias("moving"), F.sum(F.when(moving, F.col("velocity"))).alias("distance")
+    )
+    rate, moved = F.col("heartrate"), F.sum("moving")
+    mean_hr, mean_v = F.sum(rate * F.col("moving")) / F.nullif(moved, F.lit(0)), F.sum("distance") / F.nullif(moved, F.lit(0))
+    entry = F.when(rate.isNotNull(), F.struct("heartrate", "n"))
+    return counted.groupBy("activity_id").agg(
+        F.sum("n").alias("stream_count"),
+        F.coalesce(F.sum(F.when(rate.isNotNull(), F.col("n"))), F.lit(0)).alias("hr_count"),
+        F.min(rate).alias("min_hr"),
+        F.max(rate).alias("max_hr"),
         F.bround(F.when(mean_v > 0, mean_hr / F.nullif(mean_v, F.lit(0.0))), 2).alias("cardiac_cost"),
-        F.median("heartrate").alias("median_hr"),
+        F.percentile(rate, F.lit(0.5), F.when(rate.isNotNull(), F.col("n")).otherwise(0)).alias("median_hr"),
+        F.map_from_entries(F.collect_list(entry)).alias("rates"),
     )
 
 
+def as_tier(rows: DataFrame) -> DataFrame:
+    """The tier of samples; a tier as it is."""
+    return rows if "rates" in rows.columns else heart_rate_tier(rows)
+
+
+def stream_scalars(samples: DataFrame) -> DataFrame:
+    """Counts, heart-rate range, cardiac cost and median of each activity, from samples or their tier."""
+    return as_tier(samples).drop("rates")
+
+
 def running_max_hr(activities: DataFrame, samples: DataFrame) -> DataFrame:
     """(activity_day, max_hr_to_day): the highest heart rate up to and with each activity day, over all sports.
 
-    Daily maxima are few; only they are ordered.
+    ``samples``: those or their tier.  Daily maxima are few; only they are ordered.
     """
-    per_activity = samples.groupBy("activity_id").agg(F.max("heartrate").alias("m"))
     daily = (
         activities.select("id", "activity_day")
-        .join(per_activity, F.col("id") == F.col("activity_id"), "left")
+        .join(as_tier(samples).select("activity_id", "max_hr"), F.col("id") == F.col("activity_id"), "left")
         .groupBy("activity_day")
-        .agg(F.max("m").alias("m"))
+        .agg(F.max("max_hr").alias("m"))
     )
     so_far = Window.orderBy("activity_day").rowsBetween(Window.unboundedPreceding, 0)
     return daily.select("activity_day", F.max("m").over(so_far).alias("max_hr_to_day"))
@@ -51,19 +71,25 @@ def running_max_hr(activities: DataFrame, samples: DataFrame) -> DataFrame:
 def activity_zones(activities: DataFrame, samples: DataFrame, hr_rest: int, days: DataFrame | None = None) -> DataFrame:
     """Zone seconds and load of each activity by the limits of its day; zeros without heart rate.
 
-    ``days``: running_max_hr(), if it is over more activities than these.
+    ``samples``: those or their tier; ``days``: running_max_hr(), if it is over more activities than these.
     """
-    days = running_max_hr(activities, samples) if days is None else days
+    tier = as_tier(samples)
+    days = running_max_hr(activities, tier) if days is None else days
     keyed = activities.select("id", "activity_day").join(F.broadcast(days), "activity_day")
-    limits = zone_bounds(F.col("max_hr_to_day"), hr_rest)
-    keyed = keyed.select("id", "max_hr_to_day", *[b.alias(f"b{k}") for k, b in enumerate(limits)])
-    joined = keyed.join(samples, (F.col("id") == F.col("activity_id")) & F.col("heartrate").isNotNull(), "left")
-    bounds = [F.col(f"b{k}") for k in range(5)]
-    hr = F.col("heartrate")
-    return joined.groupBy("id").agg(
-        F.when(F.count("heartrate") > 0, F.first("max_hr_to_day")).alias("hr_max_used"),
-        *[c.alias(k) for k, c in zone_seconds(hr, bounds).items()],
-        load_of(load_points(hr, bounds)).alias("trimp"),
+    rated = keyed.join(tier.select("activity_id", "hr_count", "rates"), F.col("id") == F.col("activity_id"), "left")
+    return zoned(rated, hr_rest)
+
+
+def zoned(rated: DataFrame, hr_rest: int, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Columns ``keep`` of ``rated`` with hr_max_used, zone seconds and load, from its max_hr_to_day, hr_count and rates."""
+    limits = rated.withColumns({f"b{k}": b for k, b in enumerate(zone_bounds(F.col("max_hr_to_day"), hr_rest))})
+    bands = banded_rates(F.col("rates"), [F.col(f"b{k}") for k in range(5)])
+    wide = limits.withColumns({f"band{k}": F.coalesce(b, F.lit(0).cast("long")) for k, b in enumerate(bands)})
+    return wide.select(
+        *keep,
+        F.when(F.col("hr_count") > 0, F.col("max_hr_to_day")).alias("hr_max_used"),
+        *[F.col(f"band{b}").alias(f"zone{k}_seconds") for k, b in enumerate((0, 1, 2, 3, 5), 1)],
+        load_of(banded_load([F.col(f"band{k}") for k in range(6)])).alias("trimp"),
     )
 
 
@@ -101,15 +127,15 @@ def vertical_speed(samples: DataFrame) -> DataFrame:
 def pauses(samples: DataFrame) -> DataFrame:
     """Standing pauses of activities with enough heart-rate samples, one row each.
 
-    A table has no last row, so of rows with one offset that of the largest
-    velocity and heart rate counts.  A pause is a run of slow samples
-    without a gap of more than three seconds, at least thirty seconds long.
+    Of rows with one offset the last counts, by the column ``pos``, the place in the
+    payload; without it a table has no last row, and that of the largest velocity and
+    heart rate counts.  A pause is a run of slow samples without a gap of more than
+    three seconds, at least thirty seconds long.
     """
     rows = samples.filter("heartrate IS NOT NULL")
-    rows = rows.groupBy("activity_id", "time_offset").agg(
-        F.max_by("heartrate", F.struct("velocity", "heartrate")).alias("heartrate"),
-        F.max("velocity").alias("velocity"),
-    )
+    order = ["pos"] if "pos" in samples.columns else []
+    last = F.max(F.struct(*order, "velocity", "heartrate"))
+    rows = rows.groupBy("activity_id", "time_offset").agg(last.alias("s")).select("activity_id", "time_offset", "s.heartrate", "s.velocity")
     every = Window.partitionBy("activity_id")
     order = every.orderBy("time_offset")
     slow = F.coalesce("velocity", F.lit(0.0)) < STOP_VELOCITY

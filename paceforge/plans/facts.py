@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceforge.constants import RESTING_HR, ROLLING_WINDOWS, WALK_DISCOUNT
 from paceforge.functions.scalars import acwr, acwr_zone, form_zone
-from paceforge.functions.zones import karvonen, load_of, load_points
+from paceforge.functions.zones import banded_load, banded_rates, karvonen, load_of, zone_bounds
 from paceforge.operators.sequence import day_spine, day_window, load_model
 from paceforge.operators.drift import cardiac_drift
 from paceforge.operators.streams import (
-    activity_zones,
     adjusted_cardiac_cost,
+    as_tier,
+    heart_rate_tier,
     hrr_pct,
     pauses,
     recovery,
     running_max_hr,
-    stream_scalars,
     vertical_speed,
+    zoned,
 )
 
 
@@ -31,24 +35,27 @@ def activity_facts(
     metric_version: int = 1,
     only: DataFrame | None = None,
     ordered: bool = True,
+    tier: DataFrame | None = None,
 ) -> DataFrame:
     """One row for each activity and version.
 
+    ``tier``: heart_rate_tier() of the samples, if it is stored; else it is part of the plan.
     ``only``: activity_id of those to compute; the highest heart rate of a day still counts all.
     ``ordered``: with recovery, vertical speed and drift, which need each activity's samples in order;
     without them the samples are only aggregated.  Summary columns that the activities lack
     (avg_hr, max_hr, start_time_local, source_hash, source_revision) are null.
     """
-    days = running_max_hr(activities, samples)
+    tier = heart_rate_tier(samples) if tier is None else tier
+    days = running_max_hr(activities, tier)
     if only is not None:
         wanted = only.select(F.col("activity_id").alias("id"))
         activities = activities.join(wanted, "id", "left_semi")
         samples = samples.join(only.select("activity_id"), "activity_id", "left_semi")
-    scalars = stream_scalars(samples).withColumnRenamed("activity_id", "id")
-    zones = activity_zones(activities, samples, hr_rest, days)
     summary = {c: activities[c] if c in activities.columns else F.lit(None).cast(t) for c, t in _SUMMARY.items()}
     base = activities.withColumns({f"summary_{c}": v for c, v in summary.items()}).drop(*_SUMMARY)
-    f = base.join(scalars, "id", "left").join(zones, "id", "left")
+    scalars = tier.withColumnRenamed("activity_id", "id")
+    rated = base.join(F.broadcast(days), "activity_day", "left").join(scalars, "id", "left")
+    f = zoned(rated, hr_rest, (*base.columns, *[c for c in scalars.columns if c not in ("id", "rates")]))
     if ordered:
         f = f.join(ordered_measures(activities, samples).withColumnRenamed("activity_id", "id"), "id", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -128,32 +135,51 @@ def ordered_measures(activities: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def session_bounds(samples: DataFrame, hr_rest: int = RESTING_HR) -> list[int]:
-    """Zone limits by the highest heart rate of all samples."""
-    top = samples.agg(F.max("heartrate")).first()[0]
+    """Zone limits by the highest heart rate of all samples, or of their tier."""
+    top = samples.agg(F.max("max_hr" if "rates" in samples.columns else "heartrate")).first()[0]
     return karvonen(int(top) if top is not None and top > hr_rest else hr_rest + 1, hr_rest)
 
 
-def daily_trimp(activities: DataFrame, samples: DataFrame, bounds: list[int], by_sport: bool = False) -> DataFrame:
-    """Load of each day (and sport) by one set of limits, one decimal."""
+def activity_loads(activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR) -> DataFrame:
+    """(id, activity_day, sport_type, points, hr_points, load) by one set of limits: those of the highest rate of all.
+
+    ``samples``: those or their tier.  An activity without samples has nulls.
+    """
+    tier = as_tier(samples)
+    rated = activities.select("id", "activity_day", "sport_type").join(tier, F.col("id") == F.col("activity_id"), "left")
+    top = tier.agg(F.max("max_hr").alias("top")).select(F.greatest(F.coalesce("top", F.lit(0)), F.lit(hr_rest + 1)).alias("top"))
+    limits = top.select(*[b.alias(f"b{k}") for k, b in enumerate(zone_bounds(F.col("top"), hr_rest))])  # one row
+    load = banded_load(banded_rates(F.col("rates"), [F.col(f"b{k}") for k in range(5)]))
+    return rated.join(F.broadcast(limits)).select(
+        "id", "activity_day", "sport_type", F.col("stream_count").alias("points"), F.col("hr_count").alias("hr_points"), load.alias("load")
+    )
+
+
+def daily_trimp(activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR, by_sport: bool = False) -> DataFrame:
+    """Load of each day (and sport) that has samples, by one set of limits, one decimal; ``samples``: those or their tier."""
     keys = ["activity_day", "sport_type"] if by_sport else ["activity_day"]
-    per_activity = samples.groupBy("activity_id").agg(load_points(F.col("heartrate"), bounds).alias("load"))
-    joined = activities.select("id", "activity_day", "sport_type").join(per_activity, F.col("id") == F.col("activity_id"))
-    return joined.groupBy(*keys).agg(load_of(F.sum("load")).alias("trimp"))
+    rows = activity_loads(activities, samples, hr_rest).filter("points IS NOT NULL")
+    return rows.groupBy(*keys).agg(load_of(F.sum("load")).alias("trimp"))
 
 
-def daily_load(activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR) -> DataFrame:
+def daily_load(
+    activities: DataFrame,
+    samples: DataFrame,
+    hr_rest: int = RESTING_HR,
+    until: date | None = None,
+    since: date | None = None,
+) -> DataFrame:
     """Every day from the first to the last: status, counts, observed and effective load.
 
     Days without activities are REST, without samples UNKNOWN, without heart rate
-    PARTIAL, else OBSERVED.  Samples are aggregated once, to activities.
+    PARTIAL, else OBSERVED.  ``samples``: those or their tier.  ``until``: the day that is
+    today; days run to it, or to the last activity if that is later.  ``since``: the first
+    day wanted; the limits still come from the heart rates of all.
     """
-    bounds = session_bounds(samples, hr_rest)
-    per_activity = samples.groupBy("activity_id").agg(
-        F.count(F.lit(1)).alias("points"), F.count("heartrate").alias("hr_points"), load_points(F.col("heartrate"), bounds).alias("load")
-    )
-    joined = activities.select("id", "activity_day", "sport_type").join(
-        per_activity, F.col("id") == F.col("activity_id"), "left"
-    )
+    joined = activity_loads(activities, samples, hr_rest)
+    if since is not None:
+        joined = joined.filter(F.col("activity_day") >= F.lit(since))
+        activities = activities.filter(F.col("activity_day") >= F.lit(since))
     by_sport = joined.groupBy("activity_day", "sport_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum("points"), F.lit(0)).alias("points"),
@@ -170,7 +196,7 @@ def daily_load(activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING
         load_of(F.sum("load")).alias("observed"),
         F.bround(F.sum(tenths * factor) / 10.0, 1).alias("effective"),
     )
-    out = day_spine(activities.withColumnRenamed("activity_day", "day")).join(days, "day", "left").fillna(
+    out = day_spine(activities.withColumnRenamed("activity_day", "day"), until=until).join(days, "day", "left").fillna(
         0, ["activity_count", "stream_points", "heartrate_points"]
     )
     status = (
@@ -231,9 +257,12 @@ def daily_facts(load: DataFrame, facts: DataFrame, metric_version: int = 1) -> D
     )
 
 
-def model_facts(daily: DataFrame, metric_version: int = 1) -> DataFrame:
-    """Fitness, fatigue, form and their zones for each day of ``daily``."""
-    states = load_model(daily.select("day", F.col("effective_trimp").alias("load")))
+def model_facts(daily: DataFrame, metric_version: int = 1, seed: tuple[date, float, float] | None = None) -> DataFrame:
+    """Fitness, fatigue, form and their zones for each day of ``daily``.
+
+    ``seed``: the stored (day, fitness, fatigue) before the first of them; without it the fold begins at zero.
+    """
+    states = load_model(daily.select("day", F.col("effective_trimp").alias("load")), seed=seed)
     states = states.join(daily.select("day"), "day", "left_semi")
     form = F.col("fitness") - F.col("fatigue")
     ratio = acwr(F.col("fatigue"), F.col("fitness"))
@@ -303,43 +332,65 @@ def window_medians(
 ) -> DataFrame:
     """Exact medians, three decimals, of the windows that end on each day: of all activities and of each sport.
 
-    ``between``: first and last of the days wanted; None computes all.  Equal values of a day are counted first, so what is spread over the following
-    days is at most a day's distinct values, however many activities it has.
+    ``between``: first and last of the days wanted; None computes all.  A day is counted first, to a map of
+    its distinct values.  Days are dealt into spans as long as the longest window, and a day's map goes to its own
+    span and the next, whatever the windows; there each window's map slides along the days, taking up the day that comes
+    and giving back the one that goes.  A group holds the distinct values of two spans, however many activities they have.
     """
+    span = max(windows)
     if between:
-        facts = facts.filter(F.col("activity_day").between(F.lit(between[0] - timedelta(days=max(windows) - 1)), F.lit(between[1])))
+        facts = facts.filter(F.col("activity_day").between(F.lit(between[0] - timedelta(days=span - 1)), F.lit(between[1])))
     kinds = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(c).cast("double").alias("value")) for m, c in _MEDIANS.items()])
+    scopes = F.array(F.struct(F.lit("all").alias("scope"), F.lit("all").alias("sport")), F.struct(F.lit("sport").alias("scope"), F.col("sport_type").alias("sport")))
     values = facts.select("activity_day", "sport_type", "metric_version", F.inline(kinds)).filter("value IS NOT NULL")
-    counted = values.groupBy("activity_day", "sport_type", "metric_version", "measure", "value").agg(F.count(F.lit(1)).alias("n"))
-    ages = F.explode(F.sequence(F.lit(0), F.lit(max(windows) - 1))).alias("age")
-    spread = counted.select("*", ages).withColumn("as_of_day", F.date_add("activity_day", F.col("age")))
-    if between:
-        spread = spread.filter(F.col("as_of_day").between(F.lit(between[0]), F.lit(between[1])))
-    keys = ["as_of_day", "metric_version", "measure"]
-    per_window = [
-        F.struct(
-            F.lit(w).alias("window_days"),
-            F.bround(F.percentile(F.when(F.col("age") < w, F.col("value")), F.lit(0.5), F.col("n")), 3).alias("median"),
-        )
-        for w in windows
-    ]
-    found = spread.groupingSets([keys, [*keys, "sport_type"]], *keys, "sport_type").agg(
-        F.grouping("sport_type").alias("over_all"), F.array(*per_window).alias("w")
+    values = values.select("activity_day", "metric_version", "measure", "value", F.inline(scopes))
+    keys = ["scope", "sport", "metric_version", "measure"]
+    counted = values.groupBy(*keys, "activity_day", "value").agg(F.count(F.lit(1)).alias("n"))
+    day = F.datediff("activity_day", F.lit("1970-01-01").cast("date"))
+    own = F.floor(day / F.lit(span))
+    dealt = counted.select(*keys, day.alias("day"), "value", "n", F.explode(F.array(own, own + 1)).alias("span"))
+    found = dealt.groupBy(*keys, "span").applyInPandas(
+        partial(_window_medians_of_span, windows=tuple(windows)),
+        "scope string, sport string, metric_version long, measure string, as_of long, window_days int, median double",
     )
-    flat = found.select(
-        "as_of_day",
-        F.when(F.col("over_all") == 1, "all").otherwise("sport").alias("scope"),
-        F.when(F.col("over_all") == 1, "all").otherwise(F.col("sport_type")).alias("sport_type"),
-        "metric_version",
-        "measure",
-        F.inline("w"),
-    )
-    flat = flat.filter("median IS NOT NULL")
-    return flat.groupBy("as_of_day", "scope", "sport_type", "metric_version", "window_days").agg(
+    as_of = F.date_add(F.lit("1970-01-01").cast("date"), F.col("as_of").cast("int"))
+    flat = found.withColumns({"as_of_day": as_of, "median": F.bround("median", 3)})
+    if between:
+        flat = flat.filter(F.col("as_of_day").between(F.lit(between[0]), F.lit(between[1])))
+    return flat.groupBy("as_of_day", "scope", F.col("sport").alias("sport_type"), "metric_version", "window_days").agg(
         *[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(m) for m in _MEDIANS]
     )
 
 
+def _window_medians_of_span(key: tuple, rows: pd.DataFrame, windows: tuple[int, ...]) -> pd.DataFrame:
+    """Medians of the windows that end in one span, from the counts of its days and of those of the span before."""
+    length = max(windows)
+    first = int(key[-1]) * length  # the span's first day
+    rows = rows.sort_values("day")
+    values, place = np.unique(rows["value"].to_numpy(float), return_inverse=True)
+    n, days = rows["n"].to_numpy(np.int64), rows["day"].to_numpy(np.int64)
+    counts = {w: np.zeros(len(values), np.int64) for w in windows}
+    found = []
+
+    def of_day(day: int) -> slice:
+        return slice(*np.searchsorted(days, (day, day + 1)))
+
+    for day in range(first - length + 1, first + length):
+        comes = of_day(day)
+        for w, own in counts.items():
+            goes = of_day(day - w)
+            own[place[comes]] += n[comes]  # a day has each value once
+            own[place[goes]] -= n[goes] if day - w > first - length else 0
+            if day >= first and (total := int(own.sum())):
+                upto = own.cumsum()
+                low, high = values[np.searchsorted(upto, ((total - 1) // 2, total // 2), side="right")]
+                found.append((day, w, 0.5 * low + 0.5 * high))
+    out = pd.DataFrame(found, columns=["as_of", "window_days", "median"])
+    for name, value in reversed(list(zip(("scope", "sport", "metric_version", "measure"), key))):
+        out.insert(0, name, value)
+    return out
+
+
 def whole_rolling_facts(
     daily: DataFrame,
     facts: DataFrame,

@@ -50,17 +50,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _facts(spark: SparkSession, sf: str) -> DataFrame:
+def _tier(spark: SparkSession, sf: str) -> DataFrame:
+    """The heart-rate tier of lens O, written once, as a store would hold it: the samples are read for it alone."""
+    return stored(st.heart_rate_tier(ln.samples_o(spark, sf)))
+
+
+def _facts(spark: SparkSession, sf: str, tier: DataFrame | None = None) -> DataFrame:
     """Facts of lens O, whose activities have too few samples for the measures that need their order."""
-    return fx.activity_facts(ln.activities_o(spark, sf), ln.samples_o(spark, sf), ordered=False)
+    tier = _tier(spark, sf) if tier is None else tier
+    return fx.activity_facts(ln.activities_o(spark, sf), ln.samples_o(spark, sf), ordered=False, tier=tier)
 
 
-def _load(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.daily_load(ln.activities_o(spark, sf), ln.samples_o(spark, sf))
+def _load(spark: SparkSession, sf: str, tier: DataFrame | None = None, until: date | None = None) -> DataFrame:
+    return fx.daily_load(ln.activities_o(spark, sf), _tier(spark, sf) if tier is None else tier, until=until)
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.daily_facts(_load(spark, sf), _facts(spark, sf))
+    tier = _tier(spark, sf)
+    return fx.daily_facts(_load(spark, sf, tier), _facts(spark, sf, tier))
 
 
 def _rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
@@ -227,14 +234,12 @@ def adjusted_cost(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("daily_trimp", f"WITH {o.FOR_DAILY} SELECT activity_day, round_even(sum(raw) / 60.0::DOUBLE, 1) AS trimp FROM acts JOIN loads ON id = activity_id GROUP BY activity_day")
 def daily_trimp(spark: SparkSession, sf: str) -> DataFrame:
-    samples = ln.samples_o(spark, sf)
-    return fx.daily_trimp(ln.activities_o(spark, sf), samples, fx.session_bounds(samples))
+    return fx.daily_trimp(ln.activities_o(spark, sf), ln.samples_o(spark, sf))
 
 
 @query("daily_trimp_by_sport", f"WITH {o.FOR_DAILY} SELECT activity_day, sport_type, round_even(sum(raw) / 60.0::DOUBLE, 1) AS trimp FROM acts JOIN loads ON id = activity_id GROUP BY ALL")
 def daily_trimp_by_sport(spark: SparkSession, sf: str) -> DataFrame:
-    samples = ln.samples_o(spark, sf)
-    return fx.daily_trimp(ln.activities_o(spark, sf), samples, fx.session_bounds(samples), by_sport=True)
+    return fx.daily_trimp(ln.activities_o(spark, sf), ln.samples_o(spark, sf), by_sport=True)
 
 
 @query("daily_effective_trimp", f"WITH {o.FOR_DAILY} SELECT day, effective_trimp FROM daily_load")
@@ -317,8 +322,9 @@ def rolling_medians_each_day(spark: SparkSession, sf: str) -> DataFrame:
     FROM x WINDOW v AS (PARTITION BY sport_type ORDER BY day RANGE BETWEEN INTERVAL 27 DAY PRECEDING AND CURRENT ROW)""",
 )
 def rolling_by_sport(spark: SparkSession, sf: str) -> DataFrame:
-    facts = _facts(spark, sf)
-    out = fx.rolling_facts(fx.sport_days(_load(spark, sf), facts), (28,))
+    tier = _tier(spark, sf)
+    facts = _facts(spark, sf, tier)
+    out = fx.rolling_facts(fx.sport_days(_load(spark, sf, tier), facts), (28,))
     return out.select("sport_type", "as_of_day", "activity_count", "rest_days", F.round("distance_m", 2).alias("distance_m"), F.round("observed_trimp", 1).alias("observed_trimp"), F.round("effective_trimp", 2).alias("effective_trimp"))
 
 
@@ -706,14 +712,9 @@ def agg_window(spark: SparkSession, sf: str) -> DataFrame:
 )
 def agg_trimp_week(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: weekly load of each sport, from samples."""
-    from paceforge.functions.zones import load_points
-
-    samples = ln.samples_o(spark, sf)
-    per_activity = samples.groupBy("activity_id").agg(load_points(F.col("heartrate"), fx.session_bounds(samples)).alias("load"))
-    acts = ln.activities_o(spark, sf).select("id", "activity_day", "sport_type")
-    joined = acts.join(per_activity, F.col("id") == F.col("activity_id"))
+    loads = fx.activity_loads(ln.activities_o(spark, sf), _tier(spark, sf)).filter("points IS NOT NULL")
     week = sc.bucket_start(F.col("activity_day"), "week").alias("week")
-    return joined.groupBy("sport_type", week).agg(F.round(F.sum("load") / 60.0, 4).alias("trimp"))
+    return loads.groupBy("sport_type", week).agg(F.round(F.sum("load") / 60.0, 4).alias("trimp"))
 
 
 # services
@@ -763,8 +764,9 @@ def compare_distributions(spark: SparkSession, sf: str) -> DataFrame:
     FROM s JOIN daily d ON d.day <= s.day AND d.day > s.day - 90, x GROUP BY ALL""",
 )
 def fitness_state(spark: SparkSession, sf: str) -> DataFrame:
-    facts = stored(_facts(spark, sf))
-    daily = stored(fx.daily_facts(_load(spark, sf), facts))
+    tier = _tier(spark, sf)
+    facts = stored(_facts(spark, sf, tier))
+    daily = stored(fx.daily_facts(_load(spark, sf, tier), facts))
     model = fx.model_facts(daily)
     # lens O's activities are too short for recovery and drift
     facts = facts.withColumns({c: F.lit(None).cast("double") for c in ("hr_recovery_median_rate", "cardiac_drift_pct")})
@@ -1057,14 +1059,22 @@ def schema_drift(spark: SparkSession, sf: str) -> DataFrame:
       date_diff('day', hike, day) AS last_hike_days_ago FROM s JOIN h USING (day)""",
 )
 def historical_context(spark: SparkSession, sf: str) -> DataFrame:
-    out = sv.historical_context(_daily(spark, sf), _facts(spark, sf))
+    tier = _tier(spark, sf)
+    facts = _facts(spark, sf, tier)
+    out = sv.historical_context(fx.daily_facts(_load(spark, sf, tier), facts), facts)
     return out.select("day", "activity_count", "activity_streak_days", "rest_streak_days", "last_hike_days_ago")
 
 
-def _sources(activities: DataFrame, samples: DataFrame, between: tuple[date, date] | None = None) -> dict[str, DataFrame]:
-    """Every fact table of some activities, each written once, as a store would hold it; windows that end in ``between``."""
-    facts = stored(fx.activity_facts(activities, samples))
-    daily = stored(fx.daily_facts(fx.daily_load(activities, samples), facts))
+def _sources(
+    activities: DataFrame, samples: DataFrame, between: tuple[date, date] | None = None, until: date | None = None
+) -> dict[str, DataFrame]:
+    """Every fact table of some activities, each written once, as a store would hold it.
+
+    ``between``: windows that end in it; ``until``: the day that is today.
+    """
+    tier = stored(st.heart_rate_tier(samples))
+    facts = stored(fx.activity_facts(activities, samples, tier=tier))
+    daily = stored(fx.daily_facts(fx.daily_load(activities, tier, until=until), facts))
     model = stored(fx.model_facts(daily))
     rolling = stored(fx.whole_rolling_facts(daily, facts, model, between=between))
     history = stored(sv.historical_context(daily, facts))
@@ -1075,8 +1085,12 @@ def _all_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return _sources(_summarized(spark, sf), ln.samples_o(spark, sf), (AS_OF - timedelta(days=14), AS_OF))
 
 
+#: A day after the last activity of lens E at every size: facts, model and windows run to it.
+TODAY_E = date(2024, 2, 14)
+
+
 def _dense_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return _sources(ln.activities_e(spark, sf), ln.samples_e(spark, sf))
+    return _sources(ln.activities_e(spark, sf), ln.samples_e(spark, sf), until=TODAY_E)
 
 
 @query("every_metric")

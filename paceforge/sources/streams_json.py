@@ -27,8 +27,11 @@ def parsed(payloads: DataFrame) -> DataFrame:
     return payloads.select("activity_id", F.from_json("payload_json", f"map<string,{_CHANNEL}>").alias("channels"))
 
 
-def samples(payloads: DataFrame) -> DataFrame:
-    """One row for each offset; of equal offsets the first stays.  Other channels go to ``values_json``."""
+def samples(payloads: DataFrame, every: bool = False) -> DataFrame:
+    """One row for each offset; of equal offsets the first stays.  Other channels go to ``values_json``.
+
+    ``every`` keeps all rows, with their place in the payload as ``pos``, for measures in which the last counts.
+    """
     rows = parsed(payloads).filter("channels['time'] IS NOT NULL")
     zipped = rows.select("activity_id", "channels", F.posexplode(F.col("channels")["time"]["data"]).alias("pos", "t"))
     at = lambda key: F.get(F.col("channels")[key]["data"], F.col("pos"))
@@ -45,6 +48,8 @@ def samples(payloads: DataFrame) -> DataFrame:
         at("moving").try_cast("boolean").alias("is_moving"),
         F.when(F.size(extra) > 0, F.to_json(extra)).alias("values_json"),
     ).filter("time_offset IS NOT NULL")
+    if every:
+        return wide
     columns = [c for c in wide.columns if c not in ("activity_id", "time_offset", "pos")]
     first = wide.groupBy("activity_id", "time_offset").agg(F.min_by(F.struct(*columns), "pos").alias("s"))
     return first.select("activity_id", "time_offset", "s.*")
