@@ -14,7 +14,8 @@ of a label's size, and the recall is the same at every size.
 Equal vectors of one label are compared as one and counted as many.
 
 Edge cases: a vector that is null, zero, or holds a null or non-finite
-component, and one whose label is null, links with nothing.  A null id is never
+component, and one whose label is null, links with nothing.  Labels may be of any
+type and are compared as text.  A null id is never
 compared; its component is null and it is kept.  Vectors of other lengths never
 link.  Rows with equal ids count as one vector by the component, each of their
 vectors is compared, and they count as many in the links of others.  Other
@@ -66,6 +67,12 @@ def directions(size: int, tables: int, projections: int, width: float) -> tuple[
     )
 
 
+@lru_cache(maxsize=1 << 16)
+def label_number(label: bytes) -> int:
+    """64 bits of a label, for keys; labels themselves are compared where vectors are."""
+    return int.from_bytes(hashlib.blake2b(label, digest_size=8).digest(), "little", signed=True)
+
+
 def table_keys(unit: np.ndarray, labels: np.ndarray, tables: int, projections: int, width: float) -> np.ndarray:
     """(n, tables) keys of unit vectors; the label, the length and the table are part of a key."""
     a, b = directions(unit.shape[1], tables, projections, width)
@@ -81,9 +88,7 @@ def sound_vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix in double precision) for each length of vector; rows that link with nothing are left out."""
     sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
     values = column.flatten()  # those of null rows are not in it
-    ok = np.asarray(values.is_valid())
-    flat = np.nan_to_num(np.asarray(values.fill_null(0), np.float64), nan=np.inf)
-    flat[~ok] = np.inf
+    flat = np.asarray(values.fill_null(float("nan")), np.float64)
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = []
     for n in np.unique(sizes[sizes > 0]).tolist():
@@ -153,7 +158,7 @@ def vector_duplicates(
     """
 
     row_ids(df, id_col)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("long").alias("label"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
     per_label = rows.filter("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     tables, projections = table_plan(per_label.agg(F.max("n")).first()[0] or 1, least, width, partners, miss)
 
@@ -161,7 +166,8 @@ def vector_duplicates(
         for part in slices(batches, 1024):
             labels = part.column(2)
             known = np.asarray(labels.is_valid())
-            numbers = np.asarray(labels.fill_null(0), np.int64)
+            texts = [x or b"" for x in labels.cast(pa.binary()).to_pylist()]
+            numbers = np.array([label_number(x) for x in texts], np.int64)
             n = part.num_rows
             d1, d2, keys, unit_bytes = [None] * n, [None] * n, [None] * n, [None] * n
             for own, x in sound_vectors(part.column(1)):
@@ -172,8 +178,8 @@ def vector_duplicates(
                 unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
                 raw = x + 0.0  # -0.0 equals 0.0
                 tags = numbers[own]
-                for i, k, r, u, lab in zip(own.tolist(), table_keys(unit, tags, tables, projections, width), raw, unit, tags.tolist()):
-                    digest = hashlib.blake2b(r.tobytes() + lab.to_bytes(8, "little", signed=True), digest_size=16).digest()
+                for i, k, r, u in zip(own.tolist(), table_keys(unit, tags, tables, projections, width), raw, unit):
+                    digest = hashlib.blake2b(r.tobytes() + b"|" + texts[i], digest_size=16).digest()
                     d1[i] = int.from_bytes(digest[:8], "little", signed=True)
                     d2[i] = int.from_bytes(digest[8:], "little", signed=True)
                     keys[i], unit_bytes[i] = k, u.tobytes()
@@ -195,7 +201,9 @@ def vector_duplicates(
         longest = max(map(len, raw))  # shorter ones are filled up with zeros
         x = np.frombuffer(b"".join([u.ljust(longest, b"\0") for u in raw]), np.float64).reshape(len(raw), -1)
         a, b = links_within(groups, x, least)
-        labels, sizes = found.column("label").to_numpy(), np.fromiter(map(len, raw), np.int64, len(raw))
+        labels = found.column("label").combine_chunks().dictionary_encode()
+        labels = np.asarray((labels.combine_chunks() if isinstance(labels, pa.ChunkedArray) else labels).indices)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         own = (labels[a] == labels[b]) & (sizes[a] == sizes[b])
         a, b = a[own], b[own]
         copies = found.column("copies").to_numpy()
@@ -215,7 +223,7 @@ def vector_duplicates(
         )
 
     base = cut_lineage(
-        rows.mapInArrow(sketch, "id long, d1 long, d2 long, keys array<long>, unit binary, label long")
+        rows.mapInArrow(sketch, "id long, d1 long, d2 long, keys array<long>, unit binary, label string")
     )
     sound = base.filter("id IS NOT NULL AND d1 IS NOT NULL")
     classes = sound.groupBy("d1", "d2").agg(

@@ -141,6 +141,20 @@ def test_vectors_match_all_pairs(spark):
         assert r.component_id == component[i] and r.kept == (component[i] == i)
 
 
+def test_vector_labels_of_any_type_and_infinite_components(spark):
+    near = [1.0, 0.1, 0.0, 0.0]
+    rows = [(1, near, "a b"), (2, near, "a b"), (3, near, "c"), (4, near, None), (5, near, "C"), (6, [1.0, 0.11, 0.0, 0.0], "a b")]
+    rows += [(7, [float("inf"), 0.0, 0.0, 0.0], "a b"), (8, [float("-inf"), 1.0, 0.0, 0.0], "c"), (9, [float("inf"), 0.0, 0.0, 0.0], "a b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.vector_duplicates(df).collect()}
+    alone = {i: (0, i) for i in (3, 4, 5, 7, 8, 9)}
+    assert found == {1: (2, 1), 2: (2, 1), 6: (2, 1)} | alone
+    struct = df.selectExpr("vec_id", "embedding", "struct(label, 1 AS n) AS label")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.vector_duplicates(struct.filter("label.label IS NOT NULL")).collect()} == {
+        k: v for k, v in found.items() if k != 4
+    }
+
+
 def test_vectors_of_one_id_are_each_compared(spark):
     rng = np.random.default_rng(5)
     rows = []
