@@ -146,7 +146,7 @@ def vector_duplicates(
     vector_col: str = "embedding",
     label_col: str = "label",
     least: float = 0.93,
-    partners: float = 64.0,
+    partners: float = 1024.0,
     miss: float = 1e-3,
     width: float = 2.0,
     block_rows: int = 2048,
