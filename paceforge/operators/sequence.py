@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from paceforge.constants import ALPHA_FATIGUE, ALPHA_FITNESS, WARM_UP_DAYS
 
 
-def day_spine(df: DataFrame, day: str = "day", until: date | None = None) -> DataFrame:
-    """Every day from the first to the last, or to ``until`` if that is later; none without rows."""
+def day_spine(df: DataFrame, day: str = "day", until: date | None = None, since: date | None = None) -> DataFrame:
+    """Every day from the first, or from ``since``, to the last, or to ``until`` if that is later; none without rows or ``since``."""
+    first = F.min(day) if since is None else F.lit(since)
     last = F.max(day) if until is None else F.greatest(F.max(day), F.lit(until))
-    ends = df.agg(F.min(day).alias("a"), last.alias("b")).filter("a IS NOT NULL")
+    ends = df.agg(first.alias("a"), last.alias("b")).filter("a <= b")
     return ends.select(F.explode(F.sequence("a", "b")).alias(day))
 
 

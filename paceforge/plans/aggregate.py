@@ -9,12 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceforge.constants import ROLLING_WINDOWS, SPORTS
 from paceforge.functions.scalars import BUCKETS, bucket_next, bucket_start
-from paceforge.plans.registry import Metric, metrics
+from paceforge.plans.registry import DENOMINATORS, Metric, metrics
 
 SCOPES = ("global", "per_sport", "both")
 
@@ -104,6 +104,12 @@ def _value(m: Metric) -> Column:
     return v / F.lit(m.scale) if m.scale != 1.0 else v
 
 
+def _named(m: Metric) -> list[Column]:
+    """What a row says of its metric."""
+    said = {"metric_id": m.metric_id, "mode": m.mode, "unit": m.unit, "calculation": m.calculation, "denominator": DENOMINATORS[m.metric_id]}
+    return [F.lit(v).alias(c) for c, v in said.items()]
+
+
 def measure(m: Metric, days: Column) -> Column:
     """The aggregate of one metric; ``days``: length of the effective range."""
     v = _value(m)
@@ -150,13 +156,19 @@ def _grouped(rows: DataFrame, scope: str):
     return rows.groupingSets([["bucket_start"], ["bucket_start", "sport_type"]], "bucket_start", "sport_type")
 
 
-def _bounds(rows: DataFrame, r: AggregateRequest) -> tuple[Column, Column]:
-    """Effective range; open ends need the source's own days, which is one small aggregation."""
+def _bounds(rows: DataFrame, r: AggregateRequest, activity: DataFrame | None = None) -> tuple[Column, Column]:
+    """Effective range; open ends need the source's own days, which is one small aggregation.
+
+    A source without rows takes the days of the activities.
+    """
     if r.as_of_day:
         return F.lit(r.as_of_day - timedelta(days=r.window_days - 1)), F.lit(r.as_of_day + timedelta(days=1))
     if r.start and r.end:
         return F.lit(r.start), F.lit(r.end)
-    found = rows.agg(F.min("source_day"), F.date_add(F.max("source_day"), 1)).first()
+    ends = lambda df, day: df.agg(F.min(day), F.date_add(F.max(day), 1)).first()
+    found = ends(rows, "source_day")
+    if found[0] is None and activity is not None:
+        found = ends(activity, "activity_day")
     return F.lit(r.start or found[0]).cast("date"), F.lit(r.end or found[1]).cast("date")
 
 
@@ -173,7 +185,7 @@ def aggregate(sources: dict[str, DataFrame], request: AggregateRequest) -> DataF
     for m in wanted:
         groups.setdefault((m.source, m.window_days, m.scopes), []).append(m)
     for (source, _, _), own in groups.items():
-        parts.append(_aggregated(_with_columns_of(prepared(sources[source], source), own), own, request, request.scope_of(own[0])))
+        parts.append(_aggregated(_with_columns_of(prepared(sources[source], source), own), own, request, request.scope_of(own[0]), sources.get("activity")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -189,9 +201,9 @@ def _with_columns_of(facts: DataFrame, own: list[Metric]) -> DataFrame:
     return facts
 
 
-def _aggregated(facts: DataFrame, own: list[Metric], r: AggregateRequest, scope: str) -> DataFrame:
+def _aggregated(facts: DataFrame, own: list[Metric], r: AggregateRequest, scope: str, activity: DataFrame | None = None) -> DataFrame:
     rows = _in_range(facts, own[0], r, scope)
-    start, end = _bounds(rows, r)
+    start, end = _bounds(rows, r, activity)
     rows = rows.withColumn("bucket_start", start if r.as_of_day else bucket_start(F.col("source_day"), r.bucket, start))
     days = F.datediff(end, start)
     entries = []
@@ -202,9 +214,7 @@ def _aggregated(facts: DataFrame, own: list[Metric], r: AggregateRequest, scope:
         none = F.lit(None).cast("double")
         entries.append(
             F.struct(
-                F.lit(m.metric_id).alias("metric_id"),
-                F.lit(m.mode).alias("mode"),
-                F.lit(m.unit).alias("unit"),
+                *_named(m),
                 measure(m, days).alias("value"),
                 (quantiles[0] if quantiles is not None else none).alias("p25"),
                 (quantiles[1] if quantiles is not None else none).alias("p75"),
@@ -220,33 +230,54 @@ def _aggregated(facts: DataFrame, own: list[Metric], r: AggregateRequest, scope:
         F.coalesce(F.sum("activity_count"), F.lit(0)).alias("activity_count"),
         F.count_distinct("metric_version").alias("metric_version_count"),
         F.bool_or(F.col("completeness_status") != "complete").alias("incomplete"),
+        (F.max("computed_at") if "computed_at" in rows.columns else F.lit(None).cast("string")).alias("materialized_at"),
         reasons.alias("reasons"),
         F.array(*entries).alias("entries"),
     )
     sport = F.col("sport_type") if scope != "global" else F.lit(r.sport).cast("string")
     flat = grouped.withColumn("sport", sport).select(
-        "bucket_start", "sport", "row_count", "activity_count", "metric_version_count", "incomplete", "reasons", F.inline("entries")
+        "bucket_start", "sport", "row_count", "activity_count", "metric_version_count", "incomplete", "materialized_at", "reasons", F.inline("entries")
     )
-    if scope == "global" and (r.include_empty or r.bucket == "all_time" or r.as_of_day):
-        flat = _with_empty(flat, own, r, start, end)
-    return _shaped(flat, r, scope, end)
+    whole = r.bucket == "all_time" or r.as_of_day is not None
+    flat = flat.withColumn("half", _half(scope))
+    if r.include_empty or whole:
+        flat = _with_empty(flat, own, r, scope, start, end, whole)
+    return _shaped(flat, r, end)
+
 
+def _half(scope: str) -> Column:
+    """Which of the two requests a row of scope "both" answers; the rows of all sports have no sport."""
+    return F.lit(scope) if scope != "both" else F.when(F.col("sport").isNull(), "global").otherwise("per_sport")
 
-def _with_empty(flat: DataFrame, own: list[Metric], r: AggregateRequest, start: Column, end: Column) -> DataFrame:
-    """Rows for buckets of the range without facts; a whole range or window always has its one row."""
+
+def _with_empty(
+    flat: DataFrame, own: list[Metric], r: AggregateRequest, scope: str, start: Column, end: Column, whole: bool
+) -> DataFrame:
+    """Rows without facts, for both halves of scope "both" alike.
+
+    A whole range or window has at least one row of each metric, with the sport asked for; of other buckets each
+    has one of no sport, or of the sport asked for, so by sport and without a filter every bucket has one besides
+    those of its sports.  The aggregation is planned once: fillers join its rows, and go where a row is in their place.
+    """
     spine = flat.sparkSession.range(1)
-    if r.bucket == "all_time" or r.as_of_day:
+    if whole:
         spine = spine.select(start.cast("date").alias("bucket_start")).filter("bucket_start IS NOT NULL")
     else:
         step = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month", "year": "interval 1 year"}[r.bucket]
         first, last = bucket_start(start, r.bucket), F.date_sub(end, 1)
         spine = spine.select(F.explode(F.sequence(first, last, F.expr(step))).alias("bucket_start"))
-    names = F.array(*[F.struct(F.lit(m.metric_id).alias("metric_id"), F.lit(m.mode).alias("mode"), F.lit(m.unit).alias("unit")) for m in own])
-    wanted = spine.select("bucket_start", F.inline(names))
-    return wanted.join(flat, ["bucket_start", "metric_id", "mode", "unit"], "left")
-
-
-def _shaped(flat: DataFrame, r: AggregateRequest, scope: str, end: Column) -> DataFrame:
+    names = F.array(*[F.struct(*_named(m)) for m in own])
+    halves = ("global", "per_sport") if scope == "both" else (scope,)
+    sport_of = lambda half: r.sport if half == "per_sport" or (whole and scope == "global") else None
+    sides = F.array(*[F.struct(F.lit(h).alias("half"), F.lit(sport_of(h)).cast("string").alias("sport")) for h in halves])
+    fillers = spine.select("bucket_start", F.inline(names), F.explode(sides).alias("side")).select("*", "side.*").drop("side")
+    rows = flat.withColumn("real", F.lit(True)).unionByName(fillers.withColumn("real", F.lit(False)), allowMissingColumns=True)
+    place = ["metric_id", "half"] if whole else ["metric_id", "half", "bucket_start", "sport"]
+    seen = F.bool_or("real").over(Window.partitionBy(*place))
+    return rows.withColumn("seen", seen).filter("real OR NOT seen").drop("real", "seen")
+
+
+def _shaped(flat: DataFrame, r: AggregateRequest, end: Column) -> DataFrame:
     n = F.coalesce("row_count", F.lit(0))
     missing = F.coalesce("reasons", F.array().cast("array<string>"))
     missing = F.when(n == 0, F.array(F.lit("no_facts"))).when(
@@ -261,10 +292,12 @@ def _shaped(flat: DataFrame, r: AggregateRequest, scope: str, end: Column) -> Da
         "metric_id",
         F.col("mode").alias("aggregation_mode"),
         "unit",
+        "calculation",
+        "denominator",
         "bucket_start",
         last.alias("bucket_end"),
         F.lit(f"rolling_{r.window_days}d" if r.window_days else r.bucket).alias("bucket_width"),
-        F.lit(scope).alias("scope"),
+        F.lit(r.scope).alias("scope") if r.scope != "both" else F.col("half").alias("scope"),
         F.col("sport").alias("sport_type"),
         "value",
         "p25",
@@ -278,6 +311,7 @@ def _shaped(flat: DataFrame, r: AggregateRequest, scope: str, end: Column) -> Da
         status.alias("completeness_status"),
         missing.alias("missing_reasons"),
         F.when(versions == 0, "unavailable").when(versions == 1, "single").otherwise("mixed_degraded").alias("metric_version_status"),
+        "materialized_at",
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -140,15 +139,16 @@ def session_bounds(samples: DataFrame, hr_rest: int = RESTING_HR) -> list[int]:
     return karvonen(int(top) if top is not None and top > hr_rest else hr_rest + 1, hr_rest)
 
 
-def activity_loads(activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR) -> DataFrame:
+def activity_loads(activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR, top: int | None = None) -> DataFrame:
     """(id, activity_day, sport_type, points, hr_points, load) by one set of limits: those of the highest rate of all.
 
-    ``samples``: those or their tier.  An activity without samples has nulls.
+    ``samples``: those or their tier; ``top``: the highest rate, if these are not all.  An activity without samples has nulls.
     """
     tier = as_tier(samples)
     rated = activities.select("id", "activity_day", "sport_type").join(tier, F.col("id") == F.col("activity_id"), "left")
-    top = tier.agg(F.max("max_hr").alias("top")).select(F.greatest(F.coalesce("top", F.lit(0)), F.lit(hr_rest + 1)).alias("top"))
-    limits = top.select(*[b.alias(f"b{k}") for k, b in enumerate(zone_bounds(F.col("top"), hr_rest))])  # one row
+    top_row = tier.agg(F.max("max_hr").alias("top")) if top is None else tier.sparkSession.range(1).select(F.lit(top).alias("top"))
+    top_row = top_row.select(F.greatest(F.coalesce("top", F.lit(0)), F.lit(hr_rest + 1)).alias("top"))
+    limits = top_row.select(*[b.alias(f"b{k}") for k, b in enumerate(zone_bounds(F.col("top"), hr_rest))])  # one row
     load = banded_load(banded_rates(F.col("rates"), [F.col(f"b{k}") for k in range(5)]))
     return rated.join(F.broadcast(limits)).select(
         "id", "activity_day", "sport_type", F.col("stream_count").alias("points"), F.col("hr_count").alias("hr_points"), load.alias("load")
@@ -168,18 +168,18 @@ def daily_load(
     hr_rest: int = RESTING_HR,
     until: date | None = None,
     since: date | None = None,
+    top: int | None = None,
 ) -> DataFrame:
     """Every day from the first to the last: status, counts, observed and effective load.
 
     Days without activities are REST, without samples UNKNOWN, without heart rate
     PARTIAL, else OBSERVED.  ``samples``: those or their tier.  ``until``: the day that is
     today; days run to it, or to the last activity if that is later.  ``since``: the first
-    day wanted; the limits still come from the heart rates of all.
+    day wanted; ``top``: the highest heart rate of all, where earlier samples are not among these.
     """
-    joined = activity_loads(activities, samples, hr_rest)
     if since is not None:
-        joined = joined.filter(F.col("activity_day") >= F.lit(since))
         activities = activities.filter(F.col("activity_day") >= F.lit(since))
+    joined = activity_loads(activities, samples, hr_rest, top)
     by_sport = joined.groupBy("activity_day", "sport_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum("points"), F.lit(0)).alias("points"),
@@ -196,7 +196,7 @@ def daily_load(
         load_of(F.sum("load")).alias("observed"),
         F.bround(F.sum(tenths * factor) / 10.0, 1).alias("effective"),
     )
-    out = day_spine(activities.withColumnRenamed("activity_day", "day"), until=until).join(days, "day", "left").fillna(
+    out = day_spine(activities.withColumnRenamed("activity_day", "day"), until=until, since=since).join(days, "day", "left").fillna(
         0, ["activity_count", "stream_points", "heartrate_points"]
     )
     status = (
@@ -299,12 +299,20 @@ _MEDIANS = {
 }
 
 
-def sport_days(daily: DataFrame, facts: DataFrame, metric_version: int = 1) -> DataFrame:
-    """Each sport's sums for every day from its first activity to the last day of ``daily``, zeros included."""
+def first_days(facts: DataFrame) -> DataFrame:
+    """(sport_type, first): the first activity day of each sport."""
+    return facts.groupBy("sport_type").agg(F.min("activity_day").alias("first"))
+
+
+def sport_days(daily: DataFrame, facts: DataFrame, metric_version: int = 1, firsts: DataFrame | None = None) -> DataFrame:
+    """Each sport's sums for every day from its first activity to the last day of ``daily``, zeros included.
+
+    ``firsts``: first_days() of all facts, where these begin later: then the days of ``daily`` are the sport's.
+    """
     own = facts.filter(F.col("metric_version") == metric_version)
-    last = daily.agg(F.max("day").alias("last"))  # one row
-    firsts = own.groupBy("sport_type").agg(F.min("activity_day").alias("first")).join(F.broadcast(last))
-    days = firsts.filter("first <= last").select("sport_type", F.explode(F.sequence("first", "last")).alias("day"))
+    ends = daily.agg(F.max("day").alias("last"), F.min("day").alias("least"))  # one row
+    begins = (first_days(own) if firsts is None else firsts).join(F.broadcast(ends)).withColumn("first", F.greatest("first", "least"))
+    days = begins.filter("first <= last").select("sport_type", F.explode(F.sequence("first", "last")).alias("day"))
     tenths = F.sum(F.rint(F.col("trimp") * 10))
     factor = F.when(F.col("sport_type") == "Walk", WALK_DISCOUNT).otherwise(1.0)
     sums = own.groupBy("sport_type", F.col("activity_day").alias("day")).agg(
@@ -349,8 +357,11 @@ def window_medians(
     day = F.datediff("activity_day", F.lit("1970-01-01").cast("date"))
     own = F.floor(day / F.lit(span))
     dealt = counted.select(*keys, day.alias("day"), "value", "n", F.explode(F.array(own, own + 1)).alias("span"))
+    def of_span(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _window_medians_of_span(key, rows, tuple(windows))
+
     found = dealt.groupBy(*keys, "span").applyInPandas(
-        partial(_window_medians_of_span, windows=tuple(windows)),
+        of_span,
         "scope string, sport string, metric_version long, measure string, as_of long, window_days int, median double",
     )
     as_of = F.date_add(F.lit("1970-01-01").cast("date"), F.col("as_of").cast("int"))
@@ -398,13 +409,15 @@ def whole_rolling_facts(
     windows: tuple[int, ...] = ROLLING_WINDOWS,
     metric_version: int = 1,
     between: tuple[date, date] | None = None,
+    firsts: DataFrame | None = None,
 ) -> DataFrame:
     """rolling_facts() of all activities and of each sport, with medians, and the load model's state on rows of all.
 
-    ``between``: first and last of the days wanted; None gives all.
+    ``between``: first and last of the days wanted; None gives all.  ``firsts``: first_days() of all facts, where
+    these and ``daily`` hold no more than the longest window needs.
     """
     own = facts.filter(F.col("metric_version") == metric_version)
-    by_sport = sport_days(daily, own, metric_version)
+    by_sport = sport_days(daily, own, metric_version, firsts)
     rows = rolling_facts(daily, windows).unionByName(rolling_facts(by_sport, windows))
     if between:
         rows = rows.filter(F.col("as_of_day").between(F.lit(between[0]), F.lit(between[1])))

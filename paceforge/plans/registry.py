@@ -29,6 +29,15 @@ class Metric:
     fixed_window: bool = False
 
 
+    @property
+    def calculation(self) -> str:
+        """What is computed, in words."""
+        value = f"{self.value} / {self.scale:g}" if self.scale != 1.0 else self.value
+        over = f" by {self.weight}" if self.weight else " over the days of the range" if self.mode == "calendar_average" else ""
+        window = f", windows of {self.window_days} days" if self.window_days else ""
+        return f"{self.mode.replace('_', ' ')} of {value}{over} in {self.source} facts{window}"
+
+
 _BOTH, _GLOBAL, _SPORT = ("global", "per_sport"), ("global",), ("per_sport",)
 
 
@@ -36,6 +45,7 @@ def _m(metric_id: str, mode: str, source: str, value: str, scopes: tuple[str, ..
     return Metric(metric_id, mode, source, value, unit, scopes=scopes, **more)
 
 
+#: The metrics, their modes, sources, columns and scopes.
 _ALL = [
     _m("sport_type", "distribution", "activity", "sport_type", _BOTH),
     _m("kudos_count", "kudos_count", "social", "kudos_count", _BOTH),
@@ -68,30 +78,68 @@ _ALL = [
     _m("form_zone", "distribution", "model", "form_zone", _GLOBAL, sample="model_day_count"),
     _m("acwr", "last_state", "model", "acwr", _GLOBAL, sample="model_day_count"),
     _m("acwr_zone", "distribution", "model", "acwr_zone", _GLOBAL, sample="model_day_count"),
-    *[
-        _m(f"daily_avg_trimp_{w}d", "calendar_average", "rolling", "daily_avg_trimp", _GLOBAL, window_days=w, fixed_window=True, sample="rolling_sample_count")
-        for w in (7, 28, 90)
-    ],
-    *[
-        _m(f"rolling_median_{short}", "quantile", "rolling", f"median_{name}", _SPORT, sample="rolling_sample_count", window_days=90)
-        for short, name in (
-            ("cc", "cardiac_cost"),
-            ("cc_adj", "adjusted_cardiac_cost"),
-            ("hr_recovery", "hr_recovery"),
-            ("cardiac_drift_pct", "cardiac_drift_pct"),
-        )
-    ],
-    *[
-        _m(f"volume_{w}d", "last_state", "rolling", "activity_count", _GLOBAL, window_days=w, fixed_window=True, sample="rolling_sample_count")
-        for w in (7, 28)
-    ],
-    *[
-        _m(name, "last_state", "historical", name, _GLOBAL, "d", sample="calendar_day_count")
-        for name in ("activity_streak_days", "rest_streak_days", "last_hike_days_ago")
-    ],
+    _m("daily_avg_trimp_7d", "calendar_average", "rolling", "daily_avg_trimp", _GLOBAL, window_days=7, fixed_window=True, sample="rolling_sample_count"),
+    _m("daily_avg_trimp_28d", "calendar_average", "rolling", "daily_avg_trimp", _GLOBAL, window_days=28, fixed_window=True, sample="rolling_sample_count"),
+    _m("daily_avg_trimp_90d", "calendar_average", "rolling", "daily_avg_trimp", _GLOBAL, window_days=90, fixed_window=True, sample="rolling_sample_count"),
+    _m("rolling_median_cc", "quantile", "rolling", "median_cardiac_cost", _SPORT, window_days=90, sample="rolling_sample_count"),
+    _m("rolling_median_cc_adj", "quantile", "rolling", "median_adjusted_cardiac_cost", _SPORT, window_days=90, sample="rolling_sample_count"),
+    _m("rolling_median_hr_recovery", "quantile", "rolling", "median_hr_recovery", _SPORT, window_days=90, sample="rolling_sample_count"),
+    _m("rolling_median_cardiac_drift_pct", "quantile", "rolling", "median_cardiac_drift_pct", _SPORT, window_days=90, sample="rolling_sample_count"),
+    _m("volume_7d", "last_state", "rolling", "activity_count", _GLOBAL, window_days=7, fixed_window=True, sample="rolling_sample_count"),
+    _m("volume_28d", "last_state", "rolling", "activity_count", _GLOBAL, window_days=28, fixed_window=True, sample="rolling_sample_count"),
+    _m("activity_streak_days", "last_state", "historical", "activity_streak_days", _GLOBAL, "d", sample="calendar_day_count"),
+    _m("rest_streak_days", "last_state", "historical", "rest_streak_days", _GLOBAL, "d", sample="calendar_day_count"),
+    _m("last_hike_days_ago", "last_state", "historical", "last_hike_days_ago", _GLOBAL, "d", sample="calendar_day_count"),
 ]
 REGISTRY: dict[str, Metric] = {m.metric_id: m for m in _ALL}
 
+#: What a row of each metric names as its denominator.
+DENOMINATORS: dict[str, str] = {
+    "sport_type": "activity_count",
+    "kudos_count": "activity_count",
+    "distance_km": "distance_m",
+    "calories": "calories_kcal",
+    "moving_time_min": "moving_time_s",
+    "elapsed_time_min": "elapsed_time_s",
+    "elevation_m": "elevation_gain_m",
+    "trimp": "trimp",
+    "avg_hr": "heartrate_sample_count",
+    "max_hr": "heartrate_sample_count",
+    "time_in_hr_zones_min": "heartrate_sample_count",
+    "hr_recovery_median_bpm_per_min": "activity_sample_count",
+    "vertical_speed_m_per_h": "vertical_speed_duration_hours",
+    "cardiac_cost": "activity_sample_count",
+    "cardiac_cost_adjusted": "activity_sample_count",
+    "cardiac_drift_pct": "activity_sample_count",
+    "cardiac_drift_severity": "activity_count",
+    "cardiac_drift_significant": "cardiac_drift_significant",
+    "cardiac_drift_quality": "activity_count",
+    "hrr_pct": "activity_sample_count",
+    "total_trimp_14d": "effective_trimp",
+    "avg_trimp_per_day": "calendar_days",
+    "active_days": "active_day_count",
+    "rest_days": "rest_day_count",
+    "weekly_trimp": "effective_trimp",
+    "fitness": "latest_day",
+    "fatigue": "latest_day",
+    "form": "latest_day",
+    "form_zone": "model_day_count",
+    "acwr": "latest_day",
+    "acwr_zone": "model_day_count",
+    "daily_avg_trimp_7d": "calendar_days",
+    "daily_avg_trimp_28d": "calendar_days",
+    "daily_avg_trimp_90d": "calendar_days",
+    "rolling_median_cc": "rolling_sample_count",
+    "rolling_median_cc_adj": "rolling_sample_count",
+    "rolling_median_hr_recovery": "rolling_sample_count",
+    "rolling_median_cardiac_drift_pct": "rolling_sample_count",
+    "volume_7d": "latest_day",
+    "volume_28d": "latest_day",
+    "activity_streak_days": "latest_day",
+    "rest_streak_days": "latest_day",
+    "last_hike_days_ago": "latest_day",
+}
+
 #: The metrics of each bundle.
 BUNDLES: dict[str, tuple[str, ...]] = {
     "daily_brief": (

@@ -95,13 +95,18 @@ def fitness_state(model: DataFrame, rolling: DataFrame, as_of: date | None = Non
 def compare_periods(sources: dict[str, DataFrame], request: AggregateRequest, other: tuple[date, date]) -> DataFrame:
     """Each metric in the request's range (a) against ``other`` (b), both half-open.
 
-    delta = a - b, pct against b, trend up, down or flat; coverage 0, 0.5 or 1 a side.
+    delta = a - b to three decimals, from which pct, against b, and trend (up, down or flat) follow; coverage 0, 0.5
+    or 1 a side; sample sizes and counts of both, what is missing on either, and whether they mix versions.
     """
     side = lambda r, x: aggregate(sources, r).select(
         "metric_id",
         "scope",
         "sport_type",
         F.col("value").alias(f"value_{x}"),
+        F.col("sample_size").alias(f"sample_size_{x}"),
+        F.col("activity_count").alias(f"activity_count_{x}"),
+        F.col("missing_reasons").alias(f"missing_{x}"),
+        F.col("metric_version_status").alias(f"versions_{x}"),
         F.when(F.col("completeness_status") == "unavailable", 0.0)
         .when(F.col("completeness_status") == "partial", 0.5)
         .otherwise(1.0)
@@ -111,18 +116,30 @@ def compare_periods(sources: dict[str, DataFrame], request: AggregateRequest, ot
     a, b = side(request, "a").alias("a"), side(b_request, "b").alias("b")
     on = (F.col("a.metric_id") == F.col("b.metric_id")) & (F.col("a.scope") == F.col("b.scope")) & F.col("a.sport_type").eqNullSafe(F.col("b.sport_type"))
     joined = a.join(b, on, "full_outer")
-    delta = F.col("value_a") - F.col("value_b")
+    delta = F.bround(F.col("value_a") - F.col("value_b"), 3)
+    none = F.array().cast("array<string>")
+    versions = F.array_compact(F.array("versions_a", "versions_b"))
+    version_status = (
+        F.when(F.array_contains(versions, "mixed_degraded"), "mixed_degraded")
+        .when(F.array_contains(versions, "mixed_allowed"), "mixed_allowed")
+        .when(F.size(F.array_distinct(versions)) == 1, versions[0])
+        .otherwise("mixed_degraded")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return joined.select(
         F.coalesce("a.metric_id", "b.metric_id").alias("metric_id"),
         F.coalesce("a.scope", "b.scope").alias("scope"),
         F.coalesce("a.sport_type", "b.sport_type").alias("sport_type"),
         "value_a",
         "value_b",
-        F.bround(delta, 3).alias("delta"),
+        delta.alias("delta"),
         F.bround(delta / F.nullif(F.col("value_b"), F.lit(0.0)) * 100.0, 2).alias("delta_pct"),
-        F.when(delta > _EPSILON, "up").when(delta < -_EPSILON, "down").when(delta.isNotNull(), "flat").otherwise("unavailable").alias("trend"),
+        F.when(F.abs(delta) < _EPSILON, "flat").when(delta > 0, "up").when(delta < 0, "down").otherwise("unavailable").alias("trend"),
         F.coalesce("coverage_a", F.lit(0.0)).alias("coverage_a"),
         F.coalesce("coverage_b", F.lit(0.0)).alias("coverage_b"),
+        *[zero(f"{c}_{x}") for c in ("sample_size", "activity_count") for x in "ab"],
+        F.array_sort(F.array_union(F.coalesce("missing_a", none), F.coalesce("missing_b", none))).alias("missing_reasons"),
+        version_status.alias("metric_version_status"),
     )
 
 

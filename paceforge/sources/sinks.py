@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +22,14 @@ from pyspark.sql.types import StructType
 _FEW = 500_000
 
 
+_MONTH = "month"
+
+
+def month_of(folder: str) -> str:
+    """The month of a folder written by Store.stage_months(), else an empty text."""
+    return folder.partition(f"/{_MONTH}=")[2]
+
+
 class MirrorMissing(RuntimeError):
     """A table that must exist does not."""
 
@@ -53,7 +61,12 @@ class Store:
         return sorted(n for s in self._fs.listStatus(self._at("")) if (n := s.getPath().getName()).startswith(prefix))
 
     def _create(self, name: str, text: str) -> None:
-        """A new small file; raises Conflict if it exists."""
+        """A new small file; raises Conflict if it exists.
+
+        The file system must create a file only where none is, as HDFS and local ones do; on an
+        object store without such a request two writers could both succeed, so there one must
+        write at a time (acquire()).
+        """
         try:
             out = self._fs.create(self._at(name), False)
         except Exception as e:
@@ -93,6 +106,24 @@ class Store:
         df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
         return folder
 
+    def stage_months(self, name: str, df: DataFrame, day: str) -> list[str]:
+        """Write rows to a new folder for each month of ``day``; commit() takes the list as the table's new months."""
+        folder = f"data/{name}-{uuid.uuid4().hex}"
+        rows = df.withColumn(_MONTH, F.date_format(day, "yyyy-MM"))
+        rows.repartition(_MONTH, F.pmod(F.xxhash64(day), F.lit(8))).write.partitionBy(_MONTH).parquet(f"{self.path}/{folder}")
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._at(folder)) if s.isDirectory()]
+        return [f"{folder}/{m}" for m in sorted(found) if m.startswith(f"{_MONTH}=")] or [self.stage(name, df.limit(0))]
+
+    def months(self, name: str) -> list[str]:
+        """The months, as yyyy-MM, of a table that was written by months."""
+        return sorted(m for f in self.manifest()[1].get(name, ()) if (m := month_of(f)))
+
+    def read_months(self, name: str, months: Iterable[str]) -> DataFrame:
+        """The rows of some months; the files of others are not touched."""
+        folders = self.manifest()[1][name]
+        wanted = set(months)
+        return self.staged(*([f for f in folders if month_of(f) in wanted] or folders[:1])).filter(F.lit(bool(wanted & {*map(month_of, folders)})))
+
     def staged(self, *folders: str) -> DataFrame:
         """Rows of some folders, which have the same columns in the same order."""
         parts = [self.spark.read.parquet(f"{self.path}/{f}") for f in folders[:1]]
@@ -107,11 +138,13 @@ class Store:
         partition_by: Mapping[str, Sequence[str]] | None = None,
         base: int | None = None,
         grown: Mapping[str, str] | None = None,
+        months: Mapping[str, tuple[Sequence[str], Iterable[str]]] | None = None,
     ) -> int:
         """Write the changed tables, then make them current all at once; returns the commit's number.
 
         A change is a DataFrame or a staged folder, and takes the table's place; the staged
-        folders of ``grown`` join the table's others.  ``base``: the commit that the changes
+        folders of ``grown`` join the table's others.  ``months``: for a table its folders by stage_months() and
+        the months that they replace; its other months stay as they are.  ``base``: the commit that the changes
         were computed from; raises Conflict if another came after it.
         """
         turn, folders = self.manifest()
@@ -121,6 +154,9 @@ class Store:
             name: [df if isinstance(df, str) else self.stage(name, df, (partition_by or {}).get(name, ()))] for name, df in changes.items()
         }
         written |= {name: [*folders.get(name, ()), folder] for name, folder in (grown or {}).items()}
+        for name, (staged, replaced) in (months or {}).items():
+            gone = {*replaced, *map(month_of, staged), ""}
+            written[name] = [f for f in folders.get(name, ()) if month_of(f) not in gone] + list(staged)
         self._create(f"manifest-{turn + 1:08d}", json.dumps(folders | written))
         return turn + 1
 
@@ -129,12 +165,19 @@ class Store:
 
         Folders younger than ``keep_s`` stay: another writer may be about to commit them, or a reader may use them.
         """
-        current = {f.split("/")[1] for folders in self.manifest()[1].values() for f in folders}
+        current = {f for folders in self.manifest()[1].values() for f in folders}
+        whole = {f.split("/")[1] for f in current}
         before = (time.time() - keep_s) * 1000
         gone = 0
         for status in self._fs.listStatus(self._at("data")):
-            if status.getPath().getName() not in current and status.getModificationTime() <= before:
-                gone += bool(self._fs.delete(status.getPath(), True))
+            name = status.getPath().getName()
+            old = [status] if name not in whole else []
+            if name in whole and f"data/{name}" not in current:  # months of it are in use
+                parts = self._fs.listStatus(status.getPath())
+                old = [p for p in parts if p.isDirectory() and f"data/{name}/{p.getPath().getName()}" not in current]
+            for folder in old:
+                if folder.getModificationTime() <= before:
+                    gone += bool(self._fs.delete(folder.getPath(), True))
         return gone
 
     def acquire(self, owner: str, now: float, seconds: float) -> bool:
@@ -189,6 +232,26 @@ def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return kept.unionByName(new.select(*table.columns))
 
 
+def upsert_months(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], day: str, whole_keys: bool = True) -> list[str]:
+    """Upsert into a Parquet table partitioned by the month of ``day``; only months of the new rows are read and written.
+
+    Spark replaces those partitions as it commits the job (partitionOverwriteMode dynamic), and leaves the others
+    alone.  A key must keep its month.  With ``whole_keys`` false ``keys`` name groups, of which all rows are replaced.
+    Returns the months written.
+    """
+    rows = new.withColumn(_MONTH, F.date_format(day, "yyyy-MM"))
+    months = sorted(r[0] for r in rows.select(_MONTH).distinct().collect())  # as many as there are months
+    if whole_keys:
+        assert_unique(new, keys)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        old = spark.read.schema(rows.schema).parquet(path).filter(F.col(_MONTH).isin(months))
+        rows = upsert(old, rows, keys)
+    rows = rows.repartition(_MONTH, F.pmod(F.xxhash64(*keys), F.lit(8)))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_MONTH).parquet(path)
+    return months
+
+
 def replace_group(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Table with all rows of the new rows' groups replaced."""
     return upsert(table, new, [key])

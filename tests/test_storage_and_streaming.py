@@ -8,9 +8,11 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from paceforge.plans import facts as fx
 from paceforge.plans import incremental as inc
 from paceforge.plans import materialize as mat
 from paceforge.plans import runtime
+from paceforge.session import stored
 from paceforge.sources import sinks, streams_json
 from paceforge.streaming import jobs
 
@@ -84,9 +86,9 @@ def test_stream_payloads(spark):
     assert json.loads(merged[0]) == {"a": "1", "b": "3", "c": "4"} and merged[1] is None
 
 
-def _mirror(spark, path):
+def _mirror(spark, path, gap=1):
     store = sinks.Store(spark, str(path))
-    days = [date(2026, 1, 1) + timedelta(days=k // 2) for k in range(12)]
+    days = [date(2026, 1, 1) + timedelta(days=k // 2 * gap) for k in range(12)]
     acts = spark.createDataFrame(
         [(k, d, "Run" if k % 3 else "Walk", 5000.0 + k, 1800, 1900, 50.0, k, 100.0, True) for k, d in enumerate(days)],
         "id long, activity_day date, sport_type string, distance_m double, moving_time_s long, elapsed_time_s long, elevation_gain_m double, kudos_count long, calories_kcal double, has_detail boolean",
@@ -100,6 +102,23 @@ def _mirror(spark, path):
     return store
 
 
+def _full(store, today, version=1):
+    """Every table computed anew over the activities that have been claimed so far."""
+    tier = store.read("heart_rates").drop("activity_day", "computed_at")
+    acts = store.read("activities").join(tier.select(F.col("activity_id").alias("id")), "id", "left_semi")
+    samples = store.read("samples").join(tier.select("activity_id"), "activity_id", "left_semi")
+    facts = stored(fx.activity_facts(acts, samples, metric_version=version))
+    daily = stored(fx.daily_facts(fx.daily_load(acts, samples, until=today), facts, version))
+    model = fx.model_facts(daily, version)
+    return dict(zip(mat.FACT_TABLES, (facts, daily, model, fx.whole_rolling_facts(daily, facts, model, metric_version=version))))
+
+
+def _same_as_full(store, today, version=1):
+    for name, full in _full(store, today, version).items():
+        a, b = (sorted(map(str, df.select(*full.columns).collect())) for df in (store.read(name), full))
+        assert a == b, name
+
+
 def test_batches_equal_one_run(spark, tmp_path):
     whole, parts = _mirror(spark, tmp_path / "w"), _mirror(spark, tmp_path / "p")
     assert mat.materialize(whole, 100, "2026-02-02") == 12
@@ -116,6 +135,64 @@ def test_batches_equal_one_run(spark, tmp_path):
     assert (last.completeness_status, last.missing_reasons, last.trimp) == ("unknown", ["missing_streams", "missing_hr"], 0.0)
 
 
+def test_every_batch_equals_full_recomputation(spark, tmp_path):
+    store = _mirror(spark, tmp_path / "i", gap=19)  # half a year
+    kind = "activity_id long, reason string, enqueued_at string, attempts long"
+
+    def change(acts=None, samples=None, ids=()):
+        queue = spark.createDataFrame([(i, "changed", "x", 0) for i in ids], kind)
+        tables = {"activities": acts, "samples": samples, "queue": queue}
+        store.commit({name: df for name, df in tables.items() if df is not None})
+
+    def run(today, limit=100):
+        before = {t: store.manifest()[1].get(t, []) for t in mat.DAY_OF}
+        n = mat.materialize(store, limit, "2026-09-01", today=today)
+        _same_as_full(store, today)
+        now = store.manifest()[1]
+        return n, store.read("ledger").orderBy(F.desc("id")).first().since, {t: len(set(now[t]) - set(before[t])) for t in mat.DAY_OF}
+
+    first = date(2026, 1, 1)
+    assert run(first, 5)[:2] == (6, None)  # six activities of three days
+    assert run(date(2026, 5, 1), 100)[1] == "2026-02-09"  # the day after the last one that was computed
+    acts, samples = store.read("activities"), store.read("samples")
+    # nothing but a distance: the last day alone is dirty, and today has moved on
+    change(acts.withColumn("distance_m", F.when(F.col("id") == 11, 9999.0).otherwise(F.col("distance_m"))), ids=[11])
+    n, since, months = run(date(2026, 5, 20))
+    assert (n, since) == (1, "2026-04-06") and months["activity_facts"] == months["heart_rates"] == 1 and months["daily_facts"] == 2
+    # an activity in the middle moves to an earlier day
+    acts = store.read("activities")
+    change(acts.withColumn("activity_day", F.when(F.col("id") == 8, F.lit(date(2026, 2, 20))).otherwise(F.col("activity_day"))), ids=[8])
+    assert run(date(2026, 5, 20))[1] == "2026-02-20"
+    # the highest rate of all is another, and later: zones rest on lower maxima, and every load on other limits
+    rate = F.when(F.col("activity_id") == 10, 190).otherwise(F.least("heartrate", F.lit(150)))
+    change(samples=store.read("samples").withColumn("heartrate", rate).filter("activity_id <> 3"), ids=list(range(12)))
+    assert run(date(2026, 5, 21))[:2] == (12, None)
+    # an earlier activity gets a rate between: later zones change, the limits of all do not
+    change(samples=store.read("samples").withColumn("heartrate", F.when(F.col("activity_id") == 4, 170).otherwise(F.col("heartrate"))), ids=[4])
+    n, since, months = run(date(2026, 5, 21))
+    assert since is not None and months["activity_facts"] > months["heart_rates"] == 1
+
+
+def test_upsert_of_a_day_writes_its_month(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(k, date(2026, 1 + k % 3, 1 + k), k * 1.0) for k in range(12)]
+    table = spark.createDataFrame(rows, "id long, day date, v double")
+    assert sinks.upsert_months(spark, path, table, ["id"], "day") == ["2026-01", "2026-02", "2026-03"]
+    files = lambda: {str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([(4, date(2026, 2, 5), -1.0), (99, date(2026, 2, 5), -2.0)], "id long, day date, v double")
+    assert sinks.upsert_months(spark, path, new, ["id"], "day") == ["2026-02"]
+    kept = {f for f in before if "month=2026-02" not in f}
+    assert kept <= files() and not (files() - kept) & before
+    found = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert found == {r[0]: r[2] for r in rows} | {4: -1.0, 99: -2.0}
+    with pytest.raises(ValueError):
+        sinks.upsert_months(spark, path, new.unionByName(new), ["id"], "day")
+    group = spark.createDataFrame([(7, date(2026, 2, 5), 0.0), (7, date(2026, 2, 6), 0.5)], "id long, day date, v double")
+    sinks.upsert_months(spark, path, group, ["id"], "day", whole_keys=False)
+    assert sorted(r.v for r in spark.read.parquet(path).filter("id = 7").collect()) == [0.0, 0.5]
+
+
 def test_new_logic_queues_everything_and_prunes(spark, tmp_path):
     store = _mirror(spark, tmp_path / "v")
     assert mat.refresh_logic(store, "f1", "2026-02-01") == 1
