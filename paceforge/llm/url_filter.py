@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceforge.llm.common import broadcast_if_small, cut_lineage, slices, table
+from paceforge.llm.common import BROADCAST_ROWS, cut_lineage, slices, table
 from paceforge.llm.sampling import below
 
 #: (rule, verdict); a rule is a host suffix and, from its first slash on, a path prefix.
@@ -169,6 +169,8 @@ def with_rules(df: DataFrame, id_col: str, url_col: str, rules: Sequence[tuple[s
 
 
 _FOLDS = 5
+#: Tasks among which the rows of a suffix are dealt where its table is too large to broadcast.
+_SALTS = 32
 _STATS = ("suffix_block", "suffix_weight", "second_block", "second_weight")
 
 
@@ -188,13 +190,32 @@ def suffix_counts(ruled: DataFrame) -> DataFrame:
     )
 
 
-def with_stats(rows: DataFrame, counts: DataFrame, prior: float, out_of_fold: bool = False) -> DataFrame:
-    """Adds the four statistics of each row's suffixes; ``out_of_fold``: without the row's own fold."""
+def _looked_up(rows: DataFrame, own: DataFrame, key: str, broadcast_rows: int) -> DataFrame:
+    """Rows with the columns that ``own`` has for their suffix ``s_``.
+
+    A table of few suffixes is broadcast.  One of many is joined by a shuffle in which the rows of a suffix are dealt
+    among as many tasks as there are salts, each with the suffix's row, so a common one fills no task.
+    """
+    if own.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(own), F.col("s_") == F.col(key), "left")
+    dealt = rows.withColumn("salt_", F.pmod(F.xxhash64("url"), F.lit(_SALTS)).cast("int"))
+    spread = own.withColumn("own_salt_", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return dealt.join(spread, (F.col("s_") == F.col(key)) & (F.col("salt_") == F.col("own_salt_")), "left").drop("salt_", "own_salt_")
+
+
+def with_stats(
+    rows: DataFrame, counts: DataFrame, prior: float, out_of_fold: bool = False, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Adds the four statistics of each row's suffixes; ``out_of_fold``: without the row's own fold.
+
+    Last labels, of which the hot ones are, are few and looked up in a table of their own.
+    """
     fold = (_fold() + 1).cast("int")
     out = rows
-    for suffix, (share, weight) in zip(suffixes(F.col("host")), (_STATS[:2], _STATS[2:])):
-        own = counts.select(F.col("suffix").alias(share), F.col("n").alias("n_"), F.col("blocked").alias("b_"))
-        out = out.withColumn("s_", suffix).join(own, F.col("s_") == F.col(share), "left").drop(share, "s_")
+    tables = (counts.filter(~F.contains("suffix", F.lit("."))), counts)
+    for suffix, (share, weight), table_ in zip(suffixes(F.col("host")), (_STATS[:2], _STATS[2:]), tables):
+        own = table_.select(F.col("suffix").alias(share), F.col("n").alias("n_"), F.col("blocked").alias("b_"))
+        out = _looked_up(out.withColumn("s_", suffix), own, share, broadcast_rows).drop(share, "s_")
         sums = [F.get(c, F.lit(0)) - (F.get(c, fold) if out_of_fold else F.lit(0)) for c in ("b_", "n_")]
         b, n = (F.coalesce(c, F.lit(0)).cast("double") for c in sums)
         out = out.withColumns({share: (b + prior) / (n + 1), weight: F.log1p(n)}).drop("n_", "b_")
@@ -235,7 +256,7 @@ def filter_urls(
     Where no rule fits, a block takes a score of ``least`` or more.
     """
     ruled = with_rules(df, id_col, url_col, rules)
-    counts = broadcast_if_small(cut_lineage(suffix_counts(ruled)))
+    counts = cut_lineage(suffix_counts(ruled))
     n, blocked = ruled.filter("rule IS NOT NULL").agg(F.count(F.lit(1)), F.count_if(F.col("ruled") == "block")).first()
     prior = (blocked + 0.5) / (n + 1)
     trees = train(ruled, counts, prior)

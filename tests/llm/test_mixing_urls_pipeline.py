@@ -127,6 +127,8 @@ def test_verdicts_of_the_trees_by_a_plain_version(spark):
     ruled = url_filter.with_rules(df, "page_id", "url", url_filter.RULES).cache()
     counts = url_filter.suffix_counts(ruled)
     rows = url_filter.with_stats(ruled, counts, 0.25).collect()
+    dealt = url_filter.with_stats(ruled, counts, 0.25, broadcast_rows=1).collect()
+    assert sorted(map(str, dealt)) == sorted(map(str, rows))
     marked = [(r.host.split("."), r.ruled == "block") for r in rows if r.rule]
     n, blocked = Counter(), Counter()
     for labels, b in marked:
@@ -230,5 +232,5 @@ def test_pipeline_drops_pairs_of_080_to_085(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert minhash.near_duplicates.__doc__
