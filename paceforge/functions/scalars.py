@@ -75,11 +75,3 @@ def relative_label(seconds: Column) -> Column:
     return F.when(days >= 1, F.format_string("%dd %dh", days, hours % 24)).otherwise(
         F.format_string("%dh %dm", hours, minutes % 60)
     )
-
-
-def json_double(payload: Column, path: str) -> Column:
-    return F.get_json_object(payload, path).try_cast("double")
-
-
-def effective_load(raw: Column, sport: Column, walk_discount: float) -> Column:
-    return raw * F.when(sport == "Walk", F.lit(walk_discount)).otherwise(F.lit(1.0))

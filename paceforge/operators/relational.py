@@ -110,11 +110,13 @@ def channel_tally(candidates: DataFrame) -> DataFrame:
     return candidates.select(F.explode("missing").alias("channel")).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
 
 
-def coverage_report(activities: DataFrame, channels: DataFrame, sample: int = 20) -> DataFrame:
+def coverage_report(
+    activities: DataFrame, channels: DataFrame, sample: int = 20, requested: Sequence[str] = REQUESTED_CHANNELS
+) -> DataFrame:
     """(id, activity_day, missing): the newest activities that miss channels, ``sample`` of them at most."""
     if not 1 <= sample <= 20:
         raise ValueError("sample must lie between 1 and 20")
-    found = missing_channels(activities, channels).join(activities.select("id", "activity_day"), "id")
+    found = missing_channels(activities, channels, requested).join(activities.select("id", "activity_day"), "id")
     return found.orderBy(F.desc("activity_day"), F.desc("id")).limit(sample)
 
 

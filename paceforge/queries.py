@@ -37,6 +37,8 @@ ORACLES: dict[str, str] = {}
 START, END = date(1998, 1, 1), date(1999, 1, 1)
 OTHER = (date(1997, 1, 1), date(1998, 1, 1))
 AS_OF = date(2000, 3, 15)
+#: Two weeks or more after the last activity of lens E at every size: its days, model and windows run to it.
+TODAY_E = date(2024, 2, 14)
 _RANGE = f"activity_day >= DATE '{START}' AND activity_day < DATE '{END}'"
 
 
@@ -719,24 +721,25 @@ def agg_trimp_week(spark: SparkSession, sf: str) -> DataFrame:
 
 # services
 
-_SIDE = """SELECT metric_id, sport_type, value, part FROM (
-  SELECT 'distance_km' AS metric_id, sport_type, sum(distance_m / 1000.0) AS value, bool_or(completeness_status <> 'complete' OR distance_m IS NULL) AS part FROM facts WHERE activity_day >= DATE '{0}' AND activity_day < DATE '{1}' GROUP BY 2
-  UNION ALL SELECT 'cardiac_cost', sport_type, median(cardiac_cost), bool_or(completeness_status <> 'complete' OR cardiac_cost IS NULL) FROM facts WHERE activity_day >= DATE '{0}' AND activity_day < DATE '{1}' GROUP BY 2)"""
+_SIDE = """SELECT metric_id, sport_type, value, part, n, reasons FROM (
+  SELECT 'distance_km' AS metric_id, sport_type, sum(distance_m / 1000.0) AS value, bool_or(completeness_status <> 'complete' OR distance_m IS NULL) AS part, count(*) AS n, flatten(list(missing_reasons)) AS reasons FROM facts WHERE activity_day >= DATE '{0}' AND activity_day < DATE '{1}' GROUP BY 2
+  UNION ALL SELECT 'cardiac_cost', sport_type, median(cardiac_cost), bool_or(completeness_status <> 'complete' OR cardiac_cost IS NULL), count(*), flatten(list(missing_reasons)) FROM facts WHERE activity_day >= DATE '{0}' AND activity_day < DATE '{1}' GROUP BY 2)"""
 
 
 @query(
     "compare_periods",
     f"""WITH {o.FOR_FACTS}, a AS ({_SIDE.format(START, END)}), b AS ({_SIDE.format(*OTHER)})
     SELECT coalesce(a.metric_id, b.metric_id) AS metric_id, coalesce(a.sport_type, b.sport_type) AS sport_type, round(a.value, 6) AS value_a,
-      round(b.value, 6) AS value_b, round_even(a.value - b.value, 3) AS delta, round((a.value - b.value) / b.value * 100, 1) AS delta_pct,
-      CASE WHEN a.value - b.value > 1e-9 THEN 'up' WHEN a.value - b.value < -1e-9 THEN 'down' WHEN a.value - b.value IS NOT NULL THEN 'flat' ELSE 'unavailable' END AS trend,
+      round(b.value, 6) AS value_b, round_even(a.value - b.value, 3) AS delta, round(round_even(a.value - b.value, 3) / b.value * 100, 1) AS delta_pct,
+      CASE WHEN abs(round_even(a.value - b.value, 3)) < 1e-9 THEN 'flat' WHEN round_even(a.value - b.value, 3) > 0 THEN 'up' WHEN round_even(a.value - b.value, 3) < 0 THEN 'down' ELSE 'unavailable' END AS trend,
+      coalesce(a.n, 0) AS activity_count_a, coalesce(b.n, 0) AS activity_count_b, array_to_string(list_sort(list_distinct(coalesce(a.reasons, []) || coalesce(b.reasons, []))), ',') AS missing_reasons, 'single' AS metric_version_status,
       CAST(CASE WHEN a.value IS NULL THEN 0 WHEN a.part THEN 0.5 ELSE 1 END AS DOUBLE) AS coverage_a, CAST(CASE WHEN b.value IS NULL THEN 0 WHEN b.part THEN 0.5 ELSE 1 END AS DOUBLE) AS coverage_b
     FROM a FULL JOIN b ON a.metric_id = b.metric_id AND a.sport_type IS NOT DISTINCT FROM b.sport_type""",
 )
 def compare(spark: SparkSession, sf: str) -> DataFrame:
     out = sv.compare_periods({"activity": _facts(spark, sf)}, _request("distance_km", "cardiac_cost", scope="per_sport"), OTHER)
     rounded = {"value_a": 6, "value_b": 6, "delta_pct": 1}
-    return out.drop("scope").withColumns({c: F.round(c, n) for c, n in rounded.items()})
+    return _flat(out.drop("scope", "sample_size_a", "sample_size_b").withColumns({c: F.round(c, n) for c, n in rounded.items()}))
 
 
 @query(
@@ -775,6 +778,64 @@ def fitness_state(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("double") for c in ("volume_7d", "volume_28d", "active_days", "rest_days")})
 
 
+def _until(spine: str) -> str:
+    """The daily load's SQL with days up to TODAY_E."""
+    return spine.replace("max(activity_day), INTERVAL", f"greatest(max(activity_day), DATE '{TODAY_E}'), INTERVAL")
+
+
+_AT_REST = f"{o.FOR_DENSE}, {o.SESSION}, {_until(o.DAILY)}, {o.DAILY_FACTS}, {o.MODEL}"
+
+
+@query(
+    "fitness_state_at_rest",
+    f"""WITH RECURSIVE {_AT_REST}, st AS (SELECT * FROM model_facts WHERE day <= DATE '{TODAY_E}' ORDER BY day DESC LIMIT 1),
+    x AS (SELECT round_even(median(cardiac_cost), 3) AS cc, round_even(median(adjusted_cardiac_cost), 3) AS adj, round_even(median(hr_recovery_median_rate), 3) AS rec FROM whole, st WHERE activity_day <= st.day AND activity_day > st.day - 90)
+    SELECT st.day, st.fitness, st.fatigue, round(st.form, 1) AS form, st.form_zone, st.acwr, st.acwr_zone,
+      {", ".join(f"round(sum(d.effective_trimp) FILTER (d.day > st.day - {w}) / {w}, 3) AS daily_avg_trimp_{w}d" for w in (7, 28, 90))},
+      {", ".join(f"CAST(sum(d.activity_count) FILTER (d.day > st.day - {w}) AS DOUBLE) AS volume_{w}d, round(sum(d.distance_m) FILTER (d.day > st.day - {w}) / 1000, 3) AS distance_km_{w}d" for w in (7, 28))},
+      round(sum(d.effective_trimp) FILTER (d.day > st.day - 7), 3) AS weekly_trimp, round(sum(d.effective_trimp) FILTER (d.day > st.day - 14), 3) AS total_trimp_14d,
+      round(sum(d.effective_trimp) FILTER (d.day > st.day - 14) / 14, 3) AS avg_trimp_per_day,
+      CAST(count(*) FILTER (d.day > st.day - 14 AND d.activity_count > 0) AS DOUBLE) AS active_days, CAST(count(*) FILTER (d.day > st.day - 14 AND d.activity_count = 0) AS DOUBLE) AS rest_days,
+      any_value(x.cc) AS rolling_median_cc, any_value(x.adj) AS rolling_median_cc_adj, any_value(x.rec) AS rolling_median_hr_recovery
+    FROM st JOIN daily d ON d.day <= st.day AND d.day > st.day - 90, x GROUP BY ALL""",
+)
+def fitness_at_rest(spark: SparkSession, sf: str) -> DataFrame:
+    """The state on a day at least two weeks after the last activity: everything has decayed, and windows are emptier."""
+    sources = _dense_sources(spark, sf, (TODAY_E, TODAY_E))
+    out = sv.fitness_state(sources["model"], sources["rolling"], TODAY_E).drop("rolling_median_cardiac_drift_pct")
+    whole = ("volume_7d", "volume_28d", "active_days", "rest_days")
+    return out.withColumns({c: F.col(c).cast("double") for c in whole} | {c: F.round(c, 3) for c in ("distance_km_7d", "distance_km_28d")} | {"form": F.round("form", 1)})
+
+
+@query(
+    "streaks_at_rest",
+    f"""WITH {o.ACTS_E}, n AS (SELECT CAST(unnest(generate_series(min(activity_day), DATE '{TODAY_E}', INTERVAL 1 DAY)) AS DATE) AS day FROM acts),
+    c AS (SELECT day, count(id) AS k, row_number() OVER (ORDER BY day) AS rn FROM n LEFT JOIN acts ON activity_day = day GROUP BY day),
+    w AS (SELECT *, coalesce(max(CASE WHEN k = 0 THEN rn END) OVER (ORDER BY day), 0) AS rested, coalesce(max(CASE WHEN k > 0 THEN rn END) OVER (ORDER BY day), 0) AS active FROM c)
+    SELECT day, CASE WHEN k > 0 THEN rn - rested ELSE 0 END AS activity_streak_days, CASE WHEN k > 0 THEN 0 ELSE rn - active END AS rest_streak_days,
+      (SELECT date_diff('day', max(activity_day), w.day) FROM acts WHERE sport_type = 'Hike' AND activity_day <= w.day) AS last_hike_days_ago FROM w""",
+)
+def streaks_at_rest(spark: SparkSession, sf: str) -> DataFrame:
+    acts, tier = ln.activities_e(spark, sf), stored(st.heart_rate_tier(ln.samples_e(spark, sf)))
+    facts = fx.activity_facts(acts, ln.samples_e(spark, sf), ordered=False, tier=tier)
+    out = sv.historical_context(fx.daily_facts(fx.daily_load(acts, tier, until=TODAY_E), facts), facts)
+    return out.select("day", "activity_streak_days", "rest_streak_days", "last_hike_days_ago")
+
+
+@query(
+    "agg_empty_buckets_by_sport",
+    f"""WITH {o.FOR_FACTS}, b AS (SELECT CAST(unnest(generate_series(DATE '2001-06-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS bucket_start),
+    f AS (SELECT * FROM facts WHERE sport_type = 'Hike' AND activity_day >= DATE '2001-06-01' AND activity_day < DATE '2002-01-01')
+    SELECT scope, bucket_start, CASE WHEN scope = 'per_sport' THEN 'Hike' WHEN count(activity_id) > 0 THEN NULL END AS sport_type, round(sum(distance_m) / 1000, 6) AS value, count(activity_id) AS row_count,
+      CASE WHEN count(activity_id) = 0 THEN 'unavailable' WHEN bool_or(completeness_status <> 'complete') THEN 'partial' ELSE 'complete' END AS completeness_status
+    FROM b, (SELECT unnest(['global', 'per_sport']) AS scope) LEFT JOIN f ON date_trunc('month', activity_day) = bucket_start GROUP BY scope, bucket_start""",
+)
+def agg_empty_by_sport(spark: SparkSession, sf: str) -> DataFrame:
+    request = _request("distance_km", bucket="month", scope="both", sport="Hike", start=date(2001, 6, 1), end=date(2002, 1, 1), include_empty=True)
+    out = ag.aggregate({"activity": _facts(spark, sf)}, request)
+    return _rounded(out.select("scope", "bucket_start", "sport_type", "value", "row_count", "completeness_status"))
+
+
 @query("list_workouts", f"WITH {o.FOR_FACTS} SELECT activity_id, activity_day, trimp FROM facts WHERE sport_type = 'Hike' AND activity_day >= DATE '{START}' AND activity_day <= DATE '{END}' ORDER BY activity_day DESC, activity_id DESC LIMIT 50")
 def list_workouts(spark: SparkSession, sf: str) -> DataFrame:
     return sv.list_workouts(_facts(spark, sf), 50, START, END, "Hike").select("activity_id", "activity_day", "trimp")
@@ -1085,12 +1146,8 @@ def _all_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return _sources(_summarized(spark, sf), ln.samples_o(spark, sf), (AS_OF - timedelta(days=14), AS_OF))
 
 
-#: A day after the last activity of lens E at every size: facts, model and windows run to it.
-TODAY_E = date(2024, 2, 14)
-
-
-def _dense_sources(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return _sources(ln.activities_e(spark, sf), ln.samples_e(spark, sf), until=TODAY_E)
+def _dense_sources(spark: SparkSession, sf: str, between: tuple[date, date] | None = None) -> dict[str, DataFrame]:
+    return _sources(ln.activities_e(spark, sf), ln.samples_e(spark, sf), between, TODAY_E)
 
 
 @query("every_metric")
@@ -1274,6 +1331,90 @@ def kudos_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rd.kudos_list(kudos, limit=40)
 
 
+@query(
+    "daily_facts_of_a_range",
+    f"WITH {o.FOR_BOTH} SELECT day, completeness_status, activity_count, effective_trimp FROM daily WHERE day >= DATE '{START}' AND day < DATE '{END}' ORDER BY day",
+)
+def daily_range(spark: SparkSession, sf: str) -> DataFrame:
+    return rd.daily_range(_daily(spark, sf), START, END).select("day", "completeness_status", "activity_count", "effective_trimp")
+
+
+def _two_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling facts of days up to AS_OF in version 1, and of those before the last week in version 2 as well."""
+    rolled = fx.rolling_facts(_daily(spark, sf).filter(F.col("day") <= F.lit(AS_OF)))
+    newer = rolled.filter(F.col("as_of_day") <= F.lit(AS_OF - timedelta(days=7))).withColumns({"metric_version": F.lit(2).cast("long"), "effective_trimp": F.lit(-1.0)})
+    return rolled.unionByName(newer)
+
+
+@query(
+    "rolling_fact_of_a_day",
+    f"""WITH {o.FOR_BOTH} SELECT 28 AS window_days, CAST(1 AS BIGINT) AS metric_version, CAST(sum(activity_count) AS BIGINT) AS activity_count, round(sum(effective_trimp), 2) AS effective_trimp
+    FROM daily WHERE day BETWEEN DATE '{AS_OF}' - 27 AND DATE '{AS_OF}'""",
+)
+def rolling_of_day(spark: SparkSession, sf: str) -> DataFrame:
+    out = rd.rolling_fact(_two_versions(spark, sf), AS_OF, 28)
+    return out.select("window_days", "metric_version", "activity_count", F.round("effective_trimp", 2).alias("effective_trimp"))
+
+
+@query(
+    "rolling_newest_version",
+    f"""WITH {o.FOR_BOTH} SELECT w AS window_days, DATE '{AS_OF}' - 7 AS as_of_day, CAST(2 AS BIGINT) AS metric_version, CAST(sum(activity_count) AS BIGINT) AS activity_count, -1.0::DOUBLE AS effective_trimp
+    FROM daily, (SELECT unnest([7, 14, 28, 42, 90]) AS w) WHERE day <= DATE '{AS_OF}' - 7 AND day > DATE '{AS_OF}' - 7 - w GROUP BY w""",
+)
+def rolling_newest(spark: SparkSession, sf: str) -> DataFrame:
+    out = rd.rolling_newest(_two_versions(spark, sf), AS_OF - timedelta(days=7))
+    return out.select("window_days", "as_of_day", "metric_version", "activity_count", "effective_trimp")
+
+
+@query("anything_stored", "SELECT event_type, count(*) > 0 AS stored FROM events GROUP BY 1")
+def anything_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event type, and whether a union of two tables, both read up to one row, holds any of it."""
+    events = ln.read_table(spark, sf, "events")
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
+    found = {k: rd.anything(events.filter("event_id < 0"), events.filter(F.col("event_type") == k)) for k in kinds}
+    return events.select("event_type").distinct().withColumn("stored", F.col("event_type").isin([k for k, yes in found.items() if yes]))
+
+
+@query(
+    "coverage_report",
+    f"""WITH {o.ACTS} SELECT id, activity_day, CASE WHEN sport_type = 'Run' THEN 'altitude,heartrate' ELSE 'altitude,heartrate,time' END AS missing FROM acts
+    WHERE sport_type IN ('Run', 'Walk') ORDER BY activity_day DESC, id DESC LIMIT 20""",
+)
+def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
+    acts = ln.activities_o(spark, sf).filter("sport_type IN ('Run', 'Walk')")
+    channels = acts.filter("sport_type = 'Run'").select(F.col("id").alias("activity_id"), F.lit("time").alias("channel_key"), F.lit("available").alias("status"))
+    out = rel.coverage_report(acts, channels, requested=("time", "heartrate", "altitude"))
+    return out.select("id", "activity_day", F.array_join(F.array_sort("missing"), ",").alias("missing"))
+
+
+@query(
+    "projection_custom",
+    f"""WITH RECURSIVE {o.FOR_DAILY}, {o.MODEL}, p AS (SELECT CAST(d AS DATE) AS day, CASE CAST(d AS DATE) WHEN DATE '{TODAY + timedelta(days=2)}' THEN 120.5::DOUBLE WHEN DATE '{TODAY + timedelta(days=5)}' THEN 60.0::DOUBLE ELSE 0.0::DOUBLE END AS load
+      FROM (SELECT unnest(generate_series(DATE '{TODAY}', DATE '{TARGET}', INTERVAL 1 DAY)) AS d)),
+    run(day, load, fitness, fatigue) AS (
+      SELECT * FROM (SELECT CAST(DATE '{TODAY}' - 1 AS DATE), 0.0::DOUBLE, fitness, fatigue FROM model WHERE day <= DATE '{TODAY}' ORDER BY day DESC LIMIT 1)
+      UNION ALL
+      SELECT p.day, p.load, round_even(((1 - {_A!r}::DOUBLE) * fitness + {_A!r}::DOUBLE * p.load) * 10, 0) / 10, round_even(((1 - {_B!r}::DOUBLE) * fatigue + {_B!r}::DOUBLE * p.load) * 10, 0) / 10
+      FROM run r JOIN p ON p.day = r.day + 1)
+    SELECT day, load, fitness, fatigue, round(fitness - fatigue, 1) AS form FROM run WHERE day >= DATE '{TODAY}'""",
+)
+def projection_custom(spark: SparkSession, sf: str) -> DataFrame:
+    daily = stored(_load(spark, sf))
+    plan = [{"date": (TODAY + timedelta(days=2)).isoformat(), "trimp": 120.5}, {"date": (TODAY + timedelta(days=5)).isoformat(), "trimp": 60}]
+    return sv.projection(daily, fx.model_facts(daily), TODAY, TARGET, ("custom",), plan).drop("scenario")
+
+
+@query(
+    "status_high_zone_limit",
+    f"""WITH {o.FOR_DENSE}, r AS (SELECT * FROM whole WHERE activity_day BETWEEN DATE '2024-01-12' - 6 AND DATE '2024-01-12')
+    SELECT 'excessive_z5_exposure' AS code, CASE WHEN count(*) = 0 THEN 'unavailable' WHEN max(zone5_seconds) > 300 THEN 'active' ELSE 'inactive' END AS status,
+      CAST(arg_max(activity_id, (zone5_seconds, activity_day, activity_id)) FILTER (zone5_seconds > 300) AS VARCHAR) AS evidence, CAST(max(zone5_seconds) FILTER (zone5_seconds > 300) AS DOUBLE) AS amount FROM r""",
+)
+def status_zone_limit(spark: SparkSession, sf: str) -> DataFrame:
+    acts, samples = ln.activities_e(spark, sf), ln.samples_e(spark, sf)
+    return stat.excessive_zone5(fx.activity_facts(acts, samples, ordered=False), date(2024, 1, 12))
+
+
 @query("activity_by_id", f"WITH {o.ACTS} SELECT id, activity_day, sport_type FROM acts WHERE id = 42")
 def by_id(spark: SparkSession, sf: str) -> DataFrame:
     return rd.activity_by_id(rel.hydrated(ln.activities_o(spark, sf), ln.payload_log_o(spark, sf)), 42).select("id", "activity_day", "sport_type")
