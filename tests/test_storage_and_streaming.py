@@ -305,6 +305,32 @@ def test_promotion_stream(spark, tmp_path):
     assert len(store.manifest()[1]["payloads"]) == 2  # a batch adds a folder and leaves the others
 
 
+def test_stateful_promotion_goes_on_after_a_restart_and_never_reads_the_log(spark, tmp_path, monkeypatch):
+    kind = "activity_id long, payload_kind string, fetched_at string, payload_json string, raw_hash string"
+    store, seen = sinks.Store(spark, str(tmp_path / "store")), []
+    store.commit({"payloads": spark.createDataFrame([(9, "summary", "0", "z", "z"), (1, "detail", "0", "a", "a")], kind)})
+    batches = [
+        [(1, "summary", "1", "a", "a"), (2, "summary", "1", "b", "b"), (9, "summary", "1", "z", "z"), (9, "summary", "2", "y", "y")],
+        [(1, "summary", "2", "a", "a"), (2, "summary", "3", "c", "c"), (2, "summary", "2", "b", "b"), (1, "detail", "3", "a", "a")],
+        [(2, "summary", "4", "c", "c"), (2, "summary", "5", "b", "b"), (9, "summary", "3", "z", "z")],
+    ]
+    plain = spark.createDataFrame([(9, "summary", "0", "z", "z"), (1, "detail", "0", "a", "a")], kind)
+    for turn, rows in enumerate(batches):  # each turn is a new query over the same checkpoint
+        new = spark.createDataFrame(rows, kind)
+        new.repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        query = jobs.promote(stream, store, "payloads", str(tmp_path / "cp"), lambda new: seen.append(new.count()), stateful=True)
+        if turn == 0:  # the state begins with the log's heads; from now on no batch may touch it
+            real = store.read
+            monkeypatch.setattr(store, "read", lambda n: real(n) if n.endswith("_progress") or stream is None else (_ for _ in ()).throw(AssertionError(n)))
+            monkeypatch.setattr(store, "exists", lambda n: n.endswith("_progress") and n in store.manifest()[1])
+        query.awaitTermination()
+        assert query.exception() is None
+        plain = stored(plain.unionByName(sinks.append_changed(plain, new, ["activity_id", "payload_kind"])))
+    assert seen == [3, 1, 2]
+    assert sorted(map(str, real("payloads").collect())) == sorted(map(str, plain.collect()))
+
+
 def test_a_batch_that_runs_again_appends_nothing(spark, tmp_path):
     kind = "activity_id long, payload_kind string, fetched_at string, payload_json string, raw_hash string"
     store, broken, seen = sinks.Store(spark, str(tmp_path / "store")), [True], []
