@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,3 +22,57 @@ def drift_report(payloads: DataFrame, known: Sequence[str], silent: Sequence[str
         live = payloads.filter(F.get_json_object("payload_json", f"$.{k}").isNotNull())
         new = new.unionByName(live.select(F.lit("activated").alias("kind"), F.lit(k).alias("key")))
     return new.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
+def _kind(value: Column) -> Column:
+    """object, array, string, number, boolean or null."""
+    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    out = F.lit("number")
+    for name, label in _KINDS.items():
+        out = F.when(kind == name, label).otherwise(out)
+    return out
+
+
+def json_paths(payloads: DataFrame, depth: int = 3, items: int = 3, column: str = "payload_json") -> DataFrame:
+    """(path, parent, kind, value): every value of the payloads down to ``depth`` levels, of arrays the first ``items`` items.
+
+    Paths are like ``gear.name`` and ``laps[].id``; ``value`` is a variant.  Texts that are no JSON have no paths.
+    Each level explodes the one before, so a payload is parsed once and nothing is shuffled.
+    """
+    spark = payloads.sparkSession
+    level = payloads.select(F.lit("").alias("path"), F.try_parse_json(column).alias("value")).filter("value IS NOT NULL")
+    found = []
+    for _ in range(depth):
+        inner = level.select(F.col("path").alias("parent"), F.col("value").alias("whole"))
+        inner = inner.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer())).filter(F.col("key").isNotNull() | (F.col("pos") < items))
+        name = F.when(F.col("key").isNull(), F.concat("parent", F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif("parent", F.lit("")), F.col("key")))
+        level = inner.select(name.alias("path"), "parent", _kind(F.col("value")).alias("kind"), "value")
+        found.append(level)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def nested_drift(
+    payloads: DataFrame, known: Sequence[str], paid: Mapping[str, str] | None = None, depth: int = 3, items: int = 3
+) -> DataFrame:
+    """(change, path, kind, rows): paths that are new, and paid-only ones that now hold values.
+
+    ``known``: paths as json_paths() has them; items of a known array are known.  Of what is new inside something new
+    only the outermost is told.  ``paid``: paths with the JSON that stands for nothing there; null always does,
+    and so do an empty array and object where the JSON is one.
+    """
+    rows = json_paths(payloads, depth, items)
+    names = [*known, *(f"{k}[]" for k in known), ""]
+    new = rows.filter(~F.col("path").isin(names) & F.col("parent").isin(names)).select(F.lit("unknown").alias("change"), "path", "kind")
+    for path, nothing in (paid or {}).items():
+        own = rows.filter((F.col("path") == path) & (F.col("kind") != "null"))
+        empty = F.try_parse_json(F.lit(nothing))
+        number = F.try_variant_get("value", "$", "double").eqNullSafe(F.try_variant_get(empty, "$", "double"))
+        same = F.when(F.col("kind") == "number", number).otherwise(F.to_json("value") == F.to_json(empty))
+        new = new.unionByName(own.filter(~same).select(F.lit("activated").alias("change"), "path", "kind"))
+    return new.groupBy("change", "path", "kind").agg(F.count(F.lit(1)).alias("rows"))

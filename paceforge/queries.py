@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paceforge import oracle as o
 from paceforge.constants import RESTING_HR, ROLLING_WINDOWS, SPORTS
 from paceforge.functions import scalars as sc
-from paceforge.functions.schema_drift import drift_report
+from paceforge.functions.schema_drift import drift_report, nested_drift
 from paceforge.operators import relational as rel
 from paceforge.operators import sequence as seq
 from paceforge.operators import streams as st
@@ -1108,6 +1108,19 @@ def schema_drift(spark: SparkSession, sf: str) -> DataFrame:
     return drift_report(ln.payload_log_o(spark, sf), ["id", "kudos_count", "start_date_local", "calories", "gear"], ["kudos_count"])
 
 
+@query(
+    "schema_drift_nested",
+    f"""WITH {o.PAYLOADS} SELECT 'unknown' AS change, 'average_heartrate' AS path, CASE WHEN json_type(payload_json, '$.average_heartrate') = 'VARCHAR' THEN 'string' ELSE 'number' END AS kind, count(*) AS rows
+      FROM log WHERE payload_kind = 'summary' GROUP BY 3
+    UNION ALL SELECT 'unknown', 'gear.distance', 'number', count(*) FROM log WHERE json_type(payload_json, '$.gear.distance') IS NOT NULL
+    UNION ALL SELECT 'activated', 'kudos_count', 'number', count(*) FROM log WHERE TRY_CAST(json_extract_string(payload_json, '$.kudos_count') AS BIGINT) <> 0
+    UNION ALL SELECT 'activated', 'gear', 'object', count(*) FROM log WHERE json_type(payload_json, '$.gear') = 'OBJECT'""",
+)
+def schema_drift_nested(spark: SparkSession, sf: str) -> DataFrame:
+    known = ["id", "kudos_count", "start_date_local", "calories", "gear", "gear.id", "gear.name"]
+    return nested_drift(ln.payload_log_o(spark, sf), known, {"kudos_count": "0", "gear": "{}"})
+
+
 # more services and rules
 
 

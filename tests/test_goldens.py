@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceforge.functions import hashing, scalars, zones
-from paceforge.functions.schema_drift import drift_report
+from paceforge.functions.schema_drift import drift_report, nested_drift
 from paceforge.operators import drift, relational, sequence, streams
 
 SAMPLES = "activity_id long, time_offset long, heartrate long, velocity double, altitude double"
@@ -225,3 +225,22 @@ def test_missing_channels_and_kudos(spark):
 def test_smoothed_state_is_not_rounded():
     assert sequence.smoothed([100.0] * 10, 10) == pytest.approx(50.0)
     assert math.isclose(sequence.ALPHA_FITNESS, 1 - 0.5 ** (1 / 42))
+
+
+def test_nested_drift(spark):
+    texts = [
+        '{"id":1,"laps":[{"id":1,"w":2.5},{"id":2,"w":null},{"id":3},{"id":4,"late":1}],"paid":0,"flag":false,"list":[],"map":{}}',
+        '{"id":"x","laps":[],"paid":0.0,"flag":true,"list":[1],"map":{"a":{"b":{"c":1}}},"new":{"deep":{"er":1}}}',
+        '{"id":2,"paid":5,"flag":null,"list":null,"map":{"a":1}}',
+        "not json",
+        "[1, 2]",
+        None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "payload_json string")
+    known = ["id", "laps", "laps[].id", "paid", "flag", "list", "map"]
+    found = nested_drift(df, known, {"paid": "0", "flag": "false", "list": "[]", "map": "{}"})
+    assert {tuple(r) for r in found.collect()} == {
+        ("unknown", "laps[].w", "number", 1), ("unknown", "laps[].w", "null", 1), ("unknown", "map.a", "object", 1), ("unknown", "map.a", "number", 1),
+        ("unknown", "new", "object", 1), ("unknown", "[]", "number", 2),
+        ("activated", "paid", "number", 1), ("activated", "flag", "boolean", 1), ("activated", "list", "array", 1), ("activated", "map", "object", 2),
+    }
