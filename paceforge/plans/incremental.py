@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
-import inspect
+import importlib.util
+from collections.abc import Sequence
 from types import ModuleType
 
 from pyspark.sql import DataFrame
@@ -59,11 +61,68 @@ def enqueue(queue: DataFrame, ids: DataFrame, reason: str, at: str) -> DataFrame
     return cleared(queue, fresh).unionByName(fresh.select(*queue.columns))
 
 
-def logic_fingerprint(modules: list[ModuleType]) -> str:
-    """SHA-256 of the source text of the modules that compute facts."""
+#: Modules whose functions compute facts; what they import is found, not listed.
+FACT_LOGIC = ("paceforge.plans.facts", "paceforge.plans.materialize")
+
+
+def _tree(name: str) -> ast.Module | None:
+    """A module's syntax tree; None for what has no Python source."""
+    spec = importlib.util.find_spec(name)
+    source = spec.loader.get_source(name) if spec and hasattr(spec.loader, "get_source") else None
+    return ast.parse(source) if source is not None else None
+
+
+def _imported(name: str, tree: ast.Module) -> set[str]:
+    """Names that may be modules, of all imports of a module, those inside functions too."""
+    package = name if importlib.util.find_spec(name).submodule_search_locations is not None else name.rpartition(".")[0]
+    found: set[str] = set()
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            found |= {a.name for a in node.names}
+        elif isinstance(node, ast.ImportFrom):
+            base = node.module or ""
+            if node.level:
+                above = package.split(".")[: len(package.split(".")) - node.level + 1]
+                base = ".".join([*above, base] if base else above)
+            found |= {base, *(f"{base}.{a.name}" for a in node.names)}
+    return found
+
+
+def logic_closure(roots: Sequence[str]) -> dict[str, ast.Module]:
+    """The modules of the roots' own packages that the roots import, directly or not, with their syntax trees."""
+    tops = {r.partition(".")[0] for r in roots}
+    trees: dict[str, ast.Module] = {}
+    waiting = sorted(roots)
+    while waiting:
+        name = waiting.pop()
+        if name in trees or name.partition(".")[0] not in tops:
+            continue
+        try:
+            tree = _tree(name)
+        except ModuleNotFoundError:  # a function or class of the module before the last dot
+            continue
+        if tree is not None:
+            trees[name] = tree
+            waiting += sorted(_imported(name, tree) | {name.rpartition(".")[0] or name})
+    return trees
+
+
+def _without_docstrings(tree: ast.Module) -> ast.Module:
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and ast.get_docstring(node, clean=False) is not None:
+            node.body = node.body[1:]
+    return tree
+
+
+def logic_fingerprint(modules: Sequence[ModuleType | str] = FACT_LOGIC) -> str:
+    """SHA-256 of the syntax of all code that the modules' results rest on.
+
+    Changing a helper, in whichever module, changes it; comments, docstrings, layout and other modules do not.
+    """
+    closure = logic_closure([m if isinstance(m, str) else m.__name__ for m in modules])
     digest = hashlib.sha256()
-    for m in sorted(modules, key=lambda m: m.__name__):
-        digest.update(f"{m.__name__}\n{inspect.getsource(m)}\n".encode())
+    for name in sorted(closure):
+        digest.update(f"{name}\n{ast.dump(_without_docstrings(closure[name]))}\n".encode())
     return digest.hexdigest()
 
 

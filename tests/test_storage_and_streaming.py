@@ -221,6 +221,36 @@ def test_change_detection(spark):
     assert len(inc.logic_fingerprint([inc, mat])) == 64 and inc.logic_fingerprint([inc, mat]) == inc.logic_fingerprint([mat, inc])
 
 
+def test_logic_fingerprint_follows_imports(tmp_path, monkeypatch):
+    closure = inc.logic_closure(inc.FACT_LOGIC)
+    assert {"paceforge.plans.facts", "paceforge.operators.drift", "paceforge.functions.zones", "paceforge.constants"} <= set(closure)
+    assert not any(m.startswith(("paceforge.llm", "paceforge.queries", "paceforge.plans.bundles")) for m in closure)
+    for folder in ("", "/sub"):
+        (tmp_path / f"logicpack{folder}").mkdir(parents=True)
+        (tmp_path / f"logicpack{folder}/__init__.py").write_text("")
+    files = {
+        "facts": "import math\nfrom logicpack.sub import help\ndef f(x):\n    return help.g(x)\n",
+        "sub/help": "from ..tables import RATE\ndef g(x):\n    'says'\n    from .far import far\n    return far(x) * RATE\n",
+        "sub/far": "def far(x):\n    return x\n",
+        "tables": "RATE = 2\n",
+        "other": "from logicpack import facts\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"logicpack/{name}.py").write_text(text)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    of = lambda: inc.logic_fingerprint(["logicpack.facts"])
+    first = of()
+    assert set(inc.logic_closure(["logicpack.facts"])) == {f"logicpack{m}" for m in ("", ".facts", ".sub", ".sub.help", ".sub.far", ".tables")}
+    for name, old, new, same in (
+        ("tables", "RATE = 2", "RATE = 3", False), ("sub/far", "return x", "return -x", False), ("sub/help", "'says'", "'says more'  # and more", True),
+        ("other", "facts", "facts as f", True), ("tables", "RATE = 2", "RATE  =  2  # as before", True),
+    ):
+        path = tmp_path / f"logicpack/{name}.py"
+        path.write_text(files[name].replace(old, new))
+        assert (of() == first) == same, (name, new)
+        path.write_text(files[name])
+
+
 def test_source_hash_ignores_order_and_volatile_keys(spark):
     kind = "activity_id long, payload_kind string, payload_json string"
     a = spark.createDataFrame([(1, "summary", '{"a":1,"kudos_count":2}'), (1, "detail", '{"b":1}')], kind)
