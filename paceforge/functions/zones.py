@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from paceforge.constants import ZONE_CAP, ZONE_COEFFICIENTS, ZONE_SHARES
 
 
+DEFAULT_MODEL = "karvonen_hrr"
+
+
 def karvonen(hr_max: int, hr_rest: int) -> list[int]:
     """Zone limits for plain numbers; raises if there is no reserve."""
     if hr_max <= hr_rest:
@@ -17,12 +20,36 @@ def karvonen(hr_max: int, hr_rest: int) -> list[int]:
     return [round(hr_rest + p * (hr_max - hr_rest)) for p in ZONE_SHARES] + [ZONE_CAP]
 
 
-def zone_bounds(hr_max: Column, hr_rest: int) -> list[Column]:
-    """Zone limits as columns, null where there is no reserve."""
+def _of_reserve(hr_max: Column, hr_rest: int) -> list[Column]:
+    """Shares of the reserve above the resting rate."""
     reserve = F.when(hr_max > hr_rest, (hr_max - hr_rest).cast("double"))
     return [F.bround(hr_rest + F.lit(p) * reserve, 0).cast("long") for p in ZONE_SHARES]
 
 
+def _of_maximum(hr_max: Column, hr_rest: int) -> list[Column]:
+    """Shares of the maximum, whatever the resting rate."""
+    top = F.when(hr_max > hr_rest, hr_max.cast("double"))
+    return [F.bround(F.lit(p) * top, 0).cast("long") for p in ZONE_SHARES]
+
+
+#: Zone models: (highest rate, resting rate) to five rising limits, null where the highest is not above the resting rate.
+ZONE_MODELS: dict[str, Callable[[Column, int], list[Column]]] = {DEFAULT_MODEL: _of_reserve, "max_share": _of_maximum}
+
+
+def register_zone_model(name: str, limits: Callable[[Column, int], list[Column]]) -> None:
+    """A model of one's own; facts, days and loads then take its name."""
+    if name in ZONE_MODELS:
+        raise ValueError(f"zone model {name} exists")
+    ZONE_MODELS[name] = limits
+
+
+def zone_bounds(hr_max: Column, hr_rest: int, model: str = DEFAULT_MODEL) -> list[Column]:
+    """Zone limits of a model as columns."""
+    if model not in ZONE_MODELS:
+        raise ValueError(f"unknown zone model: {model}")
+    return ZONE_MODELS[model](hr_max, hr_rest)
+
+
 def band_counts(hr: Column, bounds: Sequence[Column | int]) -> list[Column]:
     """Sample counts of the six bands that five limits make."""
     limits = [b if isinstance(b, Column) else F.lit(b) for b in bounds[:5]]

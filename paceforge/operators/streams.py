@@ -15,7 +15,7 @@ from paceforge.constants import (
     MOVING_VELOCITY,
     STOP_VELOCITY,
 )
-from paceforge.functions.zones import banded_load, banded_rates, load_of, zone_bounds
+from paceforge.functions.zones import DEFAULT_MODEL, banded_load, banded_rates, load_of, zone_bounds
 
 
 def heart_rate_tier(samples: DataFrame, min_velocity: float = MOVING_VELOCITY) -> DataFrame:
@@ -68,7 +68,9 @@ def running_max_hr(activities: DataFrame, samples: DataFrame) -> DataFrame:
     return daily.select("activity_day", F.max("m").over(so_far).alias("max_hr_to_day"))
 
 
-def activity_zones(activities: DataFrame, samples: DataFrame, hr_rest: int, days: DataFrame | None = None) -> DataFrame:
+def activity_zones(
+    activities: DataFrame, samples: DataFrame, hr_rest: int, days: DataFrame | None = None, zone_model: str = DEFAULT_MODEL
+) -> DataFrame:
     """Zone seconds and load of each activity by the limits of its day; zeros without heart rate.
 
     ``samples``: those or their tier; ``days``: running_max_hr(), if it is over more activities than these.
@@ -77,12 +79,12 @@ def activity_zones(activities: DataFrame, samples: DataFrame, hr_rest: int, days
     days = running_max_hr(activities, tier) if days is None else days
     keyed = activities.select("id", "activity_day").join(F.broadcast(days), "activity_day")
     rated = keyed.join(tier.select("activity_id", "hr_count", "rates"), F.col("id") == F.col("activity_id"), "left")
-    return zoned(rated, hr_rest)
+    return zoned(rated, hr_rest, zone_model=zone_model)
 
 
-def zoned(rated: DataFrame, hr_rest: int, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+def zoned(rated: DataFrame, hr_rest: int, keep: tuple[str, ...] = ("id",), zone_model: str = DEFAULT_MODEL) -> DataFrame:
     """Columns ``keep`` of ``rated`` with hr_max_used, zone seconds and load, from its max_hr_to_day, hr_count and rates."""
-    limits = rated.withColumns({f"b{k}": b for k, b in enumerate(zone_bounds(F.col("max_hr_to_day"), hr_rest))})
+    limits = rated.withColumns({f"b{k}": b for k, b in enumerate(zone_bounds(F.col("max_hr_to_day"), hr_rest, zone_model))})
     bands = banded_rates(F.col("rates"), [F.col(f"b{k}") for k in range(5)])
     wide = limits.withColumns({f"band{k}": F.coalesce(b, F.lit(0).cast("long")) for k, b in enumerate(bands)})
     return wide.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paceforge.constants import RESTING_HR, ROLLING_WINDOWS, WALK_DISCOUNT
 from paceforge.functions.scalars import acwr, acwr_zone, form_zone
-from paceforge.functions.zones import banded_load, banded_rates, karvonen, load_of, zone_bounds
+from paceforge.functions.zones import DEFAULT_MODEL, banded_load, banded_rates, karvonen, load_of, zone_bounds
 from paceforge.operators.sequence import day_spine, day_window, load_model
 from paceforge.operators.drift import cardiac_drift
 from paceforge.operators.streams import (
@@ -35,9 +35,11 @@ def activity_facts(
     only: DataFrame | None = None,
     ordered: bool = True,
     tier: DataFrame | None = None,
+    zone_model: str = DEFAULT_MODEL,
 ) -> DataFrame:
     """One row for each activity and version.
 
+    ``zone_model``: the name of the limits by which zones and load are told.
     ``tier``: heart_rate_tier() of the samples, if it is stored; else it is part of the plan.
     ``only``: activity_id of those to compute; the highest heart rate of a day still counts all.
     ``ordered``: with recovery, vertical speed and drift, which need each activity's samples in order;
@@ -54,7 +56,7 @@ def activity_facts(
     base = activities.withColumns({f"summary_{c}": v for c, v in summary.items()}).drop(*_SUMMARY)
     scalars = tier.withColumnRenamed("activity_id", "id")
     rated = base.join(F.broadcast(days), "activity_day", "left").join(scalars, "id", "left")
-    f = zoned(rated, hr_rest, (*base.columns, *[c for c in scalars.columns if c not in ("id", "rates")]))
+    f = zoned(rated, hr_rest, (*base.columns, *[c for c in scalars.columns if c not in ("id", "rates")]), zone_model)
     if ordered:
         f = f.join(ordered_measures(activities, samples).withColumnRenamed("activity_id", "id"), "id", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -90,6 +92,7 @@ def activity_facts(
         count("stream_count").alias("stream_sample_count"),
         F.col("min_hr").alias("observed_min_hr"),
         F.col("max_hr").alias("observed_max_hr"),
+        F.lit(zone_model).alias("hr_zone_model"),
         "hr_max_used",
         F.lit(hr_rest).alias("hr_rest_used"),
         *[F.col(f"summary_{c}").alias(c) for c in _SUMMARY],
@@ -139,7 +142,7 @@ def session_bounds(samples: DataFrame, hr_rest: int = RESTING_HR) -> list[int]:
     return karvonen(int(top) if top is not None and top > hr_rest else hr_rest + 1, hr_rest)
 
 
-def activity_loads(activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR, top: int | None = None) -> DataFrame:
+def activity_loads(activities: DataFrame, samples: DataFrame, hr_rest: int = RESTING_HR, top: int | None = None, zone_model: str = DEFAULT_MODEL) -> DataFrame:
     """(id, activity_day, sport_type, points, hr_points, load) by one set of limits: those of the highest rate of all.
 
     ``samples``: those or their tier; ``top``: the highest rate, if these are not all.  An activity without samples has nulls.
@@ -148,7 +151,7 @@ def activity_loads(activities: DataFrame, samples: DataFrame, hr_rest: int = RES
     rated = activities.select("id", "activity_day", "sport_type").join(tier, F.col("id") == F.col("activity_id"), "left")
     top_row = tier.agg(F.max("max_hr").alias("top")) if top is None else tier.sparkSession.range(1).select(F.lit(top).alias("top"))
     top_row = top_row.select(F.greatest(F.coalesce("top", F.lit(0)), F.lit(hr_rest + 1)).alias("top"))
-    limits = top_row.select(*[b.alias(f"b{k}") for k, b in enumerate(zone_bounds(F.col("top"), hr_rest))])  # one row
+    limits = top_row.select(*[b.alias(f"b{k}") for k, b in enumerate(zone_bounds(F.col("top"), hr_rest, zone_model))])  # one row
     load = banded_load(banded_rates(F.col("rates"), [F.col(f"b{k}") for k in range(5)]))
     return rated.join(F.broadcast(limits)).select(
         "id", "activity_day", "sport_type", F.col("stream_count").alias("points"), F.col("hr_count").alias("hr_points"), load.alias("load")
@@ -169,6 +172,7 @@ def daily_load(
     until: date | None = None,
     since: date | None = None,
     top: int | None = None,
+    zone_model: str = DEFAULT_MODEL,
 ) -> DataFrame:
     """Every day from the first to the last: status, counts, observed and effective load.
 
@@ -179,7 +183,7 @@ def daily_load(
     """
     if since is not None:
         activities = activities.filter(F.col("activity_day") >= F.lit(since))
-    joined = activity_loads(activities, samples, hr_rest, top)
+    joined = activity_loads(activities, samples, hr_rest, top, zone_model)
     by_sport = joined.groupBy("activity_day", "sport_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum("points"), F.lit(0)).alias("points"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceforge.constants import RESTING_HR, ROLLING_WINDOWS
+from paceforge.functions.zones import DEFAULT_MODEL
 from paceforge.operators.streams import heart_rate_tier, running_max_hr, zoned
 from paceforge.plans import facts as fx
 from paceforge.plans import incremental as inc
@@ -69,16 +70,22 @@ def _moved_months(facts: DataFrame, days: DataFrame, since: date, version: int)
     return _months(now.filter("low <> max_hr_to_day OR high <> max_hr_to_day"), "activity_day")
 
 
-def _rezoned(facts: DataFrame, tier: DataFrame, days: DataFrame, hr_rest: int) -> DataFrame:
+def _rezoned(facts: DataFrame, tier: DataFrame, days: DataFrame, hr_rest: int, zone_model: str) -> DataFrame:
     """Facts with zones and load by the maximum that now holds on their day; from the tier, without samples."""
     own = ("hr_max_used", "trimp", *(f"zone{k}_seconds" for k in range(1, 6)))
     rest = [c for c in facts.columns if c not in own]
     rated = facts.select(*rest).join(F.broadcast(days), "activity_day").join(tier.select("activity_id", "hr_count", "rates"), "activity_id", "left")
-    return zoned(rated, hr_rest, tuple(rest)).withColumn("trimp", F.coalesce("trimp", F.lit(0.0))).select(*facts.columns)
+    return zoned(rated, hr_rest, tuple(rest), zone_model).withColumn("trimp", F.coalesce("trimp", F.lit(0.0))).select(*facts.columns)
 
 
 def materialize(
-    store: Store, limit: int, at: str, metric_version: int = 1, hr_rest: int = RESTING_HR, today: date | None = None
+    store: Store,
+    limit: int,
+    at: str,
+    metric_version: int = 1,
+    hr_rest: int = RESTING_HR,
+    today: date | None = None,
+    zone_model: str = DEFAULT_MODEL,
 ) -> int:
     """Recompute what the earliest dirty days need and commit all tables at once; returns the rows claimed.
 
@@ -90,7 +97,7 @@ def materialize(
     the highest heart rate of all changed, or the version, they are recomputed from the first day, as every load
     rests on it.  Tables are kept by months; others than those touched are neither read whole nor written.
 
-    Superseded versions go when the queue is empty.  A failed run is entered in the ledger and raises.
+    ``zone_model`` must be one for each version.  Superseded versions go when the queue is empty.  A failed run is entered in the ledger and raises.
     """
     activities, samples, queue = store.read("activities"), store.read("samples"), store.read("queue")
     run = _Run(store, at)
@@ -125,18 +132,18 @@ def materialize(
             superseded = facts.filter(F.col("metric_version") < metric_version)
             stale, pruned = _months(superseded, "activity_day"), superseded.count()
         months = months | moved | stale
-        new = fx.activity_facts(counted, samples, hr_rest, metric_version, only=claimed, tier=tier)
+        new = fx.activity_facts(counted, samples, hr_rest, metric_version, only=claimed, tier=tier, zone_model=zone_model)
         kept = run.read("activity_facts", months=months)
         if kept is not None:
             own = F.col("metric_version") == metric_version
-            current = _rezoned(kept.filter(own).join(ids, "activity_id", "left_anti"), tier, days, hr_rest)
+            current = _rezoned(kept.filter(own).join(ids, "activity_id", "left_anti"), tier, days, hr_rest, zone_model)
             older = kept.filter(~own) if not stale else kept.filter(F.col("metric_version") > metric_version)
             kept = current.unionByName(older)
         run.put("activity_facts", new, months, kept)
 
         top = tier.agg(F.max("max_hr")).first()[0]
         since = None if stale else _first_day_to_compute(run, first_dirty, metric_version, top == top_before)
-        _put_days(run, counted, tier, hr_rest, metric_version, since, top, today, bool(stale))
+        _put_days(run, counted, tier, hr_rest, metric_version, since, top, today, bool(stale), zone_model)
         ledger = _ledger(store, "ok", at, metric_version, n, since, pruned)
         store.commit({"queue": rest, "ledger": ledger}, base=run.turn, months=run.changes)
         return n
@@ -159,7 +166,7 @@ def _first_day_to_compute(run: _Run, first_dirty: date, version: int, same_limit
 
 
 def _put_days(
-    run: _Run, activities: DataFrame, tier: DataFrame, hr_rest: int, version: int, since: date | None, top: int | None, today: date | None, prune: bool
+    run: _Run, activities: DataFrame, tier: DataFrame, hr_rest: int, version: int, since: date | None, top: int | None, today: date | None, prune: bool, zone_model: str
 ) -> None:
     """Stage days, model and windows of one version, from ``since`` on."""
     history = since - timedelta(days=max(ROLLING_WINDOWS) - 1) if since else None
@@ -180,7 +187,7 @@ def _put_days(
         run.put(name, rows, months, kept)
 
     facts = run.read("activity_facts", since=history).drop("computed_at")
-    load = fx.daily_load(activities, tier, hr_rest, today, since, top if top is not None else hr_rest + 1)
+    load = fx.daily_load(activities, tier, hr_rest, today, since, top if top is not None else hr_rest + 1, zone_model)
     put("daily_facts", fx.daily_facts(load, facts, version))
     daily = run.read("daily_facts", since=history).filter(F.col("metric_version") == version)
     put("model_facts", fx.model_facts(daily if since is None else daily.filter(F.col("day") >= F.lit(since)), version, seed))

@@ -215,6 +215,25 @@ def activity_trimp(spark: SparkSession, sf: str) -> DataFrame:
     return st.activity_zones(ln.activities_o(spark, sf), ln.samples_o(spark, sf), RESTING_HR).select("id", "trimp")
 
 
+def _of_maximum(sql: str) -> str:
+    """The SQL of zones and loads with limits that are shares of the maximum."""
+    return sql.replace("53 + 0.", "0.").replace("* CAST(CASE WHEN max_hr_to_day > 53 THEN max_hr_to_day END - 53 AS DOUBLE)", "* CAST(CASE WHEN max_hr_to_day > 53 THEN max_hr_to_day END AS DOUBLE)").replace("* CAST(top - 53 AS DOUBLE)", "* CAST(top AS DOUBLE)")
+
+
+@query(
+    "zones_of_another_model",
+    f"WITH {o.FOR_FACTS.replace(o.ZONES, _of_maximum(o.ZONES))}, {_of_maximum(o.SESSION)}, {o.DAILY}, {o.DAILY_FACTS} "
+    "SELECT day, zone4_seconds, zone5_seconds, observed_trimp, effective_trimp, (SELECT round(sum(trimp), 1) FROM facts WHERE activity_day = day) AS activity_trimp FROM daily",
+)
+def another_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Days by zones that are shares of the maximum: from facts and loads through to the daily facts."""
+    tier, acts = _tier(spark, sf), ln.activities_o(spark, sf)
+    facts = stored(fx.activity_facts(acts, ln.samples_o(spark, sf), ordered=False, tier=tier, zone_model="max_share"))
+    daily = fx.daily_facts(fx.daily_load(acts, tier, zone_model="max_share"), facts)
+    sums = facts.groupBy(F.col("activity_day").alias("day")).agg(F.round(F.sum("trimp"), 1).alias("activity_trimp"))
+    return daily.join(sums, "day", "left").select("day", "zone4_seconds", "zone5_seconds", "observed_trimp", "effective_trimp", "activity_trimp")
+
+
 @query("cardiac_cost", f"WITH {o.SAMPLES}, {o.SCALARS} SELECT activity_id, cardiac_cost FROM scalars WHERE cardiac_cost IS NOT NULL")
 def cardiac_cost(spark: SparkSession, sf: str) -> DataFrame:
     return st.stream_scalars(ln.samples_o(spark, sf)).select("activity_id", "cardiac_cost").filter("cardiac_cost IS NOT NULL")

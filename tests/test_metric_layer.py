@@ -245,3 +245,72 @@ def test_bundles_ask_for_their_ranges(spark, monkeypatch):
         ("weekly_digest", "all_time", date(2026, 5, 11), date(2026, 5, 18)),
         ("weekly_digest", "all_time", date(2026, 5, 18), date(2026, 5, 21)),
     ]
+
+
+def test_memo_is_kept_for_a_time_and_until_a_commit(spark, tmp_path):
+    from paceforge.plans.memo import ResponseMemo
+    from paceforge.sources.sinks import Store
+
+    store, now, built = Store(spark, str(tmp_path)), [100.0], []
+    store.commit({"t": spark.range(3)})
+    memo = ResponseMemo(store, entries=2, clock=lambda: now[0])
+
+    def ask(n):
+        def build():
+            built.append(n)
+            return store.read("t").filter(F.col("id") >= n)
+
+        return memo.answer("rows", {"n": n, "of": "t"} if n % 2 else {"of": "t", "n": n}, build)
+
+    first = ask(1)
+    assert first.count() == 2 and ask(1) is first and memo.hits == 1 and built == [1] and first.storageLevel.useMemory
+    now[0] += 29.9
+    assert ask(1) is first
+    now[0] += 0.1
+    assert ask(1) is not first and built == [1, 1]
+    two, one = ask(2), ask(1)
+    ask(0)  # a third: the one asked for longest ago goes
+    assert not two.storageLevel.useMemory and one.storageLevel.useMemory
+    store.commit({"t": spark.range(9)})
+    assert ask(1).count() == 8 and not one.storageLevel.useMemory
+    memo.clear()
+    with pytest.raises(ValueError):
+        ResponseMemo(store, entries=0)
+
+
+def test_rounded_delta_tells_the_trend(spark):
+    """1.0 against 0.9997 is flat: the delta is rounded before anything follows from it."""
+    days = [(date(2026, 5, 5), 1000.0), (date(2026, 4, 5), 999.7)]
+    rows = [(k, d, "Run", m, 1, "complete") for k, (d, m) in enumerate(days)]
+    df = spark.createDataFrame(rows, "activity_id long, activity_day date, sport_type string, distance_m double, metric_version long, completeness_status string")
+    df = df.withColumn("missing_reasons", F.array().cast("array<string>"))
+    request = AggregateRequest(("distance_km",), start=date(2026, 5, 1), end=date(2026, 6, 1))
+    r = services.compare_periods({"activity": df}, request, (date(2026, 4, 1), date(2026, 5, 1))).first()
+    assert (r.delta, r.delta_pct, r.trend) == (0.0, 0.0, "flat") and (r.activity_count_a, r.metric_version_status) == (1, "single")
+    none = services.compare_periods({"activity": df}, request, (date(2025, 4, 1), date(2025, 5, 1))).first()
+    assert (none.delta, none.trend, none.missing_reasons, none.coverage_b) == (None, "unavailable", ["no_facts"], 0.0)
+
+
+@pytest.mark.parametrize("scope, sport, found", [
+    ("global", None, [("global", None)]), ("per_sport", None, [("per_sport", None)]), ("per_sport", "Hike", [("per_sport", "Hike")]),
+    ("both", None, [("global", None), ("per_sport", None)]),
+])
+def test_whole_range_without_facts_has_its_row(activity, scope, sport, found):
+    request = AggregateRequest(("distance_km",), scope=scope, sport=sport, start=date(2030, 1, 1), end=date(2030, 2, 1))
+    rows = aggregate({"activity": activity}, request).collect()
+    assert sorted((r.scope, r.sport_type) for r in rows) == sorted(found, key=str)
+    assert all((r.row_count, r.missing_reasons, r.completeness_status, r.denominator) == (0, ["no_facts"], "unavailable", "distance_m") for r in rows)
+
+
+def test_last_of_equal_offsets_counts(spark):
+    """51 s of standing with one repeated offset whose last row stands: one pause; whose last row moves: none of 51 s."""
+    from paceforge.operators import streams
+
+    def of(last):
+        stand = [(1, 100 + k, 140 - k % 3, 0.0, 0) for k in range(51)]
+        twice = [(1, 120, 140, 3.0 if last == 0.0 else 0.0, 1), (1, 120, 140, last, 2)]
+        move = [(1, k, 150, 3.0, 0) for k in range(100)]
+        df = spark.createDataFrame(move + stand + twice, "activity_id long, time_offset long, heartrate long, velocity double, pos long")
+        return [r.duration_s for r in streams.pauses(df).collect()]
+
+    assert of(0.0) == [50] and of(3.0) == []
