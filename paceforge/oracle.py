@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paceforge.constants import ALPHA_FATIGUE, ALPHA_FITNESS
+from paceforge.constants import ALPHA_FATIGUE, ALPHA_FITNESS, DRIFT_DEFAULT_THRESHOLD, DRIFT_THRESHOLDS
 
 ACTS = """acts AS (
   SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS activity_day,
@@ -183,3 +183,87 @@ whole AS (
     median_rate AS hr_recovery_median_rate, best_rate AS hr_recovery_best_rate, worst_rate AS hr_recovery_worst_rate, avg_rate AS hr_recovery_avg_rate,
     vmh AS vertical_speed_vmh, total_ascent_m AS vertical_speed_total_ascent_m, duration_hours AS vertical_speed_duration_hours
   FROM facts f JOIN acts a ON a.id = f.activity_id LEFT JOIN climb c ON c.activity_id = f.activity_id LEFT JOIN recovery r ON r.activity_id = f.activity_id)"""
+
+
+def _classes(k: int) -> str:
+    """Least squared error of the first j sorted values in ``k`` classes, and where the last class begins (the first such place)."""
+    return f"""
+d{k} AS MATERIALIZED (
+  SELECT activity_id, j, m[1] AS cost, m[2] AS cut FROM (
+    SELECT r.activity_id, r.y AS j, min((d.cost + r.e, r.x)) AS m FROM errors r JOIN d{k - 1} d ON d.activity_id = r.activity_id AND d.j = r.x
+    WHERE r.x >= {k - 1} GROUP BY 1, 2)),"""
+
+
+def _borders(k: int) -> str:
+    """Borders of the best ``k`` classes of all values, walked back from the last one."""
+    steps = " ".join(f"JOIN d{t} t{t} ON t{t}.activity_id = z.activity_id AND t{t}.j = {'z.m' if t == k else f't{t + 1}.cut'}" for t in range(k, 1, -1))
+    cuts = ", ".join(f"t{t}.cut" for t in range(2, k + 1))
+    return f"SELECT z.activity_id, {k} AS k, [0, {cuts}, z.m] AS borders, CASE WHEN whole > 0 THEN (whole - t{k}.cost) / whole ELSE 1.0 END AS fit FROM sizes z {steps}"
+
+
+#: Cardiac drift of the dense lens: natural breaks by a dynamic programme over the sorted velocities, whose prefix sums are added up one by one.
+#: Needs WITH RECURSIVE, SAMPLES_E and acts; gives ``drift``.  ``limit``: the threshold of an activity's sport.
+DRIFT = (
+    """moved AS (
+  SELECT activity_id, heartrate, velocity, count(*) OVER (PARTITION BY activity_id) AS n,
+    row_number() OVER (PARTITION BY activity_id ORDER BY time_offset, velocity, heartrate) - 1 AS k
+  FROM samp_e WHERE velocity > 0.3 AND heartrate IS NOT NULL),
+thinned AS (
+  SELECT activity_id, CAST(heartrate AS DOUBLE) AS hr, CAST(velocity AS DOUBLE) AS v, step, row_number() OVER (PARTITION BY activity_id ORDER BY k) - 1 AS t
+  FROM (SELECT *, greatest(n // 600, 1) AS step FROM moved WHERE n >= 120) WHERE k % step = 0 AND k < step * 600),
+sorted AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY v, t) AS i FROM thinned),
+prefix(activity_id, i, s1, s2) AS (
+  SELECT DISTINCT activity_id, CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE FROM sorted
+  UNION ALL
+  SELECT p.activity_id, s.i, p.s1 + s.v, p.s2 + s.v * s.v FROM prefix p JOIN sorted s ON s.activity_id = p.activity_id AND s.i = p.i + 1),
+errors AS MATERIALIZED (
+  SELECT a.activity_id, a.i AS x, b.i AS y, (b.s2 - a.s2) - (b.s1 - a.s1) * (b.s1 - a.s1) / CAST(b.i - a.i AS DOUBLE) AS e
+  FROM prefix a JOIN prefix b ON a.activity_id = b.activity_id AND a.i < b.i),
+d1 AS MATERIALIZED (SELECT activity_id, y AS j, e AS cost, CAST(0 AS BIGINT) AS cut FROM errors WHERE x = 0),"""
+    + "".join(_classes(k) for k in range(2, 7))
+    + """
+sizes AS (
+  SELECT s.activity_id, s.m, s.step, greatest(10, 30 // s.step) AS least, d.cost AS whole
+  FROM (SELECT activity_id, count(*) AS m, any_value(step) AS step FROM sorted GROUP BY 1) s JOIN d1 d ON d.activity_id = s.activity_id AND d.j = s.m),
+tried AS MATERIALIZED (
+  SELECT t.*, z.step, list_min(list_transform(range(1, k + 1), lambda p: borders[p + 1] - borders[p])) >= least AS sound
+  FROM ("""
+    + " UNION ALL ".join(_borders(k) for k in range(2, 7))
+    + """) t JOIN sizes z USING (activity_id) WHERE k <= least_of(6, m // least)),
+judged AS (
+  SELECT *, fit >= 0.85 OR (k >= 3 AND fit - coalesce(lag(fit) OVER (PARTITION BY activity_id ORDER BY k), 0.0) < 0.03) AS stops FROM tried WHERE sound),
+stop_at AS (SELECT activity_id, min(k) FILTER (stops) AS stop, max(k) AS last_sound FROM judged GROUP BY 1),
+chosen AS (
+  SELECT t.activity_id, t.borders, t.k, (SELECT l.fit FROM tried l WHERE l.activity_id = t.activity_id AND l.k = coalesce(s.stop, (SELECT max(k) FROM tried q WHERE q.activity_id = t.activity_id))) AS fit
+  FROM tried t LEFT JOIN stop_at s USING (activity_id) WHERE t.k = coalesce(s.stop, s.last_sound, 2)),
+labelled AS (SELECT s.*, c.k AS classes, c.fit, len(list_filter(c.borders[2:], lambda b: b < s.i)) AS c FROM sorted s JOIN chosen c USING (activity_id)),
+quartiles AS (SELECT activity_id, c, count(*) AS w, quantile_cont(hr, 0.25) AS low, quantile_cont(hr, 0.5) AS mid, quantile_cont(hr, 0.75) AS high FROM labelled GROUP BY 1, 2),
+cleaned AS (
+  SELECT l.*, w, CASE WHEN w >= 4 AND (hr < low - 2.5 * (high - low) OR hr > high + 2.5 * (high - low)) THEN mid ELSE hr END AS clean
+  FROM labelled l JOIN quartiles USING (activity_id, c)),
+stretches AS (
+  SELECT activity_id, c, min(t) AS a, max(t) + 1 AS b, any_value(step) AS step
+  FROM (SELECT *, t - row_number() OVER (PARTITION BY activity_id, c ORDER BY t) AS g FROM labelled) GROUP BY activity_id, c, g
+  HAVING count(*) >= greatest(2, 60 // any_value(step))),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY activity_id, c ORDER BY a) AS q, count(*) OVER (PARTITION BY activity_id, c) AS r FROM stretches),
+halves AS (
+  SELECT l.activity_id, l.c, clean, w, l.step, CASE WHEN r = 1 THEN t >= a + (b - a) // 2 ELSE q > greatest(1, r // 2) END AS late
+  FROM cleaned l JOIN numbered n ON n.activity_id = l.activity_id AND n.c = l.c AND t >= a AND t < b),
+compared AS (
+  SELECT activity_id, any_value(w) AS w, median(clean) FILTER (NOT late) AS early, median(clean) FILTER (late) AS late_, count(*) FILTER (late) AS n_late,
+    count(*) FILTER (NOT late) AS n_early, any_value(step) AS step FROM halves GROUP BY activity_id, c),
+drifts AS (SELECT activity_id, w, (late_ - early) / early * 100.0::DOUBLE AS d FROM compared WHERE n_late >= 5 AND n_early >= 5 AND (n_late + n_early) * step >= 120 AND early > 0),
+pooled AS (SELECT activity_id, sum(d * w) / sum(w) AS pct, avg(CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS consistency FROM drifts GROUP BY 1),
+covered AS (SELECT activity_id, sum((b - a) * step) AS seconds FROM stretches GROUP BY 1),
+drift AS (
+  SELECT z.activity_id, round_even(pct, 2) AS cardiac_drift_pct,
+    CASE WHEN pct IS NULL THEN NULL WHEN pct < 3 THEN 'stable' WHEN pct < 5 THEN 'borderline' WHEN pct < 8 THEN 'moderate' WHEN pct < 12 THEN 'significant' ELSE 'severe' END AS cardiac_drift_severity,
+    coalesce(pct > 0 AND pct >= {limit} AND consistency >= 0.6, false) AS cardiac_drift_significant,
+    CASE WHEN pct IS NULL THEN 'low' WHEN seconds >= 600 THEN 'good' WHEN seconds >= 300 THEN 'fair' ELSE 'low' END AS cardiac_drift_quality,
+    CAST(c.k AS INTEGER) AS n_classes, round_even(c.fit, 4) AS fit
+  FROM sizes z JOIN chosen c USING (activity_id) JOIN acts ON acts.id = z.activity_id LEFT JOIN pooled USING (activity_id) LEFT JOIN covered USING (activity_id))"""
+).replace("least_of(6, m // least)", "least(6, m // least)")
+
+#: The threshold of the activity's sport, and that of a run for all.
+SPORT_LIMIT = "CASE sport_type " + " ".join(f"WHEN '{s}' THEN {v}" for s, v in DRIFT_THRESHOLDS.items()) + f" ELSE {DRIFT_DEFAULT_THRESHOLD} END"
+RUN_LIMIT = str(DRIFT_THRESHOLDS["Run"])

@@ -487,7 +487,7 @@ def jumps(spark: SparkSession, sf: str) -> DataFrame:
     return st.heart_rate_jumps(ln.samples_e(spark, sf))
 
 
-@query("cardiac_drift")
+@query("cardiac_drift", f"WITH RECURSIVE {o.ACTS_E}, {o.SAMPLES_E}, {o.DRIFT.replace('{limit}', o.RUN_LIMIT)} SELECT * FROM drift")
 def drift(spark: SparkSession, sf: str) -> DataFrame:
     return cardiac_drift(ln.samples_e(spark, sf))
 
@@ -591,7 +591,15 @@ def agg_sensors(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out.select("metric_id", "sport_type", "p25", "value", "p75", "null_count"))
 
 
-@query("agg_drift")
+_DRIFT = f"{o.FOR_DENSE}, {o.DRIFT.replace('{limit}', o.SPORT_LIMIT)}"
+
+
+@query(
+    "agg_drift",
+    f"""WITH RECURSIVE {_DRIFT}, j AS (SELECT sport_type, cardiac_drift_pct AS pct, CAST(coalesce(cardiac_drift_significant, false) AS DOUBLE) AS sig FROM acts LEFT JOIN drift ON activity_id = id)
+    SELECT 'cardiac_drift_pct' AS metric_id, sport_type, round(median(pct), 6) AS value, count(*) FILTER (pct IS NULL) AS null_count FROM j GROUP BY 2
+    UNION ALL SELECT 'cardiac_drift_significant', sport_type, sum(sig), 0 FROM j GROUP BY 2""",
+)
 def agg_drift(spark: SparkSession, sf: str) -> DataFrame:
     request = ag.AggregateRequest(("cardiac_drift_pct", "cardiac_drift_significant"), scope="per_sport")
     return _rounded(ag.aggregate({"activity": _dense_facts(spark, sf)}, request).select("metric_id", "sport_type", "value", "null_count"))
@@ -1272,7 +1280,13 @@ def status_all(spark: SparkSession, sf: str) -> DataFrame:
     return stat.all_rules(stored(_facts(spark, sf).withColumns(drift)), AS_OF, 1, days, past, dirty)
 
 
-@query("status_significant_drift")
+@query(
+    "status_significant_drift",
+    f"""WITH RECURSIVE {_DRIFT}, r AS (SELECT id, activity_day, cardiac_drift_significant AND cardiac_drift_quality IN ('good', 'fair') AS hit FROM acts LEFT JOIN drift ON activity_id = id
+      WHERE activity_day BETWEEN DATE '2024-01-30' - 6 AND DATE '2024-01-30'), t AS (SELECT * FROM r WHERE hit ORDER BY activity_day DESC, id DESC LIMIT 1)
+    SELECT 'cardiac_drift_significant_quality' AS code, CASE WHEN (SELECT count(*) FROM r) = 0 THEN 'unavailable' WHEN (SELECT count(*) FROM t) > 0 THEN 'active' ELSE 'inactive' END AS status,
+      (SELECT CAST(id AS VARCHAR) FROM t) AS evidence, (SELECT CAST(activity_day - DATE '1970-01-01' AS DOUBLE) FROM t) AS amount""",
+)
 def status_drift(spark: SparkSession, sf: str) -> DataFrame:
     return stat.significant_drift(_dense_facts(spark, sf), date(2024, 1, 30))
 

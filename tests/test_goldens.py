@@ -244,3 +244,37 @@ def test_nested_drift(spark):
         ("unknown", "new", "object", 1), ("unknown", "[]", "number", 2),
         ("activated", "paid", "number", 1), ("activated", "flag", "boolean", 1), ("activated", "list", "array", 1), ("activated", "map", "object", 2),
     }
+
+
+def test_drift_sql_equals_the_algorithm_on_any_number_of_classes():
+    """The dynamic programme in SQL against the vectorised one, on paces of one to five levels, noise, ties and outliers."""
+    import duckdb
+    import numpy as np
+
+    from paceforge import oracle
+    from paceforge.constants import DRIFT_DEFAULT_THRESHOLD, DRIFT_THRESHOLDS
+    from paceforge.operators.drift import drift_of
+
+    rng = np.random.default_rng(11)
+    acts, rows, expected = [], [], {}
+    for i, (n, levels, noise) in enumerate([(119, 1, 0.1), (120, 2, 0.0), (300, 3, 0.05), (420, 5, 0.1), (500, 1, 0.6), (350, 4, 0.3), (1300, 3, 0.1)]):
+        pace = np.round(2.0 + np.repeat(rng.integers(0, levels, n // 10 + 1), 10)[:n] * 0.7 + rng.normal(0, noise, n) * (noise > 0), 2)
+        pace = np.maximum(pace, 0.5)
+        heart = np.round(120 + 10 * pace + np.arange(n) * 0.02 + rng.normal(0, 2, n)).astype(int)
+        heart[rng.integers(0, n, 3)] = 30
+        sport = ["Run", "TrailRun", "Hike", "Walk", "Ride", "Run", "Hike"][i]
+        acts.append((i, sport))
+        rows += [(i, k, int(h), float(v)) for k, (h, v) in enumerate(zip(heart, pace))]
+        expected[i] = drift_of(heart.astype(float), pace, DRIFT_THRESHOLDS.get(sport, DRIFT_DEFAULT_THRESHOLD))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE acts (id BIGINT, sport_type VARCHAR)")
+    con.execute("CREATE TABLE samp_e (activity_id BIGINT, time_offset BIGINT, heartrate BIGINT, velocity DOUBLE)")
+    con.executemany("INSERT INTO acts VALUES (?, ?)", acts)
+    con.executemany("INSERT INTO samp_e VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(f"WITH RECURSIVE {oracle.DRIFT.replace('{limit}', oracle.SPORT_LIMIT)} SELECT * FROM drift").fetchall()
+    assert {i for i, e in expected.items() if e is not None} == {r[0] for r in found}
+    for i, pct, severity, significant, quality, classes, fit in found:
+        e = expected[i]
+        assert (severity, significant, quality, classes) == (e["severity"], e["significant"], e["quality"], e["classes"]), i
+        assert fit == pytest.approx(e["fit"], abs=1e-4) and (pct == e["pct"] or pct == pytest.approx(e["pct"], abs=0.011))
+    assert len({r[5] for r in found}) > 2
