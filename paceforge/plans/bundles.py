@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paceforge.plans import services
 from paceforge.plans.aggregate import AggregateRequest, aggregate
 from paceforge.plans.registry import BUNDLES, REGISTRY
 
@@ -73,6 +75,82 @@ def brief_load(sources: dict[str, DataFrame], day: date, bucket: str = "day", me
     return aggregate(sources, request)
 
 
+#: The sections of a brief and what each is asked for.
+BRIEF_SECTIONS: dict[str, tuple[str, ...]] = {
+    "current_state": ("fitness", "fatigue", "form", "form_zone", "acwr", "acwr_zone"),
+    "recent_workouts": ("sport_type", "distance_km", "moving_time_min", "elevation_m", "trimp", "kudos_count"),
+    "daily_load_14d": LOAD_METRICS,
+    "by_sport": LOAD_METRICS,
+    "model_context": (
+        "fitness", "fatigue", "form", "form_zone", "acwr", "acwr_zone", "weekly_trimp", "total_trimp_14d", "avg_trimp_per_day",
+    ),
+    "status_facts": ("status",),
+    "supported_gear": ("gear_name", "gear_distance_m"),
+    "freshness": ("freshness",),
+}
+
+
+def _long(df: DataFrame, section: str, item: Column, metrics: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:
+    """(section, item, metric, value, label): a row for each metric of each row; texts are labels."""
+    none = {"value": F.lit(None).cast("double"), "label": F.lit(None).cast("string")}
+    cell = lambda c: none | ({"label": F.col(c).cast("string")} if c in labels else {"value": F.col(c).cast("double")})
+    cells = [F.struct(F.lit(c).alias("metric"), *[v.alias(k) for k, v in cell(c).items()]) for c in metrics]
+    return df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), F.inline(F.array(*cells)))
+
+
+def brief(
+    sources: dict[str, DataFrame],
+    day: date,
+    hydrated: DataFrame | None = None,
+    status: DataFrame | None = None,
+    freshness: DataFrame | None = None,
+    metric_version: int = 1,
+) -> DataFrame:
+    """A daily brief whole, as rows (section, item, metric, value, label); see BRIEF_SECTIONS.
+
+    The state and windows of the day; ten workouts of its fourteen days; their load by day and by sport; the status
+    rules (status.all_rules()); the gear of the newest fifty workouts of four weeks (``hydrated``: id, gear_name,
+    gear_distance_m); and the mirror's freshness (services.freshness()).  Sections whose input is not given have no rows.
+    """
+    facts = sources["activity"].filter(F.col("metric_version") == metric_version)
+    state = services.fitness_state(sources["model"], sources["rolling"], day)
+    zones = ("form_zone", "acwr_zone")
+    recent = services.list_workouts(facts, 10, day - timedelta(days=13), day)
+    shown = services.workout_metrics(recent).join(recent.select("activity_id", "kudos_count"), "activity_id")
+    group = lambda c: F.coalesce("sport_type", F.lit("all")) if c is None else F.concat_ws(" ", F.col(c).cast("string"), F.coalesce("sport_type", F.lit("all")))
+    parts = [
+        _long(state, "current_state", F.col("day"), BRIEF_SECTIONS["current_state"], zones),
+        _long(state, "model_context", F.col("day"), BRIEF_SECTIONS["model_context"], zones),
+        _long(shown, "recent_workouts", F.col("activity_id"), BRIEF_SECTIONS["recent_workouts"], ("sport_type",)),
+    ]
+    for section, bucket, place in (("daily_load_14d", "day", "bucket_start"), ("by_sport", "all_time", None)):
+        load = brief_load(sources, day, bucket, metric_version)
+        parts.append(load.select(F.lit(section).alias("section"), group(place).alias("item"), F.col("metric_id").alias("metric"), "value", F.lit(None).cast("string").alias("label")))
+    if status is not None:
+        parts.append(status.select(F.lit("status_facts").alias("section"), F.col("code").alias("item"), F.lit("status").alias("metric"), F.col("amount").alias("value"), F.col("status").alias("label")))
+    if hydrated is not None:
+        worn = services.list_workouts(facts, 50, day - timedelta(days=27), day).select("activity_id")
+        gear = hydrated.withColumnRenamed("id", "activity_id").join(F.broadcast(worn), "activity_id", "left_semi")
+        gear = gear.filter("gear_name IS NOT NULL OR gear_distance_m IS NOT NULL")
+        parts.append(_long(gear, "supported_gear", F.col("activity_id"), BRIEF_SECTIONS["supported_gear"], ("gear_name",)))
+    if freshness is not None:
+        parts.append(_long(freshness, "freshness", F.lit("mirror"), BRIEF_SECTIONS["freshness"], ("freshness",)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def brief_completeness(rows: DataFrame) -> DataFrame:
+    """(section, requested, included, status) of a brief's rows: complete, partial, or unavailable without any value."""
+    asked = rows.sparkSession.createDataFrame([(s, list(m)) for s, m in BRIEF_SECTIONS.items()], "section string, requested array<string>")
+    have = rows.filter("value IS NOT NULL OR label IS NOT NULL").groupBy("section").agg(F.array_sort(F.collect_set("metric")).alias("included"))
+    out = F.broadcast(asked).join(have, "section", "left").withColumn("included", F.coalesce("included", F.array().cast("array<string>")))
+    missing = F.size(F.array_except("requested", "included"))
+    status = F.when(F.size("included") == 0, "unavailable").when(missing == 0, "complete").otherwise("partial")
+    return out.select("section", "requested", "included", status.alias("status"))
+
+
 def weekly_digest(sources: dict[str, DataFrame], day: date, metric_version: int = 1) -> DataFrame:
     """From Monday to ``day`` beside the whole week before: metric_id, sport_type, value, previous, delta."""
     monday = day - timedelta(days=day.weekday())

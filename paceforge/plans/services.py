@@ -56,6 +56,49 @@ def workout_detail(
     return one
 
 
+#: What a workout shows, with the fact column and scale of each.
+WORKOUT_METRICS = (
+    ("trimp", "trimp", 1.0),
+    ("distance_km", "distance_m", 1 / 1000),
+    ("moving_time_min", "moving_time_s", 1 / 60),
+    ("elapsed_time_min", "elapsed_time_s", 1 / 60),
+    ("elevation_m", "elevation_gain_m", 1.0),
+    ("avg_hr", "avg_hr", 1.0),
+    ("max_hr", "max_hr", 1.0),
+    ("hr_recovery_pauses", "hr_recovery_pause_count", 1.0),
+    ("hr_recovery_total_rest_sec", "hr_recovery_total_rest_sec", 1.0),
+    ("hr_recovery_median_bpm_per_min", "hr_recovery_median_rate", 1.0),
+    ("hr_recovery_best_bpm_per_min", "hr_recovery_best_rate", 1.0),
+    ("hr_recovery_worst_bpm_per_min", "hr_recovery_worst_rate", 1.0),
+    ("hr_recovery_avg_bpm_per_min", "hr_recovery_avg_rate", 1.0),
+    ("vertical_speed_m_per_h", "vertical_speed_vmh", 1.0),
+    ("vertical_ascent_m", "vertical_speed_total_ascent_m", 1.0),
+    ("vertical_duration_h", "vertical_speed_duration_hours", 1.0),
+    ("cardiac_cost", "cardiac_cost", 1.0),
+    ("cardiac_cost_adjusted", "adjusted_cardiac_cost", 1.0),
+    ("cardiac_drift_pct", "cardiac_drift_pct", 1.0),
+    ("cardiac_drift_significant", "cardiac_drift_significant", 1.0),
+    ("hrr_pct", "hrr_pct", 1.0),
+    ("hr_anomaly_count", "anomaly_count", 1.0),
+)
+
+
+def workout_metrics(facts: DataFrame) -> DataFrame:
+    """(activity_id, activity_day, sport_type, one column for each of WORKOUT_METRICS, zone minutes, severity), three decimals.
+
+    A fact column that is not there gives nulls.
+    """
+    scaled = [
+        (F.bround(F.col(c).cast("double") * F.lit(scale), 3) if c in facts.columns else F.lit(None).cast("double")).alias(name)
+        for name, c, scale in WORKOUT_METRICS
+    ]
+    zones = F.array(*[F.bround(F.coalesce(F.col(f"zone{k}_seconds"), F.lit(0)) / 60.0, 3) for k in range(1, 6)])
+    severity = F.col("cardiac_drift_severity") if "cardiac_drift_severity" in facts.columns else F.lit(None).cast("string")
+    return facts.select(
+        "activity_id", "activity_day", "sport_type", *scaled, zones.alias("time_in_hr_zones_min"), severity.alias("cardiac_drift_severity")
+    )
+
+
 def fitness_state(model: DataFrame, rolling: DataFrame, as_of: date | None = None) -> DataFrame:
     """The latest model day up to ``as_of`` with the rolling windows that end on it.
 

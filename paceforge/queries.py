@@ -1225,6 +1225,19 @@ def brief_load(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out.select("metric_id", "bucket_start", F.coalesce("sport_type", F.lit("all")).alias("sport_type"), "value"))
 
 
+_SCALED = [(n, c, k) for n, c, k in sv.WORKOUT_METRICS if not c.startswith("cardiac_drift")]
+
+
+@query(
+    "workout_metrics_scaled",
+    f"WITH {o.FOR_DENSE} SELECT activity_id, {', '.join(f'round_even(CAST({c} AS DOUBLE) * {k!r}::DOUBLE, 3) AS {n}' for n, c, k in _SCALED)}, "
+    "array_to_string([round_even(z / 60.0::DOUBLE, 3) for z in [zone1_seconds, zone2_seconds, zone3_seconds, zone4_seconds, zone5_seconds]], ',') AS zones FROM whole",
+)
+def workout_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    out = sv.workout_metrics(_dense_facts(spark, sf))
+    return out.select("activity_id", *[n for n, _, _ in _SCALED], F.concat_ws(",", F.transform("time_in_hr_zones_min", lambda z: z.cast("string"))).alias("zones"))
+
+
 @query(
     "bundle_sections",
     f"""WITH {o.FOR_FACTS}, r AS (SELECT * FROM facts WHERE {_RANGE}),
@@ -1532,3 +1545,51 @@ def mirror_counts(spark: SparkSession, sf: str) -> DataFrame:
     place = F.when(F.col("velocity") > 2, F.col("altitude"))
     samples = ln.samples_o(spark, sf).withColumns({"lat": place, "lng": place})
     return rd.mirror_counts(acts, samples, ln.payload_log_o(spark, sf), acts.filter("sport_type = 'Run'"))
+
+
+# a brief whole
+
+
+def _stale(code: str) -> str:
+    return f"""SELECT '{code}' AS code, CASE WHEN max(activity_day) IS NULL THEN 'unavailable' WHEN DATE '{AS_OF}' - max(activity_day) > 1 THEN 'active' ELSE 'inactive' END AS status,
+      CAST(max(activity_day) AS VARCHAR) AS evidence, CAST(greatest(DATE '{AS_OF}' - max(activity_day), 0) AS DOUBLE) AS amount FROM acts WHERE activity_day <= DATE '{AS_OF}'"""
+
+
+_STATES = "unnest(['fitness', 'fatigue', 'form', 'acwr', 'form_zone', 'acwr_zone']) AS metric, round(unnest([fitness, fatigue, form, acwr, NULL, NULL]), 6) AS value, unnest([NULL, NULL, NULL, NULL, form_zone, acwr_zone]) AS label"
+_BY_SPORT = ORACLES["bundle_brief_load"].replace("activity_day AS bucket_start", "DATE '2000-01-01' AS bucket_start").replace("((activity_day), (activity_day, sport_type))", "((), (sport_type))")
+
+
+@query(
+    "bundle_brief_whole",
+    f"""WITH RECURSIVE {o.FOR_BOTH}, {o.MODEL}, {o.PAYLOADS}, st AS (SELECT * FROM model_facts WHERE day <= DATE '{AS_OF}' ORDER BY day DESC LIMIT 1),
+    last14 AS (SELECT sum(effective_trimp) FILTER (day > DATE '{AS_OF}' - 7) AS w, sum(effective_trimp) AS t FROM daily WHERE day BETWEEN DATE '{AS_OF}' - 13 AND DATE '{AS_OF}'),
+    recent AS (SELECT * FROM facts WHERE {_BRIEF} ORDER BY activity_day DESC, activity_id DESC LIMIT 10),
+    worn AS (SELECT activity_id FROM facts WHERE activity_day BETWEEN DATE '{AS_OF}' - 27 AND DATE '{AS_OF}' ORDER BY activity_day DESC, activity_id DESC LIMIT 50),
+    gear AS (SELECT activity_id, json_extract_string(payload_json, '$.gear.name') AS gear_name, CAST(json_extract_string(payload_json, '$.gear.distance') AS DOUBLE) AS m
+      FROM latest JOIN worn USING (activity_id) WHERE payload_kind = 'detail' AND json_extract_string(payload_json, '$.gear.name') IS NOT NULL)
+    SELECT 'current_state' AS section, CAST(day AS VARCHAR) AS item, {_STATES} FROM st
+    UNION ALL SELECT 'model_context', CAST(day AS VARCHAR), {_STATES} FROM st
+    UNION ALL SELECT 'model_context', CAST(day AS VARCHAR), unnest(['weekly_trimp', 'total_trimp_14d', 'avg_trimp_per_day']), round(unnest([round_even(w, 3), round_even(t, 3), round_even(t / 14, 3)]), 6), NULL FROM st, last14
+    UNION ALL SELECT 'recent_workouts', CAST(activity_id AS VARCHAR), unnest(['sport_type', 'distance_km', 'moving_time_min', 'elevation_m', 'trimp', 'kudos_count']),
+      unnest([NULL, round_even(distance_m * 0.001::DOUBLE, 3), round_even(moving_time_s * (1.0::DOUBLE / 60), 3), elevation_gain_m, trimp, kudos_count]), unnest([sport_type, NULL, NULL, NULL, NULL, NULL]) FROM recent
+    UNION ALL SELECT 'daily_load_14d', CAST(bucket_start AS VARCHAR) || ' ' || sport_type, metric_id, value, NULL FROM ({ORACLES["bundle_brief_load"]})
+    UNION ALL SELECT 'by_sport', sport_type, metric_id, value, NULL FROM ({_BY_SPORT})
+    UNION ALL SELECT 'status_facts', code, 'status', round(amount, 6), status FROM (
+      {_stale("stale_mirror_data")} UNION ALL {_stale("stale_read_model_facts")}
+      UNION ALL {" UNION ALL ".join(f"SELECT * FROM ({ORACLES[n]})" for n in ("status_missing_hr", "status_hr_anomaly", "status_consecutive_hikes", "status_volume_jump"))}
+      UNION ALL SELECT * FROM ({ORACLES["status_high_zone"].replace("zone5_seconds > 1 ", "zone5_seconds > 300 ")})
+      UNION ALL SELECT 'missing_streams', CASE WHEN count(*) = 0 THEN 'unavailable' WHEN count(*) FILTER (stream_sample_count <= 0) > 0 THEN 'active' ELSE 'inactive' END, NULL, CAST(count(*) FILTER (stream_sample_count <= 0) AS DOUBLE) FROM facts WHERE {_BRIEF}
+      UNION ALL SELECT 'cardiac_drift_significant_quality', CASE WHEN count(*) = 0 THEN 'unavailable' ELSE 'inactive' END, NULL, NULL FROM facts WHERE activity_day BETWEEN DATE '{AS_OF}' - 6 AND DATE '{AS_OF}')
+    UNION ALL SELECT 'supported_gear', CAST(activity_id AS VARCHAR), unnest(['gear_name', 'gear_distance_m']), unnest([NULL, m]), unnest([gear_name, NULL]) FROM gear
+    UNION ALL SELECT 'freshness', 'mirror', 'freshness', NULL, CASE WHEN age < 43200 THEN 'fresh' WHEN age < 86400 THEN 'aging' ELSE 'stale' END
+      FROM (SELECT epoch(TIMESTAMP '{AS_OF} 10:00:00') - epoch(CAST(max(activity_day) AS TIMESTAMP)) AS age FROM acts WHERE activity_day <= DATE '{AS_OF}')""",
+)
+def brief_whole(spark: SparkSession, sf: str) -> DataFrame:
+    acts, sources = ln.activities_o(spark, sf), _all_sources(spark, sf)
+    past = acts.filter(F.col("activity_day") <= F.lit(AS_OF)).select(F.col("activity_day").alias("at"))
+    rules = stat.all_rules(sources["activity"], AS_OF, 1, past, past)
+    never = F.lit(None).cast("timestamp")
+    mirror = past.agg(F.max("at").cast("timestamp").alias("last_success_at")).select("*", F.lit(False).alias("running"), never.alias("delayed_until"), never.alias("last_failure_at"))
+    fresh = sv.freshness(mirror, f"{AS_OF} 10:00:00")
+    hydrated = rel.hydrated(acts, ln.payload_log_o(spark, sf))
+    return _rounded(bd.brief(sources, AS_OF, hydrated, rules, fresh))
