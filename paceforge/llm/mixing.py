@@ -7,9 +7,13 @@ budget is then realised by whole blocks: its documents fall into blocks by a
 hash; every epoch runs through the blocks in a permutation of its own, and the
 last, partial epoch stops where the budget ends, within one block at most.
 
-Only per-source and per-block sums are gathered; a source has ``max_blocks``
-blocks at most, so neither depends on a hot source's rows.  The sources' sums
-meet in one row for the bisection: about 50 bytes for each source.
+A block has about as many tokens at every size of a source, so the number of a
+source's blocks grows with it.  Blocks are put in order in two levels: bins, by
+the first digits of the key they are ordered by, and blocks within a bin; the
+tokens before a block are those of the bins before and of the blocks before in
+its bin.  No task orders more than a few thousand blocks, or a source's bins.
+The bisection needs how many sources there are of each size, which meet in one
+row: as many entries as there are different sizes, not sources.
 
 Edge cases: a null text has no tokens; a null source counts as the source "";
 documents without tokens go with their block.  If even the natural shares
@@ -26,7 +30,9 @@ from paceforge.llm.common import broadcast_if_small, cut_lineage, table
 
 #: A mix's parameters: share of the largest possible entropy, epochs over a source, budget over all tokens.
 ENTROPY_SHARE, MAX_REPETITION, BUDGET_SHARE = 0.95, 4.0, 1.0
-BLOCK_TOKENS, MAX_BLOCKS = 20_000, 4096
+BLOCK_TOKENS = 20_000
+#: Blocks that are ordered in one bin, on average.
+BIN_BLOCKS = 4096
 _STEPS = 30
 
 
@@ -45,24 +51,26 @@ def _id_text(id_col: str) -> Column:
 
 def source_weights(sizes: DataFrame, entropy_share: float, max_repetition: float, budget_share: float) -> DataFrame:
     """(source, tokens) to (source, tokens, exponent, weight, budget)."""
-    one = sizes.agg(F.array_sort(F.collect_list(F.struct("source", "tokens"))).alias("s"), F.sum("tokens").alias("t"))
-    shares = F.transform("s", lambda x: F.try_divide(x["tokens"], F.col("t")))
-    one = one.select("s", "t", F.filter(shares, lambda p: p > 0).alias("p"))
+    of_size = sizes.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+    one = of_size.agg(F.array_sort(F.collect_list(F.struct("tokens", "n"))).alias("s"), F.sum(F.col("tokens") * F.col("n")).alias("t"))
+    shares = F.transform("s", lambda x: F.struct(F.try_divide(x["tokens"], F.col("t")).alias("p"), x["n"].alias("n")))
+    one = one.select("t", F.filter(shares, lambda x: x["p"] > 0).alias("p"))
+    one = one.withColumn("m", F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]))
 
     def fits(alpha: Column) -> Column:
         start = F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("a"), F.lit(0.0).alias("r"))
         sums = F.aggregate(
             "p",
             start,
-            lambda acc, p: F.struct(
-                (acc["z"] + F.pow(p, alpha)).alias("z"),
-                (acc["a"] + F.pow(p, alpha) * F.ln(p) * alpha).alias("a"),
-                F.greatest(acc["r"], F.pow(p, alpha) / p).alias("r"),
+            lambda acc, x: F.struct(
+                (acc["z"] + F.pow(x["p"], alpha) * x["n"]).alias("z"),
+                (acc["a"] + F.pow(x["p"], alpha) * F.ln(x["p"]) * alpha * x["n"]).alias("a"),
+                F.greatest(acc["r"], F.pow(x["p"], alpha) / x["p"]).alias("r"),
             ),
         )
         entropy = F.ln(sums["z"]) - F.try_divide(sums["a"], sums["z"])
         repetition = F.try_divide(sums["r"], sums["z"]) * budget_share
-        return (entropy <= entropy_share * F.ln(F.size("p"))) & (repetition <= max_repetition)
+        return (entropy <= entropy_share * F.ln("m")) & (repetition <= max_repetition)
 
     bounds = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
     middle = lambda b: (b["lo"] + b["hi"]) / 2
@@ -74,17 +82,13 @@ def source_weights(sizes: DataFrame, entropy_share: float, max_repetition: float
             F.when(fits(middle(b)), middle(b)).otherwise(b["hi"]).alias("hi"),
         ),
     )
-    solved = one.select("s", "t", "p", F.when(fits(F.lit(0.0)), 0.0).otherwise(found["hi"]).alias("exponent"))
-    raised = F.aggregate("p", F.lit(0.0), lambda acc, p: acc + F.pow(p, F.col("exponent")))
-    rows = solved.select(F.explode("s").alias("x"), "t", "exponent", raised.alias("z"))
-    share = F.try_divide("x.tokens", "t")
-    weight = F.when(F.col("x.tokens") > 0, F.pow(share, F.col("exponent")) / F.col("z")).otherwise(F.lit(0.0))
-    return rows.select("x.source", "x.tokens", "exponent", weight.alias("weight"), "t").select(
-        "source",
-        "tokens",
-        "exponent",
-        "weight",
-        F.floor(F.col("weight") * F.col("t") * budget_share + 1e-6).alias("budget"),
+    solved = one.select("t", "p", F.when(fits(F.lit(0.0)), 0.0).otherwise(found["hi"]).alias("exponent"))
+    raised = F.aggregate("p", F.lit(0.0), lambda acc, x: acc + F.pow(x["p"], F.col("exponent")) * x["n"])
+    rows = sizes.join(F.broadcast(solved.select("t", "exponent", raised.alias("z"))))  # one row
+    share = F.try_divide("tokens", "t")
+    weight = F.when(F.col("tokens") > 0, F.pow(share, F.col("exponent")) / F.col("z")).otherwise(F.lit(0.0))
+    return rows.select(
+        "source", "tokens", "exponent", weight.alias("weight"), F.floor(weight * F.col("t") * budget_share + 1e-6).alias("budget")
     )
 
 
@@ -94,6 +98,34 @@ def place(df: DataFrame, id_col: str, block_counts: DataFrame) -> DataFrame:
     return df.join(broadcast_if_small(block_counts), "source").withColumn("block", number % F.col("blocks")).drop("blocks")
 
 
+def ordered_blocks(turns: DataFrame, bin_blocks: int) -> DataFrame:
+    """Adds block_rank and before, the tokens of the blocks before, in each epoch's own order of a source's blocks."""
+    key = _key(F.col("source"), F.col("block"), F.col("epoch"))
+    bins = F.ceil(F.col("blocks") / bin_blocks)
+    first = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")  # rises with the key
+    rows = turns.withColumn("key", key).withColumn("bin", F.floor(first * bins / F.lit(float(1 << 32)))).drop("blocks")
+    rows = cut_lineage(rows)
+    bin_order = Window.partitionBy("source", "epoch").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    per_bin = rows.groupBy("source", "epoch", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("block_tokens").alias("own"))
+    none = F.lit(0).cast("long")
+    before = per_bin.select(
+        "source",
+        "epoch",
+        "bin",
+        F.coalesce(F.sum("n").over(bin_order), none).alias("ranks_before"),
+        F.coalesce(F.sum("own").over(bin_order), none).alias("tokens_before"),
+    )
+    order = Window.partitionBy("source", "epoch", "bin").orderBy("key", "block")
+    inside = rows.withColumn("rank_", F.row_number().over(order)).withColumn(
+        "sum_", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")
+    )
+    return inside.join(broadcast_if_small(before), ["source", "epoch", "bin"]).select(
+        *[c for c in turns.columns if c != "blocks"],
+        (F.col("ranks_before") + F.col("rank_")).cast("int").alias("block_rank"),
+        (F.col("tokens_before") + F.col("sum_")).alias("before"),
+    )
+
+
 def mixing_plan(
     sized: DataFrame,
     id_col: str,
@@ -101,16 +133,16 @@ def mixing_plan(
     max_repetition: float = MAX_REPETITION,
     budget_share: float = BUDGET_SHARE,
     block_tokens: int = BLOCK_TOKENS,
-    max_blocks: int = MAX_BLOCKS,
+    bin_blocks: int = BIN_BLOCKS,
 ) -> tuple[DataFrame, DataFrame]:
     """(source, blocks) and (source, block, epoch, block_rank, last_key) from rows (id, source, n_tokens).
 
     A document of a block belongs to an epoch if ``last_key`` is null or not
     less than the document's own key in that epoch.
     """
-    sizes = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    sizes = cut_lineage(sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
     weights = cut_lineage(source_weights(sizes, entropy_share, max_repetition, budget_share))
-    blocks = F.least(F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)), F.lit(max_blocks)).cast("long")
+    blocks = F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)).cast("long")
     block_counts = weights.select("source", blocks.alias("blocks"))
     placed = place(sized, id_col, block_counts)
     own = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
@@ -123,10 +155,7 @@ def mixing_plan(
         epochs.alias("full"),
         F.explode(F.sequence(F.lit(0).cast("long"), epochs)).alias("epoch"),
     )
-    order = Window.partitionBy("source", "epoch").orderBy(_key(F.col("source"), F.col("block"), F.col("epoch")), "block")
-    ranked = turns.withColumn("block_rank", F.row_number().over(order)).withColumn(
-        "before", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens")
-    )
+    ranked = ordered_blocks(turns.join(broadcast_if_small(block_counts), "source"), bin_blocks)
     ranked = cut_lineage(
         ranked.filter((F.col("epoch") < F.col("full")) | (F.col("before") < F.col("rest"))).select(
             "source",
@@ -225,7 +254,7 @@ weights AS (
   SELECT source, tokens,
          CAST(floor(CASE WHEN tokens > 0 THEN power(tokens / t, e) / (SELECT sum(power(p, e)) FROM p, solved) ELSE 0 END
                     * t * {BUDGET_SHARE} + 1e-6) AS BIGINT) AS budget,
-         least(greatest(CAST(ceil(tokens / {BLOCK_TOKENS}) AS BIGINT), 1), {MAX_BLOCKS}) AS blocks
+         greatest(CAST(ceil(tokens / {BLOCK_TOKENS}) AS BIGINT), 1) AS blocks
   FROM sizes, total, solved),
 placed AS (
   SELECT s.*, CAST('0x' || substr(md5(id_text), 1, 8) AS BIGINT) % blocks AS block

@@ -67,6 +67,13 @@ def test_mixing_meets_its_budgets(spark, limits):
             assert set(ids) == {i for t, i in rows_of if t == s}
 
 
+def test_mixing_bins_change_nothing(spark):
+    """Blocks ordered in many bins, or in one, have the same places; a hot source has hundreds of them."""
+    rows = _skewed()
+    of = lambda n: sorted(map(str, mixing.mix_sources(corpus.frame(spark, rows), block_tokens=40, bin_blocks=n).collect()))
+    assert of(3) == of(1_000_000)
+
+
 def test_mixing_equals_its_sql(spark):
     rows = _skewed()
     found = mixing.mix_sources(corpus.frame(spark, rows)).toPandas()
