@@ -47,5 +47,16 @@ def semantic_hash(payload: Column, volatile: Iterable[str] = ()) -> Column:
     return run(payload)
 
 
+def semantically_changed(old: Column, new: Column, volatile: Iterable[str] = ()) -> Column:
+    """Whether two payloads differ in more than the order of keys, layout and volatile keys.
+
+    Equal texts are told by comparing them: only those that differ are parsed and hashed.
+    """
+    drop = tuple(volatile)
+    differ = ~old.eqNullSafe(new)
+    hashes = [semantic_hash(F.when(differ, x), drop) for x in (old, new)]
+    return differ & ~hashes[0].eqNullSafe(hashes[1])
+
+
 def raw_hash(payload: Column) -> Column:
     return F.sha2(payload, 256)

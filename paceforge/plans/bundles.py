@@ -52,11 +52,26 @@ def first_values(rows: DataFrame) -> DataFrame:
 
 
 def warnings(rows: DataFrame) -> DataFrame:
-    """(code, severity, message), each once, from the rows' completeness."""
-    partial = rows.filter("completeness_status = 'partial'").select(F.lit("partial_data").alias("code"), F.lit("info").alias("severity"), F.concat_ws(" ", "metric_id", F.lit("is partial")).alias("message"))
-    gone = rows.filter("completeness_status = 'unavailable'").select(F.lit("no_data").alias("code"), F.lit("warning").alias("severity"), F.concat_ws(" ", "metric_id", F.lit("has no data")).alias("message"))
-    mixed = rows.filter("metric_version_status = 'mixed_degraded'").select(F.lit("mixed_versions").alias("code"), F.lit("warning").alias("severity"), F.concat_ws(" ", "metric_id", F.lit("mixes versions")).alias("message"))
-    return partial.unionByName(gone).unionByName(mixed).dropDuplicates(["code", "severity", "message"])
+    """(code, severity, message, field, evidence), each once, from the rows' completeness.
+
+    ``field`` is the metric, ``evidence`` the bucket, scope and sport of the row.
+    """
+    evidence = F.concat_ws("/", F.col("bucket_start").cast("string"), "scope", "sport_type")
+    kinds = (
+        (F.col("completeness_status") == "partial", "partial_data", "info", "is partial"),
+        (F.col("completeness_status") == "unavailable", "no_data", "warning", "has no data"),
+        (F.col("metric_version_status") == "mixed_degraded", "mixed_versions", "warning", "mixes versions"),
+    )
+    found = F.array_compact(
+        F.array(
+            *[
+                F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.concat_ws(" ", "metric_id", F.lit(says)).alias("message")))
+                for test, code, severity, says in kinds
+            ]
+        )
+    )
+    flat = rows.select(F.inline(found), F.col("metric_id").alias("field"), evidence.alias("evidence"))
+    return flat.dropDuplicates(["code", "severity", "message", "field", "evidence"])
 
 
 #: What a brief shows of its days, in all and by sport.

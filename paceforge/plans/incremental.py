@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import importlib.util
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from types import ModuleType
 
 from pyspark.sql import DataFrame
@@ -145,3 +145,12 @@ def version_status(*facts: DataFrame) -> DataFrame:
 def pruned(facts: DataFrame, version: int) -> DataFrame:
     """Facts without superseded versions."""
     return facts.filter(F.col("metric_version") >= version)
+
+
+def pruned_counts(tables: Mapping[str, DataFrame], version: int) -> DataFrame:
+    """(table_name, rows): how many superseded rows each fact table holds, zeros included."""
+    parts = [df.agg(F.count_if(F.col("metric_version") < version).alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paceforge import oracle as o
 from paceforge.constants import RESTING_HR, ROLLING_WINDOWS, SPORTS
 from paceforge.functions import scalars as sc
+from paceforge.functions.hashing import semantically_changed
 from paceforge.functions.schema_drift import drift_report, nested_drift
 from paceforge.operators import relational as rel
 from paceforge.operators import sequence as seq
@@ -1057,6 +1058,39 @@ def prune(spark: SparkSession, sf: str) -> DataFrame:
     return inc.pruned(both, 2)
 
 
+@query(
+    "prune_counts",
+    f"WITH {o.FOR_DAILY} SELECT 'activity_facts' AS table_name, count(*) AS rows FROM acts WHERE sport_type <> 'Run' UNION ALL SELECT 'daily_facts', 0 FROM (SELECT count(*) FROM daily_load)",
+)
+def prune_counts(spark: SparkSession, sf: str) -> DataFrame:
+    version = F.when(F.col("sport_type") == "Run", 2).otherwise(1)
+    facts = ln.activities_o(spark, sf).select(version.alias("metric_version"))
+    return inc.pruned_counts({"activity_facts": facts, "daily_facts": _load(spark, sf).select(F.lit(2).alias("metric_version"))}, 2)
+
+
+@query(
+    "semantic_changes",
+    """SELECT o_orderkey AS activity_id, o_orderkey % 5 <> 0 AND o_orderkey % 3 = 1 AS changed FROM orders""",
+)
+def semantic_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads against themselves, against a copy with other volatile keys and key order, and against another payload."""
+    log = ln.payload_log_o(spark, sf).filter("payload_kind = 'detail'")
+    i, old = F.col("activity_id"), F.col("payload_json")
+    again = F.concat(F.lit('{ "kudos_count": 7, '), F.substring(old, 2, 1_000_000))
+    new = F.when(i % 5 == 0, old).when(i % 3 == 1, F.replace(old, F.lit('"calories":'), F.lit('"calories":1'))).otherwise(again)
+    return log.select("activity_id", semantically_changed(old, new, inc.VOLATILE).alias("changed"))
+
+
+@query(
+    "warnings_of_rows",
+    f"""WITH {o.FOR_FACTS}, g AS (SELECT CAST(date_trunc('month', activity_day) AS DATE) AS b, sport_type, bool_or(completeness_status <> 'complete' OR calories_kcal IS NULL) AS part, count(calories_kcal) AS n FROM facts WHERE {_RANGE} GROUP BY 1, 2)
+    SELECT CASE WHEN n = 0 THEN 'no_data' ELSE 'partial_data' END AS code, CASE WHEN n = 0 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN n = 0 THEN 'calories has no data' ELSE 'calories is partial' END AS message,
+      'calories' AS field, CAST(b AS VARCHAR) || '/per_sport/' || sport_type AS evidence FROM g WHERE n = 0 OR part""",
+)
+def row_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return bd.warnings(ag.aggregate({"activity": _facts(spark, sf)}, _request("calories", bucket="month", scope="per_sport")))
+
+
 @query(
     "coverage_counts",
     f"""WITH {o.ACTS}, {o.SAMPLES} SELECT (SELECT count(*) FROM acts) AS activities, (SELECT count(DISTINCT activity_id) FROM samp) AS with_streams, (SELECT count(*) FROM samp) AS points,
