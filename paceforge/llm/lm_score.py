@@ -14,8 +14,10 @@ distinct word is scored once.  Words above a count, ``table_size`` of them at
 most, are broadcast with both scores; the rest of each document's words meet
 their scores in a join on the word, so neither the driver nor a task ever holds
 the whole vocabulary.  A word of more than 64 bytes is looked up by its digest, so
-one that every document holds is broadcast like any other.  The sums are of
-decimals, and the same on every run.
+one that every document holds is broadcast like any other.  A text's sums are of
+decimals, and do not depend on the order of its words; fitting adds doubles in the
+order in which a shuffle gives words, so piece scores may differ between runs in
+their last digits.
 
 Edge cases: a null or empty text is the end alone.  A row with a null id is
 scored and not learned from.  Rows with equal ids are scored, and learned from,
