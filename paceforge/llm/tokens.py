@@ -8,7 +8,9 @@ the tokenizer library itself.  No pre-token is ever shuffled by key.
 
 The table only saves time: every count is exact whatever it holds.  It is
 therefore gathered from a sample of about ``sample_rows`` texts, dealt to a few
-tasks that hand the heads of their counters to the driver.
+tasks that hand the heads of their counters to the driver.  Where the input is
+files, the sample comes from some files that a hash of their names chooses, so
+the others aren't opened for it.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; rows with equal ids
 are counted one by one; other columns of the input are ignored; an empty table
@@ -21,9 +23,12 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from hashlib import md5
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paceforge.llm.bpe import LATIN, OTHER, PieceEncoder
 from paceforge.llm.common import slices, table
@@ -78,6 +83,27 @@ class LengthCache(dict):
         return sum(map(self.__getitem__, split_units(text, self.special)))
 
 
+def sampled(df: DataFrame, text_col: str, sample_rows: int, files: int = 16) -> DataFrame:
+    """About ``sample_rows`` texts, or all if there are fewer; from ``files`` files, or as many more as hold so many.
+
+    Files are taken in the order of a hash of their names.  Rows that don't come straight from files are
+    sampled from all.
+    """
+    names = sorted({n.rsplit("/", 1)[-1] for n in df.inputFiles()}, key=lambda n: md5(n.encode()).digest())
+    rows = df
+    while files < len(names):
+        try:
+            some = df.filter(F.col("_metadata.file_name").isin(names[:files]))
+            if some.count() >= sample_rows:
+                rows = some
+                break
+        except AnalysisException:  # no file columns: the rows were joined or grouped
+            break
+        files *= 4
+    share = sample_rows / max(rows.count(), 1)
+    return (rows.sample(share, seed=17) if share < 1 else rows).select(text_col)
+
+
 def frequent_units(
     df: DataFrame, text_col: str, special: tuple[str, ...], table_size: int, counter_size: int, sample_rows: int, tasks: int = 8
 ) -> list[str]:
@@ -99,12 +125,8 @@ def frequent_units(
             {"unit": pa.array([u for u, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())}
         )
 
-    rows = df.select(text_col)
-    share = sample_rows / max(rows.count(), 1)
-    if share < 1:
-        rows = rows.sample(share, seed=17)
     merged: Counter = Counter()
-    for r in rows.repartition(tasks).mapInArrow(heads, "unit string, n long").collect():
+    for r in sampled(df, text_col, sample_rows).repartition(tasks).mapInArrow(heads, "unit string, n long").collect():
         merged[r.unit] += r.n
     return [u for u, _ in merged.most_common(table_size)]
 

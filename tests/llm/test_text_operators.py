@@ -42,6 +42,18 @@ def test_token_counts_equal_the_library(spark):
     assert Counter(tuple(r) for r in found) == expected
 
 
+def test_token_sample_reads_some_files(spark, tmp_path):
+    where = str(tmp_path / "docs%20 folder")
+    spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(20).write.parquet(where)
+    docs = spark.read.parquet(where)
+    some = tokens.sampled(docs, "text", 100, files=4)
+    assert some.inputFiles() and some.rdd.getNumPartitions() <= 4
+    assert 50 <= some.count() <= 160 and some.columns == ["text"]
+    assert tokens.sampled(docs, "text", 5000, files=4).count() == 1000
+    assert tokens.sampled(docs.groupBy("text").count(), "text", 5000, files=4).count() == 1000
+    assert tokens.sampled(docs.filter("doc_id < 0"), "text", 50, files=4).count() == 0
+
+
 def test_packing_round_trip(spark):
     rows = corpus.documents() + [(5000 + k, t, "", "", 0) for k, t in enumerate(_odd_texts())]
     rows = [r for r in rows if r[0] is not None and r[0] != 0]
