@@ -100,7 +100,7 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
-    worker_cache: int = 400_000,
+    worker_cache: int = 150_000,
 ) -> DataFrame:
     """One row for each piece: where it comes from, where it lies, its checksum and bucket.
 
@@ -113,9 +113,10 @@ def pack_documents(
     names = ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier work of this worker left
         cache = _CACHES.get(tokenizer_file)
         if cache is None:
-            cache = _CACHES[tokenizer_file] = IdCache(tokenizer_file, worker_cache, worker_cache // 4)
+            cache = _CACHES[tokenizer_file] = IdCache(tokenizer_file, worker_cache, worker_cache // 3)
         for batch in slices(batches):
             row, start, length, crc, total, blobs = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
