@@ -1231,15 +1231,61 @@ def every_metric(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(_rounded(ag.aggregate(_dense_sources(spark, sf), ag.AggregateRequest(ids, scope="both", start=date(2024, 1, 1), end=date(2024, 2, 1)))))
 
 
-@query("bundle_weekly_digest")
+#: Facts with the summary heart rate of the payloads, as ``f``; needs facts and latest.
+_WITH_RATES = """f AS (SELECT facts.*, TRY_CAST(json_extract_string(payload_json, '$.average_heartrate') AS DOUBLE) AS avg_hr
+  FROM facts LEFT JOIN latest ON latest.activity_id = facts.activity_id AND payload_kind = 'summary')"""
+_DIGEST_ALL = ("distance_km", "calories", "moving_time_min", "elapsed_time_min", "elevation_m")
+_DIGEST_SPORT = ("avg_hr", "max_hr", "cardiac_cost", "cardiac_cost_adjusted", "cardiac_drift_pct", "hrr_pct")
+
+
+def _digest_side(first: date, last: date) -> str:
+    """A digest's metrics over the days from ``first`` to ``last``; lens O has neither summary maxima nor drift (it has seven samples an activity at most)."""
+    days = f"BETWEEN DATE '{first}' AND DATE '{last}'"
+    grouped = f"""SELECT coalesce(sport_type, 'all') AS sport_type, sum(trimp) AS trimp, sum(distance_m / 1000.0) AS distance_km, sum(calories_kcal) AS calories, sum(moving_time_s / 60.0::DOUBLE) AS moving_time_min,
+      sum(elapsed_time_s / 60.0::DOUBLE) AS elapsed_time_min, sum(elevation_gain_m) AS elevation_m, median(cardiac_cost) AS cardiac_cost, median(adjusted_cardiac_cost) AS cardiac_cost_adjusted, median(hrr_pct) AS hrr_pct,
+      sum(avg_hr * heartrate_sample_count) FILTER (avg_hr IS NOT NULL AND heartrate_sample_count > 0) / nullif(sum(heartrate_sample_count) FILTER (avg_hr IS NOT NULL AND heartrate_sample_count > 0), 0) AS avg_hr,
+      CAST(NULL AS DOUBLE) AS max_hr, CAST(NULL AS DOUBLE) AS cardiac_drift_pct FROM f WHERE activity_day {days} GROUP BY GROUPING SETS ((), (sport_type))"""
+    parts = [f"SELECT '{m}' AS metric_id, sport_type, {m} AS value FROM g" for m in _DIGEST_ALL]
+    parts += [f"SELECT '{m}', sport_type, {m} FROM g WHERE sport_type <> 'all'" for m in _DIGEST_SPORT]
+    parts += ["SELECT 'trimp', 'all', trimp FROM g WHERE sport_type = 'all'"]
+    parts += [f"SELECT 'active_days', 'all', count(*) FILTER (activity_count > 0) FROM daily WHERE day {days}"]
+    parts += [f"SELECT 'weekly_trimp', 'all', sum(effective_trimp) FROM daily WHERE day {days}"]
+    parts += [f"SELECT 'volume_7d', 'all', sum(activity_count) FROM daily WHERE day BETWEEN DATE '{last}' - 6 AND DATE '{last}'"]
+    return f"WITH g AS ({grouped}) " + " UNION ALL ".join(parts)
+
+
+_MONDAY = AS_OF - timedelta(days=AS_OF.weekday())
+
+
+@query(
+    "bundle_weekly_digest",
+    f"""WITH {o.FOR_BOTH}, {o.PAYLOADS}, {_WITH_RATES}, now_ AS ({_digest_side(_MONDAY, AS_OF)}), before AS ({_digest_side(_MONDAY - timedelta(days=7), _MONDAY - timedelta(days=1))})
+    SELECT metric_id, sport_type, round(now_.value, 6) AS value, round(before.value, 6) AS previous FROM now_ FULL JOIN before USING (metric_id, sport_type)""",
+)
 def weekly_digest(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(bd.weekly_digest(_all_sources(spark, sf), AS_OF).drop("delta"))
 
 
-@query("bundle_daily_brief")
+_FORTNIGHT = f"BETWEEN DATE '{AS_OF}' - 13 AND DATE '{AS_OF}'"
+
+
+@query(
+    "bundle_daily_brief",
+    f"""WITH RECURSIVE {o.FOR_BOTH}, {o.MODEL}, d AS (SELECT *, sum(effective_trimp) OVER (ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) / 7 AS week_mean FROM daily),
+    m AS (SELECT * FROM model_facts WHERE day {_FORTNIGHT}),
+    totals AS (SELECT count(*) AS n, sum(effective_trimp) AS t, sum(week_mean) AS w, count(*) FILTER (activity_count > 0) AS active FROM d WHERE day {_FORTNIGHT}),
+    sport_days AS (SELECT sport_type, CAST(unnest(generate_series(min(activity_day), (SELECT max(activity_day) FROM acts), INTERVAL 1 DAY)) AS DATE) AS day FROM facts GROUP BY 1),
+    costs AS (SELECT s.sport_type, day, round_even(median(cardiac_cost), 3) AS cost FROM sport_days s LEFT JOIN facts f ON f.sport_type = s.sport_type AND activity_day BETWEEN day - 89 AND day WHERE day {_FORTNIGHT} GROUP BY ALL),
+    medians AS (SELECT sport_type, median(cost) AS cost, count(*) AS n FROM costs GROUP BY 1)
+    SELECT metric_id, sport_type, round(CAST(value AS DOUBLE), 6) AS value, row_count FROM (
+      SELECT unnest(['weekly_trimp', 'total_trimp_14d', 'avg_trimp_per_day', 'active_days', 'rest_days', 'daily_avg_trimp_7d']) AS metric_id, 'all' AS sport_type, unnest([t, t, t / 14, active, n - active, w / 14]) AS value, n AS row_count FROM totals
+      UNION ALL SELECT unnest(['fitness', 'fatigue', 'form', 'acwr']), 'all', unnest([max_by(fitness, day), max_by(fatigue, day), max_by(form, day), max_by(acwr, day) FILTER (acwr IS NOT NULL)]), count(*) FROM m
+      UNION ALL SELECT 'rolling_median_cc', sport_type, cost, n FROM medians UNION ALL SELECT 'rolling_median_hr_recovery', sport_type, NULL, n FROM medians
+      UNION ALL SELECT 'kudos_count', coalesce(sport_type, 'all'), sum(kudos_count), count(*) FROM facts WHERE activity_day {_FORTNIGHT} GROUP BY GROUPING SETS ((), (sport_type)))""",
+)
 def daily_brief(spark: SparkSession, sf: str) -> DataFrame:
     out = bd.daily_brief(_all_sources(spark, sf), AS_OF)
-    return _rounded(out.select("metric_id", "value", "row_count"))
+    return _rounded(out.select("metric_id", F.coalesce("sport_type", F.lit("all")).alias("sport_type"), "value", "row_count"))
 
 
 _BRIEF = "activity_day BETWEEN DATE '{0}' - 13 AND DATE '{0}'".format(AS_OF)
