@@ -135,11 +135,14 @@ def fitness_state(model: DataFrame, rolling: DataFrame, as_of: date | None = Non
     return state.join(rolled, "day", "left")
 
 
-def compare_periods(sources: dict[str, DataFrame], request: AggregateRequest, other: tuple[date, date]) -> DataFrame:
+def compare_periods(
+    sources: dict[str, DataFrame], request: AggregateRequest, other: tuple[date, date], pct_decimals: int | None = 2
+) -> DataFrame:
     """Each metric in the request's range (a) against ``other`` (b), both half-open.
 
     delta = a - b to three decimals, from which pct, against b, and trend (up, down or flat) follow; coverage 0, 0.5
     or 1 a side; sample sizes and counts of both, what is missing on either, and whether they mix versions.
+    ``pct_decimals``: None leaves pct as it is, for who rounds it otherwise; a rounded one must not be rounded again.
     """
     side = lambda r, x: aggregate(sources, r).select(
         "metric_id",
@@ -160,6 +163,7 @@ def compare_periods(sources: dict[str, DataFrame], request: AggregateRequest, ot
     on = (F.col("a.metric_id") == F.col("b.metric_id")) & (F.col("a.scope") == F.col("b.scope")) & F.col("a.sport_type").eqNullSafe(F.col("b.sport_type"))
     joined = a.join(b, on, "full_outer")
     delta = F.bround(F.col("value_a") - F.col("value_b"), 3)
+    pct = delta / F.nullif(F.col("value_b"), F.lit(0.0)) * 100.0
     none = F.array().cast("array<string>")
     versions = F.array_compact(F.array("versions_a", "versions_b"))
     version_status = (
@@ -176,7 +180,7 @@ def compare_periods(sources: dict[str, DataFrame], request: AggregateRequest, ot
         "value_a",
         "value_b",
         delta.alias("delta"),
-        F.bround(delta / F.nullif(F.col("value_b"), F.lit(0.0)) * 100.0, 2).alias("delta_pct"),
+        (pct if pct_decimals is None else F.bround(pct, pct_decimals)).alias("delta_pct"),
         F.when(F.abs(delta) < _EPSILON, "flat").when(delta > 0, "up").when(delta < 0, "down").otherwise("unavailable").alias("trend"),
         F.coalesce("coverage_a", F.lit(0.0)).alias("coverage_a"),
         F.coalesce("coverage_b", F.lit(0.0)).alias("coverage_b"),
