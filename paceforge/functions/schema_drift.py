@@ -30,31 +30,37 @@ _KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "
 def _kind(value: Column) -> Column:
     """object, array, string, number, boolean or null."""
     kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    out = F.lit("number")
-    for name, label in _KINDS.items():
-        out = F.when(kind == name, label).otherwise(out)
-    return out
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[kind], F.lit("number"))
 
 
 def json_paths(payloads: DataFrame, depth: int = 3, items: int = 3, column: str = "payload_json") -> DataFrame:
     """(path, parent, kind, value): every value of the payloads down to ``depth`` levels, of arrays the first ``items`` items.
 
     Paths are like ``gear.name`` and ``laps[].id``; ``value`` is a variant.  Texts that are no JSON have no paths.
-    Each level explodes the one before, so a payload is parsed once and nothing is shuffled.
+    Each level explodes the one before and carries its values along, each on the row of its first child, so that
+    all levels come from one scan, a payload is parsed once and nothing is shuffled.
     """
     spark = payloads.sparkSession
-    level = payloads.select(F.lit("").alias("path"), F.try_parse_json(column).alias("value")).filter("value IS NOT NULL")
-    found = []
-    for _ in range(depth):
-        inner = level.select(F.col("path").alias("parent"), F.col("value").alias("whole"))
-        inner = inner.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer())).filter(F.col("key").isNotNull() | (F.col("pos") < items))
-        name = F.when(F.col("key").isNull(), F.concat("parent", F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif("parent", F.lit("")), F.col("key")))
-        level = inner.select(name.alias("path"), "parent", _kind(F.col("value")).alias("kind"), "value")
-        found.append(level)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    rows = payloads.select(F.try_parse_json(column).alias("value0"), F.lit("").alias("path0"))
+    for k in range(1, depth + 1):
+        child = spark.tvf.variant_explode_outer(F.col(f"value{k - 1}").outer()).toDF("pos", "key", "value")
+        above = [c for j in range(1, k) for c in (f"told{j}", f"path{j}", f"value{j}")]
+        first = F.coalesce(F.col("pos") == 0, F.lit(True))
+        told = F.col("key").isNotNull() | F.coalesce(F.col("pos") < items, F.lit(False))
+        before = F.col(f"path{k - 1}")
+        name = F.when(F.col("key").isNull(), F.concat(before, F.lit("[]"))).otherwise(F.concat_ws(".", F.nullif(before, F.lit("")), "key"))
+        rows = rows.lateralJoin(child).filter(told | first).select(
+            "path0",
+            *[(F.col(c) & first).alias(c) if c.startswith("told") else F.col(c) for c in above],
+            told.alias(f"told{k}"),
+            F.when(told, name).alias(f"path{k}"),
+            F.when(told, F.col("value")).alias(f"value{k}"),
+        )
+    levels = [
+        F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("told", "path", "value")], F.col(f"path{k - 1}").alias("parent"))
+        for k in range(1, depth + 1)
+    ]
+    return rows.select(F.inline(F.array(*levels))).filter("told").select("path", "parent", _kind(F.col("value")).alias("kind"), "value")
 
 
 def nested_drift(
@@ -68,11 +74,13 @@ def nested_drift(
     """
     rows = json_paths(payloads, depth, items)
     names = [*known, *(f"{k}[]" for k in known), ""]
-    new = rows.filter(~F.col("path").isin(names) & F.col("parent").isin(names)).select(F.lit("unknown").alias("change"), "path", "kind")
+    kind, value = F.col("kind"), F.col("value")
+    changes = [F.when(~F.col("path").isin(names) & F.col("parent").isin(names), F.lit("unknown"))]
     for path, nothing in (paid or {}).items():
-        own = rows.filter((F.col("path") == path) & (F.col("kind") != "null"))
         empty = F.try_parse_json(F.lit(nothing))
         number = F.try_variant_get("value", "$", "double").eqNullSafe(F.try_variant_get(empty, "$", "double"))
-        same = F.when(F.col("kind") == "number", number).otherwise(F.to_json("value") == F.to_json(empty))
-        new = new.unionByName(own.filter(~same).select(F.lit("activated").alias("change"), "path", "kind"))
-    return new.groupBy("change", "path", "kind").agg(F.count(F.lit(1)).alias("rows"))
+        same = F.when(kind == "number", number).otherwise(F.to_json(value) == F.to_json(empty))
+        changes.append(F.when((F.col("path") == path) & (kind != "null") & ~same, F.lit("activated")))
+    known_values = F.col("path").isin([k for k in names if k not in (paid or {})])
+    found = rows.filter(~known_values).select(F.explode(F.array_compact(F.array(*changes))).alias("change"), "path", "kind")
+    return found.groupBy("change", "path", "kind").agg(F.count(F.lit(1)).alias("rows"))

@@ -278,3 +278,14 @@ def test_drift_sql_equals_the_algorithm_on_any_number_of_classes():
         assert (severity, significant, quality, classes) == (e["severity"], e["significant"], e["quality"], e["classes"]), i
         assert fit == pytest.approx(e["fit"], abs=1e-4) and (pct == e["pct"] or pct == pytest.approx(e["pct"], abs=0.011))
     assert len({r[5] for r in found}) > 2
+
+
+def test_nested_drift_reads_the_payloads_once(spark, tmp_path):
+    """All levels and all paid paths come from one scan and one parse of the payloads."""
+    where = str(tmp_path / "log")
+    spark.createDataFrame([('{"a":[[1,2],3,{"b":null},5],"c":{"d":{"e":{"f":1}}},"paid":2}',), ("no",), (None,)], "payload_json string").write.parquet(where)
+    rows = nested_drift(spark.read.parquet(where), ["a", "c"], {"paid": "0", "c": "{}"})
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and plan.count("parseJson") == 1
+    got = {(r.change, r.path, r.kind, r.rows) for r in rows.collect()}
+    assert got == {("activated", "c", "object", 1), ("activated", "paid", "number", 1), ("unknown", "a[].b", "null", 1), ("unknown", "a[][]", "number", 2), ("unknown", "c.d", "object", 1), ("unknown", "paid", "number", 1)}
