@@ -20,23 +20,44 @@ def latest_payloads(log: DataFrame) -> DataFrame:
     return latest(log, ["activity_id", "payload_kind"], F.desc("fetched_at"), F.desc("raw_hash"))
 
 
-def hydrated(activities: DataFrame, log: DataFrame) -> DataFrame:
-    """Payload field, else column, else a default, for each activity."""
-    now = latest_payloads(log)
-    pick = lambda kind: now.filter(F.col("payload_kind") == kind).select(
-        F.col("activity_id").alias("id"), F.col("payload_json").alias(f"{kind}_json")
-    )
-    joined = activities.join(pick("summary"), "id", "left").join(pick("detail"), "id", "left")
-    number = lambda c, path: F.get_json_object(c, path).try_cast("double")
+def _newest(log: DataFrame) -> DataFrame:
+    """(id, summary_json, detail_json): latest_payloads() of both kinds, in one aggregation instead of two ordered windows and a join."""
+    def of(kind: str) -> Column:
+        own = F.col("payload_kind") == kind
+        return F.max_by(F.when(own, F.col("payload_json")), F.when(own, F.struct("fetched_at", "raw_hash"))).alias(f"{kind}_json")
+
+    return log.groupBy(F.col("activity_id").alias("id")).agg(of("summary"), of("detail"))
+
+
+def _number(c: str, path: str) -> Column:
+    return F.get_json_object(c, path).try_cast("double")
+
+
+def summaries(log: DataFrame) -> DataFrame:
+    """(id, avg_hr, start_date_local) of each activity's latest summary."""
+    now = _newest(log.filter("payload_kind = 'summary'"))
+    return now.select("id", _number("summary_json", "$.average_heartrate").alias("avg_hr"), F.get_json_object("summary_json", "$.start_date_local").alias("start_date_local"))
+
+
+def hydrated(activities: DataFrame, log: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Payload field, else column, else a default, for each activity.
+
+    ``only``: activity_id of those wanted, few enough to be broadcast: then no other payloads are shuffled.
+    """
+    if only is not None:
+        ids = only.select("activity_id").distinct()
+        log = log.join(F.broadcast(ids), "activity_id", "left_semi")
+        activities = activities.join(F.broadcast(ids.withColumnRenamed("activity_id", "id")), "id", "left_semi")
+    joined = activities.join(_newest(log), "id", "left")
     return joined.select(
         "id",
         "activity_day",
         "sport_type",
-        F.coalesce(number("summary_json", "$.kudos_count"), F.col("kudos_count").cast("double"), F.lit(0.0)).alias("kudos_count"),
-        number("summary_json", "$.average_heartrate").alias("avg_hr"),
-        F.coalesce(number("detail_json", "$.calories"), "calories_kcal").alias("calories_kcal"),
+        F.coalesce(_number("summary_json", "$.kudos_count"), F.col("kudos_count").cast("double"), F.lit(0.0)).alias("kudos_count"),
+        _number("summary_json", "$.average_heartrate").alias("avg_hr"),
+        F.coalesce(_number("detail_json", "$.calories"), "calories_kcal").alias("calories_kcal"),
         F.coalesce(F.get_json_object("detail_json", "$.gear.name"), F.get_json_object("detail_json", "$.gear.id")).alias("gear_name"),
-        number("detail_json", "$.gear.distance").alias("gear_distance_m"),
+        _number("detail_json", "$.gear.distance").alias("gear_distance_m"),
         F.get_json_object("summary_json", "$.start_date_local").alias("start_date_local"),
     )
 

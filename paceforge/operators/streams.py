@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceforge.constants import (
@@ -24,6 +24,7 @@ def heart_rate_tier(samples: DataFrame, min_velocity: float = MOVING_VELOCITY) -
     stream_count, hr_count, min_hr, max_hr, cardiac_cost, median_hr, and ``rates``, the seconds at each rate.
     Samples are counted by (activity, rate) before anything else, so what is shuffled does not
     grow with an activity's length, and bounds, zones, loads and day maxima come from this table.
+    The median is told from an activity's sorted (rate, seconds), which are collected anyway: the only list of the aggregate.
     """
     moving = F.col("heartrate").isNotNull() & (F.col("velocity") > min_velocity)
     counted = samples.groupBy("activity_id", "heartrate").agg(
@@ -32,15 +33,29 @@ def heart_rate_tier(samples: DataFrame, min_velocity: float = MOVING_VELOCITY) -
     rate, moved = F.col("heartrate"), F.sum("moving")
     mean_hr, mean_v = F.sum(rate * F.col("moving")) / F.nullif(moved, F.lit(0)), F.sum("distance") / F.nullif(moved, F.lit(0))
     entry = F.when(rate.isNotNull(), F.struct("heartrate", "n"))
-    return counted.groupBy("activity_id").agg(
+    tier = counted.groupBy("activity_id").agg(
         F.sum("n").alias("stream_count"),
         F.coalesce(F.sum(F.when(rate.isNotNull(), F.col("n"))), F.lit(0)).alias("hr_count"),
         F.min(rate).alias("min_hr"),
         F.max(rate).alias("max_hr"),
         F.bround(F.when(mean_v > 0, mean_hr / F.nullif(mean_v, F.lit(0.0))), 2).alias("cardiac_cost"),
-        F.percentile(rate, F.lit(0.5), F.when(rate.isNotNull(), F.col("n")).otherwise(0)).alias("median_hr"),
-        F.map_from_entries(F.collect_list(entry)).alias("rates"),
+        F.sort_array(F.collect_list(entry)).alias("entries"),
     )
+    scalars = [c for c in tier.columns if c != "entries"]
+    return tier.select(*scalars, _median_of("entries", F.col("hr_count")).alias("median_hr"), F.map_from_entries("entries").alias("rates"))
+
+
+def _median_of(entries: str, total: Column) -> Column:
+    """Median of the ``total`` values that sorted (value, count) pairs stand for; null for none."""
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("upto"), none.alias("low"), none.alias("high"))
+
+    def step(so_far: Column, entry: Column) -> Column:
+        upto = so_far["upto"] + entry["n"]
+        reached = lambda place, name: F.coalesce(so_far[name], F.when(upto > place, entry["heartrate"])).alias(name)
+        return F.struct(upto.alias("upto"), reached(F.floor((total - 1) / 2), "low"), reached(F.floor(total / 2), "high"))
+
+    return F.aggregate(entries, start, step, lambda found: (found["low"] + found["high"]) / 2.0)
 
 
 def as_tier(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceforge.constants import RESTING_HR, ROLLING_WINDOWS, WALK_DISCOUNT
+from paceforge.constants import MIN_ALTITUDE_POINTS, MIN_STREAM_POINTS, RESTING_HR, ROLLING_WINDOWS, WALK_DISCOUNT
 from paceforge.functions.scalars import acwr, acwr_zone, form_zone
 from paceforge.functions.zones import DEFAULT_MODEL, banded_load, banded_rates, karvonen, load_of, zone_bounds
 from paceforge.operators.sequence import day_spine, day_window, load_model
@@ -46,6 +46,7 @@ def activity_facts(
     without them the samples are only aggregated.  Summary columns that the activities lack
     (avg_hr, max_hr, start_time_local, source_hash, source_revision) are null.
     """
+    stored_tier = tier
     tier = heart_rate_tier(samples) if tier is None else tier
     days = running_max_hr(activities, tier)
     if only is not None:
@@ -58,7 +59,7 @@ def activity_facts(
     rated = base.join(F.broadcast(days), "activity_day", "left").join(scalars, "id", "left")
     f = zoned(rated, hr_rest, (*base.columns, *[c for c in scalars.columns if c not in ("id", "rates")]), zone_model)
     if ordered:
-        f = f.join(ordered_measures(activities, samples).withColumnRenamed("activity_id", "id"), "id", "left")
+        f = f.join(ordered_measures(activities, samples, stored_tier).withColumnRenamed("activity_id", "id"), "id", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     no_streams, no_hr = count("stream_count") == 0, count("hr_count") == 0
     reasons = F.array_compact(
@@ -120,8 +121,26 @@ _ORDERED = {
 }
 
 
-def ordered_measures(activities: DataFrame, samples: DataFrame) -> DataFrame:
-    """Recovery, vertical speed and drift of the activities that have enough samples for one of them."""
+#: So many ids are broadcast; more are joined by a shuffle.
+_BROADCAST_IDS = 1_000_000
+
+
+def _long_enough(samples: DataFrame, tier: DataFrame) -> DataFrame:
+    """The samples of activities that have enough of them for a measure of their order, by the counts of the stored tier.
+
+    The others are neither shuffled nor sorted; no measure tells anything of them.
+    """
+    ids = tier.filter(F.col("stream_count") >= min(MIN_ALTITUDE_POINTS, MIN_STREAM_POINTS)).select("activity_id")
+    few = ids.limit(_BROADCAST_IDS + 1).count() <= _BROADCAST_IDS
+    return samples.join(F.broadcast(ids) if few else ids, "activity_id", "left_semi")
+
+
+def ordered_measures(activities: DataFrame, samples: DataFrame, tier: DataFrame | None = None) -> DataFrame:
+    """Recovery, vertical speed and drift of the activities that have enough samples for one of them.
+
+    ``tier``: heart_rate_tier() of the samples, if it is stored: then only samples of such activities are ordered.
+    """
+    samples = samples if tier is None else _long_enough(samples, tier)
     rested = recovery(pauses(samples))
     rested = rested.select(
         "activity_id", *[F.col(c).alias(f"hr_recovery_{c}") for c in rested.columns if c != "activity_id"]

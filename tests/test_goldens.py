@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paceforge.functions import hashing, scalars, zones
 from paceforge.functions.schema_drift import drift_report, nested_drift
 from paceforge.operators import drift, relational, sequence, streams
+from paceforge.plans import facts
 
 SAMPLES = "activity_id long, time_offset long, heartrate long, velocity double, altitude double"
 
@@ -289,3 +290,46 @@ def test_nested_drift_reads_the_payloads_once(spark, tmp_path):
     assert plan.count("parquet") == 1 and plan.count("parseJson") == 1
     got = {(r.change, r.path, r.kind, r.rows) for r in rows.collect()}
     assert got == {("activated", "c", "object", 1), ("activated", "paid", "number", 1), ("unknown", "a[].b", "null", 1), ("unknown", "a[][]", "number", 2), ("unknown", "c.d", "object", 1), ("unknown", "paid", "number", 1)}
+
+
+def test_latest_payloads_come_from_one_aggregation(spark):
+    """No windows: the newest of each kind by time and hash, texts that are null included; ``only`` gives the same rows."""
+    log = spark.createDataFrame(
+        [(1, "summary", "2026-01-01", '{"average_heartrate":100}', "b"), (1, "summary", "2026-01-02", '{"average_heartrate":120,"start_date_local":"x"}', "a"),
+         (1, "summary", "2026-01-02", '{"average_heartrate":110}', "0"), (1, "detail", "2026-01-01", '{"gear":{"name":"n","distance":5}}', "c"),
+         (2, "summary", "2026-01-01", '{"average_heartrate":90}', "d"), (2, "summary", "2026-01-03", None, None)],
+        "activity_id long, payload_kind string, fetched_at string, payload_json string, raw_hash string",
+    )
+    acts = spark.range(1, 4).selectExpr("id", "date'2026-01-01' activity_day", "'Run' sport_type", "1L kudos_count", "7D calories_kcal")
+    whole = relational.hydrated(acts, log)
+    assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.id: (r.avg_hr, r.calories_kcal, r.gear_name, r.gear_distance_m, r.start_date_local) for r in whole.collect()}
+    assert rows == {1: (120.0, 7.0, "n", 5.0, "x"), 2: (None, 7.0, None, None, None), 3: (None, 7.0, None, None, None)}
+    assert {r.id: r.avg_hr for r in relational.summaries(log).collect()} == {1: 120.0, 2: None}
+    one = relational.hydrated(acts, log, only=spark.createDataFrame([(1,)], "activity_id long")).collect()
+    assert one == [r for r in whole.collect() if r.id == 1]
+
+
+def test_only_long_activities_are_ordered(spark):
+    """By a stored tier, samples of short activities go before any window; what is told of the others is the same."""
+    samples = spark.range(700).selectExpr(
+        "CASE WHEN id < 400 THEN 1L WHEN id < 659 THEN 2L ELSE 3L END activity_id", "id time_offset", "100 + id % 50 heartrate",
+        "CASE WHEN id % 100 < 40 THEN 0D ELSE 2D + id % 3 END velocity", "500D + id % 50 altitude",
+    )
+    acts = spark.range(1, 4).selectExpr("id", "'Run' sport_type")
+    tier = streams.heart_rate_tier(samples)
+    kept = facts._long_enough(samples, tier)
+    assert {r.activity_id for r in kept.select("activity_id").distinct().collect()} == {1, 2}
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(facts.ordered_measures(acts, samples, tier)) == rows(facts.ordered_measures(acts, samples)) != []
+
+
+def test_median_of_counted_rates(spark):
+    """The tier's median is the percentile of the samples, for odd, even, equal and absent rates."""
+    rows = [(1, 100), (1, 130), (2, 100), (2, 100), (2, 131), (3, None), (4, 90), (4, 90), (4, 121), (4, 121), (4, None)]
+    df = spark.createDataFrame(rows, "activity_id long, heartrate long").selectExpr("*", "1D velocity")
+    tier = streams.heart_rate_tier(df)
+    assert "percentile" not in tier._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.activity_id: (r.median_hr, r.rates) for r in tier.collect()} == {
+        1: (115.0, {100: 1, 130: 1}), 2: (100.0, {100: 2, 131: 1}), 3: (None, {}), 4: (105.5, {90: 2, 121: 2}),
+    }
