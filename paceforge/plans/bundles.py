@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -116,7 +116,7 @@ def _long(df: DataFrame, section: str, item: Column, metrics: Sequence[str], lab
 def brief(
     sources: dict[str, DataFrame],
     day: date,
-    hydrated: DataFrame | None = None,
+    hydrated: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     status: DataFrame | None = None,
     freshness: DataFrame | None = None,
     metric_version: int = 1,
@@ -125,7 +125,7 @@ def brief(
 
     The state and windows of the day; ten workouts of its fourteen days; their load by day and by sport; the status
     rules (status.all_rules()); the gear of the newest fifty workouts of four weeks (``hydrated``: id, gear_name,
-    gear_distance_m); and the mirror's freshness (services.freshness()).  Sections whose input is not given have no rows.
+    gear_distance_m, or what gives them for a table of activity_id); and the mirror's freshness (services.freshness()).  Sections whose input is not given have no rows.
     """
     facts = sources["activity"].filter(F.col("metric_version") == metric_version)
     state = services.fitness_state(sources["model"], sources["rolling"], day)
@@ -145,7 +145,8 @@ def brief(
         parts.append(status.select(F.lit("status_facts").alias("section"), F.col("code").alias("item"), F.lit("status").alias("metric"), F.col("amount").alias("value"), F.col("status").alias("label")))
     if hydrated is not None:
         worn = services.list_workouts(facts, 50, day - timedelta(days=27), day).select("activity_id")
-        gear = hydrated.withColumnRenamed("id", "activity_id").join(F.broadcast(worn), "activity_id", "left_semi")
+        rows = hydrated(worn) if callable(hydrated) else hydrated
+        gear = rows.withColumnRenamed("id", "activity_id").join(F.broadcast(worn), "activity_id", "left_semi")
         gear = gear.filter("gear_name IS NOT NULL OR gear_distance_m IS NOT NULL")
         parts.append(_long(gear, "supported_gear", F.col("activity_id"), BRIEF_SECTIONS["supported_gear"], ("gear_name",)))
     if freshness is not None:
